@@ -403,8 +403,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fracti
 def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents without all but one of each component: the one with the smallest key stays. Of rows that repeat a
     key one stays; rows with a null key stay."""
-    found = jaccard_components(docs, n, threshold, text, key)
+    found = durable(jaccard_components(docs, n, threshold, text, key), "near")
     gone = found.where(F.col("component_id") < F.col(key)).select(key).distinct()
-    kept = docs.join(gone, key, "left_anti")
-    some = kept.where(F.col(key).isNotNull()).dropDuplicates([key])
-    return some.unionByName(kept.where(F.col(key).isNull())).select(*docs.columns)
+    kept = docs.join(gone, key, "left_anti").select(*docs.columns)
+    twice = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
+    if twice.isEmpty():  # texts need not be moved to find repeated keys
+        return kept
+    once = kept.join(twice, key, "left_anti").select(*docs.columns)
+    return once.unionByName(kept.join(twice, key, "left_semi").select(*docs.columns).dropDuplicates([key]))

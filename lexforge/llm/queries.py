@@ -36,12 +36,24 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"), limit=2048)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_dedup import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"), least=50)
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import mix
 
     return mix(table(spark, sf_dir, "documents"))
 
 
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embedding_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .ngram_jaccard import jaccard_components
 
@@ -54,12 +66,25 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return archive_pages(table(spark, sf_dir, "pages"), least=0)
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprints
+
+    return fingerprints(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import score_documents
+
+    return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 #: Bytes of text of a shard.
 SHARD_LIMIT = 4 << 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_sentencepiece, op2_sharding, op3_token_counts, op5_mixing, op7_ngram_jaccard, op8_warc)}
+    every = (op1_sentencepiece, op2_sharding, op3_token_counts, op4_suffix_dedup, op5_mixing, op6_embedding_dedup, op7_ngram_jaccard, op8_warc, op9_fingerprints, op10_toxicity)
+    return {f.__name__: f for f in every}
 
 
 #: A shard is the shortest prefix of the hash whose documents fit, all of whose own prefixes do not.
@@ -104,6 +129,19 @@ SELECT d.doc_id, CAST(coalesce(n.size, 0) AS BIGINT) AS n_shingles, k.component_
 FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id) k ON k.doc_id = d.doc_id
 """
 
+#: All pairs of vectors, and what links reach.
+_OP6_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+  ok AS (SELECT vec_id, x, sqrt(list_inner_product(x, x)) AS n FROM v
+         WHERE vec_id IS NOT NULL AND x IS NOT NULL AND len(x) > 0 AND len(list_filter(x, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+           AND list_inner_product(x, x) > 0),
+  e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+        WHERE list_inner_product(a.x, b.x) / (a.n * b.n) >= 0.95),
+  r(vec_id, reached) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.vec_id, e.b FROM r JOIN e ON e.a = r.reached)
+SELECT v.vec_id, CAST((SELECT count(*) FROM e WHERE e.a = v.vec_id) AS BIGINT) AS n_links, k.component_id, v.vec_id = k.component_id AS kept
+FROM v JOIN (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id) k ON k.vec_id = v.vec_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": _OP2_SQL, "op7_ngram_jaccard": _OP7_SQL, "op8_warc": _OP8_SQL}
+    return {"op2_sharding": _OP2_SQL, "op6_embedding_dedup": _OP6_SQL, "op7_ngram_jaccard": _OP7_SQL, "op8_warc": _OP8_SQL}

@@ -10,6 +10,7 @@ and payload digests.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
@@ -32,8 +33,8 @@ WARC_VERSION = "WARC/1.0"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 #: Names the identifiers of records.
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:lexforge:arc")
-#: Bytes of payload that a file of the archive is meant to hold.
-FILE_BYTES = 8 << 20
+#: Records of a file of the archive, at most.
+FILE_RECORDS = 10_000
 
 
 class ArchiveError(ValueError):
@@ -172,7 +173,9 @@ def warc_bytes(headers: dict[str, str], block: bytes) -> bytes:
 
 
 def parse_warc(data: bytes) -> Iterator[Record]:
-    """The records of a WARC file, by the declared lengths, whatever a block may hold."""
+    """The records of a WARC file, compressed or not, by the declared lengths, whatever a block may hold."""
+    if data.startswith(b"\x1f\x8b"):
+        data = gzip.decompress(data)
     at = 0
     while at < len(data):
         end = data.find(b"\r\n\r\n", at)
@@ -202,15 +205,14 @@ def to_warc(pages: DataFrame, path: str, least: int = 0, key: str = "page_id", u
 
     Of records with equal payloads of at least ``least`` bytes, the one with the largest key is the response, and the
     others, repeats of the same key included, are revisits of it; null keys come before all others. A null payload
-    is empty. Each output file is a whole WARC of about ``FILE_BYTES``.
+    is empty. Each output file is a whole WARC, compressed, of ``FILE_RECORDS`` records at most. Payloads are moved once, to
+    where equal ones meet.
     """
     rows = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("p"))
     rows = rows.withColumn("h", F.sha1(F.encode("p", "utf-8"))).withColumn("size", F.octet_length("p").cast("bigint"))
     # The first of each payload, summed per task before the shuffle; a hot payload is one row here.
     best = rows.where(F.col("size") >= least).groupBy("h").agg(F.max(F.struct(F.col("k"), F.col("u"))).alias("best"), F.count(F.lit(1)).alias("n"))
     best = best.where("n > 1").select("h", F.col("best.k").alias("best_k"), F.col("best.u").alias("best_u"))
-    total = rows.agg(F.sum("size")).first()[0] or 0
-    files = max(1, -(-total // FILE_BYTES))
     joined = rows.join(best, "h", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,9 +243,9 @@ def to_warc(pages: DataFrame, path: str, least: int = 0, key: str = "page_id", u
                 yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
 
     ref = F.when(F.col("best_k").isNotNull() | F.col("best_u").isNotNull(), F.struct(F.col("best_k").alias("k"), F.col("best_u").alias("u"))).alias("ref")
-    records = joined.repartition(files, "k", "u").select("k", "u", "p", ref).mapInArrow(run, "value string")
+    records = joined.select("k", "u", "p", ref).mapInArrow(run, "value string")
     # A text writer whose lines end with the two line ends that close a record writes whole WARC files.
-    records.write.option("lineSep", "\r\n\r\n").text(path)
+    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
 
 
 def read_warc(spark, path: str) -> DataFrame:

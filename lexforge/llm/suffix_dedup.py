@@ -254,6 +254,7 @@ def repeated_spans(docs: DataFrame, least: int = 50, text: str = "text", key: st
     keys = durable(suffix_keys(docs, least, text, key), "suffixes")
     # Summed per task before the shuffle: a frequent passage's suffix is one row for each.
     often = keys.groupBy("gram").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min("pos").alias("p0"), F.max("pos").alias("p1")).where("d0 < d1 or p0 < p1").select("gram")
+    often = durable(often, "often")  # read again, so that the join below may split a frequent suffix's rows
     places = keys.join(often, "gram", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("gram", "pos")).alias("at"))
     order = ["gram", "tail", "head", "doc", "pos"]
     suffixes = contexts(docs, places, least, text, key)

@@ -136,6 +136,10 @@ def with_snippets(found: DataFrame, text: str = "text") -> DataFrame:
 # --- the index
 
 
+def _moved(places: Column, k: int) -> Column:
+    return F.transform(places, lambda x: x - k)
+
+
 def postings(blocks: DataFrame, text: str = "text", key: str = "block_id") -> DataFrame:
     """(``term``, key, ``places``, ``tf``, ``dl``): a row for each term of each block."""
     corpus = tokenised(blocks.select(key, text), text)
@@ -176,7 +180,7 @@ def search_index(blocks: DataFrame, path: str, query: str, mode: str = EXACT, bo
                 # Terms of a stem or a prefix: few of the vocabulary, joined by term.
                 some = terms.where(F.col(column).startswith(t) if prefix else F.col(column) == t).select("term")
                 named = own.join(some, "term", "left_semi")
-            at = named.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list(F.transform("places", lambda x, k=k: x - k)))).alias("p"))
+            at = named.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list(_moved(F.col("places"), k)))).alias("p"))
             parts = at if parts is None else parts.join(at.withColumnRenamed("p", "q"), key).select(key, F.array_intersect("p", "q").alias("p"))
         per_phrase.append(parts.select(key, F.lit(i).alias("i"), F.size("p").alias("f")).where("f > 0"))
     every = per_phrase[0]

@@ -15,9 +15,10 @@ from .common import durable, release
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(``node``, ``component``): the smallest node that each node of ``edges`` reaches, itself included.
+    """(``node``, ``component``): the smallest node that each node of ``edges`` reaches, for all nodes but those smallest.
 
-    Nodes are longs; nulls and loops link nothing. Nodes without edges are not in the result. The number of rounds grows
+    Nodes are longs; nulls and loops link nothing. The smallest node of a component has no row, nor has one without
+    edges: both are their own. The number of rounds grows
     with the logarithm of a component's extent.
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")

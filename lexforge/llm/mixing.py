@@ -101,8 +101,6 @@ def round_copies(rates: np.ndarray, sizes: np.ndarray, cap: int) -> np.ndarray:
             out[k] = 1  # nothing to weigh: kept as it is
             continue
         copies = min(cap, max(0, math.floor(r + carry / x + 0.5)))
-        if copies > r + 1 or copies < r - 1:
-            copies = min(cap, max(0, math.floor(r) if copies < r else math.ceil(r)))
         out[k] = copies
         carry += (r - copies) * x
     return out

@@ -9,9 +9,10 @@ Trees are built where links can be. Sets that reach the threshold differ in at m
 their sizes; as the shingles of a size class are dealt into more than ``d`` parts, linked sets agree in at least one whole
 part. Sets that agree in a part form a neighbourhood; each neighbourhood gets a tree of its own. Large ones are cut into
 blocks, and each pair of blocks is searched by one task. Equal sets are one point throughout, and a search stops at what
-its neighbourhood has already tied together, so copies cost one candidate each, not one a pair. A candidate that fails
-the verification is set aside, and the search is repeated where it may have hidden another, until none fails. The links
-found are exact: no candidate or partner is dropped.
+its neighbourhood has already tied together, so copies cost one candidate each, not one a pair. Candidates whose ends are
+tied by others need no verification. Where one fails, it may have hidden others: its neighbourhoods are searched once more,
+for all that the bounds let through between sets that are not tied. No candidate or partner is dropped, so the components
+are exact.
 """
 
 from __future__ import annotations
@@ -28,11 +29,11 @@ from .common import U64, durable, hash_words, mix64, release, shingles, slices,
 from .components import components
 
 #: Coordinates of a point.
-GROUPS = 64
+GROUPS = 256
 #: Points of a block of a large neighbourhood, and of a leaf of a tree; children of a box.
 BLOCK_POINTS, LEAF, FAN = 2048, 32, 8
-#: Keys (of 8 bytes) that may be broadcast.
-KEYS_SENT = 500_000
+#: Candidates (of 24 bytes) that may be broadcast, and candidates of one set that one task verifies.
+PAIRS_SENT, FAN_OUT = 300_000, 256
 #: Upper end of one size class, over the end of the one before.
 WIDTH = 1.5
 
@@ -157,7 +158,10 @@ class RTree:
 
         A set with n shingles of which c are common reaches it if c * (1 + t) >= t * (n + size); the bound on c is the sum
         of the smaller counts, and n is at least c, and at least what the box has."""
-        bound = np.minimum(points, p).sum(1, dtype=np.int64)
+        least = np.minimum(points, p)
+        bound = least.sum(1, dtype=np.int64)
+        if p.max(initial=0) == 65535:  # a count that stopped there may be larger
+            bound[(least == 65535).any(1)] = 1 << 60
         bound = np.minimum(bound, np.minimum(high, size))
         a, b = t.numerator, t.denominator
         return bound * (a + b) >= a * (np.maximum(low, bound) + size)
@@ -179,8 +183,8 @@ class RTree:
         return at[self.may(self.points[at], self.sizes[at], self.sizes[at], p, size, t)]
 
 
-def forest(keys: np.ndarray, labels: np.ndarray, sizes: np.ndarray, points: np.ndarray, side: np.ndarray, t: Fraction, failed: set[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Candidate links that tie together all that the bounds let tie, of sets with different labels that have not failed.
+def forest(keys: np.ndarray, labels: np.ndarray, sizes: np.ndarray, points: np.ndarray, side: np.ndarray, t: Fraction) -> list[tuple[int, int]]:
+    """Candidate links that tie together all that the bounds let tie, of sets with different labels.
 
     Each set is searched for once among those that its search has not yet reached; so there is a candidate less than
     there are sets at most. Sets of one label are tied from the start: the first reached brings the others along.
@@ -213,39 +217,60 @@ def forest(keys: np.ndarray, labels: np.ndarray, sizes: np.ndarray, points: np.n
             for f in tree.search(tree.points[k], int(tree.sizes[k]), t, open_).tolist():
                 if not open_[f] or side[k] != 2 and side[k] == side[f]:
                     continue
-                pair = (int(min(keys[k], keys[f])), int(max(keys[k], keys[f])))
-                if pair in failed:
-                    continue
-                out.append(pair)
+                out.append((int(min(keys[k], keys[f])), int(max(keys[k], keys[f]))))
                 reach(f)
     return out
 
 
-def verify(candidates: DataFrame, docs: DataFrame, n: int, threshold: Fraction, text: str, key: str) -> DataFrame:
-    """``a``, ``b``, ``linked`` for candidate pairs, by the shingles of both. Only texts that are in a candidate go on to
-    the pairs. They are found by a broadcast of their keys while these are few, else by a join."""
+def untied(keys: np.ndarray, labels: np.ndarray, sizes: np.ndarray, points: np.ndarray, side: np.ndarray, t: Fraction) -> list[tuple[int, int]]:
+    """All pairs of different labels whose bound reaches the threshold."""
+    if len(np.unique(labels)) < 2:
+        return []
+    tree = RTree(points, sizes)
+    keys, labels, side = keys[tree.order], labels[tree.order], side[tree.order]
+    every, out = np.ones(len(keys), bool), []
+    for k in range(len(keys)):
+        for f in tree.search(tree.points[k], int(tree.sizes[k]), t, every & (labels != labels[k])).tolist():
+            if keys[k] < keys[f] and (side[k] == 2 or side[k] != side[f]):
+                out.append((int(keys[k]), int(keys[f])))
+    return out
+
+
+def verify(pairs: DataFrame, docs: DataFrame, n: int, threshold: Fraction, text: str, key: str) -> DataFrame:
+    """``a``, ``b``, ``linked`` for candidate pairs, by the shingles of both.
+
+    The texts of the pairs' ends, and no others, go to where the pairs of ``a`` are verified: one of ``a`` for each
+    ``FAN_OUT`` of its pairs, and one of ``b`` for each pair. The pairs find their texts by a broadcast while they are few,
+    else by a join."""
     num, den = threshold.numerator, threshold.denominator
-    wanted = durable(candidates.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "wanted")
-    if wanted.count() <= KEYS_SENT:
-        wanted = F.broadcast(wanted)
-    named = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t")).join(wanted, "k", "left_semi").dropDuplicates(["k"])
-    left = candidates.join(named.withColumnRenamed("k", "a").withColumnRenamed("t", "ta"), "a")
-    both = left.join(named.withColumnRenamed("k", "b").withColumnRenamed("t", "tb"), "b").select("a", "b", "ta", "tb")
+    few = pairs.count() <= PAIRS_SENT
+    send = F.broadcast if few else lambda d: d
+    own = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN_OUT).cast("int").alias("salts"))
+    to = pairs.join(own, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
+    named = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
+    first = named.join(send(own), F.col("k") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b"), "t")
+    second = named.join(send(to), F.col("k") == F.col("b")).select("a", "salt", "b", "t")
+    rows = first.unionByName(second).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[int | None, np.ndarray] = (None, np.zeros(0, U64))
-        for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            linked = []
+        held = np.zeros(0, U64)
+        for batch in slices(batches, "t"):
+            a, b = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            h, row = distinct_shingles(*text_bytes(batch.column(3)), n)
+            ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
+            out: list[tuple[int, int, bool]] = []
             for k in range(batch.num_rows):
-                if held[0] != a[k]:
-                    held = (a[k], distinct_shingles(*text_bytes(batch.column(2).slice(k, 1)), n)[0])
-                other = distinct_shingles(*text_bytes(batch.column(3).slice(k, 1)), n)[0]
-                common = len(np.intersect1d(held[1], other, assume_unique=True))
-                linked.append(common * den >= num * (len(held[1]) + len(other) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+                mine = h[ends[k] : ends[k + 1]]
+                if b[k] is None:
+                    held = mine
+                    continue
+                common = len(np.intersect1d(held, mine, assume_unique=True))
+                out.append((a[k], b[k], common * den >= num * (len(held) + len(mine) - common)))
+            if out:
+                x, y, z = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(z, pa.bool_())], ["a", "b", "linked"])
 
-    return both.mapInArrow(run, "a bigint, b bigint, linked boolean")
+    return rows.mapInArrow(run, "a bigint, b bigint, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
 
 
 def neighbourhoods(sets: DataFrame) -> DataFrame:
@@ -290,9 +315,10 @@ def neighbourhoods(sets: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, "hood bigint, rep bigint").dropDuplicates(["hood", "rep"])
 
 
-def candidates(hoods: DataFrame, points: DataFrame, labels: DataFrame | None, failed: DataFrame | None, t: Fraction) -> DataFrame:
-    """Candidate links (``a`` < ``b``) of all neighbourhoods, by their trees. ``hoods`` has ``hood``, ``rep``, ``blocks``
-    (of the neighbourhood); ``labels`` ties sets together from the start; ``failed`` are pairs to leave out."""
+def candidates(hoods: DataFrame, points: DataFrame, labels: DataFrame | None, t: Fraction) -> DataFrame:
+    """Candidate links (``a`` < ``b``) of all neighbourhoods, by their trees: a forest of each, or, once ``labels`` tell what is
+    tied, all pairs of different labels that the bounds let through. ``hoods`` has ``hood``, ``rep``, ``blocks`` (of the
+    neighbourhood)."""
     rows = hoods.join(points, "rep")
     rows = rows.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")) if labels is not None else rows.withColumn("label", F.col("rep"))
     # A large neighbourhood's blocks meet in pairs; a set goes to each pair of its block.
@@ -300,13 +326,7 @@ def candidates(hoods: DataFrame, points: DataFrame, labels: DataFrame | None, fa
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
     rows = rows.select("hood", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("upper"), "rep", "label", "size", "point")
     kinds = "a bigint, b bigint"
-    if failed is not None:
-        ends = failed.select(F.col("a").alias("rep"), "b")
-        bad = hoods.select("hood", "rep").join(ends, "rep").select("hood", F.col("rep").alias("a"), F.col("b").alias("rep")).join(hoods.select("hood", "rep"), ["hood", "rep"])
-        bad = bad.groupBy("hood").agg(F.collect_set(F.struct("a", F.col("rep").alias("b"))).alias("failed"))
-        rows = rows.join(bad, "hood", "left")
-    else:
-        rows = rows.withColumn("failed", F.expr("cast(null as array<struct<a:bigint,b:bigint>>)"))
+    again = labels is not None
     # Many small neighbourhoods share a task and a batch: they are told apart in order, not by a call for each.
     rows = rows.repartition("hood", "i", "j").sortWithinPartitions("hood", "i", "j", "rep")
 
@@ -323,14 +343,12 @@ def candidates(hoods: DataFrame, points: DataFrame, labels: DataFrame | None, fa
             edges = [*np.flatnonzero(new).tolist(), len(hood)]
             out: list[tuple[int, int]] = []
             for s, e in zip(edges, edges[1:], strict=False):
-                bad = table.column(8)[s].as_py()
-                bad = {(x["a"], x["b"]) for x in bad} if bad else set()
                 side = np.full(e - s, 2) if i[s] == j[s] else upper[s:e]
-                if e - s == 2 and not bad:
+                if e - s == 2:
                     if label[s] != label[s + 1] and (side[0] == 2 or side[0] != side[1]) and RTree.may(point[s : s + 1], size[s : s + 1], size[s : s + 1], point[s + 1], int(size[s + 1]), t)[0]:
                         out.append((int(min(rep[s], rep[s + 1])), int(max(rep[s], rep[s + 1]))))
                     continue
-                out += forest(rep[s:e], label[s:e], size[s:e], point[s:e], side, t, bad)
+                out += (untied if again else forest)(rep[s:e], label[s:e], size[s:e], point[s:e], side, t)
             return out
 
         def batch_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
@@ -365,37 +383,61 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fracti
     ``n`` has its whole sequence as its one shingle; one without words, or whose text is null, links with nothing. Rows
     that repeat a key are kept; a null key links with nothing. An empty table has no rows. Other columns are left out.
     """
-    features = durable(shingle_sets(docs, n, threshold, text, key), "sets")
+    heavy = durable(shingle_sets(docs, n, threshold, text, key), "sets")
+    features = durable(heavy.select("key", "n_shingles", "set_a", "set_b"), "features")
     # Equal sets are one: their smallest key stands for them.
     sets = features.where("set_a is not null and key is not null")
     reps = durable(sets.groupBy("n_shingles", "set_a", "set_b").agg(F.min("key").alias("rep")), "reps")
-    chosen = sets.join(reps.select(F.col("rep").alias("key"), "n_shingles", "set_a", "set_b"), ["key", "n_shingles", "set_a", "set_b"], "left_semi").dropDuplicates(["key"])
+    chosen = heavy.join(reps.select(F.col("rep").alias("key"), "n_shingles", "set_a", "set_b"), ["key", "n_shingles", "set_a", "set_b"], "left_semi").dropDuplicates(["key"])
     hoods = durable(neighbourhoods(chosen.select("key", "parts")), "hoods")
     points = durable(chosen.join(hoods.select(F.col("rep").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("rep"), F.col("n_shingles").alias("size"), "point"), "points")
+    release(heavy)
     blocks = hoods.groupBy("hood").agg(F.ceil(F.count(F.lit(1)) / BLOCK_POINTS).alias("blocks"))
-    hoods_now = durable(hoods.join(blocks, "hood"), "blocks")
-    links, labels, failed = None, None, None
-    while True:
-        found = durable(candidates(hoods_now, points, labels, failed, threshold), "candidates")
-        if found.isEmpty():
-            release(found)
-            break
-        judged = durable(verify(found, docs, n, threshold, text, key), "judged")
-        links = judged.where("linked") if links is None else links.unionByName(judged.where("linked"))
-        bad = judged.where("not linked")
-        if bad.isEmpty():
-            break
-        labels = durable(components(links).select(F.col("node").alias("rep"), F.col("component").alias("label")), "labels")
-        failed = bad if failed is None else failed.unionByName(bad)
-        # Only neighbourhoods that hold both ends of a failed candidate, and more than one label, are searched again.
-        ends = bad.select(F.col("a").alias("rep"), "b")
-        again = hoods_now.join(ends, "rep").select("hood", F.col("b").alias("rep")).join(hoods_now.select("hood", "rep"), ["hood", "rep"], "left_semi").select("hood").distinct()
-        hoods_now = durable(hoods_now.join(again, "hood", "left_semi"), "blocks")
-        release(found)
+    placed = durable(hoods.join(blocks, "hood"), "blocks")
+    release(hoods)
+    judged: list[DataFrame] = []
+
+    def linked() -> DataFrame:
+        out = judged[0]
+        for j in judged[1:]:
+            out = out.unionByName(j)
+        return out
+
+    def judge(pairs: DataFrame) -> None:
+        judged.append(durable(verify(pairs, docs, n, threshold, text, key), "judged"))
+
+    def tied() -> DataFrame:
+        return durable(components(linked().where("linked")).select(F.col("node").alias("rep"), F.col("component").alias("label")), "labels")
+
+    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs whose ends are not tied yet."""
+        of = lambda end: labels.select(F.col("rep").alias(end), F.col("label").alias(f"label_{end}"))
+        rows = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+        return rows.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+
+    labels = None
+    found = durable(candidates(placed, points, None, threshold), "candidates")
+    if not found.isEmpty():
+        # One candidate of each set ties most of what belongs together; of the others few are still needed then.
+        judge(durable(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs"))
+        labels = tied()
+        rest = durable(apart(found.join(judged[0].select("a", "b"), ["a", "b"], "left_anti"), labels), "pairs")
+        if not rest.isEmpty():
+            judge(rest)
+            labels = tied()
+        failed = linked().where("not linked")
+        if not failed.isEmpty():
+            # Neighbourhoods that hold both ends of a failed candidate.
+            ends = failed.select(F.col("a").alias("rep"), "b")
+            both = placed.join(ends, "rep").select("hood", F.col("b").alias("rep")).join(placed.select("hood", "rep"), ["hood", "rep"], "left_semi").select("hood").distinct()
+            again = durable(placed.join(both, "hood", "left_semi"), "again")
+            rest = durable(candidates(again, points, labels, threshold).join(failed.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+            if not rest.isEmpty():
+                judge(rest)
+                labels = tied()
     answer = features.select("key", "n_shingles", "set_a", "set_b").join(reps, ["n_shingles", "set_a", "set_b"], "left")
-    if links is not None:
-        parts = components(links).select(F.col("node").alias("rep"), "component")
-        answer = answer.join(durable(parts, "components"), "rep", "left").withColumn("rep", F.coalesce("component", "rep"))
+    if labels is not None:
+        answer = answer.join(labels, "rep", "left").withColumn("rep", F.coalesce("label", "rep"))
     component = F.when(F.col("key").isNull(), F.lit(None)).otherwise(F.coalesce(F.least("rep", "key"), F.col("key")))
     return answer.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"))
 

@@ -101,9 +101,11 @@ def test_a_failed_candidate_hides_no_other():
     points = np.zeros((3, ngram_jaccard.GROUPS), np.uint16)
     points[:, :10] = 1
     side = np.full(3, 2)
-    assert ngram_jaccard.forest(keys, keys, sizes, points, side, Fraction(4, 5), set()) == [(1, 2), (1, 3)]
-    assert sorted(ngram_jaccard.forest(keys, keys, sizes, points, side, Fraction(4, 5), {(1, 2)})) == [(1, 3), (2, 3)]
-    assert ngram_jaccard.forest(keys, np.array([1, 1, 1]), sizes, points, side, Fraction(4, 5), set()) == []
+    t = Fraction(4, 5)
+    assert ngram_jaccard.forest(keys, keys, sizes, points, side, t) == [(1, 2), (1, 3)]
+    assert ngram_jaccard.forest(keys, np.array([1, 1, 1]), sizes, points, side, t) == []
+    assert sorted(ngram_jaccard.untied(keys, np.array([1, 2, 1]), sizes, points, side, t)) == [(1, 2), (2, 3)]
+    assert sorted(ngram_jaccard.untied(keys, keys, sizes, points, np.array([0, 0, 1]), t)) == [(1, 3), (2, 3)]
 
 
 def test_tree_finds_what_a_scan_finds():

@@ -6,7 +6,13 @@ holds one with its ``GRAM`` words, so two copies of a passage keep suffixes at t
 words occur once are dropped. The others are sorted as a whole (a range partitioning of suffix, left context, document and
 place, so no frequent passage meets in one task); neighbours are compared, and their matches extended to the right and to
 the left. Where both together reach ``least`` words, a passage repeats. As minimisers are never further apart than their
-window, contexts of a window's length on both sides are enough: the matches of a passage's minimisers cover all of it.
+window, contexts of a window's length on both sides are enough.
+
+Where three suffixes or more begin with the same words, two that share a passage need not be neighbours: others with another
+left context can stand between them. There each window of ``least`` words around a minimiser gets a key, and equal keys are
+found in a second sort. A window belongs to the first of its smallest hashes, so equal windows meet under one key. Windows are
+left out only where the first sort settles them: no other suffix has the words on the right, or a neighbour at a smaller
+document or place has the window too. So the matches cover all of each passage.
 
 Which copy stays: in a run of neighbours that match, each suffix has what the run's first (smallest document and place) and
 it have in common, which is what all neighbours between them share. Only what is known to stand at a smaller document or
@@ -46,15 +52,21 @@ def sliding(x: np.ndarray, w: int, of) -> np.ndarray:
     return out
 
 
+def gram_hashes(words: np.ndarray) -> np.ndarray:
+    """A hash of each run of ``GRAM`` words."""
+    n = max(0, len(words) - GRAM + 1)
+    h = words[:n].copy()
+    for k in range(1, GRAM):
+        h = h * U64(0xC2B2AE3D27D4EB4F) + words[k : n + k]
+    return mix64(h)
+
+
 def minimisers(words: np.ndarray, row: np.ndarray, w: int) -> tuple[np.ndarray, np.ndarray]:
     """(key, index of the word) of the selected suffixes."""
     n = len(words) - GRAM + 1
     if n < w:
         return np.zeros(0, U64), np.zeros(0, np.int64)
-    h = words[:n].copy()
-    for k in range(1, GRAM):
-        h = h * U64(0xC2B2AE3D27D4EB4F) + words[k : n + k]
-    h = mix64(h)
+    h = gram_hashes(words)
     # Windows stay within a document; others count as having the smallest minimum, and select nothing.
     low = sliding(h, w, np.minimum)
     low[row[: len(low)] != row[w + GRAM - 2 : w + GRAM - 2 + len(low)]] = 0
@@ -83,9 +95,10 @@ def suffix_keys(docs: DataFrame, least: int, text: str, key: str) -> DataFrame:
 
 
 def contexts(docs: DataFrame, places: DataFrame, least: int, text: str, key: str) -> DataFrame:
-    """(``gram``, ``tail``, ``head``, ``doc``, ``pos``) of the suffixes at ``places`` (``doc``, ``at``: an array of ``gram`` and
-    ``pos``): hashes of the words after the key, and of those before it from the nearest on. Big-endian, so that they
-    sort as the words do; where a text ends there are zeros, which no word has."""
+    """(``gram``, ``tail``, ``head``, ``doc``, ``pos``, ``low``, ``high``) of the suffixes at ``places`` (``doc``, ``at``: an array of
+    ``gram`` and ``pos``): hashes of the words after the key, and of those before it from the nearest on. Big-endian, so that
+    they sort as the words do; where a text ends there are zeros, which no word has. The windows that belong to a suffix
+    begin ``low`` to ``high`` words before it."""
     w = window_of(least)
     right, left = least - GRAM, w
     source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).join(places, "doc").dropDuplicates(["doc"])
@@ -101,6 +114,8 @@ def contexts(docs: DataFrame, places: DataFrame, least: int, text: str, key: str
             of = np.repeat(np.arange(b.num_rows), count)
             doc = b.column("doc").to_numpy()
             padded = np.concatenate([np.zeros(left, np.uint32), short, np.zeros(least, np.uint32)])
+            most = U64(0xFFFFFFFFFFFFFFFF)
+            hashes = np.concatenate([np.full(left, most, U64), gram_hashes(words), np.full(least, most, U64)])
             for s in range(0, len(pos), 20_000):
                 p, o = pos[s : s + 20_000], of[s : s + 20_000]
                 place = begin[o] + p
@@ -108,10 +123,16 @@ def contexts(docs: DataFrame, places: DataFrame, least: int, text: str, key: str
                 tail = np.where(after < begin[o + 1][:, None], padded[after + left], 0).astype(">u4")
                 before = place[:, None] - 1 - np.arange(left)
                 head = np.where(before >= begin[o][:, None], padded[before + left], 0).astype(">u4")
+                own = hashes[place + left][:, None]
+                # The nearest gram before that is as small, and the nearest after that is smaller, bound the windows.
+                smaller = hashes[before[:, : w - 1] + left] <= own
+                high = np.minimum(np.where(smaller.any(1), smaller.argmax(1), w - 1), p)
+                smaller = hashes[place[:, None] + 1 + np.arange(w - 1) + left] < own
+                low = np.where(smaller.any(1), w - 1 - smaller.argmax(1), 0)
                 as_binary = lambda x: pa.FixedSizeBinaryArray.from_buffers(pa.binary(4 * x.shape[1]), len(x), [None, pa.py_buffer(np.ascontiguousarray(x).tobytes())]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(gram[s : s + 20_000]), as_binary(tail), as_binary(head), pa.array(doc[o]), pa.array(p.astype(np.int32))], ["gram", "tail", "head", "doc", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array(gram[s : s + 20_000]), as_binary(tail), as_binary(head), pa.array(doc[o]), pa.array(p.astype(np.int32)), pa.array(low.astype(np.int16)), pa.array(high.astype(np.int16))], ["gram", "tail", "head", "doc", "pos", "low", "high"])
 
-    return source.select("doc", "text", "at").mapInArrow(run, "gram bigint, tail binary, head binary, doc bigint, pos int")
+    return source.select("doc", "text", "at").mapInArrow(run, "gram bigint, tail binary, head binary, doc bigint, pos int, low smallint, high smallint")
 
 
 def _matrix(col: pa.Array, width: int) -> np.ndarray:
@@ -126,15 +147,51 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(differ.any(1), differ.argmax(1), a.shape[1])
 
 
-#: What the comparison returns: spans of words that repeat, spans that can go, and the ends of each sorted part.
-REPEAT, REMOVE, EDGE = 0, 1, 2
-_SCHEMA = "kind int, doc bigint, start int, stop int, gram bigint, tail binary, head binary, pos int, place int, first_doc bigint, first_pos int, path_right int, path_left int, whole boolean"
+#: What the comparison returns: spans of words that repeat, spans that can go, the ends of each sorted part, and windows to
+#: look at again.
+REPEAT, REMOVE, EDGE, WINDOW = 0, 1, 2, 3
+_SCHEMA = "kind int, doc bigint, start int, stop int, gram bigint, tail binary, head binary, pos int, place int, first_doc bigint, first_pos int, path_right int, path_left int, whole boolean, window bigint"
+
+
+def open_windows(least: int, gram, tail, head, pos, low, high, right, left, ok, later) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, key) of the windows of a batch of sorted suffixes that comparing neighbours does not settle. ``right``,
+    ``left``, ``ok`` and ``later`` are of the pair of each row and the one before it. What lies outside the batch is not known
+    here, so rows near its ends count as if others stood there."""
+    n, w = len(gram), window_of(least)
+    edge = np.ones(n, bool)
+    edge[2:-2] = False
+    several = edge.copy()
+    several[2:] |= gram[2:] == gram[:-2]
+    several[:-2] |= gram[2:] == gram[:-2]
+    several[1:-1] |= (gram[1:-1] == gram[:-2]) & (gram[1:-1] == gram[2:])
+    # Suffixes are sorted by what follows, so no other has more of it than a neighbour.
+    nearest = right.copy()
+    nearest[:-1] = np.maximum(nearest[:-1], right[1:])
+    nearest[edge] = GRAM + _common(tail[edge], tail[edge])
+    low, high = np.maximum(low, least - nearest), high.astype(np.int64)
+    count = np.where(several, np.maximum(high - low + 1, 0), 0)
+    of = np.repeat(np.arange(n), count)
+    j = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count) + low[of]
+    gone = (ok & later)[of] & (j >= least - right[of]) & (j <= left[of])
+    after = np.append(ok[1:] & ~later[1:], False)
+    r_next, l_next = np.append(right[1:], 0), np.append(left[1:], 0)
+    gone |= after[of] & (j >= least - r_next[of]) & (j <= l_next[of])
+    of, j = of[~gone], j[~gone]
+    rows, of_row = np.unique(of, return_inverse=True)
+    before, behind = np.zeros((len(rows), w), U64), np.zeros((len(rows), w), U64)
+    for k in range(w - 1):
+        before[:, k + 1] = mix64(before[:, k] * U64(0xC2B2AE3D27D4EB4F) + head[rows, k].astype(U64))
+        behind[:, k + 1] = mix64(behind[:, k] * U64(0xC2B2AE3D27D4EB4F) + tail[rows, k].astype(U64))
+    key = mix64(before[of_row, j] * U64(0x9E3779B97F4A7C15) + behind[of_row, w - 1 - j] + j.astype(U64))
+    return of, pos[of] - j, key.view(np.int64)
 
 
 def compare(sorted_suffixes: DataFrame, least: int) -> DataFrame:
     """Spans found by comparing neighbours of each sorted part, and its two ends, for what lies across parts."""
     w = window_of(least)
     widths = (least - GRAM, w)
+    names = ["kind", "doc", "start", "stop", "gram", "tail", "head", "pos", "place", "first_doc", "first_pos", "path_right", "path_left", "whole", "window"]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, places, rights, lefts = [], [], [], []  # of all suffixes; of the pairs with the one before
@@ -146,7 +203,7 @@ def compare(sorted_suffixes: DataFrame, least: int) -> DataFrame:
                 ends = [b.slice(0, 1), b.slice(0, 1)]
             ends[1] = b.slice(b.num_rows - 1)
             gram, tail, head = b.column(0).to_numpy(), _matrix(b.column(1), widths[0]), _matrix(b.column(2), widths[1])
-            doc, pos = b.column(3).to_numpy(), b.column(4).to_numpy()
+            doc, pos, low, high = (b.column(k).to_numpy() for k in range(3, 7))
             if held is not None:
                 both = [np.concatenate([x, y]) for x, y in zip(held, (gram, tail, head, doc, pos), strict=True)]
             else:
@@ -157,6 +214,12 @@ def compare(sorted_suffixes: DataFrame, least: int) -> DataFrame:
             if held is None:
                 ok[0] = False
             docs.append(doc), places.append(pos)
+            late = (both[3][1:] > both[3][:-1]) | (both[3][1:] == both[3][:-1]) & (both[4][1:] > both[4][:-1])
+            of, start, window = open_windows(least, gram, tail, head, pos, low, high, np.where(both[0][:-1] == both[0][1:], right, 0), left, ok, late)
+            for s in range(0, len(of), 50_000):
+                o = of[s : s + 50_000]
+                part = {"kind": pa.array(np.full(len(o), WINDOW, np.int32)), "doc": pa.array(doc[o]), "start": pa.array(start[s : s + 50_000].astype(np.int32)), "gram": pa.array(gram[o]), "window": pa.array(window[s : s + 50_000])}
+                yield pa.RecordBatch.from_arrays([part[c] if c in part else pa.nulls(len(o), t) for c, t in zip(names, kinds, strict=True)], names)
             rights.append(np.where(ok, right, 0).astype(np.int32)), lefts.append(np.where(ok, left, 0).astype(np.int32))
             held = [x[-1:] for x in (gram, tail, head, doc, pos)]
         if not docs:
@@ -199,8 +262,6 @@ def compare(sorted_suffixes: DataFrame, least: int) -> DataFrame:
             if edge:
                 first_of[s] = f
                 path[s] = (r, l)
-        names = ["kind", "doc", "start", "stop", "gram", "tail", "head", "pos", "place", "first_doc", "first_pos", "path_right", "path_left", "whole"]
-        kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
         if out:
             cols = [np.concatenate(x) for x in zip(*out, strict=True)]
             m = len(cols[0])
@@ -211,7 +272,7 @@ def compare(sorted_suffixes: DataFrame, least: int) -> DataFrame:
         last = int(starts[-1])
         for place, (s, k, end) in enumerate(((0, 0, ends[0]), (last, n - 1, ends[1]))):
             f, (r, l) = first_of[s], path[s]
-            rows.append((EDGE, int(doc[k]), None, None, end.column(0)[0].as_py(), end.column(1)[0].as_py(), end.column(2)[0].as_py(), int(pos[k]), place, int(doc[f]), int(pos[f]), int(r[k - s]), int(l[k - s]), last == 0))
+            rows.append((EDGE, int(doc[k]), None, None, end.column(0)[0].as_py(), end.column(1)[0].as_py(), end.column(2)[0].as_py(), int(pos[k]), place, int(doc[f]), int(pos[f]), int(r[k - s]), int(l[k - s]), last == 0, None))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return sorted_suffixes.mapInArrow(run, _SCHEMA)
@@ -247,6 +308,54 @@ def across(edges: list, least: int) -> list[tuple[int, int, int, int]]:
     return out
 
 
+def compare_windows(sorted_windows: DataFrame, least: int) -> DataFrame:
+    """Spans of the windows (``gram``, ``window``, ``doc``, ``start``) that equal a neighbour, and the ends of each sorted part. A
+    window that equals the one before it stands at a smaller document or place, too."""
+    names = ["kind", "doc", "start", "gram", "window", "place"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            own = [b.column(k).to_numpy() for k in range(4)]
+            if held is None:
+                yield edge([x[0] for x in own], 0)
+                gram, window, doc, start = own
+            else:
+                gram, window, doc, start = (np.concatenate(x) for x in zip(held, own, strict=True))
+            same = (gram[1:] == gram[:-1]) & (window[1:] == window[:-1])
+            same &= (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])
+            for kind, at in ((REPEAT, np.flatnonzero(np.append(same, False) | np.append(False, same))), (REMOVE, np.flatnonzero(same) + 1)):
+                if len(at):
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(doc[at]), pa.array(start[at]), *(pa.nulls(len(at), t) for t in (pa.int64(), pa.int64(), pa.int32()))], names)
+            held = [x[-1:] for x in own]
+        if held is not None:
+            yield edge([x[0] for x in held], 1)
+
+    def edge(row: list, place: int) -> pa.RecordBatch:
+        gram, window, doc, start = (int(x) for x in row)
+        values = (EDGE, doc, start, gram, window, place)
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names)
+
+    return sorted_windows.mapInArrow(run, "kind int, doc bigint, start int, gram bigint, window bigint, place int")
+
+
+def window_spans(windows: DataFrame, least: int) -> DataFrame:
+    """(``kind``, ``doc``, ``start``, ``stop``) of the windows that stand more than once."""
+    order = ["gram", "window", "doc", "start"]
+    found = durable(compare_windows(windows.repartitionByRange(*order).sortWithinPartitions(*order), least), "windows")
+    edges = sorted(found.where(F.col("kind") == EDGE).drop("kind").collect(), key=lambda e: (e["gram"], e["window"], e["doc"], e["start"], e["place"]))
+    more = []
+    for a, b in zip(edges[1:-1:2], edges[2::2], strict=True):  # the last of a part, the first of the next
+        if (a["gram"], a["window"]) == (b["gram"], b["window"]) and (a["doc"], a["start"]) != (b["doc"], b["start"]):
+            more += [(REPEAT, a["doc"], a["start"]), (REPEAT, b["doc"], b["start"]), (REMOVE, b["doc"], b["start"])]
+    spans = found.where(F.col("kind") != EDGE).select("kind", "doc", "start")
+    if more:
+        spans = spans.unionByName(windows.sparkSession.createDataFrame(more, "kind int, doc bigint, start int"))
+    return spans.withColumn("stop", F.col("start") + least)
+
+
 def repeated_spans(docs: DataFrame, least: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(``kind``, ``doc``, ``start``, ``stop``): spans of words (``stop`` excluded) that repeat (``REPEAT``), and spans that can go
     (``REMOVE``), as a document's suffixes gave them: overlapping, and several for a passage."""
@@ -262,7 +371,8 @@ def repeated_spans(docs: DataFrame, least: int = 50, text: str = "text", key: st
     found = durable(compare(array, least), "matches")
     release(keys)
     edges = [r.asDict() for r in found.where(F.col("kind") == EDGE).collect()]  # two rows for each part
-    spans = found.where(F.col("kind") != EDGE).select("kind", "doc", "start", "stop")
+    spans = found.where(F.col("kind").isin(REPEAT, REMOVE)).select("kind", "doc", "start", "stop")
+    spans = spans.unionByName(window_spans(found.where(F.col("kind") == WINDOW).select("gram", "window", "doc", "start"), least))
     more = across(edges, least)
     if more:
         spans = spans.unionByName(spark.createDataFrame(more, "kind int, doc bigint, start int, stop int"))

@@ -193,6 +193,34 @@ def test_repeated_passages(spark, parts, monkeypatch):
     assert {r["doc_id"]: cover(r["removed"]) for r in rows if r["removed"]} == removed
 
 
+def hidden_passages(seed):
+    """Passages whose copies stand among many others that share a shorter run of them, at either side or in the middle."""
+    rnd = random.Random(seed)
+    fresh = lambda n: [f"{rnd.randrange(10**9)}" for _ in range(n)]
+    line, out = fresh(45), []
+    for _ in range(6):
+        a, b = fresh(15), fresh(15)
+        out += [fresh(20) + a + line + fresh(20) for _ in range(2)] + [fresh(20) + line + b + fresh(20) for _ in range(2)]
+        out += [fresh(9) + a[9:] + line[:44] + fresh(9), fresh(9) + a[9:] + line + b[:3], a + line + b, fresh(3) + a + line + b + fresh(3)]
+    out += [fresh(20) + line + fresh(20) for _ in range(150)]
+    rnd.shuffle(out)
+    return [(i, " ".join(w)) for i, w in enumerate(out)]
+
+
+@pytest.mark.parametrize("parts", [1, 4])
+def test_repeats_hidden_by_others(spark, parts):
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts * 4))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", str(parts == 1).lower())
+    texts = hidden_passages(parts)
+    rows = suffix_dedup.repeated_passages(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    cover = lambda spans: {x for s in spans for x in range(s["start"], s["stop"])}
+    repeat, removed = brute_repeats(texts, 50)
+    assert {r["doc_id"]: cover(r["repeats"]) for r in rows} == repeat
+    assert {r["doc_id"]: cover(r["removed"]) for r in rows if r["removed"]} == removed
+
+
 def test_minimisers_cover_each_window():
     rnd = np.random.default_rng(1)
     words = common.mix64(rnd.integers(0, 50, 3000).astype(np.uint64))

@@ -444,8 +444,8 @@ def locate_block(spark, sf_dir):
 
 @query()
 def chunk_preview(spark, sf_dir):
-    """The chunks of the best chapters of a search by meaning, as they are shown."""
-    chunks = V.chunk_spans(C.chapters(spark, sf_dir)).orderBy("chapter_id", "chunk_idx").limit(200)
+    """All chunks of all chapters, as a search by meaning shows them."""
+    chunks = V.chunk_spans(C.chapters(spark, sf_dir))
     return chunks.select("chapter_id", "chunk_idx", V.preview_column("text", "char_start", "char_end").alias("preview"))
 
 

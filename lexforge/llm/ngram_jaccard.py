@@ -65,27 +65,27 @@ def signatures(h: np.ndarray, row: np.ndarray, rows: int, threshold: Fraction) -
     out_s, out_r = [], []
     share = mix64(h + U64(0x9E3779B97F4A7C15))
     deal = (h >> U64(11)).astype(np.int64)
-    # A set belongs to its class, and to the next if a larger partner can be there.
+    # A set belongs to its class, and to all up to where its largest partner can be.
     reach = np.searchsorted(_CLASSES, size * threshold.denominator // threshold.numerator, "right") - 1
-    for c in np.unique(np.concatenate([own[size > 0], reach[size > 0]])):
-        for of in (own, reach):
-            mine = (of == c) & (size > 0) & ((of is own) | (reach != own))
-            if not mine.any():
-                continue
-            m, spare = parts_of(int(c), threshold)
-            take = mine[row]
-            index = np.cumsum(mine) - 1
-            slot = index[row[take]] * m + deal[take] % m
-            n = int(mine.sum()) * m
-            low = np.bincount(slot, (share[take] & U64(0xFFFFFFFF)).astype(np.float64), n).astype(U64)
-            high = np.bincount(slot, (share[take] >> U64(32)).astype(np.float64), n).astype(U64)
-            full = np.bincount(slot, minlength=n) > 0
-            empty = m - full.reshape(-1, m).sum(1)
-            # Parts that are empty only matter to sets that have as many as could be all that is common.
-            used = full | np.repeat(empty >= spare, m)
-            s = mix64(mix64((high << U64(32)) + low) + mix64(np.tile(np.arange(m, dtype=U64), n // m) + U64(int(c) << 32)))
-            out_s.append(s[used])
-            out_r.append(np.repeat(np.flatnonzero(mine), m)[used])
+    some = size > 0
+    for c in range(int(own[some].min()), int(reach[some].max()) + 1) if some.any() else ():
+        mine = some & (own <= c) & (c <= reach)
+        if not mine.any():
+            continue
+        m, spare = parts_of(c, threshold)
+        take = mine[row]
+        index = np.cumsum(mine) - 1
+        slot = index[row[take]] * m + deal[take] % m
+        n = int(mine.sum()) * m
+        low = np.bincount(slot, (share[take] & U64(0xFFFFFFFF)).astype(np.float64), n).astype(U64)
+        high = np.bincount(slot, (share[take] >> U64(32)).astype(np.float64), n).astype(U64)
+        full = np.bincount(slot, minlength=n) > 0
+        empty = m - full.reshape(-1, m).sum(1)
+        # Parts that are empty only matter to sets that have as many as could be all that is common.
+        used = full | np.repeat(empty >= spare, m)
+        s = mix64(mix64((high << U64(32)) + low) + mix64(np.tile(np.arange(m, dtype=U64), n // m) + U64(c << 32)))
+        out_s.append(s[used])
+        out_r.append(np.repeat(np.flatnonzero(mine), m)[used])
     if not out_s:
         return np.zeros(0, U64), np.zeros(0, np.int64)
     return np.concatenate(out_s), np.concatenate(out_r)

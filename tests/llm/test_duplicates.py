@@ -133,6 +133,17 @@ def test_linked_sets_share_a_signature():
             assert len(other) * 100 < 85 * size or set(a.tolist()) & set(b.tolist())
 
 
+@pytest.mark.parametrize("t", [Fraction(1, 2), Fraction(3, 10)])
+def test_linked_sets_share_a_signature_at_low_thresholds(t):
+    rnd = np.random.default_rng(6)
+    for size in (10, 15, 30, 40, 100, 333):
+        base = rnd.integers(1, 1 << 62, size, dtype=np.uint64)
+        b, _ = ngram_jaccard.signatures(np.sort(base), np.zeros(size, np.int64), 1, t)
+        for left in range(-(-size * t.numerator // t.denominator), size):
+            a, _ = ngram_jaccard.signatures(np.sort(base[:left]), np.zeros(left, np.int64), 1, t)
+            assert set(a.tolist()) & set(b.tolist()), (left, size)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 99), (99, 98), (200, 200)] + [(500, 500 + k) for k in range(1, 80)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -375,6 +375,18 @@ def candidates(hoods: DataFrame, points: DataFrame, labels: DataFrame | None, t:
     return rows.mapInArrow(run, kinds).distinct()
 
 
+def by_row(docs: DataFrame, n: int, threshold: Fraction, text: str, key: str) -> DataFrame:
+    """``jaccard_components`` where rows that repeat a key differ in their sets: rows are told apart by numbers, and each
+    component gets its smallest key at the end."""
+    number = F.when(F.col(key).isNotNull(), F.monotonically_increasing_id())
+    rows = durable(docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), number.alias("row")), "rows")
+    found = durable(jaccard_components(rows, n, threshold, "text", "row"), "by-row")
+    named = found.where("row is not null").join(rows.select("row", "key"), "row")
+    least = named.groupBy("component_id").agg(F.min("key").alias("least"))
+    out = named.join(least, "component_id").select(F.col("key").alias(key), "n_shingles", F.col("least").alias("component_id"))
+    return out.unionByName(found.where("row is null").select(F.col("row").alias(key), "n_shingles", "component_id"))
+
+
 def jaccard_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), text: str = "text", key: str = "doc_id") -> DataFrame:
     """Components of documents whose sets of ``n``-word shingles reach a Jaccard similarity of ``threshold``.
 
@@ -385,6 +397,11 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fracti
     """
     heavy = durable(shingle_sets(docs, n, threshold, text, key), "sets")
     features = durable(heavy.select("key", "n_shingles", "set_a", "set_b"), "features")
+    # A key that has several sets cannot stand for one: its rows get numbers.
+    own = F.struct(F.coalesce("set_a", F.lit(0)).alias("a"), F.coalesce("set_b", F.lit(0)).alias("b"), "n_shingles")
+    if not features.where("key is not null").groupBy("key").agg(F.min(own).alias("x"), F.max(own).alias("y")).where("x <> y").isEmpty():
+        release(heavy, features)
+        return by_row(docs, n, threshold, text, key)
     # Equal sets are one: their smallest key stands for them.
     sets = features.where("set_a is not null and key is not null")
     reps = durable(sets.groupBy("n_shingles", "set_a", "set_b").agg(F.min("key").alias("rep")), "reps")

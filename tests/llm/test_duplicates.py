@@ -133,6 +133,14 @@ def test_linked_sets_share_a_signature():
             assert len(other) * 100 < 85 * size or set(a.tolist()) & set(b.tolist())
 
 
+def test_rows_that_repeat_a_key_keep_their_own_links(spark):
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "ab")
+    rows = [(1, a), (1, b), (5, a + " end"), (6, b + " end"), (7, a + " more"), (8, "alone here"), (8, None), (None, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in ngram_jaccard.jaccard_components(docs, 4, Fraction(85, 100)).collect()), key=repr)
+    assert got == sorted([(1, 57, 1), (1, 57, 1), (5, 58, 1), (6, 58, 1), (7, 58, 1), (8, 1, 8), (8, 0, 8), (None, 57, None)], key=repr)
+
+
 @pytest.mark.parametrize("t", [Fraction(1, 2), Fraction(3, 10)])
 def test_linked_sets_share_a_signature_at_low_thresholds(t):
     rnd = np.random.default_rng(6)

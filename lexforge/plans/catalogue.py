@@ -220,20 +220,31 @@ def term_df_topk(spark, sf_dir):
     return own.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).orderBy(F.desc("df"), "term").limit(100)
 
 
+#: Short passages that are sent to all tasks at once.
+SHORT_PASSAGES = 20_000
+
+
 @query("SELECT b.item_id, count(*) AS n_docs, min(d.doc_id) AS first_doc FROM benchmark b JOIN documents d ON contains(d.text, b.text) GROUP BY b.item_id")
 def benchmark_passage_hits(spark, sf_dir):
-    """Documents that hold a benchmark passage word for word. Candidates share the passage's first words; a text is told only
-    where it has them."""
-    items = C.table(spark, sf_dir, "benchmark").where(F.length("text") > 0).select("item_id", F.col("text").alias("passage"))
+    """Documents that hold a benchmark passage word for word. A passage of three words or more is compared only with texts that
+    have its longest inner word; its first and last may go on in a text, so shorter ones, and those without words, are
+    compared with all texts, in blocks. An empty one is in every text."""
+    items = C.table(spark, sf_dir, "benchmark").where(F.col("text").isNotNull()).select("item_id", F.col("text").alias("passage"))
     docs = C.table(spark, sf_dir, "documents").select("doc_id", "text")
     # The passage's longest word keys the join; its neighbours are compared only with texts that have that word.
     word = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     inner = F.slice(word(F.col("passage")), 2, F.greatest(F.size(word(F.col("passage"))) - 2, F.lit(1)))
     longest = F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = items.withColumn("key", longest)
+    long = F.size(word(F.col("passage"))) > 2
+    keyed = items.where(long).withColumn("key", longest)
     words = docs.select("doc_id", F.explode(F.array_distinct(word(F.col("text")))).alias("key"))
     pairs = words.join(keyed.select("key", "item_id"), "key").select("doc_id", "item_id").distinct()
-    hit = pairs.join(docs, "doc_id").join(items, "item_id").where(F.contains("text", "passage"))
+    hit = pairs.join(docs, "doc_id").join(keyed.select("item_id", "passage"), "item_id").where(F.contains("text", "passage")).select("item_id", "doc_id")
+    short = items.where(~long)
+    n = short.count()
+    for k in range(-(-n // SHORT_PASSAGES)):
+        block = short.where(F.pmod(F.xxhash64("item_id", "passage"), F.lit(-(-n // SHORT_PASSAGES))) == k)
+        hit = hit.unionByName(docs.join(F.broadcast(block), F.contains("text", "passage")).select("item_id", "doc_id"))
     return hit.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"), F.min("doc_id").alias("first_doc"))
 
 

@@ -6,10 +6,10 @@ to, and the token counts there), and a transition is annotated with the number o
 is negative where a symbol joins earlier tokens into one. States and transitions are made when first met, and kept
 in a table of bounded size.
 
-A text is read in chunks. A chunk's map takes the state in which the reader arrives to the state in which it leaves and
-the tokens it emits: up to the chunk's first white space the map depends on the arriving state (the word that is open),
-after it on nothing. Such maps compose associatively, and a prefix scan of them, in pairs and then pairs of pairs, gives
-the text's count without reading any chunk twice.
+A text is read in chunks, cut at white space. A chunk's map holds the tokens between its first and last white space, and
+the text before and after them, which belongs to words that are open. Such maps compose associatively, in pairs and then
+pairs of pairs: open text is joined, and counted once its word ends. Text, not transducer states, is carried from chunk to
+chunk, so a text without white space is joined again and counted in one go.
 """
 
 from __future__ import annotations

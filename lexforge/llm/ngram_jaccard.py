@@ -1,18 +1,25 @@
 """N-gram Jaccard join with count-vector R-trees.
 
-A document's set is that of its distinct word shingles. Shingles are hashed into groups; the numbers of shingles in the
-groups are a point, and two sets share at most the sum over groups of the smaller count. An R-tree over the points finds,
-for a set, the sets whose bound lets them reach the threshold: a box is left out when the bound with its upper corner
-(and the box's range of sizes) rules out all points in it. What survives is verified on the shingles themselves.
+A document's set is that of its distinct word shingles, as 64-bit hashes. Shingles are hashed into groups; the numbers of
+shingles in the groups are a point, and two sets share at most the sum over groups of the smaller count. An R-tree over
+points finds, for a set, the sets whose bound lets them reach the threshold: a box is left out when the bound with its upper
+corner (and the box's range of sizes) rules out all points in it. What survives is verified on the shingles themselves.
 
 Trees are built where links can be. Sets that reach the threshold differ in at most ``d`` shingles, ``d`` following from
-their sizes; as the shingles of a size class are dealt into more than ``d`` parts, linked sets agree in at least one whole
-part. Sets that agree in a part form a neighbourhood; each neighbourhood gets a tree of its own. Large ones are cut into
-blocks, and each pair of blocks is searched by one task. Equal sets are one point throughout, and a search stops at what
-its neighbourhood has already tied together, so copies cost one candidate each, not one a pair. Candidates whose ends are
-tied by others need no verification. Where one fails, it may have hidden others: its neighbourhoods are searched once more,
-for all that the bounds let through between sets that are not tied. No candidate or partner is dropped, so the components
-are exact.
+their sizes. The shingles of a size class are dealt into ``m`` parts, ``m`` over ``d``, so a set with ``f`` full parts agrees
+with a linked one in ``f - d`` full parts at least. Only full parts are signatures; unrelated sets share none. Of what a set
+has beyond ``d + 1``, it leaves out the most frequent ones, in one order for all sets, and still meets every linked set in
+another. A set whose shingles fill too few parts (``f <= d``) sends as many of its shingles, in order of hash, as a linked
+set cannot all lack; two such sets meet in these.
+
+The sets of a signature have a hub, the smallest. A hub's neighbourhood is all sets that it is the hub of: two sets that
+share a signature are both in it, and a pair that shares a hundred signatures meets once or a few times. First each set is
+compared with one hub, which ties most copies at a cost in proportion to the sets; in neighbourhoods that are large and still
+apart, further hubs follow while that ties much. Then only neighbourhoods with sets of several components are searched: their
+trees find, for each set outside the neighbourhood's largest component, the sets that the bound lets it reach and that it
+is not tied to; these are verified where they are found, on the shingles that travel with the block. Large neighbourhoods
+are cut into blocks, and a set of the largest component meets the others alone. No candidate or partner is dropped, so the
+components are exact (up to collisions of 64-bit hashes of shingles).
 """
 
 from __future__ import annotations
@@ -24,18 +31,24 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import U64, durable, hash_words, mix64, release, shingles, slices, text_bytes
 from .components import components
 
 #: Coordinates of a point.
 GROUPS = 256
-#: Points of a block of a large neighbourhood, and of a leaf of a tree; children of a box.
-BLOCK_POINTS, LEAF, FAN = 2048, 32, 8
+#: Sets and shingles of a block of a large neighbourhood; points of a leaf of a tree; children of a box.
+BLOCK_POINTS, BLOCK_SHINGLES, LEAF, FAN = 2048, 4 << 20, 32, 8
 #: Candidates (of 24 bytes) that may be broadcast, and candidates of one set that one task verifies.
 PAIRS_SENT, FAN_OUT = 300_000, 256
 #: Upper end of one size class, over the end of the one before.
 WIDTH = 1.5
+#: Signatures of more rows than this are left out as far as the guarantee goes.
+FREQUENT = 64
+#: Low bits of a signature that tell its size class (modulo 64).
+CLASS_BITS = 63
 
 
 def classes(limit: int = 1 << 40) -> np.ndarray:
@@ -49,46 +62,71 @@ def classes(limit: int = 1 << 40) -> np.ndarray:
 _CLASSES = classes()
 
 
-def parts_of(c: int, threshold: Fraction) -> tuple[int, int]:
-    """(parts, spare) of class ``c``: one more part than two linked sets of it can differ in, and a few to spare, so that
-    a whole part in common need not be an empty one."""
+def differ(x: np.ndarray | int, y: np.ndarray | int, threshold: Fraction) -> np.ndarray | int:
+    """Shingles in which linked sets of sizes ``x`` and ``y`` differ at most."""
+    a, b = threshold.numerator, threshold.denominator
+    return (b - a) * (x + y) // (a + b)
+
+
+def parts_of(c: int, threshold: Fraction) -> int:
+    """Parts of class ``c``: somewhat more than linked sets of it can differ in; more for small sets, where it costs nothing.
+    None where too few would be full, as at low thresholds."""
     most = int(_CLASSES[c + 1]) - 1
-    d = int((1 - threshold) / (1 + threshold) * 2 * most)
-    spare = 1 if d == 0 else 3
-    return d + spare, spare
+    d = int(differ(most, most, threshold))
+    m = max(d + d // 6 + 3, min(2 * most, 16))
+    return m if m * (1 - np.exp(-most / m)) > d else 0
+
 
+def signatures(h: np.ndarray, row: np.ndarray, rows: int, threshold: Fraction) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, its row) of distinct shingles, and (row, class, signatures that it may leave out).
 
-def signatures(h: np.ndarray, row: np.ndarray, rows: int, threshold: Fraction) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, row) of distinct shingles: a hash of each part that may be common with a linked set."""
+    Sets of sizes that can be linked meet in the class of the larger; a set is in all classes where its larger partners are."""
     size = np.bincount(row, minlength=rows)
     own = np.searchsorted(_CLASSES, size, "right") - 1
-    out_s, out_r = [], []
     share = mix64(h + U64(0x9E3779B97F4A7C15))
     deal = (h >> U64(11)).astype(np.int64)
-    # A set belongs to its class, and to all up to where its largest partner can be.
-    reach = np.searchsorted(_CLASSES, size * threshold.denominator // threshold.numerator, "right") - 1
+    largest = size * threshold.denominator // threshold.numerator
+    reach = np.searchsorted(_CLASSES, largest, "right") - 1
     some = size > 0
+    out: list[list[np.ndarray]] = [[], [], [], [], []]
+
+    def send(s: np.ndarray, at: np.ndarray, c: int) -> None:
+        out[0].append((mix64(s) & ~U64(CLASS_BITS)) | U64(c & CLASS_BITS))
+        out[1].append(at)
+
     for c in range(int(own[some].min()), int(reach[some].max()) + 1) if some.any() else ():
-        mine = some & (own <= c) & (c <= reach)
-        if not mine.any():
+        mine = np.flatnonzero(some & (own <= c) & (c <= reach))
+        if not len(mine):
             continue
-        m, spare = parts_of(c, threshold)
-        take = mine[row]
-        index = np.cumsum(mine) - 1
-        slot = index[row[take]] * m + deal[take] % m
-        n = int(mine.sum()) * m
-        low = np.bincount(slot, (share[take] & U64(0xFFFFFFFF)).astype(np.float64), n).astype(U64)
-        high = np.bincount(slot, (share[take] >> U64(32)).astype(np.float64), n).astype(U64)
-        full = np.bincount(slot, minlength=n) > 0
-        empty = m - full.reshape(-1, m).sum(1)
-        # Parts that are empty only matter to sets that have as many as could be all that is common.
-        used = full | np.repeat(empty >= spare, m)
-        s = mix64(mix64((high << U64(32)) + low) + mix64(np.tile(np.arange(m, dtype=U64), n // m) + U64(c << 32)))
-        out_s.append(s[used])
-        out_r.append(np.repeat(np.flatnonzero(mine), m)[used])
-    if not out_s:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    return np.concatenate(out_s), np.concatenate(out_r)
+        full_parts = np.zeros(len(mine), np.int64)
+        if m := parts_of(c, threshold):
+            index = np.full(rows, -1)
+            index[mine] = np.arange(len(mine))
+            take = index[row] >= 0
+            slot = index[row[take]] * m + deal[take] % m
+            n = len(mine) * m
+            low = np.bincount(slot, (share[take] & U64(0xFFFFFFFF)).astype(np.float64), n).astype(U64)
+            high = np.bincount(slot, (share[take] >> U64(32)).astype(np.float64), n).astype(U64)
+            full = np.flatnonzero(np.bincount(slot, minlength=n))
+            send(mix64((high[full] << U64(32)) + low[full]) + mix64((full % m).astype(U64) + U64(c << 32)), mine[full // m], c)
+            full_parts = np.bincount(full // m, minlength=len(mine))
+        spare = full_parts - differ(size[mine], np.minimum(largest[mine], _CLASSES[c + 1] - 1), threshold)
+        out[2].append(mine)
+        out[3].append(np.full(len(mine), c & CLASS_BITS))
+        out[4].append(np.maximum(spare - 1, 0))
+        few = mine[spare < 1]
+        if len(few):
+            lacks = np.zeros(rows, bool)
+            lacks[few] = True
+            own_h, at = share[lacks[row]], row[lacks[row]]
+            order = np.lexsort((own_h, at))
+            own_h, at = own_h[order], at[order]
+            # At least threshold x size of its shingles are common: one of any size - that + 1.
+            first = np.arange(len(at)) - np.searchsorted(at, at)
+            kept = first <= size[at] - -(-size[at] * threshold.numerator // threshold.denominator)
+            send(own_h[kept] + U64(0x5851F42D4C957F2D + (c << 32)), at[kept], c)
+    types = (U64, np.int64, np.int64, np.int64, np.int64)
+    return tuple(np.concatenate(x).astype(t) if x else np.zeros(0, t) for x, t in zip(out, types, strict=True))
 
 
 def distinct_shingles(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,37 +142,27 @@ def distinct_shingles(data: np.ndarray, off: np.ndarray, n: int) -> tuple[np.nda
     return h, row
 
 
-def shingle_sets(docs: DataFrame, n: int, threshold: Fraction, text: str, key: str) -> DataFrame:
-    """``key``, ``n_shingles``, ``set_a`` and ``set_b`` (a 128-bit hash of the set), ``point`` (counts by group, as 16-bit
-    numbers that stop at their largest) and ``parts`` (signatures); sets are null for documents without words."""
-    source = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"))
+def _lists(values: np.ndarray, row: np.ndarray, rows: int) -> pa.ListArray:
+    order = np.argsort(row, kind="stable")
+    offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=rows))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values[order]))
+
+
+def shingle_sets(named: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """``key``, ``same``, ``n_shingles``, ``parts`` (signatures), ``in_class`` and ``spare`` (what may be left out of a class's
+    signatures) of rows ``key``, ``same``, ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            data, off = text_bytes(b.column("text"))
             rows = b.num_rows
-            h, row = distinct_shingles(data, off, n)
-            size = np.bincount(row, minlength=rows)
-            ends = np.cumsum(size)
-            both = []
-            for salt in (0x1234567, 0x89ABCDEF):
-                sums = np.zeros(len(h) + 1, U64)
-                np.cumsum(mix64(h + U64(salt)), out=sums[1:])
-                both.append((sums[ends] - sums[ends - size]).view(np.int64))
-            group = (h & U64(GROUPS - 1)).astype(np.int64)
-            points = np.minimum(np.bincount(row * GROUPS + group, minlength=rows * GROUPS), 65535).astype("<u2")
-            s, at = signatures(h, row, rows, threshold)
-            order = np.argsort(at, kind="stable")
-            s, at = s[order].view(np.int64), at[order]
-            offsets = np.concatenate([[0], np.cumsum(np.bincount(at, minlength=rows))]).astype(np.int32)
-            none = size == 0
-            point = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * GROUPS), rows, [None, pa.py_buffer(points.tobytes())]).cast(pa.binary())
+            h, row = distinct_shingles(*text_bytes(b.column("text")), n)
+            s, at, of, cls, spare = signatures(h, row, rows, threshold)
             yield pa.RecordBatch.from_arrays(
-                [b.column("key"), pa.array(size, pa.int64()), pa.array(both[0], mask=none), pa.array(both[1], mask=none), point, pa.ListArray.from_arrays(pa.array(offsets), pa.array(s))],
-                ["key", "n_shingles", "set_a", "set_b", "point", "parts"],
+                [b.column("key"), b.column("same"), pa.array(np.bincount(row, minlength=rows), pa.int64()), _lists(s.view(np.int64), at, rows), _lists(cls, of, rows), _lists(spare, of, rows)],
+                ["key", "same", "n_shingles", "parts", "in_class", "spare"],
             )
 
-    return source.mapInArrow(run, "key bigint, n_shingles bigint, set_a bigint, set_b bigint, point binary, parts array<bigint>")
+    return named.select("key", "same", "text").mapInArrow(run, "key bigint, same binary, n_shingles bigint, parts array<bigint>, in_class array<bigint>, spare array<bigint>")
 
 
 class RTree:
@@ -158,10 +186,7 @@ class RTree:
 
         A set with n shingles of which c are common reaches it if c * (1 + t) >= t * (n + size); the bound on c is the sum
         of the smaller counts, and n is at least c, and at least what the box has."""
-        least = np.minimum(points, p)
-        bound = least.sum(1, dtype=np.int64)
-        if p.max(initial=0) == 65535:  # a count that stopped there may be larger
-            bound[(least == 65535).any(1)] = 1 << 60
+        bound = np.minimum(points, p).sum(1, dtype=np.int64)
         bound = np.minimum(bound, np.minimum(high, size))
         a, b = t.numerator, t.denominator
         return bound * (a + b) >= a * (np.maximum(low, bound) + size)
@@ -183,73 +208,59 @@ class RTree:
         return at[self.may(self.points[at], self.sizes[at], self.sizes[at], p, size, t)]
 
 
-def forest(keys: np.ndarray, labels: np.ndarray, sizes: np.ndarray, points: np.ndarray, side: np.ndarray, t: Fraction) -> list[tuple[int, int]]:
-    """Candidate links that tie together all that the bounds let tie, of sets with different labels.
+def reaches(x: np.ndarray, y: np.ndarray, t: Fraction) -> bool:
+    """Do two sets of distinct shingles reach the threshold?"""
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    return bool(common) and common * t.denominator >= t.numerator * (len(x) + len(y) - common)
 
-    Each set is searched for once among those that its search has not yet reached; so there is a candidate less than
-    there are sets at most. Sets of one label are tied from the start: the first reached brings the others along.
-    ``side``: 0 and 1 for the two blocks of a pair, whose inner pairs other tasks search; 2 for one whole block."""
-    if len(np.unique(labels)) < 2:
-        return []
-    tree = RTree(points, sizes)
-    keys, labels, side = keys[tree.order], labels[tree.order], side[tree.order]
-    n = len(keys)
-    _, number = np.unique(labels, return_inverse=True)
-    by_label = np.argsort(number, kind="stable")
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(number))])
-    open_ = np.ones(n, bool)
-    out: list[tuple[int, int]] = []
-    for first in np.argsort(keys, kind="stable"):
-        if not open_[first]:
-            continue
-        queue = []
-
-        def reach(k: int) -> None:
-            same = by_label[bounds[number[k]] : bounds[number[k] + 1]]
-            open_[same] = False
-            queue.extend(same.tolist())
-
-        reach(first)
-        while queue:
-            k = queue.pop(0)
-            if not open_.any():
-                break
-            for f in tree.search(tree.points[k], int(tree.sizes[k]), t, open_).tolist():
-                if not open_[f] or side[k] != 2 and side[k] == side[f]:
-                    continue
-                out.append((int(min(keys[k], keys[f])), int(max(keys[k], keys[f]))))
-                reach(f)
-    return out
 
+def block_links(keys: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], side: np.ndarray, inner: bool, t: Fraction) -> list[tuple[int, int]]:
+    """Verified links that tie all that is linked among the sets of a block, of those with different labels.
 
-def untied(keys: np.ndarray, labels: np.ndarray, sizes: np.ndarray, points: np.ndarray, side: np.ndarray, t: Fraction) -> list[tuple[int, int]]:
-    """All pairs of different labels whose bound reaches the threshold."""
+    Sets of side 1 search the tree of all for sets of side 0, and of side 1 too if ``inner``. What the trees find is verified at
+    once, and what that ties is no longer searched for, so there is a link less than there are labels at most."""
     if len(np.unique(labels)) < 2:
         return []
+    if len(keys) == 2:
+        may = inner if side[0] == side[1] == 1 else side[0] != side[1]
+        return [(int(min(keys)), int(max(keys)))] if may and reaches(sets[0], sets[1], t) else []
+    sizes = np.array([len(s) for s in sets])
+    every = np.concatenate(sets)
+    slot = np.repeat(np.arange(len(sets)), sizes) * GROUPS + (every & U64(GROUPS - 1)).astype(np.int64)
+    points = np.bincount(slot, minlength=len(sets) * GROUPS).reshape(-1, GROUPS)
+    points = points.astype(np.uint16 if points.max(initial=0) < 65536 else np.int64)
     tree = RTree(points, sizes)
-    keys, labels, side = keys[tree.order], labels[tree.order], side[tree.order]
-    every, out = np.ones(len(keys), bool), []
-    for k in range(len(keys)):
-        for f in tree.search(tree.points[k], int(tree.sizes[k]), t, every & (labels != labels[k])).tolist():
-            if keys[k] < keys[f] and (side[k] == 2 or side[k] != side[f]):
-                out.append((int(keys[k]), int(keys[f])))
+    place = tree.order
+    side = side[place]
+    root = np.unique(labels, return_inverse=True)[1][place]
+    out: list[tuple[int, int]] = []
+    for k in np.flatnonzero(side == 1):
+        open_ = root != root[k]
+        if not inner:
+            open_ &= side == 0
+        if not open_.any():
+            continue
+        for f in tree.search(tree.points[k], int(tree.sizes[k]), t, open_).tolist():
+            if root[f] != root[k] and reaches(sets[place[k]], sets[place[f]], t):
+                root[root == root[f]] = root[k]
+                a, b = int(keys[place[k]]), int(keys[place[f]])
+                out.append((min(a, b), max(a, b)))
     return out
 
 
-def verify(pairs: DataFrame, docs: DataFrame, n: int, threshold: Fraction, text: str, key: str) -> DataFrame:
-    """``a``, ``b``, ``linked`` for candidate pairs, by the shingles of both.
+def verify(pairs: DataFrame, named: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """The pairs ``a``, ``b`` that are linked, by the shingles of both.
 
     The texts of the pairs' ends, and no others, go to where the pairs of ``a`` are verified: one of ``a`` for each
     ``FAN_OUT`` of its pairs, and one of ``b`` for each pair. The pairs find their texts by a broadcast while they are few,
     else by a join."""
-    num, den = threshold.numerator, threshold.denominator
     few = pairs.count() <= PAIRS_SENT
     send = F.broadcast if few else lambda d: d
     own = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN_OUT).cast("int").alias("salts"))
     to = pairs.join(own, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
-    named = docs.select(F.col(key).cast("bigint").alias("k"), F.col(text).alias("t"))
-    first = named.join(send(own), F.col("k") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b"), "t")
-    second = named.join(send(to), F.col("k") == F.col("b")).select("a", "salt", "b", "t")
+    texts = named.select(F.col("key").alias("k"), F.col("text").alias("t"))
+    first = texts.join(send(own), F.col("k") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b"), "t")
+    second = texts.join(send(to), F.col("k") == F.col("b")).select("a", "salt", "b", "t")
     rows = first.unionByName(second).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,205 +269,190 @@ def verify(pairs: DataFrame, docs: DataFrame, n: int, threshold: Fraction, text:
             a, b = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             h, row = distinct_shingles(*text_bytes(batch.column(3)), n)
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
-            out: list[tuple[int, int, bool]] = []
+            out: list[tuple[int, int]] = []
             for k in range(batch.num_rows):
                 mine = h[ends[k] : ends[k + 1]]
                 if b[k] is None:
                     held = mine
-                    continue
-                common = len(np.intersect1d(held, mine, assume_unique=True))
-                out.append((a[k], b[k], common * den >= num * (len(held) + len(mine) - common)))
+                elif reaches(held, mine, threshold):
+                    out.append((a[k], b[k]))
             if out:
-                x, y, z = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(z, pa.bool_())], ["a", "b", "linked"])
+                x, y = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
 
-    return rows.mapInArrow(run, "a bigint, b bigint, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
+    return rows.mapInArrow(run, "a bigint, b bigint")
 
 
 def neighbourhoods(sets: DataFrame) -> DataFrame:
-    """(``hood``, ``rep``): sets that agree in a part, two at least; neighbourhoods of the same sets are one."""
-    parts = sets.select(F.explode("parts").alias("sig"), F.col("key").alias("rep"))
-    # One shuffle by signature; runs of equal ones are told in order, and those of a single set end here.
-    rows = parts.repartition("sig").sortWithinPartitions("sig", "rep")
+    """(``hub``, ``rep``), ``hub`` < ``rep``: for each signature that a set kept, the smallest set that kept it too.
+
+    Signatures are counted before sets meet in them; a hot one is joined with its one row of counts, which Spark can split."""
+    rows = sets.select(F.explode("parts").alias("sig"), F.col("key").alias("rep"))
+    shared = rows.groupBy("sig").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"), F.count(F.lit(1)).alias("n")).where("hub <> top").drop("top")
+    met = durable(rows.join(shared, "sig"), "met")
+    often = met.where(F.col("n") > FREQUENT).withColumn("c", F.col("sig").bitwiseAND(F.lit(CLASS_BITS)))
+    plain = met.where(F.col("n") <= FREQUENT).select("hub", "rep")
+    spare = sets.select(F.col("key").alias("rep"), F.explode(F.arrays_zip("in_class", "spare")).alias("e")).select("rep", F.col("e.in_class").alias("c"), F.col("e.spare").alias("spare")).dropDuplicates(["rep", "c"])
+    place = F.row_number().over(Window.partitionBy("rep", "c").orderBy(F.desc("n"), F.desc("sig")))
+    kept = durable(often.select("rep", "c", "sig", "n").distinct().join(spare, ["rep", "c"]).withColumn("place", place).where("place > spare").select("sig", "rep"), "kept")
+    hubs = kept.groupBy("sig").agg(F.min("rep").alias("hub"))
+    out = durable(plain.unionByName(kept.join(hubs, "sig").select("hub", "rep")).where("hub <> rep").distinct(), "hoods")
+    release(met, kept)
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sig, rep = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        spill: list[tuple[np.ndarray, np.ndarray]] = []
-
-        def told(sig: np.ndarray, rep: np.ndarray) -> pa.RecordBatch | None:
-            new = np.ones(len(sig), bool)
-            new[1:] = sig[1:] != sig[:-1]
-            starts = np.flatnonzero(new)
-            count = np.diff(np.concatenate([starts, [len(sig)]]))
-            sums = np.add.reduceat(mix64(rep.view(U64)), starts) if len(starts) else np.zeros(0, U64)
-            hood = mix64(sums + count.astype(U64))
-            many = np.repeat(count > 1, count)
-            if not many.any():
-                return None
-            hood = np.repeat(hood, count)[many].view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(hood), pa.array(rep[many])], ["hood", "rep"])
 
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            sig, rep = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            last = int(np.searchsorted(sig, sig[-1], "left"))
-            if spill and (last or spill[-1][0][-1] != sig[0]):
-                whole = [np.concatenate([*(x[i] for x in spill), (sig, rep)[i][:last]]) for i in (0, 1)]
-                spill = []
-                if (got := told(*whole)) is not None:
-                    yield got
-            elif last and (got := told(sig[:last], rep[:last])) is not None:
-                yield got
-            spill.append((sig[last:], rep[last:]))
-        if spill and (got := told(*(np.concatenate([x[i] for x in spill]) for i in (0, 1)))) is not None:
-            yield got
-
-    return rows.mapInArrow(run, "hood bigint, rep bigint").dropDuplicates(["hood", "rep"])
-
-
-def candidates(hoods: DataFrame, points: DataFrame, labels: DataFrame | None, t: Fraction) -> DataFrame:
-    """Candidate links (``a`` < ``b``) of all neighbourhoods, by their trees: a forest of each, or, once ``labels`` tell what is
-    tied, all pairs of different labels that the bounds let through. ``hoods`` has ``hood``, ``rep``, ``blocks`` (of the
-    neighbourhood)."""
-    rows = hoods.join(points, "rep")
-    rows = rows.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")) if labels is not None else rows.withColumn("label", F.col("rep"))
-    # A large neighbourhood's blocks meet in pairs; a set goes to each pair of its block.
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
-    rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), (F.col("blocks") - 1).cast("int"))))
-    rows = rows.select("hood", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("upper"), "rep", "label", "size", "point")
-    kinds = "a bigint, b bigint"
-    again = labels is not None
+def apart(hoods: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows of the neighbourhoods that hold several components: ``hub``, ``rep``, ``label``, ``size``, ``main`` (of the largest
+    of these components), and in how many blocks (``mains``, ``rests``) those of it and the others are dealt."""
+    own = hoods.select("hub", F.col("hub").alias("rep")).distinct()
+    rows = hoods.unionByName(own).join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    several = rows.groupBy("hub").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("hub")
+    rows = durable(rows.join(several, "hub", "left_semi").join(sizes, "rep"), "apart")
+    by_label = rows.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+    of = by_label.groupBy("hub").agg(F.max(F.struct("n", "s", F.col("label").alias("best"))).alias("m"), F.sum("n").alias("all_n"), F.sum("s").alias("all_s"))
+    blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK_POINTS), F.ceil(s / BLOCK_SHINGLES), F.lit(1)).cast("int")
+    of = of.select("hub", "m.best", blocks(F.col("m.n"), F.col("m.s")).alias("mains"), blocks(F.col("all_n") - F.col("m.n"), F.col("all_s") - F.col("m.s")).alias("rests"))
+    out = durable(rows.join(of, "hub").withColumn("main", F.col("label") == F.col("best")).drop("best"), "apart")
+    release(rows)
+    return out
+
+
+def search_blocks(rows: DataFrame, named: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """Links ``a``, ``b`` between components of the neighbourhoods of ``rows`` (of ``apart``), by the trees of their blocks."""
+    own = F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests"))).cast("int")
+    rows = rows.withColumn("own", own)
+    span = lambda top: F.explode(F.sequence(F.lit(0), F.col(top) - 1))
+    # Blocks of the largest component (i) with blocks of the others (j); the others among themselves, block by block.
+    mixed = rows.where("main").withColumn("j", span("rests")).select("hub", F.lit(1).alias("kind"), F.col("own").alias("i"), "j", F.lit(0).alias("side"), "rep", "label")
+    mixed = mixed.unionByName(rows.where("not main").withColumn("i", span("mains")).select("hub", F.lit(1).alias("kind"), "i", F.col("own").alias("j"), F.lit(1).alias("side"), "rep", "label"))
+    among = rows.where("not main and rests > 1").withColumn("other", span("rests")).where("other <> own")
+    among = among.select("hub", F.lit(0).alias("kind"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "label")
+
+    def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            h, row = distinct_shingles(*text_bytes(b.column("text")), n)
+            offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b.num_rows))]) * 8
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.Array.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(h)]).cast(pa.binary())], ["rep", "shingles"])
+
+    needed = rows.select(F.col("rep").alias("key")).distinct()
+    sets = durable(named.join(needed, "key", "left_semi").select("key", "text").mapInArrow(to_sets, "rep bigint, shingles binary").dropDuplicates(["rep"]), "shingles")
+    dealt = mixed.unionByName(among).join(sets, "rep").select("hub", "kind", "i", "j", "side", "rep", "label", "shingles")
     # Many small neighbourhoods share a task and a batch: they are told apart in order, not by a call for each.
-    rows = rows.repartition("hood", "i", "j").sortWithinPartitions("hood", "i", "j", "rep")
+    dealt = dealt.repartition("hub", "kind", "i", "j").sortWithinPartitions("hub", "kind", "i", "j", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def solve(part: list[pa.RecordBatch]) -> list[tuple[int, int]]:
-            table = pa.Table.from_batches(part)
-            hood, i, j, upper, rep, label, size = (table.column(k).to_numpy() for k in range(7))
-            raw = table.column(7).combine_chunks().cast(pa.large_binary())
-            point = np.frombuffer(raw.buffers()[2], "<u2")[np.frombuffer(raw.buffers()[1], np.int64)[raw.offset] // 2 :][: len(rep) * GROUPS].reshape(len(rep), GROUPS)
-            new = np.ones(len(hood), bool)
-            new[1:] = (hood[1:] != hood[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
-            edges = [*np.flatnonzero(new).tolist(), len(hood)]
-            out: list[tuple[int, int]] = []
-            for s, e in zip(edges, edges[1:], strict=False):
-                side = np.full(e - s, 2) if i[s] == j[s] else upper[s:e]
-                if e - s == 2:
-                    if label[s] != label[s + 1] and (side[0] == 2 or side[0] != side[1]) and RTree.may(point[s : s + 1], size[s : s + 1], size[s : s + 1], point[s + 1], int(size[s + 1]), t)[0]:
-                        out.append((int(min(rep[s], rep[s + 1])), int(max(rep[s], rep[s + 1]))))
-                    continue
-                out += (untied if again else forest)(rep[s:e], label[s:e], size[s:e], point[s:e], side, t)
-            return out
-
-        def batch_of(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
-            a, b = zip(*set(pairs), strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        last: tuple[int, ...] | None = None
+        held: list[tuple[int, int, int, np.ndarray]] = []
+
+        def solve() -> list[tuple[int, int]]:
+            if len(held) < 2:
+                return []
+            side, rep, label = (np.array([x[k] for x in held], np.int64) for k in range(3))
+            if last[1] == 0:  # those of one block search, those of the other are found
+                return block_links(rep, label, [x[3] for x in held], side, False, threshold)
+            return block_links(rep, label, [x[3] for x in held], side, last[2] == 0, threshold)
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            h, i, j = (batch.column(k).to_numpy() for k in range(3))
-            same = (h == h[-1]) & (i == i[-1]) & (j == j[-1])
-            last = int(np.argmax(same))
-            joins = held and (held[-1].column(0)[0].as_py(), held[-1].column(1)[0].as_py(), held[-1].column(2)[0].as_py()) == (h[0], i[0], j[0])
-            if held and (last or not joins):
-                if pairs := solve([*held, batch.slice(0, last)]):
-                    yield batch_of(pairs)
-                held = []
-            elif last and (pairs := solve([batch.slice(0, last)])):
-                yield batch_of(pairs)
-            held.append(batch.slice(last))
-        if held and (pairs := solve(held)):
-            yield batch_of(pairs)
-
-    return rows.mapInArrow(run, kinds).distinct()
+            out: list[tuple[int, int]] = []
+            where = zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
+            side, rep, label = (batch.column(k).to_pylist() for k in (4, 5, 6))
+            for k, at in enumerate(where):
+                if at != last:
+                    out += solve()
+                    last, held = at, []
+                held.append((side[k], rep[k], label[k], np.frombuffer(batch.column(7)[k].as_py(), U64)))
+            if out:
+                x, y = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+        if out := solve():
+            x, y = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+    links = durable(dealt.mapInArrow(run, "a bigint, b bigint").distinct(), "links")
+    release(sets)
+    return links
 
 
 def by_row(docs: DataFrame, n: int, threshold: Fraction, text: str, key: str) -> DataFrame:
-    """``jaccard_components`` where rows that repeat a key differ in their sets: rows are told apart by numbers, and each
-    component gets its smallest key at the end."""
+    """``jaccard_components`` where rows that repeat a key differ in their texts, or keys are no whole numbers: rows are told
+    apart by numbers, and each component gets its smallest key at the end."""
     number = F.when(F.col(key).isNotNull(), F.monotonically_increasing_id())
-    rows = durable(docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), number.alias("row")), "rows")
-    found = durable(jaccard_components(rows, n, threshold, "text", "row"), "by-row")
+    rows = durable(docs.select(F.col(key).alias("key"), F.col(text).alias("text"), number.alias("row")), "rows")
+    found = durable(jaccard_components(rows.select("row", "text"), n, threshold, "text", "row"), "by-row")
     named = found.where("row is not null").join(rows.select("row", "key"), "row")
     least = named.groupBy("component_id").agg(F.min("key").alias("least"))
     out = named.join(least, "component_id").select(F.col("key").alias(key), "n_shingles", F.col("least").alias("component_id"))
-    return out.unionByName(found.where("row is null").select(F.col("row").alias(key), "n_shingles", "component_id"))
+    none = F.lit(None).cast(docs.schema[key].dataType)
+    return out.unionByName(found.where("row is null").select(none.alias(key), "n_shingles", none.alias("component_id")))
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), text: str = "text", key: str = "doc_id") -> DataFrame:
     """Components of documents whose sets of ``n``-word shingles reach a Jaccard similarity of ``threshold``.
 
-    Returns one row per document: ``key`` long, ``n_shingles`` long (set size), ``component_id`` (the smallest key reachable by
+    Returns one row per document: ``key``, ``n_shingles`` long (set size), ``component_id`` (the smallest key reachable by
     links, itself included). Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased. A document with fewer words than
     ``n`` has its whole sequence as its one shingle; one without words, or whose text is null, links with nothing. Rows
-    that repeat a key are kept; a null key links with nothing. An empty table has no rows. Other columns are left out.
+    that repeat a key are kept, each with its own text; a null key links with nothing. Keys may be of any type that has an
+    order. An empty table has no rows. Other columns are left out.
     """
-    heavy = durable(shingle_sets(docs, n, threshold, text, key), "sets")
-    features = durable(heavy.select("key", "n_shingles", "set_a", "set_b"), "features")
-    # A key that has several sets cannot stand for one: its rows get numbers.
-    own = F.struct(F.coalesce("set_a", F.lit(0)).alias("a"), F.coalesce("set_b", F.lit(0)).alias("b"), "n_shingles")
-    if not features.where("key is not null").groupBy("key").agg(F.min(own).alias("x"), F.max(own).alias("y")).where("x <> y").isEmpty():
-        release(heavy, features)
+    if not isinstance(docs.schema[key].dataType, T.IntegralType):
         return by_row(docs, n, threshold, text, key)
-    # Equal sets are one: their smallest key stands for them.
-    sets = features.where("set_a is not null and key is not null")
-    reps = durable(sets.groupBy("n_shingles", "set_a", "set_b").agg(F.min("key").alias("rep")), "reps")
-    chosen = heavy.join(reps.select(F.col("rep").alias("key"), "n_shingles", "set_a", "set_b"), ["key", "n_shingles", "set_a", "set_b"], "left_semi").dropDuplicates(["key"])
-    hoods = durable(neighbourhoods(chosen.select("key", "parts")), "hoods")
-    points = durable(chosen.join(hoods.select(F.col("rep").alias("key")).distinct(), "key", "left_semi").select(F.col("key").alias("rep"), F.col("n_shingles").alias("size"), "point"), "points")
-    release(heavy)
-    blocks = hoods.groupBy("hood").agg(F.ceil(F.count(F.lit(1)) / BLOCK_POINTS).alias("blocks"))
-    placed = durable(hoods.join(blocks, "hood"), "blocks")
-    release(hoods)
-    judged: list[DataFrame] = []
-
-    def linked() -> DataFrame:
-        out = judged[0]
-        for j in judged[1:]:
-            out = out.unionByName(j)
-        return out
-
-    def judge(pairs: DataFrame) -> None:
-        judged.append(durable(verify(pairs, docs, n, threshold, text, key), "judged"))
-
-    def tied() -> DataFrame:
-        return durable(components(linked().where("linked")).select(F.col("node").alias("rep"), F.col("component").alias("label")), "labels")
-
-    def apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-        """Pairs whose ends are not tied yet."""
-        of = lambda end: labels.select(F.col("rep").alias(end), F.col("label").alias(f"label_{end}"))
-        rows = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
-        return rows.where(F.coalesce("label_a", "a") != F.coalesce("label_b", "b")).select("a", "b")
+    named = docs.select(F.col(key).cast("bigint").alias("key"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("same"), F.col(text).alias("text"))
+    # Equal texts are one: their smallest key stands for them.
+    features = durable(named.select("key", "same"), "features")
+    if not features.where("key is not null").groupBy("key").agg(F.min("same").alias("x"), F.max("same").alias("y")).where("x <> y").isEmpty():
+        # A key that has several texts cannot stand for one: its rows get numbers.
+        release(features)
+        return by_row(docs, n, threshold, text, key)
+    first = features.where("key is not null").groupBy("same").agg(F.min("key").alias("rep"))
+    gone = durable(features.join(first, "same").where("key <> rep").select("key").distinct(), "gone")
+    chosen = named.join(gone, "key", "left_anti")
+    sets = durable(shingle_sets(chosen, n, threshold), "sets")
+    texts = chosen.where("key is not null").select("key", "text")
+    sizes = durable(sets.select("key", "same", "n_shingles"), "sizes")
+    hoods = neighbourhoods(sets.where("key is not null"))
+    release(sets)
+    found: list[DataFrame] = []
+
+    def tie(links: DataFrame) -> DataFrame:
+        """Labels by all links so far."""
+        found.append(links)
+        every = found[0]
+        for more in found[1:]:
+            every = every.unionByName(more)
+        return durable(components(every).select(F.col("node").alias("rep"), F.col("component").alias("label")), "labels")
 
     labels = None
-    found = durable(candidates(placed, points, None, threshold), "candidates")
-    if not found.isEmpty():
-        # One candidate of each set ties most of what belongs together; of the others few are still needed then.
-        judge(durable(found.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "pairs"))
-        labels = tied()
-        rest = durable(apart(found.join(judged[0].select("a", "b"), ["a", "b"], "left_anti"), labels), "pairs")
-        if not rest.isEmpty():
-            judge(rest)
-            labels = tied()
-        failed = linked().where("not linked")
-        if not failed.isEmpty():
-            # Neighbourhoods that hold both ends of a failed candidate.
-            ends = failed.select(F.col("a").alias("rep"), "b")
-            both = placed.join(ends, "rep").select("hood", F.col("b").alias("rep")).join(placed.select("hood", "rep"), ["hood", "rep"], "left_semi").select("hood").distinct()
-            again = durable(placed.join(both, "hood", "left_semi"), "again")
-            rest = durable(candidates(again, points, labels, threshold).join(failed.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-            if not rest.isEmpty():
-                judge(rest)
-                labels = tied()
-    answer = features.select("key", "n_shingles", "set_a", "set_b").join(reps, ["n_shingles", "set_a", "set_b"], "left")
+    if not hoods.isEmpty():
+        one = durable(hoods.groupBy("rep").agg(F.min("hub").alias("a")).select("a", F.col("rep").alias("b")), "stars")
+        labels = tie(durable(verify(one, texts, n, threshold), "links"))
+        release(one)
+        of_size = sizes.where("key is not null").select(F.col("key").alias("rep"), F.col("n_shingles").alias("size")).dropDuplicates(["rep"])
+        left = None
+        while True:
+            rows = apart(hoods, labels, of_size)
+            # In large neighbourhoods that are still apart, another set is tried as a hub, while that ties much of them.
+            large = rows.where("not main and rests > 1")
+            now = large.count()
+            if not now or left is not None and now > left * 0.9:
+                break
+            left = now
+            pivot = large.groupBy("hub").agg(F.min_by("rep", F.xxhash64("rep", F.lit(now))).alias("a"))
+            stars = durable(large.join(pivot, "hub").where("rep <> a").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct(), "stars")
+            before, labels = labels, tie(durable(verify(stars, texts, n, threshold), "links"))
+            release(stars, before, rows)
+        if not rows.isEmpty():
+            before, labels = labels, tie(search_blocks(rows, texts, n, threshold))
+            release(before)
+        release(rows, *found)
+    release(hoods)
+    by_text = sizes.groupBy("same").agg(F.max("n_shingles").alias("n_shingles"), F.min("key").alias("rep"))
+    answer = features.join(by_text, "same")
     if labels is not None:
         answer = answer.join(labels, "rep", "left").withColumn("rep", F.coalesce("label", "rep"))
-    component = F.when(F.col("key").isNull(), F.lit(None)).otherwise(F.coalesce(F.least("rep", "key"), F.col("key")))
-    return answer.select(F.col("key").alias(key), "n_shingles", component.alias("component_id"))
+    component = F.when(F.col("key").isNotNull(), F.when(F.col("n_shingles") > 0, F.col("rep")).otherwise(F.col("key")))
+    kind = docs.schema[key].dataType
+    return answer.select(F.col("key").cast(kind).alias(key), "n_shingles", component.cast(kind).alias("component_id"))
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: Fraction = Fraction(4, 5), text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -95,17 +95,30 @@ def test_jaccard_edges(spark):
     assert sorted((r["doc_id"] for r in kept.collect()), key=repr) == sorted([3, None, 9, 8, 6, 4], key=repr) and kept.columns == docs.columns
 
 
-def test_a_failed_candidate_hides_no_other():
-    # Groups of shingles bound the overlap from above only: what the bound lets through and fails is set aside.
-    keys, sizes = np.array([1, 2, 3]), np.array([10, 10, 10])
-    points = np.zeros((3, ngram_jaccard.GROUPS), np.uint16)
-    points[:, :10] = 1
-    side = np.full(3, 2)
+@pytest.mark.parametrize("inner", [True, False])
+def test_links_of_a_block_are_those_of_a_scan(inner):
+    rnd = np.random.default_rng(4)
     t = Fraction(4, 5)
-    assert ngram_jaccard.forest(keys, keys, sizes, points, side, t) == [(1, 2), (1, 3)]
-    assert ngram_jaccard.forest(keys, np.array([1, 1, 1]), sizes, points, side, t) == []
-    assert sorted(ngram_jaccard.untied(keys, np.array([1, 2, 1]), sizes, points, side, t)) == [(1, 2), (2, 3)]
-    assert sorted(ngram_jaccard.untied(keys, keys, sizes, points, np.array([0, 0, 1]), t)) == [(1, 3), (2, 3)]
+    for _ in range(20):
+        base = [rnd.integers(1, 1 << 62, 60, dtype=np.uint64) for _ in range(6)]
+        sets = []
+        for _ in range(40):
+            s = base[rnd.integers(6)].copy()
+            s[: rnd.integers(0, 12)] = rnd.integers(1, 1 << 62, 1, dtype=np.uint64)
+            sets.append(np.unique(s))
+        labels, side = rnd.integers(0, 25, 40), rnd.integers(0, 2, 40)
+        links = ngram_jaccard.block_links(np.arange(40), labels, sets, side, inner, t)
+        assert all(ngram_jaccard.reaches(sets[a], sets[b], t) for a, b in links)
+
+        def roots(edges, labels=labels):
+            up = labels.copy()
+            for a, b in edges:
+                up[up == up[a]] = up[b]
+            return up
+
+        may = [(a, b) for a in range(40) for b in range(a) if (side[a] != side[b] or inner and side[a] == 1) and ngram_jaccard.reaches(sets[a], sets[b], t)]
+        x, y = roots(links), roots(may)
+        assert all((x[a] == x[b]) == (y[a] == y[b]) for a in range(40) for b in range(40))
 
 
 def test_tree_finds_what_a_scan_finds():
@@ -120,17 +133,94 @@ def test_tree_finds_what_a_scan_finds():
         assert got == want and k in got
 
 
-def test_linked_sets_share_a_signature():
+def kept_signatures(sets, t, rank):
+    """What each set keeps when it leaves out as many of each class as it may, by the order of ``rank``."""
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    sig, at, of, cls, spare = ngram_jaccard.signatures(np.concatenate([np.sort(s) for s in sets]), row, len(sets), t)
+    out = []
+    for k in range(len(sets)):
+        mine, own = sig[at == k], set()
+        for c, n in zip(cls[of == k], spare[of == k], strict=True):
+            of_class = sorted((x for x in mine.tolist() if x & ngram_jaccard.CLASS_BITS == c), key=lambda x: (rank(x), x))
+            own |= set(of_class[: len(of_class) - n])
+        out.append(own)
+    return out
+
+
+@pytest.mark.parametrize("t", [Fraction(85, 100), Fraction(4, 5), Fraction(2, 3), Fraction(1, 2), Fraction(3, 10)])
+def test_linked_sets_share_a_signature_that_both_keep(t):
     rnd = np.random.default_rng(5)
-    t = Fraction(85, 100)
-    for size in (1, 2, 5, 6, 9, 20, 60, 333, 1000):
-        for _ in range(10):
+    for size in (1, 2, 4, 5, 6, 9, 10, 15, 20, 40, 60, 100, 333, 1000):
+        for _ in range(6):
             base = rnd.integers(1, 1 << 62, size, dtype=np.uint64)
-            drop = rnd.integers(0, size - -(-85 * size // 100) + 1)
-            other = base[drop:]
-            a, _ = ngram_jaccard.signatures(np.sort(base), np.zeros(len(base), np.int64), 1, t)
-            b, _ = ngram_jaccard.signatures(np.sort(other), np.zeros(len(other), np.int64), 1, t)
-            assert len(other) * 100 < 85 * size or set(a.tolist()) & set(b.tolist())
+            left = rnd.integers(-(-size * t.numerator // t.denominator), size + 1)
+            other = base[:left]
+            if rnd.random() < 0.5:  # as many new ones as the threshold allows
+                more = int(left / t) - size
+                other = np.concatenate([other, rnd.integers(1, 1 << 62, max(0, more), dtype=np.uint64)])
+            assert left * t.denominator >= t.numerator * (size + len(other) - left)
+            x, y = kept_signatures([base, other], t, rank=lambda v: hash((v, 7)))
+            assert x & y, (size, left, len(other))
+
+
+def test_unrelated_sets_share_no_signature():
+    rnd = np.random.default_rng(7)
+    for t, size in ((Fraction(4, 5), 400), (Fraction(4, 5), 1000), (Fraction(85, 100), 1602), (Fraction(1, 2), 400)):
+        sig, at, *_ = ngram_jaccard.signatures(rnd.integers(1, 1 << 62, 2000 * size, dtype=np.uint64), np.repeat(np.arange(2000), size), 2000, t)
+        assert len(np.unique(sig)) == len(sig) and len(sig) < 2.0 * 2000 * size
+
+
+def test_unrelated_documents_are_in_no_neighbourhood(spark):
+    rnd = np.random.default_rng(8)
+    texts = [" ".join(map(str, rnd.integers(0, 2_000, 400))) for _ in range(5000)]
+    docs = spark.createDataFrame([(k, b"", t) for k, t in enumerate(texts)], "key long, same binary, text string")
+    sets = ngram_jaccard.shingle_sets(docs, 5, Fraction(4, 5))
+    assert ngram_jaccard.neighbourhoods(sets).count() == 0
+
+
+@pytest.mark.parametrize(("frequent", "block"), [(1, 2), (64, 2048)])
+def test_jaccard_at_a_low_threshold(spark, frequent, block, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "FREQUENT", frequent)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_POINTS", block)
+    rnd = random.Random(11)
+    texts = []
+    for _ in range(8):  # groups of all degrees of likeness
+        base = [f"v{rnd.randrange(10**6)}" for _ in range(rnd.choice([12, 40, 90]))]
+        for _ in range(12):
+            w = list(base)
+            for _ in range(rnd.randint(0, len(w) // 8)):
+                w[rnd.randrange(len(w))] = f"x{rnd.randrange(10**6)}"
+            texts.append(" ".join(w[: rnd.randint(len(w) // 2, len(w))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.jaccard_components(docs, 3, Fraction(1, 2)).collect()}
+    assert got == brute_components(sets_of(enumerate(texts), 3), Fraction(1, 2))
+
+
+def test_many_near_copies_with_frequent_parts(spark, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "FREQUENT", 4)
+    monkeypatch.setattr(ngram_jaccard, "BLOCK_POINTS", 16)
+    rnd = random.Random(12)
+    line = [f"l{k}" for k in range(60)]
+    texts = []
+    for size in (120, 70):  # own words beside a line that all share
+        base = [f"{size}b{k}" for k in range(size)]
+        for _ in range(60):
+            w = list(base)
+            for _ in range(rnd.randint(0, size // 12)):
+                w[rnd.randrange(size)] = f"x{rnd.randrange(10**6)}"
+            texts.append(" ".join(line + w))
+    texts += [" ".join(line + [f"y{rnd.randrange(10**6)}" for _ in range(30)]) for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.jaccard_components(docs, 5, Fraction(4, 5)).collect()}
+    assert got == brute_components(sets_of(enumerate(texts), 5), Fraction(4, 5))
+
+
+def test_jaccard_of_string_keys(spark):
+    a = " ".join(f"a{k}" for k in range(60))
+    docs = spark.createDataFrame([("x", a), ("b", a + " end"), (None, a), ("c", "other words altogether here")], "doc_id string, text string")
+    got = sorted((tuple(r) for r in ngram_jaccard.jaccard_components(docs, 4, Fraction(85, 100)).collect()), key=repr)
+    assert got == sorted([("x", 57, "b"), ("b", 58, "b"), (None, 57, None), ("c", 1, "c")], key=repr)
+    assert {r["doc_id"] for r in ngram_jaccard.drop_near_duplicates(docs, 4, Fraction(85, 100)).collect()} == {"b", None, "c"}
 
 
 def test_rows_that_repeat_a_key_keep_their_own_links(spark):
@@ -141,17 +231,6 @@ def test_rows_that_repeat_a_key_keep_their_own_links(spark):
     assert got == sorted([(1, 57, 1), (1, 57, 1), (5, 58, 1), (6, 58, 1), (7, 58, 1), (8, 1, 8), (8, 0, 8), (None, 57, None)], key=repr)
 
 
-@pytest.mark.parametrize("t", [Fraction(1, 2), Fraction(3, 10)])
-def test_linked_sets_share_a_signature_at_low_thresholds(t):
-    rnd = np.random.default_rng(6)
-    for size in (10, 15, 30, 40, 100, 333):
-        base = rnd.integers(1, 1 << 62, size, dtype=np.uint64)
-        b, _ = ngram_jaccard.signatures(np.sort(base), np.zeros(size, np.int64), 1, t)
-        for left in range(-(-size * t.numerator // t.denominator), size):
-            a, _ = ngram_jaccard.signatures(np.sort(base[:left]), np.zeros(left, np.int64), 1, t)
-            assert set(a.tolist()) & set(b.tolist()), (left, size)
-
-
 def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 60)] + [(100, 99), (99, 98), (200, 200)] + [(500, 500 + k) for k in range(1, 80)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -16,11 +16,17 @@ document or place has the window too. So the matches cover all of each passage.
 
 Which copy stays: in a run of neighbours that match, each suffix has what the run's first (smallest document and place) and
 it have in common, which is what all neighbours between them share. Only what is known to stand at a smaller document or
-place is removed, so of each passage a copy stays.
+place is removed, so of each passage a copy stays. Each span that can go names the place of its copy; sorted suffixes hold
+31 bits of each word, so before a span counts as one that can go, the bytes of its words and of its copy's are compared by a
+128-bit digest.
+
+A document is a row, not a key: where rows that repeat a key have different texts, or keys are no whole numbers, rows get
+numbers in order of their keys (``identified``), and spans belong to the row whose text gave them.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import SPACE, U64, durable, hash_words, mix64, release, slices, text_bytes, word_spans
 
@@ -76,10 +83,24 @@ def minimisers(words: np.ndarray, row: np.ndarray, w: int) -> tuple[np.ndarray,
     return h[at], at
 
 
-def suffix_keys(docs: DataFrame, least: int, text: str, key: str) -> DataFrame:
-    """(``gram``, ``doc``, ``pos``) of the selected suffixes of all documents that have a key."""
+def identified(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """(``doc``, ``text``) of the documents that have a key, and (``doc``, ``key``, ``same``), which tells what a number stands for, or
+    None if keys are the numbers. ``same`` is a digest of the text. Rows of one key and text are one document."""
+    same = F.md5(F.coalesce(F.col(text), F.lit("")))
+    named = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), same.alias("same"), F.col(text).alias("text"))
+    if isinstance(docs.schema[key].dataType, T.IntegralType):
+        several = named.groupBy("key").agg(F.min("same").alias("x"), F.max("same").alias("y")).where("x <> y")
+        if several.isEmpty():
+            return named.select(F.col("key").cast("bigint").alias("doc"), "text"), None
+    order = ["key", "same"]
+    names = named.select(*order).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    names = durable(names.withColumn("doc", F.monotonically_increasing_id()), "names")
+    return named.join(names, order).select("doc", "text"), names
+
+
+def suffix_keys(source: DataFrame, least: int) -> DataFrame:
+    """(``gram``, ``doc``, ``pos``) of the selected suffixes of all documents."""
     w = window_of(least)
-    source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -94,14 +115,14 @@ def suffix_keys(docs: DataFrame, least: int, text: str, key: str) -> DataFrame:
     return source.mapInArrow(run, "gram bigint, doc bigint, pos int")
 
 
-def contexts(docs: DataFrame, places: DataFrame, least: int, text: str, key: str) -> DataFrame:
+def contexts(source: DataFrame, places: DataFrame, least: int) -> DataFrame:
     """(``gram``, ``tail``, ``head``, ``doc``, ``pos``, ``low``, ``high``) of the suffixes at ``places`` (``doc``, ``at``: an array of
     ``gram`` and ``pos``): hashes of the words after the key, and of those before it from the nearest on. Big-endian, so that
     they sort as the words do; where a text ends there are zeros, which no word has. The windows that belong to a suffix
     begin ``low`` to ``high`` words before it."""
     w = window_of(least)
     right, left = least - GRAM, w
-    source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("doc"), F.col(text).alias("text")).join(places, "doc").dropDuplicates(["doc"])
+    source = source.join(places, "doc").dropDuplicates(["doc"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -150,7 +171,7 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 #: What the comparison returns: spans of words that repeat, spans that can go, the ends of each sorted part, and windows to
 #: look at again.
 REPEAT, REMOVE, EDGE, WINDOW = 0, 1, 2, 3
-_SCHEMA = "kind int, doc bigint, start int, stop int, gram bigint, tail binary, head binary, pos int, place int, first_doc bigint, first_pos int, path_right int, path_left int, whole boolean, window bigint"
+_SCHEMA = "kind int, doc bigint, start int, stop int, copy bigint, copy_start int, gram bigint, tail binary, head binary, pos int, place int, first_doc bigint, first_pos int, path_right int, path_left int, whole boolean, window bigint"
 
 
 def open_windows(least: int, gram, tail, head, pos, low, high, right, left, ok, later) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -190,8 +211,8 @@ def compare(sorted_suffixes: DataFrame, least: int) -> DataFrame:
     """Spans found by comparing neighbours of each sorted part, and its two ends, for what lies across parts."""
     w = window_of(least)
     widths = (least - GRAM, w)
-    names = ["kind", "doc", "start", "stop", "gram", "tail", "head", "pos", "place", "first_doc", "first_pos", "path_right", "path_left", "whole", "window"]
-    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()]
+    names = ["kind", "doc", "start", "stop", "copy", "copy_start", "gram", "tail", "head", "pos", "place", "first_doc", "first_pos", "path_right", "path_left", "whole", "window"]
+    kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs, places, rights, lefts = [], [], [], []  # of all suffixes; of the pairs with the one before
@@ -231,19 +252,19 @@ def compare(sorted_suffixes: DataFrame, least: int) -> DataFrame:
         r_next, l_next = np.append(right[1:], np.int32(0)), np.append(left[1:], np.int32(0))
         out = []
 
-        def spans(kind: int, index: np.ndarray, l: np.ndarray, r: np.ndarray) -> None:
+        def spans(kind: int, index: np.ndarray, l: np.ndarray, r: np.ndarray, of: np.ndarray) -> None:
             if len(index):
-                out.append((np.full(len(index), kind), doc[index], pos[index] - l, pos[index] + r))
+                out.append((np.full(len(index), kind), doc[index], pos[index] - l, pos[index] + r, doc[of], pos[of] - l))
 
         some = np.flatnonzero(ok | after)
-        spans(REPEAT, some, np.maximum(left, l_next)[some], np.maximum(right, r_next)[some])
+        spans(REPEAT, some, np.maximum(left, l_next)[some], np.maximum(right, r_next)[some], some)
         # What a smaller neighbour has too.
         later = np.zeros(n, bool)
         later[1:] = (doc[1:] > doc[:-1]) | (doc[1:] == doc[:-1]) & (pos[1:] > pos[:-1])
         at = np.flatnonzero(ok & later)
-        spans(REMOVE, at, left[at], right[at])
+        spans(REMOVE, at, left[at], right[at], at - 1)
         at = np.flatnonzero(after & ~np.append(later[1:], True))
-        spans(REMOVE, at, l_next[at], r_next[at])
+        spans(REMOVE, at, l_next[at], r_next[at], at + 1)
         # What the run's first has too: as much as all neighbours on the way share.
         starts = np.flatnonzero(~ok)
         stops = np.append(starts[1:], n)
@@ -258,7 +279,7 @@ def compare(sorted_suffixes: DataFrame, least: int) -> DataFrame:
             r[f + 1 - s :], l[f + 1 - s :] = np.minimum.accumulate(right[f + 1 : e]), np.minimum.accumulate(left[f + 1 : e])
             r[: f - s], l[: f - s] = np.minimum.accumulate(right[s + 1 : f + 1][::-1])[::-1], np.minimum.accumulate(left[s + 1 : f + 1][::-1])[::-1]
             at = s + np.flatnonzero((r + l >= least) & (np.arange(s, e) != f))
-            spans(REMOVE, at, l[at - s], r[at - s])
+            spans(REMOVE, at, l[at - s], r[at - s], np.full(len(at), f))
             if edge:
                 first_of[s] = f
                 path[s] = (r, l)
@@ -267,22 +288,23 @@ def compare(sorted_suffixes: DataFrame, least: int) -> DataFrame:
             m = len(cols[0])
             for s in range(0, m, 50_000):
                 part = [pa.array(c[s : s + 50_000], t) for c, t in zip(cols, kinds, strict=False)]
-                yield pa.RecordBatch.from_arrays([*part, *(pa.nulls(len(part[0]), t) for t in kinds[4:])], names)
+                yield pa.RecordBatch.from_arrays([*part, *(pa.nulls(len(part[0]), t) for t in kinds[6:])], names)
         rows = []
         last = int(starts[-1])
         for place, (s, k, end) in enumerate(((0, 0, ends[0]), (last, n - 1, ends[1]))):
             f, (r, l) = first_of[s], path[s]
-            rows.append((EDGE, int(doc[k]), None, None, end.column(0)[0].as_py(), end.column(1)[0].as_py(), end.column(2)[0].as_py(), int(pos[k]), place, int(doc[f]), int(pos[f]), int(r[k - s]), int(l[k - s]), last == 0, None))
+            rows.append((EDGE, int(doc[k]), None, None, None, None, end.column(0)[0].as_py(), end.column(1)[0].as_py(), end.column(2)[0].as_py(), int(pos[k]), place, int(doc[f]), int(pos[f]), int(r[k - s]), int(l[k - s]), last == 0, None))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
     return sorted_suffixes.mapInArrow(run, _SCHEMA)
 
 
-def across(edges: list, least: int) -> list[tuple[int, int, int, int]]:
-    """Spans (kind, doc, start, stop) found between sorted parts, from the ends of the parts: two rows for each part."""
+def across(edges: list, least: int) -> list[tuple[int, int, int, int, int, int]]:
+    """Spans (kind, doc, start, stop, and where the copy is) found between sorted parts, from the ends of the parts: two rows for each part."""
     edges.sort(key=lambda e: (e["gram"], bytes(e["tail"]), bytes(e["head"]), e["doc"], e["pos"], e["place"]))
     words = lambda b: np.frombuffer(bytes(b), ">u4")[None, :]
-    out: list[tuple[int, int, int, int]] = []
+    out: list[tuple[int, int, int, int, int, int]] = []
+    span = lambda kind, at, l, r, of: (kind, at[0], at[1] - l, at[1] + r, of[0], of[1] - l)
     # Of the runs that go on from part to part: the smallest first so far, and what is shared from it up to here.
     chain: tuple[tuple[int, int], int, int] | None = None
     for k in range(1, len(edges) - 1, 2):  # the last of a part, the first of the next
@@ -292,9 +314,9 @@ def across(edges: list, least: int) -> list[tuple[int, int, int, int]]:
         if a["gram"] != b["gram"] or right + left < least or (a["doc"], a["pos"]) == (b["doc"], b["pos"]):
             chain = None
             continue
-        out += [(REPEAT, e["doc"], e["pos"] - left, e["pos"] + right) for e in (a, b)]
-        last = max(a, b, key=lambda e: (e["doc"], e["pos"]))
-        out.append((REMOVE, last["doc"], last["pos"] - left, last["pos"] + right))
+        smaller, last = sorted((e["doc"], e["pos"]) for e in (a, b))
+        out += [span(REPEAT, e, left, right, e) for e in (smaller, last)]
+        out.append(span(REMOVE, last, left, right, smaller))
         own = (a["first_doc"], a["first_pos"])
         if chain and a["whole"] and chain[0] < own:  # through the whole part
             r, l = (min(c, before[path], a[path]) for c, path in zip(chain[1:], ("path_right", "path_left"), strict=True))
@@ -302,16 +324,16 @@ def across(edges: list, least: int) -> list[tuple[int, int, int, int]]:
         else:
             chain = (own, min(a["path_right"], right), min(a["path_left"], left))
         r, l = min(chain[1], b["path_right"]), min(chain[2], b["path_left"])
-        larger = max(chain[0], (b["first_doc"], b["first_pos"]))
-        if r + l >= least and chain[0] != (b["first_doc"], b["first_pos"]):
-            out.append((REMOVE, larger[0], larger[1] - l, larger[1] + r))
+        smaller, larger = sorted((chain[0], (b["first_doc"], b["first_pos"])))
+        if r + l >= least and smaller != larger:
+            out.append(span(REMOVE, larger, l, r, smaller))
     return out
 
 
 def compare_windows(sorted_windows: DataFrame, least: int) -> DataFrame:
     """Spans of the windows (``gram``, ``window``, ``doc``, ``start``) that equal a neighbour, and the ends of each sorted part. A
     window that equals the one before it stands at a smaller document or place, too."""
-    names = ["kind", "doc", "start", "gram", "window", "place"]
+    names = ["kind", "doc", "start", "copy", "copy_start", "gram", "window", "place"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -328,55 +350,118 @@ def compare_windows(sorted_windows: DataFrame, least: int) -> DataFrame:
             same &= (doc[1:] != doc[:-1]) | (start[1:] != start[:-1])
             for kind, at in ((REPEAT, np.flatnonzero(np.append(same, False) | np.append(False, same))), (REMOVE, np.flatnonzero(same) + 1)):
                 if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(doc[at]), pa.array(start[at]), *(pa.nulls(len(at), t) for t in (pa.int64(), pa.int64(), pa.int32()))], names)
+                    of = at - 1 if kind == REMOVE else at
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), kind, np.int32)), pa.array(doc[at]), pa.array(start[at]), pa.array(doc[of]), pa.array(start[of]), *(pa.nulls(len(at), t) for t in (pa.int64(), pa.int64(), pa.int32()))], names)
             held = [x[-1:] for x in own]
         if held is not None:
             yield edge([x[0] for x in held], 1)
 
     def edge(row: list, place: int) -> pa.RecordBatch:
         gram, window, doc, start = (int(x) for x in row)
-        values = (EDGE, doc, start, gram, window, place)
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()), strict=True)], names)
+        values = (EDGE, doc, start, doc, start, gram, window, place)
+        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names)
 
-    return sorted_windows.mapInArrow(run, "kind int, doc bigint, start int, gram bigint, window bigint, place int")
+    return sorted_windows.mapInArrow(run, "kind int, doc bigint, start int, copy bigint, copy_start int, gram bigint, window bigint, place int")
 
 
 def window_spans(windows: DataFrame, least: int) -> DataFrame:
-    """(``kind``, ``doc``, ``start``, ``stop``) of the windows that stand more than once."""
+    """(``kind``, ``doc``, ``start``, ``stop``, ``copy``, ``copy_start``) of the windows that stand more than once."""
     order = ["gram", "window", "doc", "start"]
     found = durable(compare_windows(windows.repartitionByRange(*order).sortWithinPartitions(*order), least), "windows")
     edges = sorted(found.where(F.col("kind") == EDGE).drop("kind").collect(), key=lambda e: (e["gram"], e["window"], e["doc"], e["start"], e["place"]))
     more = []
     for a, b in zip(edges[1:-1:2], edges[2::2], strict=True):  # the last of a part, the first of the next
         if (a["gram"], a["window"]) == (b["gram"], b["window"]) and (a["doc"], a["start"]) != (b["doc"], b["start"]):
-            more += [(REPEAT, a["doc"], a["start"]), (REPEAT, b["doc"], b["start"]), (REMOVE, b["doc"], b["start"])]
-    spans = found.where(F.col("kind") != EDGE).select("kind", "doc", "start")
+            one, other = ((x["doc"], x["start"]) for x in (a, b))
+            more += [(REPEAT, *one, *one), (REPEAT, *other, *other), (REMOVE, *other, *one)]
+    columns = ["kind", "doc", "start", "copy", "copy_start"]
+    spans = found.where(F.col("kind") != EDGE).select(*columns)
     if more:
-        spans = spans.unionByName(windows.sparkSession.createDataFrame(more, "kind int, doc bigint, start int"))
-    return spans.withColumn("stop", F.col("start") + least)
+        spans = spans.unionByName(windows.sparkSession.createDataFrame(more, "kind int, doc bigint, start int, copy bigint, copy_start int"))
+    return spans.withColumn("stop", F.col("start") + least).select(*SPAN)
+
+
+#: A span of words of a document (``stop`` excluded), and where its copy begins (for ``REPEAT``: the span itself).
+SPAN = ["kind", "doc", "start", "stop", "copy", "copy_start"]
 
 
-def repeated_spans(docs: DataFrame, least: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(``kind``, ``doc``, ``start``, ``stop``): spans of words (``stop`` excluded) that repeat (``REPEAT``), and spans that can go
-    (``REMOVE``), as a document's suffixes gave them: overlapping, and several for a passage."""
-    spark = docs.sparkSession
-    keys = durable(suffix_keys(docs, least, text, key), "suffixes")
+def covers(removed: DataFrame) -> DataFrame:
+    """Of each document's spans as few as hold all their words."""
+    longest = removed.groupBy("doc", "start").agg(F.max(F.struct("stop", "copy", "copy_start")).alias("e"))
+    own = longest.groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "e.stop", "e.copy", "e.copy_start"))).alias("spans"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            spans = b.column("spans").flatten()
+            start, stop, copy, copy_start = (spans.field(k).to_numpy() for k in range(4))
+            ends = b.column("spans").offsets.to_numpy() - b.column("spans").offsets[0].as_py()
+            out = []
+            for k, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                have = -1  # words up to here are held, or in no span
+                while k < e:
+                    have, best = max(have, start[k]), k
+                    while k < e and start[k] <= have:  # the one that goes furthest of those that begin there
+                        best = k if stop[k] > stop[best] else best
+                        k += 1
+                    if stop[best] > have:
+                        out.append(best)
+                        have = stop[best]
+            at = np.array(out, np.int64)
+            doc = np.repeat(b.column("doc").to_numpy(), np.diff(ends))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), REMOVE, np.int32)), *(pa.array(x[at]) for x in (doc, start, stop, copy, copy_start))], SPAN)
+
+    return own.mapInArrow(run, "kind int, doc bigint, start int, stop int, copy bigint, copy_start int")
+
+
+def confirmed(removed: DataFrame, source: DataFrame) -> DataFrame:
+    """The spans whose words are those of their copies, byte by byte (by a 128-bit digest)."""
+    size = F.col("stop") - F.col("start")
+    both = removed.select("doc", "start", "stop").unionByName(removed.select(F.col("copy").alias("doc"), F.col("copy_start").alias("start"), (F.col("copy_start") + size).alias("stop")))
+    # As many as a document has spans, however many documents have copies of them.
+    asked = both.distinct().groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            data, off = text_bytes(b.column("text"))
+            starts, ends, row = word_spans(data, off)
+            begin = np.searchsorted(row, np.arange(b.num_rows + 1))
+            at = b.column("at").flatten()
+            start, stop = (at.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+            of = np.repeat(np.arange(b.num_rows), np.diff(b.column("at").offsets.to_numpy()))
+            raw = data.tobytes()
+            first, last = starts[np.minimum(begin[of] + start, len(starts) - 1)], ends[np.minimum(begin[of] + stop, begin[of + 1]) - 1]
+            out = [hashlib.blake2b(b" ".join(raw[x:y].split()), digest_size=16).digest() for x, y in zip(first.tolist(), last.tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(b.column("doc").to_numpy()[of]), at.field(0), at.field(1), pa.array(out, pa.binary())], ["doc", "start", "stop", "digest"])
+
+    told = durable(source.join(asked, "doc").dropDuplicates(["doc"]).select("doc", "text", "at").mapInArrow(run, "doc bigint, start int, stop int, digest binary"), "digests")
+    of_copy = told.select(F.col("doc").alias("copy"), F.col("start").alias("copy_start"), F.col("stop").alias("copy_stop"), F.col("digest").alias("copy_digest"))
+    own = removed.join(told, ["doc", "start", "stop"]).withColumn("copy_stop", F.col("copy_start") + size)
+    return own.join(of_copy, ["copy", "copy_start", "copy_stop"]).where("digest = copy_digest").select(*SPAN)
+
+
+def repeated_spans(source: DataFrame, least: int) -> DataFrame:
+    """Spans of words of (``doc``, ``text``) that repeat (``REPEAT``), as a document's suffixes gave them: overlapping, and several for a
+    passage; and spans that can go (``REMOVE``), confirmed on the words."""
+    spark = source.sparkSession
+    keys = durable(suffix_keys(source, least), "suffixes")
     # Summed per task before the shuffle: a frequent passage's suffix is one row for each.
     often = keys.groupBy("gram").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min("pos").alias("p0"), F.max("pos").alias("p1")).where("d0 < d1 or p0 < p1").select("gram")
     often = durable(often, "often")  # read again, so that the join below may split a frequent suffix's rows
     places = keys.join(often, "gram", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("gram", "pos")).alias("at"))
     order = ["gram", "tail", "head", "doc", "pos"]
-    suffixes = contexts(docs, places, least, text, key)
+    suffixes = contexts(source, places, least)
     array = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
     found = durable(compare(array, least), "matches")
-    release(keys)
+    release(keys, often)
     edges = [r.asDict() for r in found.where(F.col("kind") == EDGE).collect()]  # two rows for each part
-    spans = found.where(F.col("kind").isin(REPEAT, REMOVE)).select("kind", "doc", "start", "stop")
+    spans = found.where(F.col("kind").isin(REPEAT, REMOVE)).select(*SPAN)
     spans = spans.unionByName(window_spans(found.where(F.col("kind") == WINDOW).select("gram", "window", "doc", "start"), least))
     more = across(edges, least)
     if more:
-        spans = spans.unionByName(spark.createDataFrame(more, "kind int, doc bigint, start int, stop int"))
-    return spans
+        spans = spans.unionByName(spark.createDataFrame(more, "kind int, doc bigint, start int, stop int, copy bigint, copy_start int"))
+    removed = durable(covers(spans.where(F.col("kind") == REMOVE)), "removed")
+    return spans.where(F.col("kind") == REPEAT).unionByName(confirmed(removed, source))
 
 
 def merged(spans: DataFrame) -> DataFrame:
@@ -389,32 +474,50 @@ def merged(spans: DataFrame) -> DataFrame:
     return part.groupBy("doc", "kind", "part").agg(F.min("start").alias("start"), F.max("stop").alias("stop")).drop("part")
 
 
+def passages_of(source: DataFrame, least: int) -> DataFrame:
+    """(``doc``, ``n_repeated``, ``n_removed``, ``repeats``, ``removed``) of the documents that have repeated passages."""
+    spans = merged(repeated_spans(source, least)).select("doc", F.struct("start", "stop").alias("span"), "kind")
+    own = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("span"))))
+    words = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("span.stop") - F.col("span.start"))), F.lit(0)).cast("bigint")
+    return spans.groupBy("doc").agg(words(REPEAT).alias("n_repeated"), words(REMOVE).alias("n_removed"), own(REPEAT).alias("repeats"), own(REMOVE).alias("removed"))
+
+
 def repeated_passages(docs: DataFrame, least: int = 50, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents that have passages of ``least`` words or more which repeat, in another document or their own.
 
-    Returns a row for each such document: ``key`` long, ``n_repeated`` and ``n_removed`` long (words), ``repeats`` and ``removed``
+    Returns a row for each such document: ``key``, ``n_repeated`` and ``n_removed`` long (words), ``repeats`` and ``removed``
     (arrays of structs ``start``, ``stop``: the words that repeat, and those of them that also stand at a smaller document
     or place). Words are ``[^\\x20\\x09-\\x0D]+``, compared byte by byte; white space does not matter. Null and empty texts,
-    and texts under ``least`` words, have none. Rows that repeat a key count once; rows without a key are left out. An
-    empty table gives no rows.
+    and texts under ``least`` words, have none. Keys may be of any type that has an order. Rows that repeat a key and its text
+    are one document; rows that repeat a key with another text are documents of their own, with rows of their own. Rows
+    without a key are left out. An empty table gives no rows.
     """
-    spans = merged(repeated_spans(docs, least, text, key)).select("doc", F.struct("start", "stop").alias("span"), "kind")
-    own = lambda kind: F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.col("span"))))
-    words = lambda kind: F.coalesce(F.sum(F.when(F.col("kind") == kind, F.col("span.stop") - F.col("span.start"))), F.lit(0)).cast("bigint")
-    out = spans.groupBy("doc").agg(words(REPEAT).alias("n_repeated"), words(REMOVE).alias("n_removed"), own(REPEAT).alias("repeats"), own(REMOVE).alias("removed"))
-    return out.withColumnRenamed("doc", key)
+    source, names = identified(docs, text, key)
+    out = passages_of(source, least)
+    if names is not None:
+        out = out.join(names.select("doc", "key"), "doc").drop("doc").withColumnRenamed("key", "doc")
+    return out.select(F.col("doc").cast(docs.schema[key].dataType).alias(key), "n_repeated", "n_removed", "repeats", "removed")
 
 
 def drop_repeats(docs: DataFrame, least: int = 50, text: str = "text", key: str = "doc_id", length: str | None = "n_chars") -> DataFrame:
     """The documents without the passages that also stand at a smaller document or place. A removed word goes with the
     white space before it; what is left is unchanged, to the byte. Documents keep their row, if with an empty text;
-    ``length``, if there is such a column, is the new number of characters. Rows without a key, and null texts, stay."""
-    cut = repeated_passages(docs, least, text, key).where("n_removed > 0").select(F.col(key).alias("__key"), F.col("removed").alias("__cut"))
-    joined = docs.join(cut, docs[key] == cut["__key"], "left").drop("__key")
-    changed = joined.where("__cut is not null")
-    same = joined.where("__cut is null").drop("__cut")
-    names = list(docs.columns)
-    at = names.index(text)
+    ``length``, if there is such a column, is the new number of characters. Rows without a key, and null texts, stay. Rows
+    that repeat a key are cut by the places that their own texts gave. Columns may have any names."""
+    columns = list(docs.columns)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(columns))])
+    text, key = f"c{columns.index(text)}", f"c{columns.index(key)}"
+    source, names = identified(plain, text, key)
+    cut = passages_of(source, least).where("n_removed > 0").select("doc", F.col("removed").alias("cut"))
+    if names is None:
+        joined = plain.join(cut, plain[key] == cut["doc"], "left").drop("doc")
+    else:
+        of = cut.join(names, "doc").drop("doc")
+        joined = plain.withColumn("own", F.md5(F.coalesce(F.col(text), F.lit("")))).join(of, (F.col(key) == of["key"]) & (F.col("own") == of["same"]), "left").drop("own", "key", "same")
+    changed = joined.where("cut is not null")
+    same = joined.where("cut is null").drop("cut")
+    fields = list(plain.columns)
+    at = fields.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, text):
@@ -423,7 +526,7 @@ def drop_repeats(docs: DataFrame, least: int = 50, text: str = "text", key: str
                 data, off = text_bytes(b.column(text).slice(k, 1))
                 starts, ends, _ = word_spans(data, off)
                 keep = np.ones(len(data), bool)
-                for span in b.column("__cut")[k].as_py():
+                for span in b.column("cut")[k].as_py():
                     s, e = max(0, span["start"]), min(span["stop"], len(ends))
                     if s < e:
                         keep[int(ends[s - 1]) if s else 0 : int(ends[e - 1])] = False
@@ -431,11 +534,12 @@ def drop_repeats(docs: DataFrame, least: int = 50, text: str = "text", key: str
                 if len(left) and SPACE[left[0]] and not keep[0]:
                     left = left[int(np.argmax(~SPACE[left])) if (~SPACE[left]).any() else len(left) :]
                 out.append(left.tobytes().decode())
-            columns = [b.column(c) for c in names]
-            columns[at] = pa.array(out, pa.string())
-            yield pa.RecordBatch.from_arrays(columns, names)
-
-    new = changed.select(*docs.columns, "__cut").mapInArrow(run, docs.schema)
-    if length and length in docs.columns:
-        new = new.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
-    return same.select(*docs.columns).unionByName(new)
+            values = [b.column(c) for c in fields]
+            values[at] = pa.array(out, pa.string())
+            yield pa.RecordBatch.from_arrays(values, fields)
+
+    new = changed.select(*fields, "cut").mapInArrow(run, plain.schema)
+    if length and length in columns:
+        where = f"c{columns.index(length)}"
+        new = new.withColumn(where, F.length(text).cast(plain.schema[where].dataType))
+    return same.select(*fields).unionByName(new).toDF(*columns)

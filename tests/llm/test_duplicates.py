@@ -340,6 +340,41 @@ def test_dropped_repeats(spark):
     assert suffix_dedup.drop_repeats(docs).where("doc_id = 2").first()["n_chars"] == len("other\ttail here")
 
 
+def test_rows_of_one_key_have_their_own_repeats(spark):
+    a, five = " ".join(f"a{k}" for k in range(3000)), "one two three four five"
+    for rows in ([(1, five), (1, a), (2, a)], [(1, a), (1, five), (2, a)], [(2, a), (1, five), (1, a)]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        got = sorted((r["doc_id"], r["n_repeated"], r["n_removed"]) for r in suffix_dedup.repeated_passages(docs).collect())
+        assert got == [(1, 3000, 0), (2, 3000, 3000)]
+        assert sorted((r["doc_id"], r["text"]) for r in suffix_dedup.drop_repeats(docs).collect()) == sorted([(1, a), (1, five), (2, "")])
+    # Rows of one key and text are one document; keys may be strings, and columns may have any names.
+    docs = spark.createDataFrame([("y", a, 1), ("y", a, 2), ("x", "own " + a, 3), (None, a, 4)], "doc string, text string, cut int").withColumnRenamed("cut", "__cut")
+    got = sorted((r["doc"], r["n_repeated"], r["n_removed"]) for r in suffix_dedup.repeated_passages(docs, key="doc").collect())
+    assert got == [("x", 3000, 0), ("y", 3000, 3000)]
+    left = suffix_dedup.drop_repeats(docs, key="doc")
+    assert left.columns == docs.columns and sorted((str(r["doc"]), r["text"], r["__cut"]) for r in left.collect()) == [("None", a, 4), ("x", "own " + a, 3), ("y", "", 1), ("y", "", 2)]
+
+
+def test_only_what_a_copy_has_goes(spark):
+    # Spans that the sorted suffixes claim are held against the words of both places.
+    a = [f"a{k}" for k in range(80)]
+    b = [*a[:60], "other", *a[61:]]
+    rows = spark.createDataFrame([(1, " ".join(a)), (2, "\n".join(b)), (3, "\t ".join(a))], "doc long, text string")
+    claims = [(suffix_dedup.REMOVE, 2, 0, 60, 1, 0), (suffix_dedup.REMOVE, 2, 5, 70, 1, 5), (suffix_dedup.REMOVE, 3, 10, 80, 1, 10), (suffix_dedup.REMOVE, 3, 0, 60, 1, 1)]
+    claims = spark.createDataFrame(claims, "kind int, doc long, start int, stop int, copy long, copy_start int")
+    got = sorted(tuple(r) for r in suffix_dedup.confirmed(claims, rows).collect())
+    assert got == [(suffix_dedup.REMOVE, 2, 0, 60, 1, 0), (suffix_dedup.REMOVE, 3, 10, 80, 1, 10)]
+
+
+def test_covers_hold_all_words_in_few_spans(spark):
+    rnd = random.Random(3)
+    rows = [(suffix_dedup.REMOVE, d, s, s + rnd.randint(1, 60), 0, 0) for d in range(20) for s in [rnd.randint(0, 400) for _ in range(60)]]
+    frame = spark.createDataFrame(rows, "kind int, doc long, start int, stop int, copy long, copy_start int")
+    words = lambda got: {(r[1], w) for r in got for w in range(r[2], r[3])}
+    kept = [tuple(r) for r in suffix_dedup.covers(frame).collect()]
+    assert words(kept) == words(rows) and set(kept) <= set(rows) and len(kept) < len(rows) / 2
+
+
 def test_repeats_inside_a_document(spark):
     line = " ".join(f"l{k}" for k in range(10))
     docs = spark.createDataFrame([(1, "\n".join([line] * 20)), (1, "\n".join([line] * 20)), (2, "w " * 5000)], "doc_id long, text string")

@@ -7,10 +7,10 @@ corner (and the box's range of sizes) rules out all points in it. What survives
 
 Trees are built where links can be. Sets that reach the threshold differ in at most ``d`` shingles, ``d`` following from
 their sizes. The shingles of a size class are dealt into ``m`` parts, ``m`` over ``d``, so a set with ``f`` full parts agrees
-with a linked one in ``f - d`` full parts at least. Only full parts are signatures; unrelated sets share none. Of what a set
-has beyond ``d + 1``, it leaves out the most frequent ones, in one order for all sets, and still meets every linked set in
-another. A set whose shingles fill too few parts (``f <= d``) sends as many of its shingles, in order of hash, as a linked
-set cannot all lack; two such sets meet in these.
+with a linked one in ``f - d`` full parts at least. Only full parts are signatures; unrelated sets share none. Of its full
+parts a set keeps ``d + 1`` alone and leaves out the others, the most frequent ones, in one order for all sets; it still
+meets every linked set in one that both keep. A set whose shingles fill too few parts (``f <= d``) sends as many of its
+shingles, in order of hash, as a linked set cannot all lack; two such sets meet in these.
 
 The sets of a signature have a hub, the smallest. A hub's neighbourhood is all sets that it is the hub of: two sets that
 share a signature are both in it, and a pair that shares a hundred signatures meets once or a few times. First each set is
@@ -32,7 +32,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from .common import U64, durable, hash_words, mix64, release, shingles, slices, text_bytes
 from .components import components
@@ -45,8 +44,8 @@ BLOCK_POINTS, BLOCK_SHINGLES, LEAF, FAN = 2048, 4 << 20, 32, 8
 PAIRS_SENT, FAN_OUT = 300_000, 256
 #: Upper end of one size class, over the end of the one before.
 WIDTH = 1.5
-#: Signatures of more rows than this are left out as far as the guarantee goes.
-FREQUENT = 64
+#: Signatures that this many sets of a slice of rows share are counted; the ``NAMED`` most frequent of them come last in order.
+FREQUENT, NAMED = 4, 1 << 18
 #: Low bits of a signature that tell its size class (modulo 64).
 CLASS_BITS = 63
 
@@ -149,20 +148,53 @@ def _lists(values: np.ndarray, row: np.ndarray, rows: int) -> pa.ListArray:
 
 
 def shingle_sets(named: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """``key``, ``same``, ``n_shingles``, ``parts`` (signatures), ``in_class`` and ``spare`` (what may be left out of a class's
-    signatures) of rows ``key``, ``same``, ``text``."""
+    """``key``, ``same``, ``n_shingles``, ``parts`` (all signatures), ``in_class`` and ``spare`` (how many of a class's signatures may be
+    left out) of rows ``key``, ``same``, ``text``; and ``often`` and ``times``, in one row of each slice of rows: the signatures
+    that ``FREQUENT`` sets of it share, and how many do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             rows = b.num_rows
             h, row = distinct_shingles(*text_bytes(b.column("text")), n)
             s, at, of, cls, spare = signatures(h, row, rows, threshold)
-            yield pa.RecordBatch.from_arrays(
-                [b.column("key"), b.column("same"), pa.array(np.bincount(row, minlength=rows), pa.int64()), _lists(s.view(np.int64), at, rows), _lists(cls, of, rows), _lists(spare, of, rows)],
-                ["key", "same", "n_shingles", "parts", "in_class", "spare"],
-            )
+            often, times = np.unique(s, return_counts=True)
+            often, times = often[times >= FREQUENT], times[times >= FREQUENT]
+            first = np.zeros(len(often), np.int64)
+            lists = (_lists(s.view(np.int64), at, rows), _lists(cls, of, rows), _lists(spare, of, rows), _lists(often.view(np.int64), first, rows), _lists(times, first, rows))
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("same"), pa.array(np.bincount(row, minlength=rows), pa.int64()), *lists], ["key", "same", "n_shingles", "parts", "in_class", "spare", "often", "times"])
 
-    return named.select("key", "same", "text").mapInArrow(run, "key bigint, same binary, n_shingles bigint, parts array<bigint>, in_class array<bigint>, spare array<bigint>")
+    arrays = ", ".join(f"{c} array<bigint>" for c in ("parts", "in_class", "spare", "often", "times"))
+    return named.select("key", "same", "text").mapInArrow(run, f"key bigint, same binary, n_shingles bigint, {arrays}")
+
+
+def kept_signatures(sets: DataFrame) -> DataFrame:
+    """(``sig``, ``rep``): what each set keeps. The order puts the frequent ones last, by how often slices of rows had them; it is the
+    same for all sets, so whatever it is, linked sets keep one in common."""
+    counted = sets.select(F.explode(F.arrays_zip("often", "times")).alias("e")).groupBy("e.often").agg(F.sum("e.times").alias("n"))
+    frequent = counted.orderBy(F.desc("n"), "often").limit(NAMED).toArrow()  # bounded: 4 MB
+    names, counts = (frequent.column(k).to_numpy().astype(np.int64) for k in (0, 1))
+    order = np.argsort(names)
+    names, counts = np.append(names[order], np.iinfo(np.int64).max), np.append(counts[order], 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            width = np.diff(b.column("parts").offsets.to_numpy())
+            sig, row = b.column("parts").flatten().to_numpy(), np.repeat(np.arange(b.num_rows), width)
+            place = np.searchsorted(names, sig)
+            times = np.where(names[place] == sig, counts[place], 0)
+            group = (row << 6) | (sig & CLASS_BITS)
+            at = np.lexsort((sig, times, group))
+            group = group[at]
+            # Where a set's signatures of a class end, and how many before that end may go.
+            end = np.searchsorted(group, group, "right")
+            of = np.repeat(np.arange(b.num_rows), np.diff(b.column("in_class").offsets.to_numpy()))
+            free = (of << 6) | b.column("in_class").flatten().to_numpy()
+            sort = np.argsort(free)
+            spare = b.column("spare").flatten().to_numpy()[sort][np.searchsorted(free[sort], group)]
+            keep = at[np.arange(len(at)) < end - spare]
+            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(b.column("key").to_numpy()[row[keep]])], ["sig", "rep"])
+
+    return sets.select("key", "parts", "in_class", "spare").mapInArrow(run, "sig bigint, rep bigint")
 
 
 class RTree:
@@ -255,13 +287,11 @@ def verify(pairs: DataFrame, named: DataFrame, n: int, threshold: Fraction) -> D
     ``FAN_OUT`` of its pairs, and one of ``b`` for each pair. The pairs find their texts by a broadcast while they are few,
     else by a join."""
     few = pairs.count() <= PAIRS_SENT
-    send = F.broadcast if few else lambda d: d
     own = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN_OUT).cast("int").alias("salts"))
-    to = pairs.join(own, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
-    texts = named.select(F.col("key").alias("k"), F.col("text").alias("t"))
-    first = texts.join(send(own), F.col("k") == F.col("a")).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b"), "t")
-    second = texts.join(send(to), F.col("k") == F.col("b")).select("a", "salt", "b", "t")
-    rows = first.unionByName(second).repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    wanted = pairs.join(own, "a").select(F.col("b").alias("key"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
+    wanted = wanted.unionByName(own.select(F.col("a").alias("key"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b")))
+    rows = named.select("key", F.col("text").alias("t")).join(F.broadcast(wanted) if few else wanted, "key").select("a", "salt", "b", "t")
+    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(0, U64)
@@ -287,17 +317,13 @@ def neighbourhoods(sets: DataFrame) -> DataFrame:
     """(``hub``, ``rep``), ``hub`` < ``rep``: for each signature that a set kept, the smallest set that kept it too.
 
     Signatures are counted before sets meet in them; a hot one is joined with its one row of counts, which Spark can split."""
-    rows = sets.select(F.explode("parts").alias("sig"), F.col("key").alias("rep"))
-    shared = rows.groupBy("sig").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"), F.count(F.lit(1)).alias("n")).where("hub <> top").drop("top")
-    met = durable(rows.join(shared, "sig"), "met")
-    often = met.where(F.col("n") > FREQUENT).withColumn("c", F.col("sig").bitwiseAND(F.lit(CLASS_BITS)))
-    plain = met.where(F.col("n") <= FREQUENT).select("hub", "rep")
-    spare = sets.select(F.col("key").alias("rep"), F.explode(F.arrays_zip("in_class", "spare")).alias("e")).select("rep", F.col("e.in_class").alias("c"), F.col("e.spare").alias("spare")).dropDuplicates(["rep", "c"])
-    place = F.row_number().over(Window.partitionBy("rep", "c").orderBy(F.desc("n"), F.desc("sig")))
-    kept = durable(often.select("rep", "c", "sig", "n").distinct().join(spare, ["rep", "c"]).withColumn("place", place).where("place > spare").select("sig", "rep"), "kept")
-    hubs = kept.groupBy("sig").agg(F.min("rep").alias("hub"))
-    out = durable(plain.unionByName(kept.join(hubs, "sig").select("hub", "rep")).where("hub <> rep").distinct(), "hoods")
-    release(met, kept)
+    rows = durable(kept_signatures(sets), "signatures")
+    shared = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
+    met = durable(rows.join(durable(shared, "shared"), "sig"), "met")
+    release(rows)
+    hubs = met.groupBy("sig").agg(F.min("rep").alias("hub"))
+    out = durable(met.join(hubs, "sig").where("hub <> rep").select("hub", "rep").distinct(), "hoods")
+    release(met)
     return out
 
 
@@ -404,14 +430,20 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fracti
         # A key that has several texts cannot stand for one: its rows get numbers.
         release(features)
         return by_row(docs, n, threshold, text, key)
+    # Rows of one key and text, and rows without a key of one text, are one from here on; usually there are none.
+    twice = features.groupBy("key", "same").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     first = features.where("key is not null").groupBy("same").agg(F.min("key").alias("rep"))
     gone = durable(features.join(first, "same").where("key <> rep").select("key").distinct(), "gone")
-    chosen = named.join(gone, "key", "left_anti")
+    chosen = named.join(F.broadcast(gone) if gone.count() <= PAIRS_SENT else gone, "key", "left_anti")
+    if not twice.isEmpty():
+        several = F.broadcast(twice) if twice.count() <= PAIRS_SENT else twice
+        same = chosen["key"].eqNullSafe(several["key"]) & (chosen["same"] == several["same"])
+        chosen = chosen.join(several, same, "left_anti").unionByName(chosen.join(several, same, "left_semi").dropDuplicates(["key", "same"]))
     sets = durable(shingle_sets(chosen, n, threshold), "sets")
-    texts = chosen.where("key is not null").select("key", "text")
+    texts = named.where("key is not null").select("key", "text")
     sizes = durable(sets.select("key", "same", "n_shingles"), "sizes")
     hoods = neighbourhoods(sets.where("key is not null"))
-    release(sets)
+    release(sets, gone)
     found: list[DataFrame] = []
 
     def tie(links: DataFrame) -> DataFrame:

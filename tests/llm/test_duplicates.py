@@ -178,7 +178,7 @@ def test_unrelated_documents_are_in_no_neighbourhood(spark):
     assert ngram_jaccard.neighbourhoods(sets).count() == 0
 
 
-@pytest.mark.parametrize(("frequent", "block"), [(1, 2), (64, 2048)])
+@pytest.mark.parametrize(("frequent", "block"), [(2, 2), (64, 2048)])
 def test_jaccard_at_a_low_threshold(spark, frequent, block, monkeypatch):
     monkeypatch.setattr(ngram_jaccard, "FREQUENT", frequent)
     monkeypatch.setattr(ngram_jaccard, "BLOCK_POINTS", block)
@@ -197,7 +197,7 @@ def test_jaccard_at_a_low_threshold(spark, frequent, block, monkeypatch):
 
 
 def test_many_near_copies_with_frequent_parts(spark, monkeypatch):
-    monkeypatch.setattr(ngram_jaccard, "FREQUENT", 4)
+    monkeypatch.setattr(ngram_jaccard, "FREQUENT", 3)
     monkeypatch.setattr(ngram_jaccard, "BLOCK_POINTS", 16)
     rnd = random.Random(12)
     line = [f"l{k}" for k in range(60)]

@@ -17,12 +17,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import durable
+
 #: Words of a shingle; bins (a power of two, at most 256) and bits kept of each.
 SHINGLE, BINS, BITS = 5, 256, 8
 #: Bins that an empty one looks at one by one; where all are empty too, it takes the one first in an order of its own.
 TRIES = 8
-#: Documents of a range of keys that are ordered together.
-RANGE = 4096
+#: Bytes of text of a range of keys that is ordered together; of more than ``MOST_RANGES`` such ranges, all are larger instead.
+RANGE_BYTES, MOST_RANGES = 16 << 20, 1 << 20
 
 
 def let(value: Column, of: Callable[[Column], Column]) -> Column:
@@ -97,60 +99,74 @@ def hex_of(packed: Column) -> Column:
     return F.array_join(F.transform(packed, lambda x: F.lpad(F.lower(F.hex(x)), 16, "0")), "")
 
 
-def key_ranges(docs: DataFrame, key: str) -> list[int]:
-    """Upper ends of ranges of keys with about ``RANGE`` rows each: as many as the rows ask for, up to some thousands."""
-    ids = docs.select(F.col(key).cast("bigint").alias("k")).where("k is not null")
-    n = ids.count()
-    parts = min(4096, -(-n // RANGE))
-    if parts < 2:
-        return []
-    ends = ids.selectExpr(f"percentile_approx(k, array({', '.join(str(i / parts) for i in range(1, parts))}), {max(10_000, 4 * parts)}) as q").first()[0]
-    return sorted(set(ends))
-
-
-def range_of(key: Column, ends: list[int]) -> Column:
-    """Number of a key's range, counted so that it falls as keys grow; null keys come last of all."""
-    if not ends:
-        return F.when(key.isNull(), F.lit(1)).otherwise(F.lit(0))
-    # Ends are told by blocks: first the blocks' heads, then the ends of one block.
-    table = F.array(*[F.lit(e) for e in ends])
-
-    step = max(1, int(len(ends) ** 0.5))
-    heads = F.array(*[F.lit(ends[i]) for i in range(0, len(ends), step)])
-    block = F.size(F.filter(heads, lambda e: e < key))
-    inside = F.size(F.filter(F.slice(table, F.greatest(F.lit(0), block - 1) * step + 1, F.lit(step)), lambda e: e < key))
-    number = F.greatest(F.lit(0), block - 1) * step + inside
-    return F.when(key.isNull(), F.lit(len(ends) + 1)).otherwise(F.lit(len(ends)) - number)
+def key_ranges(ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ranges of documents in order of ``key`` and ``tie``, of about ``RANGE_BYTES`` each, for ``ids`` (``key``, ``tie``, ``bytes``).
+
+    Returns one row with ``tops`` (the last of each range, in blocks; ``heads``: the last of each block; ``n``: ranges), and
+    (``key``, ``tie``, ``m``) of documents that occur ``m`` > 1 times. Running sums go range by range of a sort of the
+    identifiers; no text is moved."""
+    order = ["key", "tie"]
+    each = ids.groupBy(*order).agg(F.max("bytes").alias("bytes"), F.count(F.lit(1)).alias("m"))
+    each = durable(each.repartitionByRange(*order).withColumn("p", F.spark_partition_id()), "order")
+    # One row for each task of the sort.
+    sums = each.groupBy("p").agg(F.sum("bytes").alias("sum"))
+    w = W.orderBy("p")
+    sums = sums.select("p", F.coalesce(F.sum("sum").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("sum").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)).alias("all"))
+    run = F.col("before") + F.sum("bytes").over(W.partitionBy("p").orderBy(*order).rowsBetween(W.unboundedPreceding, 0))
+    unit = F.greatest(F.lit(RANGE_BYTES), F.col("all") / MOST_RANGES)
+    numbered = each.join(F.broadcast(sums), "p").select(F.floor(run / unit).alias("number"), F.struct(*order).alias("id"))
+    tops = numbered.groupBy("number").agg(F.max("id").alias("top")).agg(F.sort_array(F.collect_list("top")).alias("tops"))
+    step = F.greatest(F.lit(1), F.floor(F.sqrt(F.size("tops")))).cast("int")
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("tops") - 1) / step).cast("int")), lambda b: F.slice("tops", b * step + 1, step))
+    table = tops.where(F.size("tops") > 0).select(F.size("tops").alias("n"), step.alias("step"), blocks.alias("tops"))
+    table = durable(table.withColumn("heads", F.transform("tops", lambda b: F.element_at(b, -1))), "ranges")
+    return table, each.where("m > 1").select("key", "tie", "m")
+
+
+def in_ranges(own: DataFrame, table: DataFrame) -> DataFrame:
+    """``own`` with its range ``part`` (they grow with keys), ``top`` (is it the last of it), and ``n`` (ranges)."""
+    me = F.struct("key", "tie")
+    block = F.size(F.filter("heads", lambda x: x < me))
+    with_block = own.crossJoin(F.broadcast(table)).withColumn("block", F.get("tops", block)).withColumn("first", block * F.col("step"))  # one row, bounded by MOST_RANGES
+    inside = F.size(F.filter("block", lambda x: x < me))
+    out = with_block.withColumn("inside", inside).withColumn("part", (F.col("first") + F.col("inside")).cast("int"))
+    return out.withColumn("top", F.get("block", F.col("inside")) == me).select(*own.columns, "part", "top", "n")
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """Fingerprints of each whole text and of its edited text, in which the last third (rounded down) of the code points
     makes way for as many (or all) of the first ones of the next document. Documents stand in descending order of ``key``
-    (then of their text); after the last comes the first.
+    (then of their text's MD5); after the last comes the first.
 
     Returns ``key``, ``n_chars`` long, ``edited_sha256``, ``fingerprint`` and ``edited_fingerprint`` (hex of ``BINS`` times ``BITS``
     bits), ``near_edited`` and ``near_next`` double (likeness of the fingerprint to the edited text's, and the next
     document's). A null text is empty; texts without words are alike. Rows that repeat are documents of their own, one
     after the other; rows without a key come last. A single document is its own next. An empty table gives no rows.
-    Other columns are left out. One shuffle of the texts, into ranges of keys of bounded size; the ranges' ends are all
-    that the driver sees.
+    Other columns are left out; keys may be of any type that has an order.
+
+    One shuffle of the texts, into ranges of bounded bytes: rows of one key are parted by their texts, and equal rows are one
+    until the end. A range's last document goes on with the next range's first, which is sent to it alone.
     """
-    ends = key_ranges(docs, key)
-    own = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    placed = own.withColumn("part", range_of(F.col("key").cast("bigint"), ends))
-    own = placed.withColumn("print", fingerprint(F.col("text")))
-    order = [F.col("key").desc_nulls_last(), F.col("text").desc()]
-    w = W.partitionBy("part").orderBy(*order)
-    rows = own.withColumn("next", F.lead(F.struct("text", "print")).over(w))
-    # The last of a range goes on with the first of the next range that has rows: one row for each range.
-    heads = placed.groupBy("part").agg(F.max(F.struct(F.col("key").isNotNull().alias("has"), "key", "text")).alias("head"))
-    heads = heads.withColumn("head", F.struct("head.text", fingerprint(F.col("head.text")).alias("print")))
-    ring = W.orderBy("part")
-    after = F.coalesce(F.lead("head").over(ring), F.first("head").over(ring.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
-    ring_of = heads.select("part", after.alias("head"))
-    joined = rows.join(ring_of, "part", "left")
+    own = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.md5("text"))
+    table, repeated = key_ranges(own.select("key", "tie", (F.octet_length("text") + 64).cast("bigint").alias("bytes")))
+    several = not repeated.isEmpty()
+    if several:
+        same = [F.col("x.key").eqNullSafe(F.col("y.key")), F.col("x.tie") == F.col("y.tie")]
+        once = own.alias("x").join(repeated.alias("y"), same, "left").select("x.key", "x.text", "x.tie", "y.m")
+        own = once.where("m is null").unionByName(once.where("m is not null").dropDuplicates(["key", "tie"]))
+    placed = in_ranges(own, table)
+    w = W.partitionBy("part").orderBy(F.col("key").desc_nulls_last(), F.col("tie").desc())
+    rows = placed.withColumn("print", fingerprint(F.col("text")))
+    rows = rows.withColumn("next", F.lead(F.struct("text", "print")).over(w))
+    # Keys fall, so a range is followed by the one before it, and the first by the last.
+    tops = placed.where("top").select(F.pmod(F.col("part") + 1, F.col("n")).alias("part"), F.struct("text", fingerprint(F.col("text")).alias("print")).alias("head"))
     other = lambda c: F.coalesce(F.col(f"next.{c}"), F.col(f"head.{c}"))
-    joined = joined.select("key", "text", "print", other("text").alias("other"), other("print").alias("next_print"))
+    kept = ["key", "text", "print", *(["m"] if several else [])]
+    joined = rows.join(tops, "part", "left").select(*kept, other("text").alias("other"), other("print").alias("next_print"))
+    if several:
+        # Of equal rows all but one are followed by one of them.
+        again = joined.where("m > 1").withColumn("k", F.explode(F.sequence(F.lit(2), F.col("m").cast("int"))))
+        joined = joined.drop("m").unionByName(again.select("key", "text", "print", F.col("text").alias("other"), F.col("print").alias("next_print")))
     n = F.length("text")
     moved = F.floor(n / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - moved), F.substring(F.col("other"), F.lit(1), moved))

@@ -1,6 +1,7 @@
 import base64
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -166,7 +167,7 @@ def test_fingerprints(spark, monkeypatch):
     rnd = random.Random(3)
     rows = [(i * 3, " ".join(f"w{rnd.randrange(5000)}" for _ in range(rnd.choice([1, 4, 5, 30, 200, 900])))) for i in range(60)] + [(1000, rnd_text := "é😀 " * 50), (999, rnd_text), (998, "")]
     docs = spark.createDataFrame([(i, t, "f") for i, t in rows], "doc_id long, text string, fingerprint string")
-    monkeypatch.setattr(fingerprints, "RANGE", 10)
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 6000)
     got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs).collect()}
     order = sorted(rows, reverse=True)
     assert len(got) == len(rows)
@@ -186,7 +187,7 @@ def test_fingerprints(spark, monkeypatch):
 def test_fingerprints_do_not_depend_on_ranges(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"a b c d e {i % 4} f g") for i in range(50)] + [(7, "x"), (7, "x"), (None, "y"), (None, None)], "doc_id long, text string")
     want = sorted(map(tuple, fingerprints.fingerprints(docs).collect()), key=repr)
-    monkeypatch.setattr(fingerprints, "RANGE", 3)
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 200)
     assert sorted(map(tuple, fingerprints.fingerprints(docs.repartition(5)).collect()), key=repr) == want and len(want) == 54
     one = fingerprints.fingerprints(docs.where("doc_id = 3")).first()
     assert one["near_next"] == 1.0
@@ -199,11 +200,69 @@ def test_no_python_in_the_plan(spark):
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
 
 
-def test_ranges_of_keys(spark):
-    ends = [0, 10, 20, 30, 40, 50, 60]
-    df = spark.createDataFrame([(k,) for k in range(-1, 63)] + [(None,)], "k long")
-    for r in df.select("k", fingerprints.range_of(F.col("k"), ends).alias("p")).collect():
-        assert r["p"] == (8 if r["k"] is None else 7 - sum(e < r["k"] for e in ends))
+def test_ranges_of_keys(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 1000)
+    rows = [(k, f"{k % 7}", 100) for k in range(60)] + [(70, "huge", 5000), (None, "a", 900), (None, "b", 900), (80, "t", 700), (80, "u", 700), (80, "u", 700)]
+    ids = spark.createDataFrame(rows, "key long, tie string, bytes long").repartition(3)
+    table, repeated = fingerprints.key_ranges(ids)
+    assert [tuple(r) for r in repeated.collect()] == [(80, "u", 2)]
+    got = sorted((r["part"], -1 if r["key"] is None else r["key"], r["tie"], r["bytes"], r["top"], r["n"]) for r in fingerprints.in_ranges(ids, table).collect())
+    assert [x[1:3] for x in got] == sorted(x[1:3] for x in got)
+    parts = sorted({x[0] for x in got})
+    assert parts == list(range(got[0][5])) and len(parts) > 6
+    for p in parts:
+        own = [x for x in got if x[0] == p]
+        assert [x[4] for x in own if x[1:3] == own[-1][1:3]] == [True] * sum(x[1:3] == own[-1][1:3] for x in own) and not any(x[4] for x in own if x[1:3] != own[-1][1:3])
+        assert sum(x[3] for x in own) <= 1000 + max(x[3] for x in own)
+    # Rows without a key, and rows of one key, are parted too.
+    assert len({x[0] for x in got if x[1] == -1}) == 2 and len({x[0] for x in got if x[1] == 80}) == 2
+
+
+def plain_fingerprint(spark, text):
+    """The bits of a fingerprint, word by word and bin by bin; hashes of words and of runs come from the engine."""
+    w = [x for x in re.split("[ \t\n\x0b\x0c\r]", text) if x]
+    frame = lambda rows, kind: spark.createDataFrame(rows, kind)
+    hashes = [r[0] for r in frame([(k, x) for k, x in enumerate(w)], "k int, w string").orderBy("k").select(F.xxhash64("w")).collect()] if w else []
+    n = fingerprints.SHINGLE
+    if len(w) >= n:
+        runs = [hashes[k : k + n] for k in range(len(w) - n + 1)]
+        values = [r[0] for r in frame([(r,) for r in runs], "r array<long>").select(F.xxhash64(*[F.col("r")[k] for k in range(n)])).collect()]
+    else:
+        values = [frame([(hashes,)], "r array<long>").select(F.xxhash64("r")).first()[0]]
+    low = 64 - 8
+    least = {}
+    for v in values:  # bins by the top bits; within one, the smallest
+        b = (v % (1 << 64)) >> low
+        least[b] = min(least.get(b, v), v)
+    order = sorted(range(256), key=lambda b: b - 256 if b >= 128 else b)  # of signed numbers
+    bins = [least.get(b) for b in order]
+    tries = {(r["j"], r["a"]): r["h"] % 256 for r in spark.range(256).crossJoin(spark.range(fingerprints.TRIES).withColumnRenamed("id", "a")).select(F.col("id").cast("int").alias("j"), F.col("a").cast("int").alias("a")).withColumn("h", F.xxhash64("j", "a")).collect()}
+    out = []
+    for j, x in enumerate(bins):
+        if x is None:
+            x = next((bins[tries[j, a]] for a in range(fingerprints.TRIES) if bins[tries[j, a]] is not None), None)
+        if x is None:
+            far = frame([(j, q, -1) for q in range(256) if bins[q] is not None], "j int, q int, a int").withColumn("o", F.xxhash64("j", "q", "a")).orderBy("o").first()
+            x = bins[far["q"]]
+        out.append(x % 256)
+    return "".join("".join(f"{v:02x}" for v in out[k : k + 8][::-1]) for k in range(0, 256, 8))
+
+
+def test_bits_of_a_fingerprint(spark):
+    rnd = random.Random(8)
+    texts = ["", "one", "a b c d e", " ".join(f"w{rnd.randrange(40)}" for _ in range(60)), "\t".join(f"é{k}" for k in range(1500))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["fingerprint"] for r in fingerprints.fingerprints(docs).collect()}
+    assert got == {k: plain_fingerprint(spark, t) for k, t in enumerate(texts)}
+
+
+def test_fingerprints_of_any_keys_and_a_hot_row(spark):
+    rows = [("b", "x y z"), ("a", "hot row here"), ("c", "p q r")] + [("a", "hot row here")] * 40
+    docs = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((r["doc_id"], r["edited_sha256"]) for r in fingerprints.fingerprints(docs).collect())
+    edit = lambda t, o: hashlib.sha256((t[: len(t) - len(t) // 3] + o[: len(t) // 3]).encode()).hexdigest()
+    hot = "hot row here"
+    assert got == sorted([("c", edit("p q r", "x y z")), ("b", edit("x y z", hot)), ("a", edit(hot, "p q r"))] + [("a", edit(hot, hot))] * 40)
 
 
 # --- toxicity

@@ -10,19 +10,19 @@ and payload digests.
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import re
 import uuid
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from urllib.parse import quote
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import work_dir
+from .common import remove, work_dir
 
 # Fixed values of the two formats.
 ARC_FIELDS = {
@@ -33,8 +33,10 @@ WARC_VERSION = "WARC/1.0"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 #: Names the identifiers of records.
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:lexforge:arc")
-#: Records of a file of the archive, at most.
-FILE_RECORDS = 10_000
+#: Bytes of a file that is written, unless one record has more.
+FILE_BYTES = 16 << 20
+#: A gzip member without content. Text writers put one after each file, as they must end lines with something.
+EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00" + bytes(8)
 
 
 class ArchiveError(ValueError):
@@ -65,6 +67,55 @@ def split_http(block: bytes) -> tuple[dict[str, str], bytes]:
     return {"": lines[0], **{k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}}, body
 
 
+class Stream:
+    """Lines and stretches of an archive, plain or gzipped, of which as much is unpacked as is asked for."""
+
+    def __init__(self, data: bytes):
+        self.at, self.have, self.pieces = 0, bytearray(), self._pieces(data)
+
+    @staticmethod
+    def _pieces(data: bytes, step: int = 1 << 18) -> Iterator[bytes]:
+        if not data.startswith(b"\x1f\x8b"):
+            yield data
+            return
+        at, view = 0, memoryview(data)
+        while data.startswith(b"\x1f\x8b", at):
+            member = zlib.decompressobj(31)
+            while not member.eof and at < len(data):
+                part = view[at : at + step]
+                out = member.decompress(part)
+                at += len(part) - len(member.unused_data)
+                yield out
+            if not member.eof:
+                raise ArchiveError(f"gzip member before {at} has no end")
+            while data.startswith(b"\0", at):  # padding
+                at += 1
+
+    def fill(self, n: int) -> bool:
+        """Are ``n`` bytes there?"""
+        while len(self.have) < n:
+            piece = next(self.pieces, None)
+            if piece is None:
+                return False
+            self.have += piece
+        return True
+
+    def find(self, what: bytes) -> int:
+        """Where ``what`` begins, from here; -1 if it does not come."""
+        start = 0
+        while (k := self.have.find(what, start)) < 0:
+            start = max(0, len(self.have) - len(what) + 1)
+            if not self.fill(len(self.have) + 1):
+                return -1
+        return k
+
+    def take(self, n: int) -> bytes:
+        out = bytes(self.have[:n])
+        del self.have[:n]
+        self.at += n
+        return out
+
+
 # --- ARC
 
 
@@ -89,33 +140,31 @@ def arc_file(version: int, records: Iterator[tuple[str, str, str, str, bytes]],
 
 
 def parse_arc(data: bytes) -> Iterator[Record]:
-    """The records of an ARC file, by the header fields of its version and the declared lengths. Blank lines between
-    records are skipped; a header that has other fields than its version's, or a length that goes past the end, is an
-    error."""
-    at, version, seen = 0, 0, False
-    while at < len(data):
-        if data[at : at + 1] in (b"\n", b"\r"):
-            at += 1
+    """The records of an ARC file, gzipped or not, by the header fields of its version and the declared lengths. Blank lines
+    between records are skipped; a header that has other fields than its version's, or a length that goes past the end, is an
+    error. Fields are parted by single spaces from the right, as URLs of old archives may hold some."""
+    stream, version = Stream(data), 0
+    while stream.fill(1):
+        if stream.have[:1] in (b"\n", b"\r"):
+            stream.take(1)
             continue
-        end = data.find(b"\n", at)
+        at, end = stream.at, stream.find(b"\n")
         if end < 0:
             raise ArchiveError(f"header line at {at} has no end")
-        line = data[at:end].rstrip(b"\r").decode("utf-8", "replace")
-        parts = line.split(" ")
-        names = ARC_FIELDS[1] if len(parts) == len(ARC_FIELDS[1]) else ARC_FIELDS[2]
-        if seen:
-            names = ARC_FIELDS[version]
+        line = stream.take(end + 1).rstrip(b"\r\n").decode("utf-8", "replace")
+        names = ARC_FIELDS[version or (1 if line.count(" ") == len(ARC_FIELDS[1]) - 1 else 2)]
+        parts = line.rsplit(" ", len(names) - 1)
         if len(parts) != len(names) or not parts[-1].isdigit():
             raise ArchiveError(f"header line at {at} is not of version {version or '1 or 2'}: {line[:80]!r}")
-        length, start = int(parts[-1]), end + 1
-        if start + length > len(data):
-            raise ArchiveError(f"record at {at} declares {length} bytes; {len(data) - start} are left")
-        block, at = data[start : start + length], start + length
-        if not seen:
+        length = int(parts[-1])
+        if not stream.fill(length):
+            raise ArchiveError(f"record at {at} declares {length} bytes; {len(stream.have)} are left")
+        block = stream.take(length)
+        if not version:
             first = block.split(b"\n", 1)[0].split(b" ")[0]
             if not line.startswith("filedesc://") or first not in (b"1", b"2"):
                 raise ArchiveError("the file does not begin with a version block")
-            version, seen = int(first), True
+            version = int(first)
             continue
         yield Record(dict(zip(names, parts, strict=True)), block, version)
 
@@ -173,106 +222,181 @@ def warc_bytes(headers: dict[str, str], block: bytes) -> bytes:
 
 
 def parse_warc(data: bytes) -> Iterator[Record]:
-    """The records of a WARC file, compressed or not, by the declared lengths, whatever a block may hold."""
-    if data.startswith(b"\x1f\x8b"):
-        data = gzip.decompress(data)
-    at = 0
-    while at < len(data):
-        end = data.find(b"\r\n\r\n", at)
-        if end < 0 or not data.startswith(b"WARC/", at):
-            if not data[at:].strip():
+    """The records of a WARC file, gzipped or not, by the declared lengths, whatever a block may hold."""
+    stream = Stream(data)
+    while stream.fill(1):
+        at, end = stream.at, stream.find(b"\r\n\r\n")
+        if end < 0 or not stream.have.startswith(b"WARC/"):
+            if end < 0 and not bytes(stream.have).strip():
                 return
             raise ArchiveError(f"no record at {at}")
-        lines = data[at:end].decode().split("\r\n")
-        headers = {k.strip(): v.strip() for k, _, v in (x.partition(":") for x in lines[1:])}
-        start = end + 4
+        lines = stream.take(end + 4).decode("utf-8", "replace").split("\r\n")
+        headers = {k.strip(): v.strip() for k, found, v in (x.partition(":") for x in lines[1:]) if found}
         length = int(headers["Content-Length"])
-        if start + length > len(data):
-            raise ArchiveError(f"record at {at} declares {length} bytes; {len(data) - start} are left")
-        block = data[start : start + length]
+        if not stream.fill(length):
+            raise ArchiveError(f"record at {at} declares {length} bytes; {len(stream.have)} are left")
+        block = stream.take(length)
         http, payload = split_http(block)
         yield Record(headers, block, 0, http, payload)
-        at = start + length
-        while data.startswith(b"\r\n", at) and at < start + length + 4:
-            at += 2
+        for _ in range(2):
+            if stream.fill(2) and stream.have.startswith(b"\r\n"):
+                stream.take(2)
 
 
-# --- tables
+# --- files
 
 
-def to_warc(pages: DataFrame, path: str, least: int = 0, key: str = "page_id", url: str = "url", html: str = "html", date: str = "20240101000000") -> None:
-    """Write a WARC record for each row: pages become ARC records, which are parsed and converted.
+def member(data: bytes) -> bytes:
+    pack = zlib.compressobj(1, zlib.DEFLATED, 31)
+    return pack.compress(data) + pack.flush()
 
-    Of records with equal payloads of at least ``least`` bytes, the one with the largest key is the response, and the
-    others, repeats of the same key included, are revisits of it; null keys come before all others. A null payload
-    is empty. Each output file is a whole WARC, compressed, of ``FILE_RECORDS`` records at most. Payloads are moved once, to
-    where equal ones meet.
-    """
-    rows = pages.select(F.col(key).alias("k"), F.col(url).cast("string").alias("u"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("p"))
-    rows = rows.withColumn("h", F.sha1(F.encode("p", "utf-8"))).withColumn("size", F.octet_length("p").cast("bigint"))
-    # The first of each payload, summed per task before the shuffle; a hot payload is one row here.
-    best = rows.where(F.col("size") >= least).groupBy("h").agg(F.max(F.struct(F.col("k"), F.col("u"))).alias("best"), F.count(F.lit(1)).alias("n"))
-    best = best.where("n > 1").select("h", F.col("best.k").alias("best_k"), F.col("best.u").alias("best_u"))
-    joined = rows.join(best, "h", "left")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number = 0
-        for batch in batches:
-            number += 1
-            version = 1 + number % 2  # both versions are written, so both are read
-            cols = [batch.column(i) for i in range(4)]
-            for start in range(0, batch.num_rows, 64):
-                some = [[v.as_py() for v in c.slice(start, 64)] for c in cols]
-
-                def blocks(some=some) -> Iterator[tuple[str, str, str, str, bytes]]:
-                    for k, u, p, _ in zip(*some, strict=True):
-                        body = p.encode("utf-8", "surrogatepass")
-                        head = f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {'' if k is None else k}\r\nContent-Length: {len(body)}\r\n\r\n"
-                        yield arc_url(u), "0.0.0.0", date, "text/html", head.encode() + body
-
-                legacy = b"".join(arc_file(version, blocks()))
-                out = []
-                for record, k, u, ref in zip(parse_arc(legacy), some[0], some[1], some[3], strict=True):
-                    refers = None
-                    if ref is not None:
-                        first = (ref["k"], ref["u"])
-                        if first != (k, u):
-                            refers = uuid_of(arc_url(first[1]), date, "" if first[0] is None else str(first[0]))
-                    headers, block = convert(record, refers)
-                    out.append(warc_bytes(headers, block).decode("utf-8", "surrogatepass"))
-                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], ["value"])
-
-    ref = F.when(F.col("best_k").isNotNull() | F.col("best_u").isNotNull(), F.struct(F.col("best_k").alias("k"), F.col("best_u").alias("u"))).alias("ref")
-    records = joined.select("k", "u", "p", ref).mapInArrow(run, "value string")
-    # A text writer whose lines end with the two line ends that close a record writes whole WARC files.
-    records.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+def in_files(parts: Iterator[bytes], first: bytes = b"") -> Iterator[bytes]:
+    """Contents of files of about ``FILE_BYTES``, of packed records; each begins with ``first``."""
+    held, size = [first], len(first)
+    for part in parts:
+        if size + len(part) > FILE_BYTES and len(held) > 1:
+            yield b"".join(held)
+            held, size = [first], len(first)
+        held.append(part)
+        size += len(part)
+    if len(held) > 1:
+        yield b"".join(held)
 
 
-def read_warc(spark, path: str) -> DataFrame:
-    """The records of the WARC files in a folder: ``record_id``, ``record_type``, ``refers_to_id``, ``target_uri``,
-    ``warc_date``, ``payload_digest`` (without its label), ``page_id`` string (null if the response has none),
-    ``payload_bytes`` long (of the full payload, for revisits as the HTTP headers declare it), ``payload`` binary (as
-    stored, so empty for revisits). A file is read in one task."""
+def write_files(contents: DataFrame, path: str) -> None:
+    """Write each row's bytes (``value``) as a file of its own. They are cast to a string, which a text writer writes as it is."""
+    lines = contents.select(F.col("value").cast("string").alias("value"))
+    lines.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").option("maxRecordsPerFile", 1).text(path)
+
+
+def read_files(spark, path: str, parse: Callable[[bytes], Iterator[Record]], row: Callable[[Record], tuple], schema: pa.Schema, ddl: str) -> DataFrame:
+    """A row for each record of the archives in a folder. A file is read in one task, as a whole, and unpacked record by
+    record; files of more than 2 GB are beyond the reader of binary files."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where("length > 0").select("content")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["record_id", "record_type", "refers_to_id", "target_uri", "warc_date", "payload_digest", "page_id", "payload_bytes", "payload"]
-        kinds = [pa.string()] * 7 + [pa.int64(), pa.binary()]
+        def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
+
         for batch in batches:
             for content in batch.column(0):
-                rows: list[tuple] = []
-                for r in parse_warc(content.as_py()):
-                    h = r.headers
-                    strip = lambda v: v and v.strip("<>")
-                    size = int(r.http.get("content-length", len(r.payload))) if h["WARC-Type"] == "revisit" else len(r.payload)
-                    rows.append((strip(h["WARC-Record-ID"]), h["WARC-Type"], strip(h.get("WARC-Refers-To")), h["WARC-Target-URI"], h["WARC-Date"], h["WARC-Payload-Digest"].removeprefix("sha1:"), r.http.get("x-page-id") or None, size, r.payload))
-                    if len(rows) == 512:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
-                        rows = []
+                rows, size = [], 0
+                for r in parse(content.as_py()):
+                    rows.append(row(r))
+                    size += len(r.block)
+                    if len(rows) == 512 or size > 4 << 20:
+                        yield batch_of(rows)
+                        rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+                    yield batch_of(rows)
+
+    return files.mapInArrow(run, ddl)
+
+
+# --- tables
+
 
-    return files.mapInArrow(run, "record_id string, record_type string, refers_to_id string, target_uri string, warc_date string, payload_digest string, page_id string, payload_bytes bigint, payload binary")
+def write_arc(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", html: str = "html", date: str = "20240101000000") -> None:
+    """Write a legacy archive of pages: an ARC record for each row, its key in a header of its HTTP response. Files of both
+    versions are written, a gzip member for each record. A null payload is empty."""
+    rows = pages.select(F.col(key).cast("string").alias("k"), F.col(url).cast("string").alias("u"), F.coalesce(F.col(html).cast("string"), F.lit("")).alias("p"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, batch in enumerate(batches):
+            version = 1 + number % 2
+
+            def records(batch=batch) -> Iterator[tuple[str, str, str, str, bytes]]:
+                for k, u, p in zip(*batch.columns, strict=True):
+                    body = p.as_py().encode("utf-8", "surrogatepass")
+                    own = "" if k.as_py() is None else k.as_py()
+                    head = f"HTTP/1.0 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nX-Page-Id: {own}\r\nContent-Length: {len(body)}\r\n\r\n"
+                    yield arc_url(u.as_py()), "0.0.0.0", date, "text/html", head.encode() + body
+
+            parts = map(member, arc_file(version, records()))
+            first = next(parts)
+            for content in in_files(parts, first):
+                yield pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], ["value"])
+
+    write_files(rows.mapInArrow(run, "value binary"), path)
+
+
+def read_arc(spark, path: str) -> DataFrame:
+    """The records of the ARC archives in a folder, of either version, gzipped or not: ``version`` int, ``url``, ``ip``, ``date``,
+    ``content_type``, ``result_code`` (null in version 1), ``record_id`` (as the converter synthesises it), ``page_id`` (what the
+    response says of it, or null), ``payload_digest`` (bare base32 SHA-1), ``payload_bytes`` long and ``block`` binary (HTTP
+    headers and payload, as declared)."""
+    names = ["version", "url", "ip", "date", "content_type", "result_code", "record_id", "page_id", "payload_digest", "payload_bytes", "block"]
+    schema = pa.schema(list(zip(names, [pa.int32(), *[pa.string()] * 8, pa.int64(), pa.binary()], strict=True)))
+
+    def row(r: Record) -> tuple:
+        http, payload = split_http(r.block)
+        h = r.headers
+        code = h.get("Result-code")
+        return r.version, h["URL"], h["IP-address"], h["Archive-date"], h["Content-type"], code, record_id(r), http.get("x-page-id") or None, digest(payload), len(payload), r.block
+
+    strings = ", ".join(f"{c} string" for c in names[1:9])
+    return read_files(spark, path, parse_arc, row, schema, f"version int, {strings}, payload_bytes bigint, block binary")
+
+
+def convert_archives(spark, source: str, path: str, least: int = 0, order: Column | None = None) -> None:
+    """Convert the ARC archives in the folder ``source`` to WARC files in ``path``, a record for each.
+
+    Of records with equal payloads of at least ``least`` bytes, the one that is last in ``order`` (of the columns of ``read_arc``;
+    by default the date, then the URL) is written whole and the others are revisits of it; records with its identifier
+    are written whole too. Payloads are moved once, to where equal ones meet."""
+    records = read_arc(spark, source)
+    rank = F.struct((order if order is not None else F.struct("date", "url")).alias("rank"), F.col("record_id").alias("id"))
+    # The first of each payload, summed per task before the shuffle; a hot payload is one row here.
+    best = records.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("n"))
+    best = best.where("n > 1").select("payload_digest", F.col("best.id").alias("best_id"))
+    names = ["version", "url", "ip", "date", "content_type", "block"]
+    joined = records.join(best, "payload_digest", "left").select(*names, F.when(F.col("best_id") != F.col("record_id"), F.col("best_id")).alias("refers"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def packed() -> Iterator[bytes]:
+            for batch in batches:
+                for version, url, ip, date, kind, block, refers in zip(*batch.columns, strict=True):
+                    fields = {"URL": url.as_py(), "IP-address": ip.as_py(), "Archive-date": date.as_py(), "Content-type": kind.as_py()}
+                    headers, out = convert(Record(fields, block.as_py(), version.as_py()), refers.as_py())
+                    yield member(warc_bytes(headers, out) + b"\r\n\r\n")
+
+        for content in in_files(packed()):
+            yield pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], ["value"])
+
+    write_files(joined.mapInArrow(run, "value binary"), path)
+
+
+def to_warc(pages: DataFrame, path: str, least: int = 0, key: str = "page_id", url: str = "url", html: str = "html") -> None:
+    """Write a WARC record for each row: pages are written as a legacy archive, which is read from storage and converted.
+
+    Of records with equal payloads of at least ``least`` bytes, the one with the largest key is the response, and the
+    others are revisits of it; null keys come before all others. A null payload is empty."""
+    spark = pages.sparkSession
+    legacy = f"{work_dir(spark)}/arc-{uuid.uuid4().hex}"
+    write_arc(pages, legacy, key, url, html)
+    kind = pages.schema[key].dataType.simpleString()
+    convert_archives(spark, legacy, path, least, F.struct(F.col("page_id").cast(kind).alias("k"), F.col("url").alias("u")))
+    remove(spark, legacy)
+
+
+def read_warc(spark, path: str) -> DataFrame:
+    """The records of the WARC files in a folder: ``record_id``, ``record_type``, ``refers_to_id``, ``target_uri``,
+    ``warc_date``, ``payload_digest`` (without its label), ``page_id`` string (null if the response has none),
+    ``payload_bytes`` long (of the full payload, for revisits as the HTTP headers declare it), ``payload`` binary (as
+    stored, so empty for revisits)."""
+    names = ["record_id", "record_type", "refers_to_id", "target_uri", "warc_date", "payload_digest", "page_id", "payload_bytes", "payload"]
+    schema = pa.schema(list(zip(names, [*[pa.string()] * 7, pa.int64(), pa.binary()], strict=True)))
+
+    def row(r: Record) -> tuple:
+        h = r.headers
+        strip = lambda v: v and v.strip("<>")
+        size = int(r.http.get("content-length", len(r.payload))) if h["WARC-Type"] == "revisit" else len(r.payload)
+        told = h.get("WARC-Payload-Digest")
+        return strip(h["WARC-Record-ID"]), h["WARC-Type"], strip(h.get("WARC-Refers-To")), h.get("WARC-Target-URI"), h["WARC-Date"], told and told.removeprefix("sha1:"), r.http.get("x-page-id") or None, size, r.payload
+
+    strings = ", ".join(f"{c} string" for c in names[:7])
+    return read_files(spark, path, parse_warc, row, schema, f"{strings}, payload_bytes bigint, payload binary")
 
 
 def archive_pages(pages: DataFrame, least: int = 0, key: str = "page_id", url: str = "url", html: str = "html", path: Callable[[], str] | None = None) -> DataFrame:

@@ -155,6 +155,39 @@ def test_archived_pages(spark, tmp_path):
     assert bytes(kept["payload"]).decode() == "other é"
 
 
+def test_archives_from_storage(spark, tmp_path, monkeypatch):
+    import gzip
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 3000)
+    http = b"HTTP/1.0 200 OK\r\nContent-Type: x\r\n\r\n"
+    wild = http + bytes(range(256)) * 40 + b"\r\n\r\nhttp://x 1.1.1.1 20200101000000 text/html 5\n"
+    one = [("http://a/ b", "1.2.3.4", "20200102030405", "text/html", wild), ("http://b/", "0.0.0.0", "202001020304", "image/png", b"\xff\xfe\x00")]
+    two = [("http://c/", "9.9.9.9", "20210102030405", "text/html", wild), ("http://d/", "9.9.9.9", "20190102030405", "text/html", wild), ("dns:e", "-", "20190102030405", "text/dns", b"")]
+    folder = tmp_path / "arc" / "deep"
+    folder.mkdir(parents=True)
+    (folder / "plain.arc").write_bytes(b"".join(warc.arc_file(1, iter(one))))
+    (folder / "members.arc.gz").write_bytes(b"".join(gzip.compress(x) for x in warc.arc_file(2, iter(two))))
+    (folder / "whole.arc.gz").write_bytes(gzip.compress(b"".join(warc.arc_file(2, iter(one[1:])))))
+    got = sorted((r["version"], r["url"], r["date"], bytes(r["block"])) for r in warc.read_arc(spark, str(tmp_path / "arc")).collect())
+    assert got == sorted([(1, u, d, b) for u, _, d, _, b in one] + [(2, u, d, b) for u, _, d, _, b in two + one[1:]])
+    out = str(tmp_path / "warc")
+    warc.convert_archives(spark, str(tmp_path / "arc"), out, least=1)
+    rows = {(r["target_uri"], r["record_type"]): r for r in warc.read_warc(spark, out).collect()}
+    assert set(rows) == {("http://c/", "response"), ("http://a/ b", "revisit"), ("http://d/", "revisit"), ("http://b/", "resource"), ("dns:e", "resource")}
+    assert bytes(rows["http://c/", "response"]["payload"]) == wild[len(http) :] and bytes(rows["http://b/", "resource"]["payload"]) == b"\xff\xfe\x00"
+    assert all(rows[u, "revisit"]["refers_to_id"] == rows["http://c/", "response"]["record_id"] for u in ("http://a/ b", "http://d/"))
+    # A gzip member for each record, which can be read alone, and files of bounded size.
+    for file in (tmp_path / "warc").glob("part-*"):
+        data, at, records = file.read_bytes(), 0, 0
+        while at < len(data):
+            unpack = warc.zlib.decompressobj(31)
+            alone = unpack.decompress(data[at:])
+            records += len(list(warc.parse_warc(alone)))
+            assert not alone or alone.startswith(b"WARC/1.0") and len(list(warc.parse_warc(alone))) == 1
+            at = len(data) - len(unpack.unused_data)
+        assert records and (records == 1 or len(data) <= 3000 + len(warc.EMPTY_MEMBER))
+
+
 # --- fingerprints
 
 

@@ -1,5 +1,6 @@
 import base64
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -55,13 +56,77 @@ def test_written_shards(spark, tmp_path):
 # --- mixing
 
 
-def test_targets_share_the_excess():
-    got = mixing.targets([("a", 100), ("b", 100), ("c", 1000), (None, 10)], mixing.Policy())
-    assert sum(got.values()) == pytest.approx(1.5 * 1210) and got["a"] == 200 and all(got[s] <= 2 * n + 1e-9 for s, n in (("a", 100), ("b", 100), ("c", 1000), (None, 10)))
-    assert mixing.targets([("a", 0)], mixing.Policy()) == {"a": 0.0} and mixing.targets([], mixing.Policy()) == {}
+def targets(spark, rows, policy=None):
+    sized = spark.createDataFrame(rows, "source string, size long")
+    policy = policy or mixing.Policy()
+    return {r["source"]: r["target"] for r in mixing.with_targets(mixing.numbered_sources(sized, policy), policy).collect()}
+
+
+def test_targets_share_the_excess(spark):
+    rows = [("a", 100), ("b", 100), ("c", 1000), (None, 10)]
+    got = targets(spark, rows)
+    assert sum(got.values()) == pytest.approx(1.5 * 1210) and got["a"] == 200 and all(got[s] <= 2 * n + 1e-9 for s, n in rows)
+    assert targets(spark, [("a", 0)]) == {"a": 0.0} and targets(spark, []) == {}
     # Code points, null last: weights 5, 2, 1, 5.
-    even = mixing.targets([("b", 1000), (None, 1000), ("a", 1000), ("Z", 1000)], mixing.Policy(share=0.13))
+    even = targets(spark, [("b", 1000), (None, 1000), ("a", 1000), ("Z", 1000)], mixing.Policy(share=0.13))
     assert [round(even[s] / 40) for s in ("Z", "a", "b", None)] == [5, 2, 1, 5]
+    assert sorted(targets(spark, [("a", 10), ("b", 20)], mixing.Policy(share=2.0)).values()) == [20.0, 40.0]
+
+
+def plain_mix(rows, policy):
+    """Targets and rates by hand: shares until none is above, and a bisection for each source's multiplier."""
+    size = {}
+    for _, n, s in rows:
+        size[s] = size.get(s, 0) + n
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: policy.weights[k % 3] for k, s in enumerate(order)}
+    target, left, free = {}, policy.share * sum(size.values()), set(order)
+    while free:
+        unit = left / sum(weight[s] for s in free)
+        above = {s for s in free if unit * weight[s] > policy.cap * size[s]}
+        if not above:
+            target |= {s: unit * weight[s] for s in free}
+            break
+        target |= {s: float(policy.cap * size[s]) for s in above}
+        left -= sum(policy.cap * size[s] for s in above)
+        free -= above
+    rates = {}
+    for s in order:
+        own = np.array([n for _, n, t in rows if t == s], float)
+        low, high = -50.0, 50.0
+        for _ in range(200):
+            mid = (low + high) / 2
+            given = (own * np.minimum(policy.cap, np.exp(np.minimum(700, mid * own)))).sum()
+            low, high = (mid, high) if given < target[s] else (low, mid)
+        rates[s] = lambda n, t=low: min(policy.cap, math.exp(min(700, t * n))) if n else 1.0
+    return target, rates
+
+
+def test_mix_by_hand(spark):
+    rnd = random.Random(6)
+    rows = [(i, rnd.choice([0, 1, 3, 7, 20, 90, 400]), rnd.choice(["s1", "s2", "t", None, "é", "z"])) for i in range(1500)]
+    docs = spark.createDataFrame([(i, "w " * n, s) for i, n, s in rows], "doc_id long, text string, source string")
+    target, rates = plain_mix(rows, mixing.Policy())
+    got = {r["doc_id"]: r for r in mixing.mix(docs).collect()}
+    for i, n, s in rows:
+        assert got[i]["target"] == pytest.approx(target[s], rel=1e-9) and got[i]["rate"] == pytest.approx(rates[s](n), rel=1e-4)
+    for s in target:
+        assert abs(sum(got[i]["taken"] for i, _, t in rows if t == s) - target[s]) <= 1
+
+
+def test_copies_of_a_hot_row_and_of_many_groups(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "GROUP", 16)
+    rows = [(7, "a b c", "s")] * 500 + [(k, "d e f", "s") for k in range(600)] + [(k, "g " * 40, "t") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)
+    got = mixing.mix(docs).collect()
+    assert len(got) == 1150 and all(0 <= r["copies"] <= 2 for r in got)
+    for size in (3, 40):
+        own = [r for r in got if r["size"] == size]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= size
+        if own[0]["rate"] < 2:  # evenly dealt
+            assert max(r["copies"] for r in own) - min(r["copies"] for r in own) <= 1
+    out = mixing.apply_mix(docs)
+    assert out.count() == sum(r["copies"] for r in got) and out.where("doc_id = 7").count() > 400
 
 
 def test_mix(spark):
@@ -93,6 +158,7 @@ def test_mix_edges(spark):
 
 def test_applied_mix(spark):
     docs = spark.createDataFrame([(i, "w " * (i % 9 + 1), f"s{i % 3}", i) for i in range(300)], "doc_id long, text string, source string, copies long")
+    docs = docs.withColumn("__often", F.lit(1)).withColumn("__key", F.lit("x"))
     want = {r["doc_id"]: r["copies"] for r in mixing.mix(docs).collect()}
     out = mixing.apply_mix(docs)
     assert out.columns == docs.columns

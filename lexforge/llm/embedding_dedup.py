@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import durable, release
 from .components import components
@@ -39,10 +40,9 @@ def hyperplanes(dim: int, bits: int, tables: int, seed: int = 20240229) -> np.nd
     return np.random.default_rng([seed, dim, bits, tables]).standard_normal((dim, bits * tables))
 
 
-def codes(x: np.ndarray, planes: np.ndarray, bits: int) -> np.ndarray:
-    """Codes (rows by tables) of the vectors ``x``."""
-    signs = (x @ planes > 0).reshape(len(x), -1, bits)
-    return (signs.astype(np.int64) << np.arange(bits, dtype=np.int64)).sum(2)
+def codes(signs: np.ndarray, bits: int) -> np.ndarray:
+    """Codes (rows by tables) of the signs of products with all hyperplanes."""
+    return (signs.reshape(len(signs), -1, bits).astype(np.int64) << np.arange(bits, dtype=np.int64)).sum(2)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -50,34 +50,49 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def valid_vectors(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
-    """(``key``, ``v`` binary doubles, ``dim``) of the vectors that can link: no null or non-finite component, not zero."""
-    source = vectors.select(F.col(key).cast("bigint").alias("key"), F.col(embedding).cast("array<double>").alias("v"))
+    """(``key``, ``v`` binary, ``dim``) of the vectors that can link: no null or non-finite component, not zero. Components are as
+    wide as the column's, floats or else doubles; whatever they are, they are compared as doubles."""
+    kind = vectors.schema[embedding].dataType
+    single = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType)
+    wide = np.float32 if single else np.float64
+    source = vectors.select(F.col(key).cast("bigint").alias("key"), F.col(embedding).cast("array<float>" if single else "array<double>").alias("v"))
     source = source.where("key is not null and v is not null and size(v) > 0")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, out, dims = [], [], []
-            for k, v in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                x = v.values
-                if x.null_count:
-                    continue
-                x = x.to_numpy(zero_copy_only=False) + 0.0  # one zero only, not two
-                top = np.abs(x).max()
-                if not np.isfinite(top) or not top:
-                    continue
-                if not 1e-100 < top < 1e100:
-                    x = x / top  # its square would leave the range of doubles
-                keys.append(k), out.append(x.tobytes()), dims.append(len(x))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(out, pa.binary()), pa.array(dims, pa.int32())], ["key", "v", "dim"])
+            if not b.num_rows:
+                continue
+            lists = b.column(1)
+            off = lists.offsets.to_numpy().astype(np.int64)
+            off -= off[0]
+            flat = lists.flatten()
+            null = flat.is_null().to_numpy(zero_copy_only=False)
+            x = flat.fill_null(0).to_numpy(zero_copy_only=False).astype(wide) + wide(0)  # one zero only, not two
+            size = np.abs(x)
+            size[null | ~np.isfinite(x)] = np.inf
+            top = np.maximum.reduceat(size, off[:-1])
+            good = np.flatnonzero(np.isfinite(top) & (top > 0))
+            if not single:
+                scale = np.where((top > 1e-100) & (top < 1e100), 1.0, top)  # others' squares would leave the range of doubles
+                x = x / np.repeat(np.where(np.isfinite(scale) & (scale > 0), scale, 1.0), np.diff(off))
+            raw = pa.Array.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(off * x.itemsize), pa.py_buffer(np.ascontiguousarray(x))])
+            at = pa.array(good)
+            yield pa.RecordBatch.from_arrays([b.column(0).take(at), raw.take(at).cast(pa.binary()), pa.array(np.diff(off)[good].astype(np.int32))], ["key", "v", "dim"])
 
     return source.mapInArrow(run, "key bigint, v binary, dim int")
 
 
-def link_blocks(rows: DataFrame, threshold: float, tables: int) -> DataFrame:
+def doubles(raw: list[bytes], dim: int) -> np.ndarray:
+    """Vectors of ``dim`` components, floats or doubles, as unit vectors of doubles."""
+    data = b"".join(raw)
+    return _unit(np.frombuffer(data, np.float32 if len(data) == 4 * dim * len(raw) else np.float64).astype(np.float64).reshape(len(raw), dim))
+
+
+def link_blocks(rows: DataFrame, threshold: float, bits: int) -> DataFrame:
     """(``a``, ``b``, ``links``): ``b`` null: vector ``a`` has so many links in this block; else an edge of a forest.
 
     ``rows``: ``t`` table, ``code``, ``dim``, ``i`` and ``j`` blocks, ``upper`` (which of the two), ``rep``, ``n`` (how often the vector
-    occurs), ``v``, ``codes`` binary."""
+    occurs), ``v``, ``signs`` (bits of all codes, table by table)."""
     rows = rows.repartition("t", "code", "dim", "i", "j").sortWithinPartitions("t", "code", "dim", "i", "j", "rep")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,8 +110,7 @@ def link_blocks(rows: DataFrame, threshold: float, tables: int) -> DataFrame:
             for s, e in zip(bounds, bounds[1:], strict=False):
                 if e - s < 2:
                     continue
-                x = _unit(np.frombuffer(b"".join(raw.slice(s, e - s).to_pylist()), np.float64).reshape(e - s, -1))
-                c = np.frombuffer(b"".join(code.slice(s, e - s).to_pylist()), np.int64).reshape(e - s, tables)
+                x = doubles(raw.slice(s, e - s).to_pylist(), int(group[2][s]))
                 t, inner = int(group[0][s]), group[3][s] == group[4][s]
                 near = x @ x.T >= threshold
                 np.fill_diagonal(near, False)
@@ -105,8 +119,11 @@ def link_blocks(rows: DataFrame, threshold: float, tables: int) -> DataFrame:
                 if not near.any():
                     continue
                 a, b = np.nonzero(np.triu(near))
-                once = ~(c[a, :t] == c[b, :t]).any(1) if t else np.ones(len(a), bool)  # they meet here first
-                a, b = a[once], b[once]
+                if t:  # those that meet here first
+                    c = np.frombuffer(b"".join(code.slice(s, e - s).to_pylist()), np.uint8).reshape(e - s, -1)
+                    c = np.unpackbits(c, axis=1, count=t * bits).reshape(e - s, t, bits)
+                    once = np.concatenate([~(c[a[k : k + 4096]] == c[b[k : k + 4096]]).all(2).any(1) for k in range(0, len(a), 4096)])
+                    a, b = a[once], b[once]
                 r, n = rep[s:e], count[s:e]
                 sums = np.bincount(a, n[b], e - s) + np.bincount(b, n[a], e - s)
                 for k in np.flatnonzero(sums).tolist():
@@ -153,7 +170,7 @@ def link_blocks(rows: DataFrame, threshold: float, tables: int) -> DataFrame:
             tell(held, links, edges)
         yield out(links, edges)
 
-    return rows.select("t", "code", "dim", "i", "j", "upper", "rep", "n", "v", "codes").mapInArrow(run, "a bigint, b bigint, links bigint")
+    return rows.select("t", "code", "dim", "i", "j", "upper", "rep", "n", "v", "signs").mapInArrow(run, "a bigint, b bigint, links bigint")
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -167,7 +184,6 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec
     0.97 with about a thousandth of that. Nothing else depends on chance: the hyperplanes are fixed. An empty table
     gives no rows. Other columns are left out.
     """
-    spark = vectors.sparkSession
     valid = durable(valid_vectors(vectors, key, embedding).withColumn("hash", F.xxhash64("v")), "vectors")
     # Equal vectors are one; a frequent one is summed per task before the shuffle.
     points = durable(valid.groupBy("dim", "hash", "v").agg(F.min("key").alias("rep"), F.count(F.lit(1)).alias("n")), "points")
@@ -180,27 +196,30 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec
             for s in range(0, b.num_rows, 2048):
                 part = b.slice(s, 2048)
                 dims = part.column(1).to_numpy()
-                out = np.zeros((len(dims), tables), np.int64)
+                out = np.zeros((len(dims), tables * bits), bool)
                 for d in np.unique(dims).tolist():
                     if d not in planes:
                         planes[d] = hyperplanes(d, bits, tables)
                     at = np.flatnonzero(dims == d)
-                    x = np.frombuffer(b"".join(part.column(2).take(pa.array(at)).to_pylist()), np.float64).reshape(len(at), d)
-                    out[at] = codes(_unit(x), planes[d], bits)
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), part.column(2), part.column(3), pa.array([r.tobytes() for r in out], pa.binary()), pa.array(out.tolist(), pa.list_(pa.int64()))], ["rep", "dim", "v", "n", "codes", "list"])
-
-    own = durable(points.select("rep", "dim", "v", "n").mapInArrow(coded, "rep bigint, dim int, v binary, n bigint, codes binary, list array<bigint>"), "codes")
+                    out[at] = doubles(part.column(2).take(pa.array(at)).to_pylist(), d) @ planes[d] > 0
+                packed = np.packbits(out, axis=1)
+                number = codes(out, bits)
+                signs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(packed.shape[1]), len(dims), [None, pa.py_buffer(packed.tobytes())]).cast(pa.binary())
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(len(dims) + 1, dtype=np.int32) * tables), pa.array(number.ravel()))
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in range(4)), signs, lists], ["rep", "dim", "v", "n", "signs", "list"])
+
+    own = durable(points.select("rep", "dim", "v", "n").mapInArrow(coded, "rep bigint, dim int, v binary, n bigint, signs binary, list array<bigint>"), "codes")
     places = own.select("rep", "dim", F.posexplode("list").alias("t", "code"))
     # Buckets of one vector end here: they are counted on the codes alone, before any vector is moved.
     full = places.groupBy("t", "code", "dim").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     blocks = F.ceil(F.col("size") / BLOCK_POINTS).cast("int").alias("blocks")
     met = durable(places.join(full.select("t", "code", "dim", blocks), ["t", "code", "dim"]), "met")
-    rows = met.join(own.select("rep", "v", "n", "codes"), "rep")
+    rows = met.join(own.select("rep", "v", "n", "signs"), "rep")
     block = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     rows = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("t", "code", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("upper"), "rep", "n", "v", "codes")
-    found = durable(link_blocks(rows, threshold, tables), "links")
-    release(met)
+    rows = rows.select("t", "code", "dim", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), (F.col("block") > F.col("other")).cast("int").alias("upper"), "rep", "n", "v", "signs")
+    found = durable(link_blocks(rows, threshold, bits), "links")
+    release(met, own)
     counts = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     parts = durable(components(found.where("b is not null").select("a", "b")).select(F.col("node").alias("rep"), "component"), "components")
     each = points.select("dim", "hash", "v", "rep", "n").join(counts, "rep", "left").join(parts, "rep", "left")
@@ -211,6 +230,5 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.95, key: str = "vec
     rest = everything.join(valid.groupBy("key").agg(F.count(F.lit(1)).alias("valid")), "key", "left")
     rest = rest.select("key", F.explode(F.sequence(F.lit(0), (F.col("rows") - F.coalesce("valid", F.lit(0))).cast("int"))).alias("k")).where("k > 0")
     rest = rest.select("key", F.lit(0).cast("bigint").alias("n_links"), F.col("key").alias("component_id"))
-    del spark
     out = linked.unionByName(rest)
     return out.select(F.col("key").alias(key), "n_links", "component_id", F.coalesce(F.col("key") == F.col("component_id"), F.lit(False)).alias("kept"))

@@ -13,18 +13,22 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The published suffix rules, in the order in which they are tried.
-STEP_2 = "ational:ate tional:tion enci:ence anci:ance izer:ize logi:log bli:ble alli:al entli:ent eli:e ousli:ous ization:ize ation:ate ator:ate alism:al iveness:ive fulness:ful ousness:ous aliti:al iviti:ive biliti:ble"
-STEP_3 = "icate:ic ative: alize:al iciti:ic ical:ic ful: ness:"
-STEP_4 = "al ance ence er ic able ible ant ement ment ent ion ou ism ate iti ous ive ize"
-
-
-def _longest_first(rules: str) -> list[tuple[str, str]]:
-    pairs = [(r.partition(":")[0], r.partition(":")[2]) for r in rules.split()]
-    return sorted(pairs, key=lambda p: -len(p[0]))
-
-
-_RULES_2, _RULES_3, _RULES_4 = map(_longest_first, (STEP_2, STEP_3, STEP_4))
+# The published suffix rules, the longer before the shorter. A rule is for words with something before its suffix.
+STEP_1A = [("sses", "ss"), ("ies", "i"), ("ss", "ss"), ("s", "")]
+STEP_2 = [
+    ("ational", "ate"), ("ization", "ize"), ("iveness", "ive"), ("fulness", "ful"), ("ousness", "ous"),
+    ("tional", "tion"), ("biliti", "ble"),
+    ("entli", "ent"), ("ousli", "ous"), ("ation", "ate"), ("alism", "al"), ("aliti", "al"), ("iviti", "ive"),
+    ("enci", "ence"), ("anci", "ance"), ("izer", "ize"), ("logi", "log"), ("alli", "al"), ("ator", "ate"),
+    ("bli", "ble"), ("eli", "e"),
+]
+STEP_3 = [("icate", "ic"), ("ative", ""), ("alize", "al"), ("iciti", "ic"), ("ical", "ic"), ("ness", ""), ("ful", "")]
+STEP_4 = [
+    ("ement", ""),
+    ("ance", ""), ("ence", ""), ("able", ""), ("ible", ""), ("ment", ""),
+    ("ant", ""), ("ent", ""), ("ion", ""), ("ism", ""), ("ate", ""), ("iti", ""), ("ous", ""), ("ive", ""), ("ize", ""),
+    ("al", ""), ("er", ""), ("ic", ""), ("ou", ""),
+]
 
 
 def _shape(word: str) -> str:
@@ -58,12 +62,7 @@ def _replace(word: str, rules: list[tuple[str, str]], least: int) -> str:
 def stem(token: str) -> str:
     if not 3 <= len(token.encode()) <= 64:
         return token
-    w = token
-    # Plurals.
-    if w.endswith("es"):
-        w = w[:-2] if w.endswith("sses") and len(w) > 4 or w.endswith("ies") and len(w) > 3 else w[:-1]
-    elif w.endswith("s") and not w.endswith("ss"):
-        w = w[:-1]
+    w = _replace(token, STEP_1A, 0)
     # Past and present participles.
     if w.endswith("eed") and len(w) > 3:
         w = w[:-1] if measure(w[:-3]) > 0 else w
@@ -79,9 +78,9 @@ def stem(token: str) -> str:
                 w += "e"
     if w.endswith("y") and "v" in _shape(w[:-1]):
         w = w[:-1] + "i"
-    w = _replace(w, _RULES_2, 1)
-    w = _replace(w, _RULES_3, 1)
-    w = _replace(w, _RULES_4, 2)
+    w = _replace(w, STEP_2, 1)
+    w = _replace(w, STEP_3, 1)
+    w = _replace(w, STEP_4, 2)
     if w.endswith("e"):
         m = measure(w[:-1])
         if m > 1 or m == 1 and not _short(w[:-1]):

@@ -9,8 +9,10 @@ import functools
 import sys
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: A token: a letter, number or private-use character, then such or marks.
 TOKEN = r"[\p{L}\p{N}\p{Co}][\p{L}\p{N}\p{Co}\p{M}]*"
@@ -54,6 +56,16 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(fold(F.coalesce(text, F.lit(""))), F.lit(r"[\p{L}\p{N}\p{Co}]+"), F.lit(0))
 
 
+@F.pandas_udf(StringType())
+def _composed(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: unicodedata.normalize("NFC", t), na_action="ignore")
+
+
+def composed(text: Column) -> Column:
+    """In canonical composition (NFC), which no built-in function makes: for the few, short texts that are compared so."""
+    return _composed(text)
+
+
 def collapse(text: Column) -> Column:
     """Trimmed, with runs of (any) white space as one space."""
     return F.regexp_replace(F.regexp_replace(text, r"(?U)\s+", " "), "^ | $", "")
@@ -173,3 +185,9 @@ def cover_tint(book_id: Column) -> Column:
 
 def initial(title: Column) -> Column:
     return F.upper(F.substring(F.regexp_extract(title, r"[\p{L}\p{N}]", 0), 1, 1))
+
+
+def relative_path(path: Column, folder: Column) -> Column:
+    """A path below a folder, as it is shown: without the folder, and without a separator before it."""
+    inside = path.startswith(folder)
+    return F.when(inside, F.regexp_replace(F.substr(path, F.length(folder) + 1), r"^[/\\]+", "")).otherwise(path)

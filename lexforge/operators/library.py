@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from lexforge.functions.text import cut, nocase, percent
+from lexforge.functions.text import composed, cut, list_phrase, nocase, percent
 
 from .prefix import running
 
@@ -53,16 +53,16 @@ def chapter_content(blocks: DataFrame, chapter_id: int | None = None) -> DataFra
 
 def reading_progress(positions: DataFrame, chapters: DataFrame, blocks: DataFrame) -> DataFrame:
     """Where each book stands: chapter number of how many, whole percent of the characters before the paragraph, and
-    whether it is finished (at the last paragraph of the last chapter)."""
+    whether it is finished (at the last paragraph of the last chapter that has any text)."""
     sizes = chapter_sizes(chapters.select("chapter_id", "book_id", "title"), blocks.select("chapter_id", "text"))
     placed = running(sizes.withColumn("one", F.lit(1)), ["book_id"], "chapter_id", {"one": "idx", "char_count": "chars_before"})
-    totals = placed.groupBy("book_id").agg(F.count(F.lit(1)).alias("chapter_count"), F.sum("char_count").alias("total"), F.max("chapter_id").alias("last_chapter"))
+    totals = placed.groupBy("book_id").agg(F.count(F.lit(1)).alias("chapter_count"), F.sum("char_count").alias("total"), F.max(F.when(F.col("char_count") > 0, F.col("chapter_id"))).alias("last_chapter"))
     here = positions.join(placed.select("chapter_id", "title", "idx", "chars_before"), "chapter_id")
     # Only the paragraphs of chapters where someone stands are summed; positions are one for a book.
     own = blocks.join(positions.select("chapter_id", F.col("block_idx").alias("at")), "chapter_id")
     inside = own.groupBy("chapter_id").agg(F.coalesce(F.sum(F.when(F.col("block_idx") < F.col("at"), F.length("text"))), F.lit(0)).alias("inside"), F.max("block_idx").alias("last_block"))
     rows = here.join(inside, "chapter_id").join(totals, "book_id")
-    finished = (F.col("chapter_id") == F.col("last_chapter")) & (F.col("block_idx") == F.col("last_block"))
+    finished = F.coalesce((F.col("chapter_id") == F.col("last_chapter")) & (F.col("block_idx") == F.col("last_block")), F.lit(False))
     rows = rows.withColumn("finished", finished)
     return rows.select(
         "book_id", "chapter_id", "block_id", "title", (F.col("idx") + 1).alias("chapter_number"), "chapter_count",
@@ -81,7 +81,9 @@ def recent_books(books: DataFrame, reading: DataFrame, limit: int = 3) -> DataFr
 
 def folder_passages(bookmarks: DataFrame, blocks: DataFrame, chapters: DataFrame, books: DataFrame) -> DataFrame:
     """Bookmarks of folders with their text and titles, in the order in which they were made."""
-    out = bookmarks.select("folder_id", "bookmark_id", "block_id", "chapter_id", "book_id").join(blocks.select("block_id", "text"), "block_id")
+    # Paragraphs of other chapters are left out before any are dealt.
+    few = blocks.join(bookmarks.select("chapter_id").distinct(), "chapter_id", "left_semi").select("block_id", "text")
+    out = bookmarks.select("folder_id", "bookmark_id", "block_id", "chapter_id", "book_id").join(few, "block_id")
     out = out.join(chapters.select("chapter_id", F.col("title").alias("chapter_title")), "chapter_id")
     return out.join(books.select("book_id", F.col("title").alias("book_title")), "book_id").orderBy("folder_id", "bookmark_id")
 
@@ -93,11 +95,15 @@ def annotated_books(books: DataFrame, highlights: DataFrame, notes: DataFrame) -
 
 
 def chapter_annotations(highlights: DataFrame, notes: DataFrame) -> DataFrame:
-    """Highlights and notes of chapters in one table: ``kind``, offsets (null for a paragraph's note), and text or body."""
+    """Highlights and notes of chapters in one table: ``kind``, offsets (null for a paragraph's note), and text or body. Highlights come
+    first; both are in order of their paragraph and of where they begin in it, notes on the paragraph before those on
+    highlights."""
     marks = highlights.select("chapter_id", F.lit("highlight").alias("kind"), F.col("highlight_id").alias("id"), "block_id", "start_offset", "end_offset", F.col("color").alias("shown"))
     at = highlights.select("highlight_id", "start_offset", "end_offset")
     own = notes.join(at, "highlight_id", "left").select("chapter_id", F.lit("note").alias("kind"), F.col("note_id").alias("id"), "block_id", "start_offset", "end_offset", F.col("body").alias("shown"))
-    return marks.unionByName(own)
+    idx = lambda rows: rows.select("block_id", "block_idx").distinct()
+    rows = marks.unionByName(own).join(idx(highlights.select("block_id", "block_idx").unionByName(notes.select("block_id", "block_idx"))), "block_id")
+    return rows.orderBy("chapter_id", "kind", "block_idx", F.coalesce("start_offset", F.lit(-1)), "id").drop("block_idx")
 
 
 def book_annotations(highlights: DataFrame, notes: DataFrame) -> DataFrame:
@@ -155,13 +161,67 @@ def highlight_segments(highlights: DataFrame) -> DataFrame:
 
 def chapter_openings(chapters: DataFrame, blocks: DataFrame) -> DataFrame:
     """The paragraph that repeats a chapter's title, if its first does, and the first of the next four with 100 characters."""
-    flat = lambda c: F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
+    flat = lambda c: F.lower(F.trim(F.regexp_replace(composed(c), r"(?U)\s+", " ")))
     first = blocks.where("block_idx <= 4").join(chapters.select("chapter_id", "title"), "chapter_id")
-    heading = (F.col("block_idx") == 0) & (flat(F.col("text")) == flat(F.col("title")))
+    # Only a first paragraph can be the heading, and only its beginning counts then.
+    start = F.when(F.col("block_idx") == 0, F.col("text"))
+    heading = F.coalesce(flat(start) == flat(F.col("title")), F.lit(False))
     rows = first.withColumn("heading", heading)
     return rows.groupBy("chapter_id").agg(F.min(F.when(F.col("heading"), F.col("block_id"))).alias("heading_block"), F.min(F.when((~F.col("heading")) & (F.length("text") >= 100), F.col("block_id"))).alias("opening_block"))
 
 
-def finished_chapter(chapters: DataFrame, blocks: DataFrame) -> DataFrame:
-    """The last chapter of each book that has any text."""
-    return chapter_sizes(chapters, blocks).where("char_count > 0").groupBy("book_id").agg(F.max("chapter_id").alias("last_chapter"))
+def neighbours(chapters: DataFrame) -> DataFrame:
+    """Chapters (``book_id``, ``chapter_id``) with ``previous`` and ``next`` of their book, null at its ends."""
+    own = with_idx(chapters.select("book_id", "chapter_id"))
+    at = lambda name, by: own.select("book_id", (F.col("idx") + by).alias("idx"), F.col("chapter_id").alias(name))
+    out = own.join(at("previous", 1), ["book_id", "idx"], "left").join(at("next", -1), ["book_id", "idx"], "left")
+    return out.select("book_id", "chapter_id", "idx", "previous", "next")
+
+
+def annotation_groups(annotations: DataFrame, chapters: DataFrame) -> DataFrame:
+    """A book's annotations (of ``book_annotations``) under their chapters: the chapter's title, and the annotations in reading order
+    as an array of ``highlight_id``, ``note_id``, ``quote`` and ``body``."""
+    item = F.struct("block_idx", "at", "highlight_id", "note_id", "quote", "body")
+    own = annotations.groupBy("book_id", "chapter_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
+    rows = own.join(chapters.select("chapter_id", "title"), "chapter_id")
+    return rows.select("book_id", "chapter_id", "title", F.transform("items", lambda x: x.dropFields("block_idx", "at")).alias("annotations"))
+
+
+def paragraph_marks(blocks: DataFrame, highlights: DataFrame, notes: DataFrame) -> DataFrame:
+    """Paragraphs (``chapter_id``, ``block_id``) with the highlights on each in order, and the notes; empty arrays if none."""
+    on = highlights.groupBy("block_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("start_offset", "highlight_id"))), lambda h: h["highlight_id"]).alias("highlights"))
+    own = notes.groupBy("block_id").agg(F.sort_array(F.collect_list("note_id")).alias("notes"))
+    rows = blocks.select("chapter_id", "block_id").join(on, "block_id", "left").join(own, "block_id", "left")
+    none = F.array().cast("array<bigint>")
+    return rows.select("chapter_id", "block_id", F.coalesce("highlights", none).alias("highlights"), F.coalesce("notes", none).alias("notes"))
+
+
+def home_sums(listed: DataFrame, folders: DataFrame) -> DataFrame:
+    """The numbers of the home screen's cards: sums over the lists of books (of ``list_books``) and of folders (with
+    ``bookmark_count``)."""
+    books = listed.agg(F.count(F.lit(1)).alias("books"), *[F.coalesce(F.sum(f"{c}_count"), F.lit(0)).alias(f"{c}s") for c in ("chapter", "highlight", "note")])
+    passages = folders.agg(F.count(F.lit(1)).alias("folders"), F.coalesce(F.sum("bookmark_count"), F.lit(0)).alias("passages"))
+    return books.crossJoin(passages)  # a row each
+
+
+def with_state_and_cover(listed: DataFrame, states: DataFrame, covers: DataFrame) -> DataFrame:
+    """Listed books with ``index_state`` (of ``index_states``) and ``cover_key`` (null without a cover)."""
+    out = listed.join(states.select("book_id", "index_state"), "book_id", "left").join(covers.select("book_id", F.col("key").alias("cover_key")), "book_id", "left")
+    return out.withColumn("index_state", F.coalesce("index_state", F.lit("none")))
+
+
+def counts_line(listed: DataFrame, shown: DataFrame) -> DataFrame:
+    """One row: how many books are shown of how many, as a line says it."""
+    n = listed.agg(F.count(F.lit(1)).alias("n")).crossJoin(shown.agg(F.count(F.lit(1)).alias("k")))  # a row each
+    line = F.when(F.col("n") == F.col("k"), list_phrase(F.col("n"), "book", "books")).otherwise(F.concat(F.col("k").cast("string"), F.lit(" of "), list_phrase(F.col("n"), "book", "books")))
+    return n.select(line.alias("line"))
+
+
+def only(rows: DataFrame, what: str, **at) -> DataFrame:
+    """The rows with these values; that there are none is an error when they are read."""
+    found = rows
+    for c, v in at.items():
+        found = found.where(F.col(c) == v)
+    told = ", ".join(f"{c} {v}" for c, v in at.items())
+    missing = found.agg(F.when(F.count(F.lit(1)) == 0, F.raise_error(F.lit(f"no {what} with {told}")).cast("int")).otherwise(0).alias("__ok"))
+    return found.crossJoin(missing).where(F.col("__ok") == 0).drop("__ok")  # one row

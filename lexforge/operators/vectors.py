@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import hashlib
+import json
 import struct
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -56,6 +59,62 @@ def scored_chunks(chunks: DataFrame, query: list[float], models: list[str]) -> D
     return rows.withColumn("score", dot(checked, q))
 
 
+#: Query vectors that are sent to all tasks at once.
+QUERY_BLOCK = 4096
+
+
+def top_for_queries(rows: DataFrame, asked: DataFrame, k: int, item: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(``query``, ``item``, ``score``): for each of ``asked`` (``query``, ``q``) the ``k`` rows with the largest dot products, itself left out,
+    equal ones in order of ``item``. Queries go to the rows in blocks of bounded size; a task keeps the best of its rows."""
+    n = asked.count()
+    blocks = -(-n // QUERY_BLOCK)
+    out = None
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).collect()
+        if not part:
+            continue
+        names, vectors = np.array([r["query"] for r in part], np.int64), np.array([r["q"] for r in part], np.float64)
+
+        def run(batches: Iterator[pa.RecordBatch], names=names, vectors=vectors) -> Iterator[pa.RecordBatch]:
+            items, scores = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
+            for batch in batches:
+                for s in range(0, batch.num_rows, 1024):
+                    own = batch.slice(s, 1024)
+                    x = own.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(own.num_rows, -1)
+                    one = own.column(0).to_numpy()
+                    # Every product is summed alike, so equal vectors have equal scores.
+                    new = np.einsum("ij,kj->ik", vectors, x)
+                    new[names[:, None] == one[None, :]] = -np.inf
+                    items, scores = np.concatenate([items, np.broadcast_to(one, new.shape)], 1), np.concatenate([scores, new], 1)
+                    best = np.lexsort((items, -scores), axis=1)[:, :k]
+                    items, scores = np.take_along_axis(items, best, 1), np.take_along_axis(scores, best, 1)
+            some = np.isfinite(scores).ravel()
+            who = np.repeat(names, items.shape[1])
+            yield pa.RecordBatch.from_arrays([pa.array(who[some]), pa.array(items.ravel()[some]), pa.array(scores.ravel()[some])], ["query", "item", "score"])
+
+        found = rows.select(F.col(item).cast("bigint"), vector).mapInArrow(run, "query bigint, item bigint, score double")
+        out = found if out is None else out.unionByName(found)
+    if out is None:
+        return rows.sparkSession.createDataFrame([], "query bigint, item bigint, score double")
+    w = W.partitionBy("query").orderBy(F.desc("score"), "item")
+    return out.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k).drop("k")
+
+
+def replace_chunks(chunks: DataFrame, chapter_id: int, model: str, new: DataFrame) -> DataFrame:
+    """``chunks`` with those of a chapter and model replaced by ``new``; other chapters' and models' stay."""
+    return chunks.where(~((F.col("chapter_id") == chapter_id) & (F.col("model") == model))).unionByName(new.select(*chunks.columns))
+
+
+def model_names(names: list[str]) -> str:
+    """A list of model names as JSON."""
+    return json.dumps(names)
+
+
+def models_of(column: Column) -> Column:
+    """The names in such a list."""
+    return F.explode(F.from_json(column, "array<string>"))
+
+
 def rank_chapters(chunks: DataFrame, query: list[float], models: list[str], min_score: float = MIN_SCORE, penalty: float = LENGTH_PENALTY, limit: int | None = 20) -> DataFrame:
     """Chapters by their best chunk: ``chapter_id``, ``score``, ``n_chunks``, ``char_start``, ``char_end``. The floor is for the score
     itself; the penalty for many chunks only changes the order. Of equal chunks the first counts. Best chunks are
@@ -81,9 +140,13 @@ def block_spans(blocks: DataFrame) -> DataFrame:
 
 
 def locate(offsets: DataFrame, blocks: DataFrame) -> DataFrame:
-    """``offsets`` (``chapter_id``, ``off``) with the ``block_id`` that holds each. An equi-join by chapter, then the interval."""
-    spans = block_spans(blocks).select("chapter_id", "block_id", "span_low", "span_end")
-    return offsets.join(spans, "chapter_id").where((F.col("off") >= F.col("span_low")) & (F.col("off") < F.col("span_end"))).drop("span_low", "span_end")
+    """``offsets`` (``chapter_id``, ``off``, and others) with the ``block_id`` that holds each. Paragraphs and offsets of a chapter are
+    read together in order: an offset is in the paragraph that began last."""
+    starts = block_spans(blocks).select("chapter_id", F.col("span_low").alias("at"), F.col("block_idx").alias("turn"), F.col("block_id").alias("own"))
+    wanted = offsets.select("*", F.col("off").alias("at"), F.lit(1 << 62).alias("turn"), F.lit(True).alias("asked"))
+    w = W.partitionBy("chapter_id").orderBy("at", "turn").rowsBetween(W.unboundedPreceding, 0)
+    rows = wanted.unionByName(starts, allowMissingColumns=True).withColumn("block_id", F.last("own", ignorenulls=True).over(w))
+    return rows.where("asked and block_id is not null").select(*offsets.columns, "block_id")
 
 
 def paragraph_offsets(blocks: DataFrame) -> DataFrame:

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Identifiers of paragraphs leave room for as many lines of a document.
-LINES = 100_000
+#: Identifiers of paragraphs leave room for as many lines of a document; more are an error.
+LINES = 100_000_000
 #: What the vectors of the ``embeddings`` table are taken to be made by.
 MODEL = "hash-64"
 COLOURS = ("yellow", "green", "blue", "pink")
@@ -33,10 +33,14 @@ def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc_id").alias("chapter_id"), book_of("source").alias("book_id"), F.substring(F.substring_index("text", "\n", 1), 1, 60).alias("title"), "text")
 
 
+def block_id(chapter: Column, idx: Column) -> Column:
+    return F.when(idx < LINES, chapter * LINES + idx).otherwise(F.raise_error(F.lit(f"a document of more than {LINES} lines")).cast("bigint"))
+
+
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A paragraph for each line."""
     rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chapter_id"), book_of("source").alias("book_id"), F.posexplode(F.split("text", "\n")).alias("block_idx", "text"))
-    return rows.select("chapter_id", "book_id", F.col("block_idx").cast("bigint").alias("block_idx"), (F.col("chapter_id") * LINES + F.col("block_idx")).alias("block_id"), "text")
+    return rows.select("chapter_id", "book_id", F.col("block_idx").cast("bigint").alias("block_idx"), block_id(F.col("chapter_id"), F.col("block_idx").cast("bigint")).alias("block_id"), "text")
 
 
 def marks(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
@@ -49,7 +53,7 @@ def marks(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     lines = docs.select(F.col("doc_id").alias("chapter_id"), book_of("source").alias("book_id"), F.split("text", "\n").alias("lines"))
     out = events.join(lines, "chapter_id").withColumn("block_idx", F.col("event_id") % F.size("lines"))
     out = out.withColumn("text", F.get("lines", F.col("block_idx").cast("int"))).drop("lines")
-    return out.withColumn("block_id", F.col("chapter_id") * LINES + F.col("block_idx"))
+    return out.withColumn("block_id", block_id(F.col("chapter_id"), F.col("block_idx")))
 
 
 def bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:

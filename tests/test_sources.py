@@ -1,10 +1,12 @@
 import io
 import os
+import random
 import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
+from lexforge.operators import prefix
 from lexforge.sources import epub, files, markup, pdf_pages
 
 
@@ -136,8 +138,39 @@ def test_joined_lines(text, line, want):
 
 def test_page_paragraphs():
     assert pdf_pages.paragraphs_of(["a", "b", "", "c­", "", "d"]) == ["a b", "cd"]
-    assert pdf_pages.across_pages([["one", "goes on"], ["and on"], ["here.", "New"]]) == [["one", "goes on and on here."], [], ["New"]]
-    assert pdf_pages.across_pages([["Ends."], ["lower"]]) == [["Ends."], ["lower"]]
+
+
+def one_by_one(pages):
+    """The paragraphs of pages in order; the first of a page goes on where the page before it ends in mid-sentence."""
+    out = []
+    for k, own in enumerate(pages):
+        for i, text in enumerate(own):
+            end = pages[k - 1][-1] if k and pages[k - 1] and not i else None
+            if end and (end.endswith(pdf_pages.SOFT) or end[-1] not in '.?!:"”’)' and text[0].islower()):
+                out[-1][1] = pdf_pages.joined(out[-1][1], text)
+            else:
+                out.append([k + 1, text])
+    return [tuple(x) for x in out]
+
+
+@pytest.mark.parametrize("rows", [3, 100_000])
+def test_paragraphs_go_on_across_pages(spark, monkeypatch, rows):
+    monkeypatch.setattr(prefix, "RANGE", rows)
+    rnd = random.Random(4)
+    words = ["goes", "On", "end.", "half-", "Ünder", "soft\u00ad", "ßa", "1", "say,", "stop!"]
+    books = {
+        1: [["one", "goes on"], ["and on"], ["here.", "New"]], 2: [["Ends."], ["lower"]], 3: [["a"], [], ["b"], ["c"]], 4: [[], ["x", "y"]], 5: [["a"]] + [["b"]] * 40 + [["C"]],
+        6: [[" ".join(rnd.choices(words, k=rnd.randint(1, 3))) for _ in range(rnd.choice([0, 1, 1, 1, 2, 3]))] for _ in range(200)],
+    }
+    lines = [(b, p, k, t) for b, pages in books.items() for p, own in enumerate(pages, 1) for k, t in enumerate(x for q in (own or [""]) for x in (q, ""))]
+    frame = spark.createDataFrame(lines, "book_id long, page long, line_no long, line string")
+    got = {}
+    for r in pdf_pages.book_paragraphs(frame).orderBy("book_id", "page", "block_idx").collect():
+        own = got.setdefault(r["book_id"], [])
+        assert r["block_idx"] == sum(p == r["page"] for p, _ in own)
+        own.append((r["page"], r["text"]))
+    for b, pages in books.items():
+        assert got[b] == one_by_one([pdf_pages.paragraphs_of([x for q in own for x in (q, "")]) for own in pages])
 
 
 def page_lines(spark, pages):

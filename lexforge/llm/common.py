@@ -18,12 +18,14 @@ BLOCK = 1 << 20
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` set.
 
     Only a local session (tests, notebooks) that has none gets a temporary folder; on a cluster its absence is an
     error, as a folder of one machine would not be seen by the others.
     """
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base and spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+        base = spark.sparkContext._jsc.sc().getCheckpointDir().get()
     if not base:
         if not spark.sparkContext.master.startswith(("local[", "local")) or "cluster" in spark.sparkContext.master:
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
@@ -55,6 +57,15 @@ def release(*tables: DataFrame) -> None:
             remove(t.sparkSession, path)
 
 
+#: Keys (longs, and what little stands beside them) that may be broadcast.
+KEYS_SENT = 2_000_000
+
+
+def few(keys: DataFrame) -> DataFrame:
+    """A written table of keys, to be broadcast if it is small enough, else joined as it is."""
+    return F.broadcast(keys) if keys.count() <= KEYS_SENT else keys
+
+
 def text_bytes(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and its offsets (n + 1); nulls are empty. No per-row Python."""
     if isinstance(col, pa.ChunkedArray):

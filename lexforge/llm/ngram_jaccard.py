@@ -17,8 +17,9 @@ share a signature are both in it, and a pair that shares a hundred signatures me
 compared with one hub, which ties most copies at a cost in proportion to the sets; in neighbourhoods that are large and still
 apart, further hubs follow while that ties much. Then only neighbourhoods with sets of several components are searched: their
 trees find, for each set outside the neighbourhood's largest component, the sets that the bound lets it reach and that it
-is not tied to; these are verified where they are found, on the shingles that travel with the block. Large neighbourhoods
-are cut into blocks, and a set of the largest component meets the others alone. No candidate or partner is dropped, so the
+is not tied to. That is done twice: on points alone, which are small, to tell which sets of which neighbourhoods have such
+partners at all; and for these with their shingles, on which what the trees find is verified at once. Large neighbourhoods are
+cut into blocks, and a set of the largest component meets the others alone. No candidate or partner is dropped, so the
 components are exact (up to collisions of 64-bit hashes of shingles).
 """
 
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, durable, hash_words, mix64, release, shingles, slices, text_bytes
+from .common import U64, durable, few, hash_words, mix64, release, shingles, slices, text_bytes
 from .components import components
 
 #: Coordinates of a point.
@@ -148,7 +149,7 @@ def _lists(values: np.ndarray, row: np.ndarray, rows: int) -> pa.ListArray:
 
 
 def shingle_sets(named: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """``key``, ``same``, ``n_shingles``, ``parts`` (all signatures), ``in_class`` and ``spare`` (how many of a class's signatures may be
+    """``key``, ``same``, ``n_shingles``, ``point`` (counts by group, 16 bits each, at most 65535), ``parts`` (all signatures), ``in_class`` and ``spare`` (how many of a class's signatures may be
     left out) of rows ``key``, ``same``, ``text``; and ``often`` and ``times``, in one row of each slice of rows: the signatures
     that ``FREQUENT`` sets of it share, and how many do."""
 
@@ -160,11 +161,14 @@ def shingle_sets(named: DataFrame, n: int, threshold: Fraction) -> DataFrame:
             often, times = np.unique(s, return_counts=True)
             often, times = often[times >= FREQUENT], times[times >= FREQUENT]
             first = np.zeros(len(often), np.int64)
+            group = row * GROUPS + (h & U64(GROUPS - 1)).astype(np.int64)
+            points = np.minimum(np.bincount(group, minlength=rows * GROUPS), 65535).astype("<u2")
+            point = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * GROUPS), rows, [None, pa.py_buffer(points.tobytes())]).cast(pa.binary())
             lists = (_lists(s.view(np.int64), at, rows), _lists(cls, of, rows), _lists(spare, of, rows), _lists(often.view(np.int64), first, rows), _lists(times, first, rows))
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("same"), pa.array(np.bincount(row, minlength=rows), pa.int64()), *lists], ["key", "same", "n_shingles", "parts", "in_class", "spare", "often", "times"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("same"), pa.array(np.bincount(row, minlength=rows), pa.int64()), point, *lists], ["key", "same", "n_shingles", "point", "parts", "in_class", "spare", "often", "times"])
 
     arrays = ", ".join(f"{c} array<bigint>" for c in ("parts", "in_class", "spare", "often", "times"))
-    return named.select("key", "same", "text").mapInArrow(run, f"key bigint, same binary, n_shingles bigint, {arrays}")
+    return named.select("key", "same", "text").mapInArrow(run, f"key bigint, same binary, n_shingles bigint, point binary, {arrays}")
 
 
 def kept_signatures(sets: DataFrame) -> DataFrame:
@@ -218,7 +222,10 @@ class RTree:
 
         A set with n shingles of which c are common reaches it if c * (1 + t) >= t * (n + size); the bound on c is the sum
         of the smaller counts, and n is at least c, and at least what the box has."""
-        bound = np.minimum(points, p).sum(1, dtype=np.int64)
+        least = np.minimum(points, p)
+        bound = least.sum(1, dtype=np.int64)
+        if p.max(initial=0) >= 65535:  # a count that stopped there may be larger
+            bound[(least >= 65535).any(1)] = 1 << 60
         bound = np.minimum(bound, np.minimum(high, size))
         a, b = t.numerator, t.denominator
         return bound * (a + b) >= a * (np.maximum(low, bound) + size)
@@ -260,8 +267,7 @@ def block_links(keys: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], si
     every = np.concatenate(sets)
     slot = np.repeat(np.arange(len(sets)), sizes) * GROUPS + (every & U64(GROUPS - 1)).astype(np.int64)
     points = np.bincount(slot, minlength=len(sets) * GROUPS).reshape(-1, GROUPS)
-    points = points.astype(np.uint16 if points.max(initial=0) < 65536 else np.int64)
-    tree = RTree(points, sizes)
+    tree = RTree(np.minimum(points, 65535).astype(np.uint16), sizes)
     place = tree.order
     side = side[place]
     root = np.unique(labels, return_inverse=True)[1][place]
@@ -280,17 +286,31 @@ def block_links(keys: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], si
     return out
 
 
+def block_partners(labels: np.ndarray, sizes: np.ndarray, points: np.ndarray, side: np.ndarray, inner: bool, t: Fraction) -> np.ndarray:
+    """Which sets of a block have a partner of another label that the bound lets them reach; sides as in ``block_links``."""
+    out = np.zeros(len(labels), bool)
+    if len(np.unique(labels)) < 2:
+        return out
+    tree = RTree(points, sizes)
+    labels, side = labels[tree.order], side[tree.order]
+    for k in np.flatnonzero(side == 1):
+        open_ = labels != labels[k] if inner else (labels != labels[k]) & (side == 0)
+        if open_.any() and len(found := tree.search(tree.points[k], int(tree.sizes[k]), t, open_)):
+            out[tree.order[found]] = out[tree.order[k]] = True
+    return out
+
+
 def verify(pairs: DataFrame, named: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     """The pairs ``a``, ``b`` that are linked, by the shingles of both.
 
     The texts of the pairs' ends, and no others, go to where the pairs of ``a`` are verified: one of ``a`` for each
     ``FAN_OUT`` of its pairs, and one of ``b`` for each pair. The pairs find their texts by a broadcast while they are few,
     else by a join."""
-    few = pairs.count() <= PAIRS_SENT
+    small = pairs.count() <= PAIRS_SENT
     own = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN_OUT).cast("int").alias("salts"))
     wanted = pairs.join(own, "a").select(F.col("b").alias("key"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
     wanted = wanted.unionByName(own.select(F.col("a").alias("key"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b")))
-    rows = named.select("key", F.col("text").alias("t")).join(F.broadcast(wanted) if few else wanted, "key").select("a", "salt", "b", "t")
+    rows = named.select("key", F.col("text").alias("t")).join(F.broadcast(wanted) if small else wanted, "key").select("a", "salt", "b", "t")
     rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,10 +334,12 @@ def verify(pairs: DataFrame, named: DataFrame, n: int, threshold: Fraction) -> D
 
 
 def neighbourhoods(sets: DataFrame) -> DataFrame:
-    """(``hub``, ``rep``), ``hub`` < ``rep``: for each signature that a set kept, the smallest set that kept it too.
+    """(``hub``, ``rep``), ``hub`` < ``rep``: for each signature that a set kept, the smallest set that kept it too. ``sets`` are
+    deleted once their signatures are written.
 
     Signatures are counted before sets meet in them; a hot one is joined with its one row of counts, which Spark can split."""
-    rows = durable(kept_signatures(sets), "signatures")
+    rows = durable(kept_signatures(sets.where("key is not null")), "signatures")
+    release(sets)
     shared = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
     met = durable(rows.join(durable(shared, "shared"), "sig"), "met")
     release(rows)
@@ -343,16 +365,69 @@ def apart(hoods: DataFrame, labels: DataFrame, sizes: DataFrame) -> DataFrame:
     return out
 
 
-def search_blocks(rows: DataFrame, named: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """Links ``a``, ``b`` between components of the neighbourhoods of ``rows`` (of ``apart``), by the trees of their blocks."""
-    own = F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests"))).cast("int")
-    rows = rows.withColumn("own", own)
+def dealt(rows: DataFrame, own: DataFrame, what: str) -> DataFrame:
+    """The rows of ``apart`` in the blocks where they meet (``hub``, ``kind``, ``i``, ``j``, ``side``, ``rep``, ``label``), with what
+    ``own`` (``rep``, and the column ``what``) has of each set."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.when(F.col("main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
     span = lambda top: F.explode(F.sequence(F.lit(0), F.col(top) - 1))
     # Blocks of the largest component (i) with blocks of the others (j); the others among themselves, block by block.
     mixed = rows.where("main").withColumn("j", span("rests")).select("hub", F.lit(1).alias("kind"), F.col("own").alias("i"), "j", F.lit(0).alias("side"), "rep", "label")
     mixed = mixed.unionByName(rows.where("not main").withColumn("i", span("mains")).select("hub", F.lit(1).alias("kind"), "i", F.col("own").alias("j"), F.lit(1).alias("side"), "rep", "label"))
     among = rows.where("not main and rests > 1").withColumn("other", span("rests")).where("other <> own")
     among = among.select("hub", F.lit(0).alias("kind"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "rep", "label")
+    both = mixed.unionByName(among).join(own, "rep").select("hub", "kind", "i", "j", "side", "rep", "label", what)
+    # Many small neighbourhoods share a task and a batch: they are told apart in order, not by a call for each.
+    return both.repartition("hub", "kind", "i", "j").sortWithinPartitions("hub", "kind", "i", "j", "rep")
+
+
+def in_blocks(batches: Iterator[pa.RecordBatch], solve) -> Iterator[pa.RecordBatch]:
+    """``solve`` (hub, side, rep, label, raw, inner) of each whole block of sorted rows, as batches of pairs ``a``, ``b``."""
+    last: tuple[int, ...] | None = None
+    held: list[tuple[int, int, int, bytes]] = []
+    out: list[tuple[int, int]] = []
+
+    def finish() -> None:
+        if len(held) > 1:
+            side, rep, label = (np.array([x[k] for x in held], np.int64) for k in range(3))
+            # Of two blocks one searches and the other is found; a block that stands alone is searched inside too.
+            out.extend(solve(last[0], side, rep, label, [x[3] for x in held], last[1] == 1 and last[2] == 0))
+
+    def batch_of() -> pa.RecordBatch:
+        a, b = zip(*out, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    for batch in batches:
+        where = zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
+        side, rep, label = (batch.column(k).to_pylist() for k in (4, 5, 6))
+        for k, at in enumerate(where):
+            if at != last:
+                finish()
+                last, held = at, []
+            held.append((side[k], rep[k], label[k], batch.column(7)[k].as_py()))
+        if out:
+            yield batch_of()
+            out.clear()
+    finish()
+    if out:
+        yield batch_of()
+
+
+def with_partners(rows: DataFrame, points: DataFrame, threshold: Fraction) -> DataFrame:
+    """The rows of ``apart`` whose sets have a partner in their neighbourhood, of another component, that the bound lets them
+    reach; told by the trees of its blocks on points alone."""
+
+    def solve(hub: int, side: np.ndarray, rep: np.ndarray, label: np.ndarray, raw: list[bytes], inner: bool) -> list[tuple[int, int]]:
+        both = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+        sizes, point = both[:, :8].copy().view(">i8").ravel().astype(np.int64), both[:, 8:].copy().view("<u2")
+        return [(hub, int(r)) for r in rep[block_partners(label, sizes, point, side, inner, threshold)]]
+
+    found = dealt(rows, points, "point").mapInArrow(lambda batches: in_blocks(batches, solve), "a bigint, b bigint")
+    some = durable(found.select(F.col("a").alias("hub"), F.col("b").alias("rep")).distinct(), "partners")
+    return durable(rows.join(some, ["hub", "rep"], "left_semi"), "apart")
+
+
+def search_blocks(rows: DataFrame, named: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """Links ``a``, ``b`` between components of the neighbourhoods of ``rows`` (of ``apart``), by the trees of their blocks."""
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -360,42 +435,13 @@ def search_blocks(rows: DataFrame, named: DataFrame, n: int, threshold: Fraction
             offsets = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=b.num_rows))]) * 8
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.Array.from_buffers(pa.large_binary(), b.num_rows, [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(h)]).cast(pa.binary())], ["rep", "shingles"])
 
-    needed = rows.select(F.col("rep").alias("key")).distinct()
-    sets = durable(named.join(needed, "key", "left_semi").select("key", "text").mapInArrow(to_sets, "rep bigint, shingles binary").dropDuplicates(["rep"]), "shingles")
-    dealt = mixed.unionByName(among).join(sets, "rep").select("hub", "kind", "i", "j", "side", "rep", "label", "shingles")
-    # Many small neighbourhoods share a task and a batch: they are told apart in order, not by a call for each.
-    dealt = dealt.repartition("hub", "kind", "i", "j").sortWithinPartitions("hub", "kind", "i", "j", "rep")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: tuple[int, ...] | None = None
-        held: list[tuple[int, int, int, np.ndarray]] = []
+    def solve(hub: int, side: np.ndarray, rep: np.ndarray, label: np.ndarray, raw: list[bytes], inner: bool) -> list[tuple[int, int]]:
+        return block_links(rep, label, [np.frombuffer(x, U64) for x in raw], side, inner, threshold)
 
-        def solve() -> list[tuple[int, int]]:
-            if len(held) < 2:
-                return []
-            side, rep, label = (np.array([x[k] for x in held], np.int64) for k in range(3))
-            if last[1] == 0:  # those of one block search, those of the other are found
-                return block_links(rep, label, [x[3] for x in held], side, False, threshold)
-            return block_links(rep, label, [x[3] for x in held], side, last[2] == 0, threshold)
-
-        for batch in batches:
-            out: list[tuple[int, int]] = []
-            where = zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
-            side, rep, label = (batch.column(k).to_pylist() for k in (4, 5, 6))
-            for k, at in enumerate(where):
-                if at != last:
-                    out += solve()
-                    last, held = at, []
-                held.append((side[k], rep[k], label[k], np.frombuffer(batch.column(7)[k].as_py(), U64)))
-            if out:
-                x, y = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
-        if out := solve():
-            x, y = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
-
-    links = durable(dealt.mapInArrow(run, "a bigint, b bigint").distinct(), "links")
-    release(sets)
+    needed = durable(rows.select(F.col("rep").alias("key")).distinct(), "needed")
+    sets = durable(named.join(few(needed), "key", "left_semi").select("key", "text").mapInArrow(to_sets, "rep bigint, shingles binary"), "shingles")
+    links = durable(dealt(rows, sets, "shingles").mapInArrow(lambda batches: in_blocks(batches, solve), "a bigint, b bigint").distinct(), "links")
+    release(sets, needed)
     return links
 
 
@@ -431,19 +477,21 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fracti
         release(features)
         return by_row(docs, n, threshold, text, key)
     # Rows of one key and text, and rows without a key of one text, are one from here on; usually there are none.
-    twice = features.groupBy("key", "same").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    twice = durable(features.groupBy("key", "same").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "same"), "twice")
     first = features.where("key is not null").groupBy("same").agg(F.min("key").alias("rep"))
     gone = durable(features.join(first, "same").where("key <> rep").select("key").distinct(), "gone")
-    chosen = named.join(F.broadcast(gone) if gone.count() <= PAIRS_SENT else gone, "key", "left_anti")
+    chosen = named
     if not twice.isEmpty():
-        several = F.broadcast(twice) if twice.count() <= PAIRS_SENT else twice
-        same = chosen["key"].eqNullSafe(several["key"]) & (chosen["same"] == several["same"])
-        chosen = chosen.join(several, same, "left_anti").unionByName(chosen.join(several, same, "left_semi").dropDuplicates(["key", "same"]))
-    sets = durable(shingle_sets(chosen, n, threshold), "sets")
-    texts = named.where("key is not null").select("key", "text")
+        several = few(twice)
+        same = named["key"].eqNullSafe(several["key"]) & (named["same"] == several["same"])
+        chosen = named.join(several, same, "left_anti").unionByName(named.join(several, same, "left_semi").dropDuplicates(["key", "same"]))
+    texts = chosen.where("key is not null").select("key", "text")
+    sets = durable(shingle_sets(chosen.join(few(gone), "key", "left_anti"), n, threshold), "sets")
     sizes = durable(sets.select("key", "same", "n_shingles"), "sizes")
-    hoods = neighbourhoods(sets.where("key is not null"))
-    release(sets, gone)
+    whole = F.concat(F.unhex(F.lpad(F.hex("n_shingles"), 16, "0")), "point").alias("point")
+    points = durable(sets.where("key is not null").select(F.col("key").alias("rep"), whole), "points")
+    hoods = neighbourhoods(sets)
+    release(gone)
     found: list[DataFrame] = []
 
     def tie(links: DataFrame) -> DataFrame:
@@ -473,11 +521,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fracti
             stars = durable(large.join(pivot, "hub").where("rep <> a").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct(), "stars")
             before, labels = labels, tie(durable(verify(stars, texts, n, threshold), "links"))
             release(stars, before, rows)
-        if not rows.isEmpty():
-            before, labels = labels, tie(search_blocks(rows, texts, n, threshold))
+        left_over = with_partners(rows, points, threshold)
+        if not left_over.isEmpty():
+            before, labels = labels, tie(search_blocks(left_over, texts, n, threshold))
             release(before)
-        release(rows, *found)
-    release(hoods)
+        release(rows, left_over, *found)
+    release(hoods, points)
     by_text = sizes.groupBy("same").agg(F.max("n_shingles").alias("n_shingles"), F.min("key").alias("rep"))
     answer = features.join(by_text, "same")
     if labels is not None:
@@ -491,8 +540,8 @@ def drop_near_duplicates(docs: DataFrame, n: int = 5, threshold: Fraction = Frac
     """The documents without all but one of each component: the one with the smallest key stays. Of rows that repeat a
     key one stays; rows with a null key stay."""
     found = durable(jaccard_components(docs, n, threshold, text, key), "near")
-    gone = found.where(F.col("component_id") < F.col(key)).select(key).distinct()
-    kept = docs.join(gone, key, "left_anti").select(*docs.columns)
+    gone = durable(found.where(F.col("component_id") < F.col(key)).select(key).distinct(), "gone")
+    kept = docs.join(few(gone), key, "left_anti").select(*docs.columns)
     twice = found.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(key)
     if twice.isEmpty():  # texts need not be moved to find repeated keys
         return kept

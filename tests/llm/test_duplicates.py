@@ -118,6 +118,10 @@ def test_links_of_a_block_are_those_of_a_scan(inner):
 
         may = [(a, b) for a in range(40) for b in range(a) if (side[a] != side[b] or inner and side[a] == 1) and ngram_jaccard.reaches(sets[a], sets[b], t)]
         x, y = roots(links), roots(may)
+        sizes = np.array([len(s) for s in sets])
+        points = np.array([np.bincount(s % ngram_jaccard.GROUPS, minlength=ngram_jaccard.GROUPS) for s in sets]).astype(np.uint16)
+        some = ngram_jaccard.block_partners(labels, sizes, points, side, inner, t)
+        assert all(some[a] and some[b] for a, b in may if labels[a] != labels[b])
         assert all((x[a] == x[b]) == (y[a] == y[b]) for a in range(40) for b in range(40))
 
 
@@ -174,7 +178,7 @@ def test_unrelated_documents_are_in_no_neighbourhood(spark):
     rnd = np.random.default_rng(8)
     texts = [" ".join(map(str, rnd.integers(0, 2_000, 400))) for _ in range(5000)]
     docs = spark.createDataFrame([(k, b"", t) for k, t in enumerate(texts)], "key long, same binary, text string")
-    sets = ngram_jaccard.shingle_sets(docs, 5, Fraction(4, 5))
+    sets = common.durable(ngram_jaccard.shingle_sets(docs, 5, Fraction(4, 5)), "sets")
     assert ngram_jaccard.neighbourhoods(sets).count() == 0
 
 

@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, U64, durable, hash_words, mix64, release, slices, text_bytes, word_spans
+from .common import SPACE, U64, durable, few, hash_words, mix64, release, slices, text_bytes, word_spans
 
 #: Words that a suffix's key is made of.
 GRAM = 16
@@ -84,16 +84,19 @@ def minimisers(words: np.ndarray, row: np.ndarray, w: int) -> tuple[np.ndarray,
 
 
 def identified(docs: DataFrame, text: str, key: str) -> tuple[DataFrame, DataFrame | None]:
-    """(``doc``, ``text``) of the documents that have a key, and (``doc``, ``key``, ``same``), which tells what a number stands for, or
-    None if keys are the numbers. ``same`` is a digest of the text. Rows of one key and text are one document."""
-    same = F.md5(F.coalesce(F.col(text), F.lit("")))
+    """(``doc``, ``text``) of the documents that have a key, each once, and (``doc``, ``key``, ``same``), which tells what a number stands
+    for, or None if keys are the numbers. ``same`` is a digest of the text. Rows of one key and text are one document."""
+    same = F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
     named = docs.where(F.col(key).isNotNull()).select(F.col(key).alias("key"), same.alias("same"), F.col(text).alias("text"))
-    if isinstance(docs.schema[key].dataType, T.IntegralType):
-        several = named.groupBy("key").agg(F.min("same").alias("x"), F.max("same").alias("y")).where("x <> y")
-        if several.isEmpty():
-            return named.select(F.col("key").cast("bigint").alias("doc"), "text"), None
     order = ["key", "same"]
-    names = named.select(*order).distinct().repartitionByRange(*order).sortWithinPartitions(*order)
+    counts = durable(named.groupBy(*order).agg(F.count(F.lit(1)).alias("n")), "rows")
+    twice = durable(counts.where("n > 1").select(*order), "twice")
+    if not twice.isEmpty():
+        again = [named["key"] == twice["key"], named["same"] == twice["same"]]
+        named = named.join(few(twice), again, "left_anti").unionByName(named.join(few(twice), again, "left_semi").dropDuplicates(order))
+    if isinstance(docs.schema[key].dataType, T.IntegralType) and counts.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1").isEmpty():
+        return named.select(F.col("key").cast("bigint").alias("doc"), "text"), None
+    names = counts.select(*order).repartitionByRange(*order).sortWithinPartitions(*order)
     names = durable(names.withColumn("doc", F.monotonically_increasing_id()), "names")
     return named.join(names, order).select("doc", "text"), names
 
@@ -115,14 +118,19 @@ def suffix_keys(source: DataFrame, least: int) -> DataFrame:
     return source.mapInArrow(run, "gram bigint, doc bigint, pos int")
 
 
-def contexts(source: DataFrame, places: DataFrame, least: int) -> DataFrame:
-    """(``gram``, ``tail``, ``head``, ``doc``, ``pos``, ``low``, ``high``) of the suffixes at ``places`` (``doc``, ``at``: an array of
-    ``gram`` and ``pos``): hashes of the words after the key, and of those before it from the nearest on. Big-endian, so that
+def asked_of(source: DataFrame, asked: DataFrame) -> DataFrame:
+    """Documents with what is ``asked`` of each (``doc``, ``at``). Texts of which nothing is asked are left out before any are moved,
+    as long as the others' numbers can be sent to all tasks."""
+    return source.join(few(asked.select("doc")), "doc", "left_semi").join(asked, "doc").select("doc", "text", "at")
+
+
+def contexts(source: DataFrame, least: int) -> DataFrame:
+    """(``gram``, ``tail``, ``head``, ``doc``, ``pos``, ``low``, ``high``) of the suffixes at the places ``at`` (an array of ``gram`` and ``pos``) of
+    documents: hashes of the words after the key, and of those before it from the nearest on. Big-endian, so that
     they sort as the words do; where a text ends there are zeros, which no word has. The windows that belong to a suffix
     begin ``low`` to ``high`` words before it."""
     w = window_of(least)
     right, left = least - GRAM, w
-    source = source.join(places, "doc").dropDuplicates(["doc"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -434,7 +442,9 @@ def confirmed(removed: DataFrame, source: DataFrame) -> DataFrame:
             out = [hashlib.blake2b(b" ".join(raw[x:y].split()), digest_size=16).digest() for x, y in zip(first.tolist(), last.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(b.column("doc").to_numpy()[of]), at.field(0), at.field(1), pa.array(out, pa.binary())], ["doc", "start", "stop", "digest"])
 
-    told = durable(source.join(asked, "doc").dropDuplicates(["doc"]).select("doc", "text", "at").mapInArrow(run, "doc bigint, start int, stop int, digest binary"), "digests")
+    asked = durable(asked, "asked")
+    told = durable(asked_of(source, asked).mapInArrow(run, "doc bigint, start int, stop int, digest binary"), "digests")
+    release(asked)
     of_copy = told.select(F.col("doc").alias("copy"), F.col("start").alias("copy_start"), F.col("stop").alias("copy_stop"), F.col("digest").alias("copy_digest"))
     own = removed.join(told, ["doc", "start", "stop"]).withColumn("copy_stop", F.col("copy_start") + size)
     return own.join(of_copy, ["copy", "copy_start", "copy_stop"]).where("digest = copy_digest").select(*SPAN)
@@ -448,12 +458,13 @@ def repeated_spans(source: DataFrame, least: int) -> DataFrame:
     # Summed per task before the shuffle: a frequent passage's suffix is one row for each.
     often = keys.groupBy("gram").agg(F.min("doc").alias("d0"), F.max("doc").alias("d1"), F.min("pos").alias("p0"), F.max("pos").alias("p1")).where("d0 < d1 or p0 < p1").select("gram")
     often = durable(often, "often")  # read again, so that the join below may split a frequent suffix's rows
-    places = keys.join(often, "gram", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("gram", "pos")).alias("at"))
+    places = durable(keys.join(often, "gram", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("gram", "pos")).alias("at")), "places")
+    release(keys, often)
     order = ["gram", "tail", "head", "doc", "pos"]
-    suffixes = contexts(source, places, least)
+    suffixes = contexts(asked_of(source, places), least)
     array = suffixes.repartitionByRange(*order).sortWithinPartitions(*order)
     found = durable(compare(array, least), "matches")
-    release(keys, often)
+    release(places)
     edges = [r.asDict() for r in found.where(F.col("kind") == EDGE).collect()]  # two rows for each part
     spans = found.where(F.col("kind").isin(REPEAT, REMOVE)).select(*SPAN)
     spans = spans.unionByName(window_spans(found.where(F.col("kind") == WINDOW).select("gram", "window", "doc", "start"), least))
@@ -509,14 +520,16 @@ def drop_repeats(docs: DataFrame, least: int = 50, text: str = "text", key: str
     text, key = f"c{columns.index(text)}", f"c{columns.index(key)}"
     source, names = identified(plain, text, key)
     cut = passages_of(source, least).where("n_removed > 0").select("doc", F.col("removed").alias("cut"))
-    if names is None:
-        joined = plain.join(cut, plain[key] == cut["doc"], "left").drop("doc")
-    else:
-        of = cut.join(names, "doc").drop("doc")
-        joined = plain.withColumn("own", F.md5(F.coalesce(F.col(text), F.lit("")))).join(of, (F.col(key) == of["key"]) & (F.col("own") == of["same"]), "left").drop("own", "key", "same")
-    changed = joined.where("cut is not null")
-    same = joined.where("cut is null").drop("cut")
     fields = list(plain.columns)
+    if names is not None:  # by key and text
+        cut = cut.join(names, "doc").select(F.struct("key", "same").alias("doc"), "cut")
+        plain = plain.withColumn("own", F.when(F.col(key).isNotNull(), F.struct(F.col(key).alias("key"), F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")))).alias("same"))))
+        key = "own"
+    cut = durable(cut, "cut")
+    # Documents that stay as they are need not be moved.
+    touched = few(cut.select(F.col("doc").alias(key)))
+    same = plain.join(touched, key, "left_anti")
+    changed = plain.join(touched, key, "left_semi").join(cut, F.col(key) == F.col("doc"))
     at = fields.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -538,7 +551,7 @@ def drop_repeats(docs: DataFrame, least: int = 50, text: str = "text", key: str
             values[at] = pa.array(out, pa.string())
             yield pa.RecordBatch.from_arrays(values, fields)
 
-    new = changed.select(*fields, "cut").mapInArrow(run, plain.schema)
+    new = changed.select(*fields, "cut").mapInArrow(run, plain.select(*fields).schema)
     if length and length in columns:
         where = f"c{columns.index(length)}"
         new = new.withColumn(where, F.length(text).cast(plain.schema[where].dataType))

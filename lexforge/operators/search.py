@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,85 +134,196 @@ def with_snippets(found: DataFrame, text: str = "text") -> DataFrame:
 
 
 # --- the index
+#
+# A folder of tables that only grow: ``rows`` (each block once: its length and its terms with their places), ``postings`` (the
+# same, dealt by a hash of the term and sorted by it), ``terms`` (the vocabulary and its stems), ``gone`` (blocks that were
+# removed) and ``stats`` (rows and tokens that each step added or took away). Steps are numbered: a block's rows of steps up
+# to that of its removal are dead. ``compact_index`` writes what lives anew.
 
 
 def _moved(places: Column, k: int) -> Column:
     return F.transform(places, lambda x: x - k)
 
 
-def postings(blocks: DataFrame, text: str = "text", key: str = "block_id") -> DataFrame:
-    """(``term``, key, ``places``, ``tf``, ``dl``): a row for each term of each block."""
-    corpus = tokenised(blocks.select(key, text), text)
-    every = corpus.select(key, "dl", F.posexplode("tokens").alias("pos", "term"))
-    out = every.groupBy("term", key).agg(F.sort_array(F.collect_list("pos")).alias("places"), F.first("dl").alias("dl"))
-    return out.withColumn("tf", F.size("places"))
+def term_places(token_column: Column) -> Column:
+    """The distinct terms of an array of tokens, in order, with their places: from one sort of the row's own tokens."""
+    marked = F.sort_array(F.transform(token_column, lambda t, i: F.struct(t.alias("term"), i.alias("pos"))))
+    begin = lambda s: F.filter(F.transform(s, lambda x, i: F.when((i == 0) | (x["term"] != F.get(s, i - 1)["term"]), i)), lambda i: i.isNotNull())
 
+    def runs(s: Column, at: Column) -> Column:
+        def of(i: Column, j: Column) -> Column:
+            stop = F.coalesce(F.get(at, j + 1), F.size(s))
+            return F.struct(F.get(s, i)["term"].alias("term"), F.transform(F.slice(s, i + 1, stop - i), lambda x: x["pos"]).alias("places"))
+
+        return F.transform(at, of)
+
+    let = lambda value, of: F.transform(F.array(value), of)[0]  # noqa: E731 - computed once, however often it is named
+    return let(marked, lambda s: let(begin(s), lambda at: runs(s, at)))
+
+
+def index_rows(blocks: DataFrame, text: str = "text", key: str = "block_id", kept: tuple[str, ...] = ()) -> DataFrame:
+    """(key, ``kept``, ``dl``, ``terms``) of blocks: each is tokenised once."""
+    return tokenised(blocks.select(key, *kept, text), text).select(key, *kept, "dl", term_places(F.col("tokens")).alias("terms"))
+
+
+def postings(rows: DataFrame, key: str = "block_id") -> DataFrame:
+    """(``term``, key, ``places``, ``tf``, ``dl``, and what else rows have): a row for each term of each block."""
+    rest = [c for c in rows.columns if c not in (key, "terms")]
+    return rows.select(key, *rest, F.explode("terms").alias("t")).select("t.term", key, "t.places", F.size("t.places").alias("tf"), *rest)
 
-def write_index(blocks: DataFrame, path: str, text: str = "text", key: str = "block_id", buckets: int = 64, mode: str = "overwrite") -> None:
-    """Postings dealt by a hash of the term and sorted by term; sizes of all blocks, empty ones too, beside them; and
-    the stem of each term of the vocabulary."""
-    own = postings(blocks, text, key).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
-    # A frequent term's postings are spread by block, so no task sorts all of them.
-    own = own.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("bucket", "term", key)
-    own.write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
-    tokenised(blocks.select(key, text), text).select(key, "dl").write.mode(mode).parquet(f"{path}/sizes")
-    terms = blocks.sparkSession.read.parquet(f"{path}/postings").select("term").distinct()
-    stems_of(terms).write.mode("overwrite").parquet(f"{path}/terms")
 
+def _table(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{path}/{name}")
 
-def search_index(blocks: DataFrame, path: str, query: str, mode: str = EXACT, book_id: int | None = None, limit: int | None = 50, spellings: Spellings | None = None, key: str = "block_id", buckets: int = 64) -> DataFrame:
-    """As ``search``, from the index: the postings of the query's terms alone are read. Blocks join what was found."""
+
+def _step(spark: SparkSession, path: str) -> tuple[int, int]:
+    """(number of the next step, buckets)."""
+    last = _table(spark, path, "stats").agg(F.max("step").alias("step"), F.max("buckets").alias("buckets")).first()
+    return last["step"] + 1, last["buckets"]
+
+
+def _add(blocks: DataFrame, path: str, text: str, key: str, kept: tuple[str, ...], buckets: int, step: int, mode: str) -> None:
     spark = blocks.sparkSession
+    at = F.lit(step).alias("step")
+    written = f"{path}/rows"
+    index_rows(blocks, text, key, kept).select("*", at).write.mode(mode).parquet(written)
+    rows = spark.read.parquet(written).where(F.col("step") == step)
+    own = postings(rows, key).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    # A frequent term's postings are spread by block, so no task sorts all of them.
+    own = own.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("bucket", "term", key)
+    own.write.mode(mode).partitionBy("bucket").parquet(f"{path}/postings")
+    stems_of(rows.select(F.explode("terms.term").alias("term"))).write.mode(mode).parquet(f"{path}/terms")
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("bigint").alias("tokens"))
+    sums.select(at, "n", "tokens", F.lit(buckets).alias("buckets")).write.mode(mode).parquet(f"{path}/stats")
+
+
+def write_index(blocks: DataFrame, path: str, text: str = "text", key: str = "block_id", buckets: int = 64, kept: tuple[str, ...] = ()) -> None:
+    """An index of all blocks, in place of what is there. ``kept`` are columns that a search returns from the index itself."""
+    _add(blocks, path, text, key, kept, buckets, 0, "overwrite")
+    none = blocks.where(F.lit(False)).select(key, F.lit(0).alias("step"))
+    none.write.mode("overwrite").parquet(f"{path}/gone")
+
+
+def add_to_index(new_blocks: DataFrame, path: str, text: str = "text", key: str = "block_id", kept: tuple[str, ...] = ()) -> None:
+    """Adds blocks that the index does not have (or has no longer)."""
+    step, buckets = _step(new_blocks.sparkSession, path)
+    _add(new_blocks, path, text, key, kept, buckets, step, "append")
+
+
+def alive(rows: DataFrame, spark: SparkSession, path: str, key: str = "block_id") -> DataFrame:
+    """``rows`` (with ``step``) without those of blocks that were removed since."""
+    gone = _table(spark, path, "gone").groupBy(key).agg(F.max("step").alias("gone_at"))
+    return rows.join(gone, key, "left").where(F.col("gone_at").isNull() | (F.col("step") > F.col("gone_at"))).drop("gone_at")
+
+
+def remove_from_index(gone: DataFrame, path: str, key: str = "block_id") -> None:
+    """Removes the blocks whose keys are in ``gone``. Nothing is rewritten: their keys are noted, and their share of the statistics
+    is taken off."""
+    spark = gone.sparkSession
+    step, buckets = _step(spark, path)
+    rows = _table(spark, path, "rows").select(key, "dl", "step").join(gone.select(key).distinct(), key, "left_semi")
+    rows = alive(rows, spark, path, key)
+    sums = rows.agg((-F.count(F.lit(1))).alias("n"), (-F.coalesce(F.sum("dl"), F.lit(0))).cast("bigint").alias("tokens")).first()
+    taken = rows.select(key, F.lit(step).alias("step")).distinct()
+    taken.write.mode("append").parquet(f"{path}/gone")
+    spark.range(1).select(F.lit(step).alias("step"), F.lit(sums["n"]).cast("bigint").alias("n"), F.lit(sums["tokens"]).cast("bigint").alias("tokens"), F.lit(buckets).alias("buckets")).write.mode("append").parquet(f"{path}/stats")
+
+
+def update_index(blocks: DataFrame, path: str, text: str = "text", key: str = "block_id", kept: tuple[str, ...] = ()) -> None:
+    """Blocks whose text changed: what the index has of them goes, and their new rows are added."""
+    remove_from_index(blocks, path, key)
+    add_to_index(blocks, path, text, key, kept)
+
+
+def compact_index(spark: SparkSession, path: str, target: str, key: str = "block_id") -> None:
+    """The living rows of an index as a new one, in another folder."""
+    _, buckets = _step(spark, path)
+    rows = alive(_table(spark, path, "rows"), spark, path, key).withColumn("step", F.lit(0))
+    rows.write.mode("overwrite").parquet(f"{target}/rows")
+    rows = _table(spark, target, "rows")
+    own = postings(rows, key).withColumn("bucket", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int"))
+    own.repartition("bucket", F.pmod(F.xxhash64(key), F.lit(8))).sortWithinPartitions("bucket", "term", key).write.mode("overwrite").partitionBy("bucket").parquet(f"{target}/postings")
+    stems_of(rows.select(F.explode("terms.term").alias("term"))).write.mode("overwrite").parquet(f"{target}/terms")
+    sums = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).cast("bigint").alias("tokens"))
+    sums.select(F.lit(0).alias("step"), "n", "tokens", F.lit(buckets).alias("buckets")).write.mode("overwrite").parquet(f"{target}/stats")
+    rows.where(F.lit(False)).select(key, "step").write.mode("overwrite").parquet(f"{target}/gone")
+
+
+def _term_postings(spark: SparkSession, path: str, term: str, prefix: bool, mode: str, buckets: int, columns: list[str]) -> DataFrame:
+    """Postings of a query's term, or of the terms that it stands for. Terms are named to the scan while they are few, so
+    that only their buckets and row groups are read."""
+    own = _table(spark, path, "postings")
+    if mode == EXACT and not prefix:
+        return own.where((F.col("bucket") == F.pmod(F.xxhash64(F.lit(term)), F.lit(buckets))) & (F.col("term") == term)).select(*columns)
+    column = F.col("stem" if mode == STEMMED else "term")
+    some = _table(spark, path, "terms").where(column.startswith(term) if prefix else column == term).select("term", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket")).distinct()
+    named = some.limit(TERMS_NAMED + 1).collect()
+    if len(named) > TERMS_NAMED:
+        return own.join(some, ["bucket", "term"], "left_semi").select(*columns)
+    return own.where(F.col("bucket").isin(sorted({r["bucket"] for r in named})) & F.col("term").isin(sorted(r["term"] for r in named))).select(*columns)
+
+
+def find_in_index(spark: SparkSession, path: str, query: str, mode: str = EXACT, scope: Column | None = None, limit: int | None = 50, spellings: Spellings | None = None, key: str = "block_id", kept: tuple[str, ...] = ()) -> DataFrame:
+    """(key, ``kept``, ``rank``) of the blocks that match, best first, from the index alone: the postings of the query's terms and
+    the sums of the statistics are all that is read. ``scope``, of the columns ``kept``, narrows what is returned, not the
+    statistics. An empty query finds nothing."""
     parsed = compile_query(query, spellings, stem if mode == STEMMED else None)
     if parsed is None or not parsed.phrases:
-        return blocks.where(F.lit(False)).withColumn("rank", F.lit(0.0))
-    terms = spark.read.parquet(f"{path}/terms")
-    own = spark.read.parquet(f"{path}/postings")
-    column = "stem" if mode == STEMMED else "term"
-    per_phrase = []
+        return _table(spark, path, "rows").where(F.lit(False)).select(key, *kept, F.lit(0.0).alias("rank"))
+    sums = _table(spark, path, "stats").agg(F.sum("n").alias("n"), F.sum("tokens").alias("tokens"), F.max("buckets").alias("buckets")).first()
+    has_gone = not _table(spark, path, "gone").isEmpty()
+    rest = [*kept, "dl", *(["step"] if has_gone else [])]
+    every = None
     for i, p in enumerate(parsed.phrases):
-        parts = None
+        alone = len(p.terms) == 1
+        found = None
         for k, t in enumerate(p.terms):
-            prefix = p.prefix and k == len(p.terms) - 1
-            if mode == EXACT and not prefix:
-                named = own.where((F.col("bucket") == F.pmod(F.xxhash64(F.lit(t)), F.lit(buckets))) & (F.col("term") == t))
-            else:
-                # Terms of a stem or a prefix: few of the vocabulary, joined by term.
-                some = terms.where(F.col(column).startswith(t) if prefix else F.col(column) == t).select("term")
-                named = own.join(some, "term", "left_semi")
-            at = named.groupBy(key).agg(F.array_sort(F.flatten(F.collect_list(_moved(F.col("places"), k)))).alias("p"))
-            parts = at if parts is None else parts.join(at.withColumnRenamed("p", "q"), key).select(key, F.array_intersect("p", "q").alias("p"))
-        per_phrase.append(parts.select(key, F.lit(i).alias("i"), F.size("p").alias("f")).where("f > 0"))
-    every = per_phrase[0]
-    for p in per_phrase[1:]:
-        every = every.unionByName(p)
-    k = len(parsed.phrases)
-    freq = every.groupBy(key).agg(F.array(*[F.sum(F.when(F.col("i") == i, F.col("f")).otherwise(0)).cast("int") for i in range(k)]).alias("freq"))
-    sizes = spark.read.parquet(f"{path}/sizes")
-    stats = sizes.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    dfs = freq.agg(*[F.coalesce(F.sum((F.get("freq", F.lit(i)) > 0).cast("bigint")), F.lit(0)).alias(f"df{i}") for i in range(k)])
-    idfs = stats.crossJoin(dfs).select("avgdl", F.array(*[idf(F.col("n"), F.col(f"df{i}")) for i in range(k)]).alias("idfs"))  # one row
-    cols = [F.get("freq", F.lit(i)) for i in range(k)]
-    rows = freq.where(parsed.matches(cols)).join(sizes, key).crossJoin(F.broadcast(idfs))
+            named = _term_postings(spark, path, t, p.prefix and k == len(p.terms) - 1, mode, sums["buckets"], [key, *rest, "tf" if alone else "places"])
+            if alone:
+                found = named.select(key, *rest, F.col("tf").alias("f"))
+                continue
+            # Several terms of one word in a block: their places together.
+            one = named.groupBy(key, *rest).agg(F.array_sort(F.flatten(F.collect_list(_moved(F.col("places"), k)))).alias("q"))
+            found = one.withColumnRenamed("q", "p") if found is None else found.join(one, [key, *rest]).select(key, *rest, F.array_intersect("p", "q").alias("p"))
+        own = (found if alone else found.select(key, *rest, F.size("p").alias("f"))).where("f > 0").select(key, *rest, F.lit(i).alias("i"), "f")
+        every = own if every is None else every.unionByName(own)
+    if has_gone:
+        every = alive(every, spark, path, key).drop("step")
+        rest.remove("step")
+    n = len(parsed.phrases)
+    freq = every.groupBy(key, *rest).agg(F.array(*[F.sum(F.when(F.col("i") == i, F.col("f")).otherwise(0)).cast("int") for i in range(n)]).alias("freq"))
+    cols = [F.get("freq", F.lit(i)) for i in range(n)]
+    dfs = freq.agg(*[F.coalesce(F.sum((c > 0).cast("bigint")), F.lit(0)).alias(f"df{i}") for i, c in enumerate(cols)])
+    idfs = dfs.select(F.array(*[idf(F.lit(float(sums["n"])), F.col(f"df{i}")) for i in range(n)]).alias("idfs"))
+    rows = freq.where(parsed.matches(cols)).crossJoin(F.broadcast(idfs))  # one row
     used = [F.when(c, f).otherwise(0) for f, c in zip(cols, parsed.contributing(cols), strict=True)]
-    rows = rows.select(key, (-score(used, [F.get("idfs", F.lit(i)) for i in range(k)], F.col("dl"), F.col("avgdl"))).alias("rank"))
-    out = blocks.join(rows, key)
+    average = F.lit(sums["tokens"] / max(1, sums["n"]))
+    rows = rows.select(key, *kept, (-score(used, [F.get("idfs", F.lit(i)) for i in range(n)], F.col("dl"), average)).alias("rank"))
+    if scope is not None:
+        rows = rows.where(scope)
+    order = [F.round("rank", 6), F.col(key)]
+    return rows.orderBy(*order).limit(limit) if limit is not None else rows
+
+
+def search_index(blocks: DataFrame, path: str, query: str, mode: str = EXACT, book_id: int | None = None, limit: int | None = 50, spellings: Spellings | None = None, key: str = "block_id") -> DataFrame:
+    """As ``search``, from the index; blocks join what was found."""
+    first = limit if book_id is None else None
+    found = find_in_index(blocks.sparkSession, path, query, mode, None, first, spellings, key)
+    out = blocks.join(F.broadcast(found) if first is not None else found, key)  # bounded by the limit
     if book_id is not None:
         out = out.where(F.col("book_id") == book_id)
-    return out.orderBy(F.round("rank", 6), key).limit(limit) if limit is not None else out
+    out = out.orderBy(F.round("rank", 6), key)
+    return out.limit(limit) if limit is not None else out
 
 
 def index_agrees(blocks: DataFrame, path: str, text: str = "text", key: str = "block_id") -> bool:
-    """Does the index hold exactly what its blocks give?"""
-    cols = ["term", key, "places", "dl"]
-    fresh = postings(blocks, text, key).select(*cols)
-    kept = blocks.sparkSession.read.parquet(f"{path}/postings").select(*cols)
-    return fresh.exceptAll(kept).isEmpty() and kept.exceptAll(fresh).isEmpty()
-
-
-def add_to_index(new_blocks: DataFrame, path: str, text: str = "text", key: str = "block_id", buckets: int = 64) -> None:
-    """Adds blocks to an index that has none of them."""
-    write_index(new_blocks, path, text, key, buckets, mode="append")
+    """Does the index hold exactly what its blocks give, in its postings and its statistics?"""
+    spark, cols = blocks.sparkSession, ["term", key, "places", "dl"]
+    fresh = postings(index_rows(blocks, text, key), key).select(*cols)
+    own = alive(_table(spark, path, "postings"), spark, path, key).select(*cols)
+    sums = _table(spark, path, "stats").agg(F.sum("n").alias("n"), F.sum("tokens").alias("t")).first()
+    real = tokenised(blocks, text).agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("t")).first()
+    return tuple(sums) == tuple(real) and fresh.exceptAll(own).isEmpty() and own.exceptAll(fresh).isEmpty()
 
 
 def bm25_reference(freqs: list[int], dfs: list[int], n: int, dl: int, avgdl: float) -> float:

@@ -7,6 +7,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+def sweep(results: DataFrame, labels: DataFrame, floors: list[float], penalties: list[float], deep: int = 10, shallow: int = 5) -> DataFrame:
+    """For every floor and penalty (``floor``, ``penalty``): how many results are ``shown``, and how many of the first ``shallow`` of a query
+    are ``found`` to be right (``labels``: ``query``, ``item``). ``results``: ``query``, ``item``, ``score``, ``n_chunks``. A penalty reorders
+    by the logarithm of an item's chunks; a floor is for the score itself and cuts a ranking from below, so each penalty
+    ranks once for all floors, and counts of scores serve them all."""
+    spark = results.sparkSession
+    of = lambda name, values: F.broadcast(spark.createDataFrame([(float(v),) for v in values], f"{name} double"))
+    w = W.partitionBy("query", "penalty").orderBy(F.round(F.col("score") - F.col("penalty") * F.log("n_chunks"), 9).desc(), "item")
+    ranked = results.crossJoin(of("penalty", penalties)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= deep)
+    graded = ranked.join(labels.select("query", "item", F.lit(1).alias("right")), ["query", "item"], "left").crossJoin(of("floor", floors)).where("score >= floor")
+    sums = graded.groupBy("penalty", "floor").agg(F.count(F.lit(1)).alias("shown"), F.sum(F.when(F.col("right").isNotNull() & (F.col("rank") <= shallow), 1).otherwise(0)).alias("found"))
+    every = of("penalty", penalties).crossJoin(of("floor", floors)).join(sums, ["penalty", "floor"], "left")
+    return every.select("penalty", "floor", F.coalesce("shown", F.lit(0)).alias("shown"), F.coalesce("found", F.lit(0)).cast("bigint").alias("found"))
+
+
 def evaluate(results: DataFrame, queries: DataFrame, labels: DataFrame, floors: list[float], deep: int = 10, shallow: int = 5) -> DataFrame:
     """A row for each floor: ``recall``, ``ndcg`` (both averages over answered queries), ``emptied`` (answered ones left without
     results), ``no_answer`` (part of the others that are empty, as they should be) and ``leaks`` (off-corpus ones that are not).

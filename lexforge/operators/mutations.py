@@ -112,6 +112,87 @@ def check_folders(rows: DataFrame) -> Checked:
     return Checked(out.valid.drop("__k"), out.rejected.drop("__k"))
 
 
+def add_highlights(highlights: DataFrame, new: DataFrame) -> Checked:
+    """New highlights that overlap neither with one of their paragraph that is there, nor with a new one of a smaller number; the
+    others are rejected. Touching is not overlapping."""
+    there = highlights.select("block_id", "start_offset", "end_offset", F.lit(None).cast("bigint").alias("of"))
+    both = there.unionByName(new.select("block_id", "start_offset", "end_offset", F.col("highlight_id").alias("of"))).alias("a")
+    n = new.select("highlight_id", "block_id", "start_offset", "end_offset").alias("n")
+    before = F.col("a.of").isNull() | (F.col("a.of") < F.col("n.highlight_id"))
+    hit = (F.col("a.block_id") == F.col("n.block_id")) & before & (F.col("a.start_offset") < F.col("n.end_offset")) & (F.col("a.end_offset") > F.col("n.start_offset"))
+    bad = n.join(both, hit, "left_semi").select(F.col("highlight_id"))
+    rejected = new.join(bad, "highlight_id", "left_semi").withColumn("broken", F.array(F.lit("overlap")))
+    return Checked(new.join(bad, "highlight_id", "left_anti"), rejected)
+
+
+def add_notes(notes: DataFrame, new: DataFrame) -> Checked:
+    """New notes with a body, on anchors (a highlight, or else a paragraph) that have none yet; of new ones on one anchor the one of the
+    smallest number."""
+    from lexforge.functions.text import trim_all
+
+    anchor = ["block_id", "highlight_id"]
+    taken = notes.select(*[F.col(c).alias(f"__{c}") for c in anchor]).distinct().withColumn("__taken", F.lit(True))
+    same = F.col("block_id").eqNullSafe(F.col("__block_id")) & F.col("highlight_id").eqNullSafe(F.col("__highlight_id"))
+    first = new.groupBy(*anchor).agg(F.min("note_id").alias("__first"))
+    own = F.col("n.block_id").eqNullSafe(F.col("f.block_id")) & F.col("n.highlight_id").eqNullSafe(F.col("f.highlight_id"))
+    numbered = new.alias("n").join(first.alias("f"), own).select("n.*", "__first").join(taken, same, "left")
+    out = check(numbered, free=F.col("__taken").isNull() & (F.col("note_id") == F.col("__first")), body=F.length(trim_all(F.col("body"))) > 0)
+    return Checked(out.valid.select(*new.columns), out.rejected.select(*new.columns, "broken"))
+
+
+def update_notes(notes: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """``notes`` with the bodies of ``changes`` (``note_id``, ``body``) and ``updated_at`` set to ``now`` where they are."""
+    new = changes.select("note_id", F.col("body").alias("__body"))
+    out = notes.join(new, "note_id", "left")
+    out = out.withColumn("updated_at", F.when(F.col("__body").isNotNull(), now).otherwise(F.col("updated_at"))).withColumn("body", F.coalesce("__body", "body"))
+    return out.select(*notes.columns)
+
+
+def check_renames(folders: DataFrame, wanted: DataFrame) -> Checked:
+    """New names (``folder_id``, ``name``) that are not blank and that no other folder has, whatever the ASCII case. A folder without
+    a number is another one than any that has one."""
+    from lexforge.functions.text import nocase, trim_all
+
+    others = folders.select(F.col("folder_id").alias("__of"), nocase(F.col("name")).alias("__name"))
+    taken = wanted.withColumn("__low", nocase(F.col("name"))).join(others, (F.col("__low") == F.col("__name")) & ~F.col("folder_id").eqNullSafe(F.col("__of")), "left_semi")
+    marked = wanted.join(taken.select("folder_id").distinct().withColumn("__taken", F.lit(True)), "folder_id", "left")
+    out = check(marked, blank=F.length(trim_all(F.col("name"))) > 0, unique=F.col("__taken").isNull())
+    return Checked(out.valid.drop("__taken"), out.rejected.drop("__taken"))
+
+
+#: Characters of a title or author, at most.
+FIELD = 500
+
+
+def check_fields(rows: DataFrame, fields: list[str]) -> Checked:
+    """Rows whose fields are not blank and have ``FIELD`` characters at most; a null field is not known, and fine."""
+    from lexforge.functions.text import trim_all
+
+    rules = {}
+    for c in fields:
+        size = F.length(trim_all(F.col(c)))
+        rules |= {f"{c} blank": F.col(c).isNull() | (size > 0), f"{c} long": F.col(c).isNull() | (size <= FIELD)}
+    return check(rows, **rules)
+
+
+def default_folder(folders: DataFrame, bookmarks: DataFrame, folder_id: int, name: str = "Bookmarks") -> tuple[DataFrame, DataFrame]:
+    """Bookmarks without a folder go to one of this number, which is there from then on."""
+    own = folders.sparkSession.range(1).select(*[F.lit({"folder_id": folder_id, "name": name}.get(c)).cast(folders.schema[c].dataType).alias(c) for c in folders.columns])
+    new = own.join(folders.select("folder_id"), "folder_id", "left_anti").select(*folders.columns)
+    return folders.unionByName(new), bookmarks.withColumn("folder_id", F.coalesce("folder_id", F.lit(folder_id).cast(bookmarks.schema["folder_id"].dataType)))
+
+
+def backfill_markers(markers: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Markers (``book_id``, ``model``), with one for each book and model that has chunks and no marker."""
+    have = chunks.select("book_id", "model").distinct()
+    return markers.select("book_id", "model").unionByName(have.join(markers, ["book_id", "model"], "left_anti"))
+
+
+def report(outcomes: DataFrame) -> DataFrame:
+    """How often there was each outcome."""
+    return outcomes.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
+
+
 def duplicates(table: DataFrame, keys: list[str]) -> DataFrame:
     """Keys that are there more than once."""
     return table.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -133,6 +133,20 @@ def with_snippets(found: DataFrame, text: str = "text") -> DataFrame:
     return found.withColumn("snippet", snippet_column(F.col(text), F.col("hits")))
 
 
+def hydrated(found: DataFrame, chapters: DataFrame, books: DataFrame, blocks: DataFrame) -> DataFrame:
+    """The bounded result of a search with ``block_idx``, ``chapter_idx`` and ``chapter_title`` (of chapters with ``idx``), ``book_title``.
+    Hits of chapters or books that are gone are left out."""
+    few = F.broadcast(found)
+    out = blocks.select("block_id", "block_idx").join(few, "block_id")
+    out = chapters.select("chapter_id", F.col("idx").alias("chapter_idx"), F.col("title").alias("chapter_title")).join(F.broadcast(out), "chapter_id")
+    return of_present_books(out, books)
+
+
+def of_present_books(found: DataFrame, books: DataFrame) -> DataFrame:
+    """The bounded result of a search, those of its hits whose books are there, with ``book_title``."""
+    return books.select("book_id", F.col("title").alias("book_title")).join(F.broadcast(found), "book_id")
+
+
 # --- the index
 #
 # A folder of tables that only grow: ``rows`` (each block once: its length and its terms with their places), ``postings`` (the

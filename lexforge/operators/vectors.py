@@ -100,6 +100,36 @@ def top_for_queries(rows: DataFrame, asked: DataFrame, k: int, item: str = "vec_
     return out.withColumn("k", F.row_number().over(w)).where(F.col("k") <= k).drop("k")
 
 
+def best_for_queries(rows: DataFrame, asked: DataFrame, group: str = "item", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """(``query``, ``item``, ``score``, ``n_chunks``): for each of ``asked`` (``query``, ``q``) and each group of rows the largest dot product, the
+    query's own row left out, and the number of rows. Queries go to the rows in blocks; a task sums its rows up."""
+    n = asked.count()
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    out = None
+    for b in range(blocks):
+        part = asked.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b).collect()
+        names, vectors = np.array([r["query"] for r in part], np.int64), np.array([r["q"] for r in part], np.float64)
+
+        def run(batches: Iterator[pa.RecordBatch], names=names, vectors=vectors) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for s in range(0, batch.num_rows, 1024):
+                    own = batch.slice(s, 1024)
+                    x = own.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(own.num_rows, -1)
+                    keys, which = own.column(0).to_numpy(), own.column(1).to_numpy()
+                    scores = np.einsum("ij,kj->ik", vectors, x) if len(names) else np.zeros((0, len(keys)))
+                    scores[names[:, None] == keys[None, :]] = -np.inf
+                    order = np.argsort(which, kind="stable")
+                    groups, starts = np.unique(which[order], return_index=True)
+                    best = np.maximum.reduceat(scores[:, order], starts, axis=1)
+                    count = np.add.reduceat(np.isfinite(scores[:, order]).astype(np.int64), starts, axis=1)
+                    some = count.ravel() > 0
+                    yield pa.RecordBatch.from_arrays([pa.array(np.repeat(names, len(groups))[some]), pa.array(np.tile(groups, len(names))[some]), pa.array(best.ravel()[some]), pa.array(count.ravel()[some])], ["query", "item", "score", "n"])
+
+        found = rows.select(F.col(key).cast("bigint"), F.col(group).cast("bigint"), vector).mapInArrow(run, "query bigint, item bigint, score double, n bigint")
+        out = found if out is None else out.unionByName(found)
+    return out.groupBy("query", "item").agg(F.max("score").alias("score"), F.sum("n").alias("n_chunks"))
+
+
 def replace_chunks(chunks: DataFrame, chapter_id: int, model: str, new: DataFrame) -> DataFrame:
     """``chunks`` with those of a chapter and model replaced by ``new``; other chapters' and models' stay."""
     return chunks.where(~((F.col("chapter_id") == chapter_id) & (F.col("model") == model))).unionByName(new.select(*chunks.columns))

@@ -14,8 +14,10 @@ from lexforge.operators import library as L
 from lexforge.operators import mutations as M
 from lexforge.operators import search as S
 from lexforge.operators import vectors as V
+from lexforge.operators.prefix import placed, running
+from lexforge.operators.scratch import scratch_path
 from lexforge.sources import corpus as C
-from lexforge.sources import markup, pdf_pages
+from lexforge.sources import files, markup, pdf_pages
 from lexforge.streaming import indexing
 
 from .query import Spellings
@@ -30,7 +32,7 @@ def query(sql: str | None = None):
     def add(f):
         QUERIES[f.__name__] = f
         if sql:
-            SQL[f.__name__] = sql if sql.lstrip().startswith("WITH RECURSIVE") else _with(sql)
+            SQL[f.__name__] = sql if sql in SQL.values() else _with(sql)
         return f
 
     return add
@@ -42,8 +44,8 @@ _VIEWS = {
     "books": "SELECT DISTINCT CAST(substr(source, 4) AS BIGINT) + 1 AS book_id, source AS title, TIMESTAMP '2024-01-01 00:00:00' + to_days(CAST(substr(source, 4) AS INTEGER) + 1) AS added_at FROM documents",
     "chapters": "SELECT doc_id AS chapter_id, CAST(substr(source, 4) AS BIGINT) + 1 AS book_id, substr(split_part(text, chr(10), 1), 1, 60) AS title, text FROM documents",
     "lines": "SELECT doc_id AS chapter_id, CAST(substr(source, 4) AS BIGINT) + 1 AS book_id, string_split(text, chr(10)) AS ls FROM documents",
-    "blocks": "SELECT chapter_id, book_id, i - 1 AS block_idx, chapter_id * 100000 + i - 1 AS block_id, ls[i] AS text FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM lines)",
-    "marks": "SELECT e.event_id, e.user_id, e.event_type, e.ts, e.value, e.props, l.chapter_id, l.book_id, e.event_id % len(l.ls) AS block_idx, l.chapter_id * 100000 + e.event_id % len(l.ls) AS block_id, l.ls[e.event_id % len(l.ls) + 1] AS text FROM events e JOIN lines l ON l.chapter_id = e.event_id % (SELECT count(*) FROM documents)",
+    "blocks": "SELECT chapter_id, book_id, i - 1 AS block_idx, chapter_id * 100000000 + i - 1 AS block_id, ls[i] AS text FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM lines)",
+    "marks": "SELECT e.event_id, e.user_id, e.event_type, e.ts, e.value, e.props, l.chapter_id, l.book_id, e.event_id % len(l.ls) AS block_idx, l.chapter_id * 100000000 + e.event_id % len(l.ls) AS block_id, l.ls[e.event_id % len(l.ls) + 1] AS text FROM events e JOIN lines l ON l.chapter_id = e.event_id % (SELECT count(*) FROM documents)",
     "bookmarks": "SELECT user_id AS folder_id, block_id, chapter_id, book_id, block_idx, min(event_id) AS bookmark_id FROM marks WHERE event_type = 'click' GROUP BY ALL",
     "highlights": "SELECT event_id AS highlight_id, book_id, chapter_id, block_id, block_idx, CAST(floor(value) AS BIGINT) % length(text) AS start_offset, least(CAST(floor(value) AS BIGINT) % length(text) + 20, length(text)) AS end_offset, ['yellow', 'green', 'blue', 'pink'][event_id % 4 + 1] AS color, text FROM marks WHERE event_type = 'purchase' AND length(text) > 0",
     "notes": "SELECT n.event_id AS note_id, n.book_id, n.chapter_id, n.block_id, n.block_idx, h.highlight_id, n.props AS body FROM (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY event_id) AS k FROM marks WHERE event_type = 'error') n LEFT JOIN (SELECT block_id, min(highlight_id) AS highlight_id FROM highlights GROUP BY block_id) h ON h.block_id = n.block_id WHERE k = 1",
@@ -86,7 +88,7 @@ def _found(rows: DataFrame) -> DataFrame:
     return rows.select("block_id", "book_id", "chapter_id", F.round("rank", 6).alias("rank"))
 
 
-def _search_sql(phrases: list[tuple[str, ...]], match: str, used: list[str], limit: int = 50, book: int | None = None, prefix: frozenset = frozenset()) -> str:
+def _search_sql(phrases: list[tuple[str, ...]], match: str, used: list[str], limit: int = 50, book: int | None = None, prefix: frozenset = frozenset(), rows: str = "true") -> str:
     """BM25 over lines. ``match`` and ``used`` name how often phrase i occurs ``f<i>``."""
 
     def count(i: int) -> str:
@@ -99,7 +101,7 @@ def _search_sql(phrases: list[tuple[str, ...]], match: str, used: list[str], lim
     idf = lambda i: f"(CASE WHEN ln((n - n{i} + 0.5) / (n{i} + 0.5)) <= 0 THEN 1e-6 ELSE ln((n - n{i} + 0.5) / (n{i} + 0.5)) END)"
     part = lambda i: f"{idf(i)} * u{i} * 2.2e0 / (u{i} + 1.2e0 * (0.25e0 + 0.75e0 * dl / avgdl))"
     return f"""
-    WITH f AS (SELECT block_id, book_id, chapter_id, len(tk) AS dl, {', '.join(count(i) for i in range(n))} FROM toks),
+    WITH f AS (SELECT block_id, book_id, chapter_id, len(tk) AS dl, {', '.join(count(i) for i in range(n))} FROM toks WHERE {rows}),
       s AS (SELECT CAST(count(*) AS DOUBLE) AS n, CAST(avg(dl) AS DOUBLE) AS avgdl, {dfs} FROM f),
       m AS (SELECT *, {', '.join(f'CASE WHEN {c} THEN f{i} ELSE 0 END AS u{i}' for i, c in enumerate(used))} FROM f WHERE {match})
     SELECT block_id, book_id, chapter_id, round(-({' + '.join(part(i) for i in range(n))}), 6) AS rank FROM m, s
@@ -197,6 +199,91 @@ def fts_stemmed(spark, sf_dir):
     return _search(spark, sf_dir, "licensing OR stupids", mode=S.STEMMED)
 
 
+# From an index that is written first.
+
+_indexes: dict[tuple[str, str], str] = {}
+
+
+def _index(spark, sf_dir, name: str = "index") -> str:
+    """The path of an index of all lines; written once in an application."""
+    known = (spark.sparkContext.applicationId, sf_dir, name)
+    if known not in _indexes:
+        path = scratch_path(spark, name)
+        S.write_index(C.blocks(spark, sf_dir), path, kept=FOUND[1:3])
+        _indexes[known] = path
+    return _indexes[known]
+
+
+def _search_index(spark, sf_dir, text: str, **more) -> DataFrame:
+    return _found(S.find_in_index(spark, _index(spark, sf_dir), text, kept=FOUND[1:3], **more))
+
+
+@query(SQL["fts_term_exact"])
+def fts_index_term(spark, sf_dir):
+    """As fts_term_exact, from the index: postings of the terms and sums alone are read."""
+    return _search_index(spark, sf_dir, "stupid")
+
+
+@query(SQL["fts_and_implicit"])
+def fts_index_and(spark, sf_dir):
+    return _search_index(spark, sf_dir, "the license")
+
+
+@query(SQL["fts_precedence_mix"])
+def fts_index_mix(spark, sf_dir):
+    return _search_index(spark, sf_dir, "und NOT der die OR that AND of")
+
+
+@query(SQL["fts_phrase"])
+def fts_index_phrase(spark, sf_dir):
+    return _search_index(spark, sf_dir, '"of the"')
+
+
+@query(SQL["fts_phrase_prefix"])
+def fts_index_phrase_prefix(spark, sf_dir):
+    return _search_index(spark, sf_dir, '"of th"*')
+
+
+@query(SQL["fts_stemmed"])
+def fts_index_stemmed(spark, sf_dir):
+    return _search_index(spark, sf_dir, "licensing OR stupids", mode=S.STEMMED)
+
+
+@query(SQL["fts_scoped_book"])
+def fts_index_scoped(spark, sf_dir):
+    return _search_index(spark, sf_dir, "the of", scope=F.col("book_id") == 3, limit=20)
+
+
+@query(_search_sql([("the",), ("license",)], "f0 > 0 AND f1 > 0", ["true", "true"], rows="book_id <> 2"))
+def fts_index_changes(spark, sf_dir):
+    """After part of the lines was added later, some were changed and changed back, and a book was removed."""
+    path, blocks = scratch_path(spark, "changed-index"), C.blocks(spark, sf_dir)
+    S.write_index(blocks.where("chapter_id % 3 <> 0"), path, kept=FOUND[1:3])
+    S.add_to_index(blocks.where("chapter_id % 3 = 0"), path, kept=FOUND[1:3])
+    some = blocks.where("chapter_id % 10 = 1")
+    S.update_index(some.withColumn("text", F.lit("the license of another text")), path, kept=FOUND[1:3])
+    S.update_index(some, path, kept=FOUND[1:3])
+    S.remove_from_index(blocks.where("book_id = 2"), path)
+    return _found(S.find_in_index(spark, path, "the license", kept=FOUND[1:3]))
+
+
+_HITS = _search_sql([("stupid",), ("license",)], "f0 > 0 OR f1 > 0", ["f0 > 0", "f1 > 0"], limit=30)
+
+
+@query(f"SELECT f.block_id, f.rank, f.chapter_id, s.idx AS chapter_idx, s.title AS chapter_title, f.book_id, k.title AS book_title, f.block_id % 100000000 AS block_idx FROM ({_HITS}) f JOIN sized s ON s.chapter_id = f.chapter_id JOIN books k ON k.book_id = f.book_id")
+def hydrated_hits(spark, sf_dir):
+    """What is found with its chapter and book. A search's result is bounded by its limit, so it is sent to the tables."""
+    found = _found(S.find_in_index(spark, _index(spark, sf_dir), "stupid OR license", limit=30, kept=FOUND[1:3]))
+    return S.hydrated(found, L.with_idx(C.chapters(spark, sf_dir).drop("text")), C.books(spark, sf_dir), C.blocks(spark, sf_dir)).select("block_id", "rank", "chapter_id", "chapter_idx", "chapter_title", "book_id", "book_title", "block_idx")
+
+
+@query(f"SELECT f.block_id, f.rank, k.title AS book_title FROM ({_HITS}) f JOIN books k ON k.book_id = f.book_id WHERE k.book_id % 2 = 1")
+def hits_of_present_books(spark, sf_dir):
+    """Hits of books that are still there, under their present titles."""
+    found = _found(S.find_in_index(spark, _index(spark, sf_dir), "stupid OR license", limit=30, kept=FOUND[1:3]))
+    return S.of_present_books(found, C.books(spark, sf_dir).where("book_id % 2 = 1")).select("block_id", "rank", "book_title")
+
+
 @query()
 def fts_snippet(spark, sf_dir):
     """The best lines with their hits marked."""
@@ -212,11 +299,9 @@ def token_doc_stats(spark, sf_dir):
 
 @query("SELECT term, count(*) AS df, CAST(sum(tf) AS BIGINT) AS cf FROM (SELECT block_id, term, count(*) AS tf FROM (SELECT block_id, unnest(tk) AS term FROM toks) GROUP BY ALL) GROUP BY term ORDER BY df DESC, term LIMIT 100")
 def term_df_topk(spark, sf_dir):
-    """The commonest terms: rows that have them, and occurrences. Counted within rows first, so nothing but a term's sums is
-    shuffled."""
-    rows = S.tokenised(C.blocks(spark, sf_dir))
-    each = rows.select(F.explode(F.array_distinct("tokens")).alias("term"), "tokens")
-    own = each.select("term", F.size(F.filter("tokens", lambda t: t == F.col("term"))).alias("tf"))
+    """The commonest terms: rows that have them, and occurrences. Counted within rows first, by one sort of a row's tokens, so
+    nothing but a term's sums is shuffled."""
+    own = S.index_rows(C.blocks(spark, sf_dir)).select(F.explode("terms").alias("t")).select("t.term", F.size("t.places").alias("tf"))
     return own.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf")).orderBy(F.desc("df"), "term").limit(100)
 
 
@@ -251,15 +336,20 @@ def benchmark_passage_hits(spark, sf_dir):
 # --- the library
 
 
+def _in_order(rows: DataFrame) -> DataFrame:
+    """A list of books (not of rows of a corpus) with the place that each has in it, as it comes."""
+    return rows.coalesce(1).select("*", (F.monotonically_increasing_id() + 1).alias("place"))
+
+
 def _library(spark, sf_dir):
     return C.books(spark, sf_dir), C.chapters(spark, sf_dir).drop("text"), C.bookmarks(spark, sf_dir), C.highlights(spark, sf_dir), C.notes(spark, sf_dir)
 
 
 @query("""SELECT b.book_id, b.title, b.added_at, (SELECT count(*) FROM chapters c WHERE c.book_id = b.book_id) AS chapter_count,
   (SELECT count(*) FROM bookmarks m WHERE m.book_id = b.book_id) AS bookmark_count, (SELECT count(*) FROM highlights h WHERE h.book_id = b.book_id) AS highlight_count,
-  (SELECT count(*) FROM notes n WHERE n.book_id = b.book_id) AS note_count FROM books b""")
+  (SELECT count(*) FROM notes n WHERE n.book_id = b.book_id) AS note_count, row_number() OVER (ORDER BY added_at DESC, book_id DESC) AS place FROM books b""")
 def list_books(spark, sf_dir):
-    return L.list_books(*_library(spark, sf_dir)).select("book_id", "title", "added_at", "chapter_count", "bookmark_count", "highlight_count", "note_count")
+    return _in_order(L.list_books(*_library(spark, sf_dir)).select("book_id", "title", "added_at", "chapter_count", "bookmark_count", "highlight_count", "note_count"))
 
 
 @query("SELECT book_id, chapter_id, idx, title, CAST(char_count AS BIGINT) AS char_count FROM sized")
@@ -267,6 +357,12 @@ def book_chapters(spark, sf_dir):
     return L.book_chapters(C.chapters(spark, sf_dir).drop("text"), C.blocks(spark, sf_dir))
 
 
+@query("SELECT book_id, chapter_id, idx, lag(chapter_id) OVER w AS previous, lead(chapter_id) OVER w AS next FROM sized WINDOW w AS (PARTITION BY book_id ORDER BY chapter_id)")
+def chapter_neighbours(spark, sf_dir):
+    """The chapter before and the one after."""
+    return L.neighbours(C.chapters(spark, sf_dir))
+
+
 @query("SELECT chapter_id, book_id, count(*) AS n_blocks, string_agg(text, chr(10) ORDER BY block_idx) AS content FROM blocks GROUP BY ALL")
 def chapter_content(spark, sf_dir):
     rows = L.chapter_content(C.blocks(spark, sf_dir))
@@ -280,9 +376,9 @@ def paragraph_offsets(spark, sf_dir):
 
 
 _PROGRESS = """WITH pl AS (SELECT *, coalesce(sum(char_count) OVER (PARTITION BY book_id ORDER BY chapter_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS cb FROM sized),
-  tot AS (SELECT book_id, count(*) AS n, sum(char_count) AS total, max(chapter_id) AS lastc FROM sized GROUP BY book_id),
+  tot AS (SELECT book_id, count(*) AS n, sum(char_count) AS total, max(CASE WHEN char_count > 0 THEN chapter_id END) AS lastc FROM sized GROUP BY book_id),
   ins AS (SELECT p.book_id, coalesce(sum(CASE WHEN b.block_idx < p.block_idx THEN length(b.text) END), 0) AS inside, max(b.block_idx) AS lastb FROM positions p JOIN blocks b ON b.chapter_id = p.chapter_id GROUP BY p.book_id),
-  pr AS (SELECT p.book_id, p.chapter_id, p.block_id, pl.title, pl.idx + 1 AS chapter_number, tot.n AS chapter_count, p.chapter_id = tot.lastc AND p.block_idx = ins.lastb AS finished, p.read_at,
+  pr AS (SELECT p.book_id, p.chapter_id, p.block_id, pl.title, pl.idx + 1 AS chapter_number, tot.n AS chapter_count, coalesce(p.chapter_id = tot.lastc AND p.block_idx = ins.lastb, false) AS finished, p.read_at,
     CASE WHEN p.chapter_id = tot.lastc AND p.block_idx = ins.lastb THEN 100 WHEN total = 0 THEN 0 ELSE ((cb + inside) * 200 + total) // (2 * total) END AS percent
     FROM positions p JOIN pl ON pl.chapter_id = p.chapter_id JOIN tot ON tot.book_id = p.book_id JOIN ins ON ins.book_id = p.book_id)
   SELECT book_id, chapter_id, block_id, title, chapter_number, chapter_count, CAST(percent AS BIGINT) AS percent, finished, read_at FROM pr"""
@@ -297,15 +393,15 @@ def reading_progress(spark, sf_dir):
     return _progress(spark, sf_dir)
 
 
-@query(_PROGRESS + " WHERE NOT finished ORDER BY read_at DESC, book_id DESC LIMIT 3")
+@query(f"SELECT *, row_number() OVER (ORDER BY read_at DESC, book_id DESC) AS place FROM ({_PROGRESS}) WHERE NOT finished ORDER BY place LIMIT 3")
 def continue_reading(spark, sf_dir):
-    return L.continue_reading(_progress(spark, sf_dir))
+    return _in_order(L.continue_reading(_progress(spark, sf_dir)))
 
 
-@query("SELECT book_id, title FROM books WHERE book_id NOT IN (SELECT book_id FROM positions WHERE book_id % 2 = 0) ORDER BY added_at DESC, book_id DESC LIMIT 3")
+@query("SELECT book_id, title, row_number() OVER (ORDER BY added_at DESC, book_id DESC) AS place FROM books WHERE book_id NOT IN (SELECT book_id FROM positions WHERE book_id % 2 = 0) ORDER BY place LIMIT 3")
 def recent_books(spark, sf_dir):
     reading = C.positions(spark, sf_dir).where("book_id % 2 = 0")  # the ones being read
-    return L.recent_books(C.books(spark, sf_dir), reading).select("book_id", "title")
+    return _in_order(L.recent_books(C.books(spark, sf_dir), reading).select("book_id", "title"))
 
 
 @query("SELECT u.folder_id, count(m.block_id) AS bookmark_count FROM (SELECT DISTINCT user_id AS folder_id FROM events) u LEFT JOIN bookmarks m ON m.folder_id = u.folder_id GROUP BY u.folder_id")
@@ -314,10 +410,11 @@ def folders_with_counts(spark, sf_dir):
     return L.counted(folders, C.bookmarks(spark, sf_dir), "folder_id", "bookmark_count")
 
 
-@query("SELECT m.folder_id, m.bookmark_id, m.block_id, b.text, c.title AS chapter_title, k.title AS book_title FROM bookmarks m JOIN blocks b ON b.block_id = m.block_id JOIN chapters c ON c.chapter_id = m.chapter_id JOIN books k ON k.book_id = m.book_id")
+@query("SELECT m.folder_id, m.bookmark_id, m.block_id, b.text, c.title AS chapter_title, k.title AS book_title, row_number() OVER (PARTITION BY m.folder_id ORDER BY m.bookmark_id) AS place FROM bookmarks m JOIN blocks b ON b.block_id = m.block_id JOIN chapters c ON c.chapter_id = m.chapter_id JOIN books k ON k.book_id = m.book_id")
 def folder_passages(spark, sf_dir):
     rows = L.folder_passages(C.bookmarks(spark, sf_dir), C.blocks(spark, sf_dir), C.chapters(spark, sf_dir), C.books(spark, sf_dir))
-    return rows.select("folder_id", "bookmark_id", "block_id", "text", "chapter_title", "book_title")
+    rows = rows.select("folder_id", "bookmark_id", "block_id", "text", "chapter_title", "book_title")
+    return running(rows.withColumn("one", F.lit(1)), ["folder_id"], "bookmark_id", {"one": "before"}).select("*", (F.col("before") + 1).alias("place")).drop("one", "before")
 
 
 @query("SELECT chapter_id, block_id, folder_id FROM bookmarks")
@@ -331,9 +428,51 @@ def chapter_annotations(spark, sf_dir):
     return L.chapter_annotations(C.highlights(spark, sf_dir), C.notes(spark, sf_dir))
 
 
-@query("SELECT * FROM (SELECT b.book_id, b.title, (SELECT count(*) FROM highlights h WHERE h.book_id = b.book_id) AS highlight_count, (SELECT count(*) FROM notes n WHERE n.book_id = b.book_id) AS note_count FROM books b) WHERE highlight_count > 0 OR note_count > 0")
+@query("""WITH a AS (SELECT chapter_id, 'highlight' AS kind, highlight_id AS id, block_idx, start_offset FROM highlights
+  UNION ALL SELECT n.chapter_id, 'note', n.note_id, n.block_idx, h.start_offset FROM notes n LEFT JOIN highlights h ON h.highlight_id = n.highlight_id)
+  SELECT kind, id, row_number() OVER (ORDER BY kind, block_idx, coalesce(start_offset, -1), id) AS place FROM a WHERE chapter_id = 7""")
+def annotations_of_a_chapter(spark, sf_dir):
+    """As a reader of one chapter gets them: highlights and notes, each in order of where they stand."""
+    of = lambda rows: rows.where("chapter_id = 7")
+    return _in_order(L.chapter_annotations(of(C.highlights(spark, sf_dir)), of(C.notes(spark, sf_dir))).select("kind", "id"))
+
+
+@query("""WITH m AS (SELECT h.book_id, h.chapter_id, h.block_idx, h.highlight_id, n.note_id, h.start_offset AS o FROM highlights h LEFT JOIN notes n ON n.highlight_id = h.highlight_id
+    UNION ALL SELECT book_id, chapter_id, block_idx, NULL, note_id, -1 FROM notes WHERE highlight_id IS NULL)
+  SELECT m.book_id, m.chapter_id, c.title, count(*) AS n_annotations, string_agg(coalesce(CAST(highlight_id AS VARCHAR), 'n' || note_id), ',' ORDER BY block_idx, o, highlight_id) AS annotations
+  FROM m JOIN chapters c ON c.chapter_id = m.chapter_id GROUP BY ALL""")
+def annotation_groups(spark, sf_dir):
+    """A book's annotations under the chapters that they are in."""
+    rows = L.annotation_groups(L.book_annotations(C.highlights(spark, sf_dir), C.notes(spark, sf_dir)), C.chapters(spark, sf_dir))
+    name = lambda a: F.coalesce(a["highlight_id"].cast("string"), F.concat(F.lit("n"), a["note_id"].cast("string")))
+    return rows.select("book_id", "chapter_id", "title", F.size("annotations").cast("bigint").alias("n_annotations"), F.array_join(F.transform("annotations", name), ",").alias("annotations"))
+
+
+@query("""SELECT b.chapter_id, b.block_id, coalesce(h.hs, '') AS highlights, coalesce(n.ns, '') AS notes FROM blocks b
+  LEFT JOIN (SELECT block_id, string_agg(CAST(highlight_id AS VARCHAR), ',' ORDER BY start_offset, highlight_id) AS hs FROM highlights GROUP BY block_id) h ON h.block_id = b.block_id
+  LEFT JOIN (SELECT block_id, string_agg(CAST(note_id AS VARCHAR), ',' ORDER BY note_id) AS ns FROM notes GROUP BY block_id) n ON n.block_id = b.block_id""")
+def paragraph_marks(spark, sf_dir):
+    """Paragraphs with what is marked on each."""
+    rows = L.paragraph_marks(C.blocks(spark, sf_dir), C.highlights(spark, sf_dir), C.notes(spark, sf_dir))
+    return rows.select("chapter_id", "block_id", *[F.array_join(F.col(c).cast("array<string>"), ",").alias(c) for c in ("highlights", "notes")])
+
+
+@query("""SELECT (SELECT count(*) FROM books) AS books, (SELECT count(*) FROM chapters) AS chapters, (SELECT count(*) FROM highlights) AS highlights, (SELECT count(*) FROM notes) AS notes,
+  (SELECT count(DISTINCT user_id) FROM events) AS folders, (SELECT count(*) FROM bookmarks) AS passages""")
+def home_sums(spark, sf_dir):
+    folders = C.table(spark, sf_dir, "events").select(F.col("user_id").alias("folder_id")).distinct()
+    return L.home_sums(L.list_books(*_library(spark, sf_dir)), L.counted(folders, C.bookmarks(spark, sf_dir), "folder_id", "bookmark_count"))
+
+
+@query("SELECT (SELECT count(*) FROM books WHERE contains(title, 'src1')) || ' of ' || (SELECT count(*) FROM books) || ' books' AS line")
+def books_counts_line(spark, sf_dir):
+    books = C.books(spark, sf_dir)
+    return L.counts_line(books, books.where(T.matches_words(T.shown_title(F.col("title"), F.col("author")), "src1")))
+
+
+@query("SELECT *, row_number() OVER (ORDER BY lower(title), book_id) AS place FROM (SELECT b.book_id, b.title, (SELECT count(*) FROM highlights h WHERE h.book_id = b.book_id) AS highlight_count, (SELECT count(*) FROM notes n WHERE n.book_id = b.book_id) AS note_count FROM books b) WHERE highlight_count > 0 OR note_count > 0")
 def annotated_books(spark, sf_dir):
-    return L.annotated_books(C.books(spark, sf_dir), C.highlights(spark, sf_dir), C.notes(spark, sf_dir)).select("book_id", "title", "highlight_count", "note_count")
+    return _in_order(L.annotated_books(C.books(spark, sf_dir), C.highlights(spark, sf_dir), C.notes(spark, sf_dir)).select("book_id", "title", "highlight_count", "note_count"))
 
 
 @query("""SELECT h.book_id, h.chapter_id, h.block_idx, h.block_id, h.highlight_id, n.note_id, h.start_offset AS at, substr(h.text, h.start_offset + 1, h.end_offset - h.start_offset) AS quote, n.body
@@ -342,7 +481,7 @@ def book_annotations(spark, sf_dir):
     return L.book_annotations(C.highlights(spark, sf_dir), C.notes(spark, sf_dir))
 
 
-@query("SELECT a.highlight_id AS a, b.highlight_id AS b FROM highlights a JOIN highlights b ON a.block_id = b.block_id AND a.highlight_id < b.highlight_id AND a.start_offset < b.end_offset AND a.end_offset > b.start_offset")
+@query("WITH h AS MATERIALIZED (SELECT block_id, highlight_id, start_offset, end_offset FROM highlights) SELECT a.highlight_id AS a, b.highlight_id AS b FROM h a JOIN h b ON a.block_id = b.block_id AND a.highlight_id < b.highlight_id AND a.start_offset < b.end_offset AND a.end_offset > b.start_offset")
 def highlight_overlaps(spark, sf_dir):
     return L.overlaps(C.highlights(spark, sf_dir))
 
@@ -392,9 +531,45 @@ def index_states(spark, sf_dir):
     return V.index_states(C.books(spark, sf_dir), _markers(spark, sf_dir), _book_chunks(spark, sf_dir), _MODELS).select("book_id", "added_at", "index_state")
 
 
-@query(f"SELECT book_id, index_state FROM ({_STATES}) WHERE index_state <> 'indexed'")
+@query(f"SELECT book_id, index_state, row_number() OVER (ORDER BY added_at DESC, book_id DESC) AS place FROM ({_STATES}) WHERE index_state <> 'indexed'")
 def books_to_index(spark, sf_dir):
-    return V.books_to_index(C.books(spark, sf_dir), _markers(spark, sf_dir), _book_chunks(spark, sf_dir), _MODELS).select("book_id", "index_state")
+    return _in_order(V.books_to_index(C.books(spark, sf_dir), _markers(spark, sf_dir), _book_chunks(spark, sf_dir), _MODELS).select("book_id", "index_state"))
+
+
+def _covers(spark, sf_dir):
+    """Covers of books: a picture for each third, none for the next, a file of another kind for the rest."""
+    image = F.when(F.col("book_id") % 3 == 0, F.concat(F.unhex(F.lit("FFD8FF")), F.encode("title", "utf-8"))).when(F.col("book_id") % 3 == 1, F.lit(None).cast("binary")).otherwise(F.encode("title", "utf-8"))
+    return files.cover_rows(C.books(spark, sf_dir).select("book_id", image.alias("image")))
+
+
+_COVERS = "SELECT book_id, CASE book_id % 3 WHEN 0 THEN 'image' WHEN 1 THEN 'none' ELSE 'unavailable' END AS source, CASE WHEN book_id % 3 = 0 THEN substr(sha256(unhex('FFD8FF') || encode(title)), 1, 12) END AS key FROM books"
+
+
+@query(_COVERS)
+def book_covers(spark, sf_dir):
+    """What is stored of each book's cover."""
+    return _covers(spark, sf_dir).select("book_id", "source", "key")
+
+
+@query(f"SELECT s.book_id, s.index_state, v.key AS cover_key, (SELECT count(*) FROM chapters c WHERE c.book_id = s.book_id) AS chapter_count FROM ({_STATES}) s LEFT JOIN ({_COVERS}) v ON v.book_id = s.book_id")
+def library_books(spark, sf_dir):
+    """The list of books with the state of their index and the key of their cover."""
+    states = V.index_states(C.books(spark, sf_dir), _markers(spark, sf_dir), _book_chunks(spark, sf_dir), _MODELS)
+    return L.with_state_and_cover(L.list_books(*_library(spark, sf_dir)), states, _covers(spark, sf_dir)).select("book_id", "index_state", "cover_key", "chapter_count")
+
+
+@query("SELECT model FROM (VALUES ('hash-64'), ('bge small \"en\"')) t(model)")
+def model_list(spark, sf_dir):
+    """Names of models through their JSON list."""
+    return spark.range(1).select(V.models_of(F.lit(V.model_names([C.MODEL, 'bge small "en"']))).alias("model"))
+
+
+@query("""SELECT chapter_id, vec_id, chunk_idx FROM chunks WHERE chapter_id <> 3 UNION ALL SELECT chapter_id, vec_id + 1000000000, chunk_idx FROM chunks WHERE chapter_id = 3 AND chunk_idx < 5""")
+def replaced_chunks(spark, sf_dir):
+    """A chapter that was indexed anew has its new chunks alone."""
+    chunks = C.chunk_embeddings(spark, sf_dir)
+    new = chunks.where("chapter_id = 3 and chunk_idx < 5").withColumn("vec_id", F.col("vec_id") + 1_000_000_000)
+    return V.replace_chunks(chunks, 3, C.MODEL, new).select("chapter_id", "vec_id", "chunk_idx")
 
 
 @query("SELECT (SELECT count(*) FROM books WHERE book_id % 2 = 0) AS indexed, (SELECT count(*) FROM books) AS total")
@@ -453,7 +628,14 @@ def locate_block(spark, sf_dir):
     return V.locate(offsets, C.blocks(spark, sf_dir))
 
 
-@query()
+_CHUNKED = "SELECT chapter_id, i AS chunk_idx, text, i * 1400 AS s, substr(text, i * 1400 + 1, 1600) AS c FROM (SELECT chapter_id, text, unnest(range(0, CAST(greatest(ceil((length(text) - 1600) / 1400.0), 0) AS BIGINT) + 1)) AS i FROM chapters WHERE length(text) > 0)"
+
+
+@query(f"""WITH a AS (SELECT *, CASE WHEN s > 0 THEN substr(text, s, 1) END AS before, length(regexp_extract(c, '^\\S*')) AS g FROM ({_CHUNKED})),
+  b AS (SELECT *, CASE WHEN before IS NOT NULL AND NOT regexp_matches(before, '\\s') AND g < length(c) THEN g + 1 ELSE 0 END AS cut FROM a),
+  d AS (SELECT *, substr(c, cut + 1, 200) AS kept, CASE WHEN length(c) - cut > 200 THEN substr(c, cut + 201, 1) ELSE substr(text, s + length(c) + 1, 1) END AS after FROM b),
+  e AS (SELECT *, CASE WHEN after <> '' AND NOT regexp_matches(after, '\\s') THEN regexp_extract(kept, '^(.+)\\s\\S*$', 1, 's') ELSE '' END AS whole FROM d)
+  SELECT chapter_id, chunk_idx, CASE WHEN before IS NOT NULL AND before <> chr(10) THEN '…' ELSE '' END || trim(regexp_replace(CASE WHEN whole <> '' THEN whole ELSE kept END, '\\s+', ' ', 'g')) || CASE WHEN after <> '' THEN '…' ELSE '' END AS preview FROM e""")
 def chunk_preview(spark, sf_dir):
     """All chunks of all chapters, as a search by meaning shows them."""
     chunks = V.chunk_spans(C.chapters(spark, sf_dir))
@@ -527,10 +709,76 @@ def integrity_violations(spark, sf_dir):
 
 @query("SELECT book_id FROM books WHERE book_id NOT IN (SELECT book_id FROM books WHERE book_id % 3 = 0)")
 def missing_covers(spark, sf_dir):
-    from lexforge.sources.files import books_without_cover
-
     books = C.books(spark, sf_dir)
-    return books_without_cover(books, books.where("book_id % 3 = 0")).select("book_id")
+    return files.books_without_cover(books, books.where("book_id % 3 = 0")).select("book_id")
+
+
+def _old_and_new(rows: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    return rows.where(F.col(key) % 2 == 0), rows.where(F.col(key) % 2 == 1)
+
+
+@query("""WITH n AS (SELECT * FROM highlights WHERE highlight_id % 2 = 1), a AS MATERIALIZED (SELECT highlight_id, block_id, start_offset, end_offset FROM highlights)
+  SELECT n.highlight_id, CASE WHEN EXISTS (SELECT 1 FROM a WHERE a.block_id = n.block_id AND (a.highlight_id % 2 = 0 OR a.highlight_id < n.highlight_id) AND a.highlight_id <> n.highlight_id
+    AND a.start_offset < n.end_offset AND a.end_offset > n.start_offset) THEN 'overlaps' ELSE 'added' END AS outcome FROM n""")
+def highlight_adds(spark, sf_dir):
+    """New highlights may not overlap with what is there, nor with new ones before them."""
+    old, new = _old_and_new(C.highlights(spark, sf_dir), "highlight_id")
+    out = M.add_highlights(old, new)
+    return out.valid.select("highlight_id", F.lit("added").alias("outcome")).unionByName(out.rejected.select("highlight_id", F.lit("overlaps").alias("outcome")))
+
+
+@query("""WITH m AS (SELECT event_id, block_id, props FROM marks WHERE event_type = 'error'), old AS (SELECT block_id, min(event_id) AS event_id FROM m WHERE event_id % 2 = 0 GROUP BY block_id),
+  new AS (SELECT *, row_number() OVER (PARTITION BY block_id ORDER BY event_id) AS k FROM m WHERE event_id % 2 = 1)
+  SELECT event_id AS note_id, CASE WHEN k > 1 OR block_id IN (SELECT block_id FROM old) THEN 'taken' WHEN trim(props) = '' THEN 'blank' ELSE 'added' END AS outcome FROM new""")
+def note_adds(spark, sf_dir):
+    """A note for each paragraph: the first. Blank ones are not notes."""
+    rows = C.marks(spark, sf_dir, "error").select(F.col("event_id").alias("note_id"), "block_id", F.lit(None).cast("bigint").alias("highlight_id"), F.col("props").alias("body"))
+    old, new = _old_and_new(rows, "note_id")
+    out = M.add_notes(old.groupBy("block_id", "highlight_id").agg(F.min("note_id").alias("note_id"), F.min("body").alias("body")), new)
+    name = F.when(F.array_contains("broken", "free"), "taken").otherwise("blank")
+    return out.valid.select("note_id", F.lit("added").alias("outcome")).unionByName(out.rejected.select("note_id", name.alias("outcome")))
+
+
+@query("""WITH f AS (SELECT DISTINCT user_id AS folder_id, 'Folder ' || (user_id % 50) AS name FROM events WHERE user_id < 100), r AS (SELECT folder_id, CASE WHEN folder_id % 3 = 0 THEN upper(name) WHEN folder_id % 3 = 1 THEN 'own ' || folder_id ELSE ' ' END AS wanted FROM f)
+  SELECT r.folder_id, CASE WHEN trim(wanted) = '' THEN 'blank' WHEN EXISTS (SELECT 1 FROM f WHERE lower(f.name) = lower(r.wanted) AND f.folder_id IS DISTINCT FROM r.folder_id) THEN 'taken' ELSE 'renamed' END AS outcome FROM r""")
+def folder_renames(spark, sf_dir):
+    """A folder may take any name that no other has; its own in other letters is fine."""
+    folders = C.table(spark, sf_dir, "events").where("user_id < 100").select(F.col("user_id").alias("folder_id")).distinct().withColumn("name", F.concat(F.lit("Folder "), (F.col("folder_id") % 50).cast("string")))
+    wanted = F.when(F.col("folder_id") % 3 == 0, F.upper("name")).when(F.col("folder_id") % 3 == 1, F.concat(F.lit("own "), F.col("folder_id").cast("string"))).otherwise(" ")
+    out = M.check_renames(folders, folders.select("folder_id", wanted.alias("name")))
+    return out.valid.select("folder_id", F.lit("renamed").alias("outcome")).unionByName(out.rejected.select("folder_id", F.when(F.array_contains("broken", "blank"), "blank").otherwise("taken").alias("outcome")))
+
+
+@query("SELECT doc_id AS book_id, CASE WHEN trim(text) = '' THEN 'blank' WHEN length(trim(text)) > 500 THEN 'long' ELSE 'fine' END AS outcome FROM documents")
+def field_rules(spark, sf_dir):
+    """Titles are not blank, and have 500 characters at most."""
+    rows = C.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("book_id"), F.trim("text").alias("title"))
+    out = M.check_fields(rows, ["title"])
+    told = F.when(F.array_contains("broken", "title blank"), "blank").otherwise("long")
+    return out.valid.select("book_id", F.lit("fine").alias("outcome")).unionByName(out.rejected.select("book_id", told.alias("outcome")))
+
+
+@query("""SELECT folder_id, count(*) AS n FROM (SELECT CASE WHEN folder_id % 2 = 0 THEN folder_id ELSE -1 END AS folder_id FROM bookmarks) GROUP BY folder_id""")
+def migrated_bookmarks(spark, sf_dir):
+    """Bookmarks of an older library, which are in no folder, go to a default one."""
+    rows = C.bookmarks(spark, sf_dir).withColumn("folder_id", F.when(F.col("folder_id") % 2 == 0, F.col("folder_id")))
+    folders = rows.where("folder_id is not null").select("folder_id").distinct().withColumn("name", F.lit("x"))
+    _, moved = M.default_folder(folders, rows, -1)
+    return moved.groupBy("folder_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT DISTINCT chapter_id * 3 AS book_id, 'hash-64' AS model FROM chunks UNION SELECT book_id, 'hash-64' FROM books WHERE book_id % 2 = 0")
+def migrated_markers(spark, sf_dir):
+    """Books that have chunks and no marker get one."""
+    return M.backfill_markers(_markers(spark, sf_dir), _book_chunks(spark, sf_dir)).select("book_id", "model")
+
+
+@query("""WITH f AS (SELECT doc_id, sha256(text) AS h FROM documents) SELECT CASE WHEN k > 1 THEN 'already' ELSE 'imported' END AS outcome, count(*) AS n FROM (SELECT row_number() OVER (PARTITION BY h ORDER BY doc_id) AS k FROM f) GROUP BY ALL""")
+def import_report(spark, sf_dir):
+    """How many files an import took, and how many not."""
+    files_ = C.table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("path"), F.sha2("text", 256).alias("file_hash"))
+    none = files_.where("false").select("path", "file_hash", F.lit(0).alias("book_id"))
+    return M.report(M.dedup_import(files_, none))
 
 
 # --- lists
@@ -546,8 +794,7 @@ def book_filter_fold(spark, sf_dir):
 def catalogue_sort(spark, sf_dir):
     """Numbers in titles sort by value."""
     books = C.books(spark, sf_dir).withColumn("key", T.catalogue_key(F.col("title")))
-    w = W.orderBy(F.col("key").asc_nulls_last(), F.col("author").asc_nulls_last(), "book_id")  # books of a library, not rows of a corpus
-    return books.select("book_id", "title", F.row_number().over(w).cast("bigint").alias("place"))
+    return placed(books.select("book_id", "title", "key", "author"), F.asc_nulls_last("key"), F.asc_nulls_last("author"), F.asc("book_id")).select("book_id", "title", "place")
 
 
 # --- markup and pages
@@ -594,11 +841,11 @@ def page_paragraphs(spark, sf_dir):
 
 # --- evaluation
 
-_EVAL = """WITH qs AS (SELECT vec_id AS query, label FROM embeddings WHERE vec_id % 50 = 0),
+_EVAL = """WITH qs AS (SELECT vec_id AS query, label FROM embeddings WHERE vec_id % 20 = 0),
   res AS (SELECT q.query, e.vec_id AS item, list_inner_product(CAST(q2.embedding AS DOUBLE[]), CAST(e.embedding AS DOUBLE[])) AS score FROM qs q JOIN embeddings q2 ON q2.vec_id = q.query JOIN embeddings e ON e.vec_id <> q.query),
   top AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, item) AS rank FROM res QUALIFY rank <= 10),
-  lab AS (SELECT q.query, e.vec_id AS item, 1 + e.vec_id % 2 AS grade FROM qs q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.query AND e.vec_id % 5 = 0),
-  fl AS (SELECT unnest([-1.0, 0.2, 0.3]) AS floor), knd AS (SELECT query, CASE WHEN query % 150 = 0 THEN 'off_corpus' WHEN query % 100 = 0 THEN 'unanswered' ELSE 'answered' END AS kind FROM qs),
+  lab AS (SELECT q.query, e.vec_id AS item, 1 + e.vec_id % 2 AS grade FROM qs q JOIN embeddings e ON e.label = q.label AND e.vec_id <> q.query),
+  fl AS (SELECT unnest([-1.0, 0.2, 0.3]) AS floor), knd AS (SELECT query, CASE WHEN query % 60 = 0 THEN 'off_corpus' WHEN query % 40 = 0 THEN 'unanswered' ELSE 'answered' END AS kind FROM qs),
   per AS (SELECT t.query, f.floor, count(*) AS n, sum(CASE WHEN l.grade IS NOT NULL AND rank <= 5 THEN 1 ELSE 0 END) AS hits, coalesce(sum((pow(2, l.grade) - 1) / log2(rank + 1)), 0) AS dcg
     FROM top t JOIN fl f ON t.score >= f.floor LEFT JOIN lab l ON l.query = t.query AND l.item = t.item GROUP BY ALL),
   idl AS (SELECT query, count(*) AS relevant, sum(CASE WHEN k <= 10 THEN (pow(2, grade) - 1) / log2(k + 1) ELSE 0 END) AS idcg FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY grade DESC, item) AS k FROM lab) GROUP BY query),
@@ -610,18 +857,32 @@ _EVAL = """WITH qs AS (SELECT vec_id AS query, label FROM embeddings WHERE vec_i
 
 @query(_EVAL)
 def eval_recall_ndcg(spark, sf_dir):
-    """Vectors as queries: every fiftieth, against all others; what shares a label is relevant."""
+    """Vectors as queries: those whose number 20 divides, against all others; what shares a label is relevant."""
     rows = C.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
-    asked = rows.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("label").alias("own"))
-    # The stated query set against all rows: each task scans its rows for all queries of a block.
-    pairs = asked.join(rows, F.col("vec_id") != F.col("query"))
-    results = pairs.select("query", F.col("vec_id").alias("item"), V.dot(F.col("q"), F.col("embedding")).alias("score"))
-    labels = rows.where("vec_id % 5 = 0").join(asked, (F.col("label") == F.col("own")) & (F.col("vec_id") != F.col("query"))).select("query", F.col("vec_id").alias("item"), (F.col("vec_id") % 2 + 1).alias("grade"))
-    kind = F.when(F.col("query") % 150 == 0, "off_corpus").when(F.col("query") % 100 == 0, "unanswered").otherwise("answered")
+    asked = rows.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("label").alias("own"))
+    # The stated query set against all rows: each task scans its rows for all queries of a block, and keeps the best.
+    results = V.top_for_queries(rows, asked.select("query", "q"), 10)
+    labels = rows.join(asked, (F.col("label") == F.col("own")) & (F.col("vec_id") != F.col("query"))).select("query", F.col("vec_id").alias("item"), (F.col("vec_id") % 2 + 1).alias("grade"))
+    kind = F.when(F.col("query") % 60 == 0, "off_corpus").when(F.col("query") % 40 == 0, "unanswered").otherwise("answered")
     out = E.evaluate(results, asked.select("query", kind.alias("kind")), labels, [-1.0, 0.2, 0.3])
     return out.select("floor", F.round("recall", 6).alias("recall"), F.round("ndcg", 6).alias("ndcg"), "emptied", F.round("no_answer", 6).alias("no_answer"), "leaks")
 
 
+@query("""WITH q AS (SELECT vec_id AS query, label AS own, embedding AS e FROM embeddings WHERE vec_id % 200 = 0), k AS (SELECT vec_id, label AS item, embedding FROM embeddings),
+  s AS (SELECT q.query, k.item, list_inner_product(CAST(q.e AS DOUBLE[]), CAST(k.embedding AS DOUBLE[])) AS score FROM q JOIN k ON k.vec_id <> q.query),
+  b AS (SELECT query, item, max(score) AS score, count(*) AS n FROM s GROUP BY query, item), p AS (SELECT unnest([0.0, 0.01, 0.05, 0.1]) AS penalty), f AS (SELECT unnest(range(0, 21)) * 0.05 AS floor),
+  r AS (SELECT b.*, p.penalty, row_number() OVER (PARTITION BY query, penalty ORDER BY round(score - penalty * ln(n), 9) DESC, item) AS rank FROM b, p QUALIFY rank <= 10),
+  h AS (SELECT r.penalty, f.floor, count(*) AS shown, sum(CASE WHEN r.item = q.own AND r.rank <= 5 THEN 1 ELSE 0 END) AS found FROM r JOIN f ON r.score >= f.floor JOIN q ON q.query = r.query GROUP BY ALL)
+  SELECT CAST(p.penalty AS DOUBLE) AS penalty, round(CAST(f.floor AS DOUBLE), 2) AS floor, CAST(coalesce(h.shown, 0) AS BIGINT) AS shown, CAST(coalesce(h.found, 0) AS BIGINT) AS found FROM p CROSS JOIN f LEFT JOIN h ON h.penalty = p.penalty AND h.floor = f.floor""")
+def eval_sweep(spark, sf_dir):
+    """Every floor with every penalty for chapters of many chunks: what is shown, and which of it is right."""
+    rows = C.table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.col("label").alias("item"))
+    asked = rows.where("vec_id % 200 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"), F.col("item").alias("own"))
+    best = V.best_for_queries(rows, asked.select("query", "q"))
+    out = E.sweep(best, asked.select("query", F.col("own").alias("item")), [k * 0.05 for k in range(21)], [0.0, 0.01, 0.05, 0.1])
+    return out.select("penalty", F.round("floor", 2).alias("floor"), "shown", "found")
+
+
 # --- plain relational shapes at scale
 
 
@@ -644,8 +905,6 @@ def supplier_state_case(spark, sf_dir):
 @query("SELECT o_orderkey, CAST(row_number() OVER w - 1 AS BIGINT) AS idx, CAST(coalesce(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS cents_before FROM orders WINDOW w AS (PARTITION BY o_orderpriority ORDER BY o_orderkey)")
 def order_running_total(spark, sf_dir):
     """Running sums of few, large groups."""
-    from lexforge.operators.prefix import running
-
     rows = C.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"), F.lit(1).alias("one"))
     return running(rows, ["o_orderpriority"], "o_orderkey", {"one": "idx", "cents": "cents_before"}).select("o_orderkey", "idx", "cents_before")
 

@@ -30,8 +30,9 @@ class Files:
     """The few calls of a file system that snapshots need."""
 
     def __init__(self, spark: SparkSession, root: str):
-        self.jvm, self.root = spark._jvm, root.rstrip("/")
-        self.fs = self.path("").getFileSystem(spark._jsc.hadoopConfiguration())
+        self.jvm, self.gateway, self.root = spark._jvm, spark.sparkContext._gateway, root.rstrip("/")
+        self.conf = spark._jsc.hadoopConfiguration()
+        self.fs = self.path("").getFileSystem(self.conf)
 
     def path(self, name: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
@@ -47,14 +48,16 @@ class Files:
             stream.close()
 
     def write(self, name: str, text: str) -> None:
-        """Written beside, then renamed over: a reader never sees half of it."""
+        """Written beside, then renamed over what is there, in one step: a reader sees the old text or the new one."""
         part = f"{name}.{uuid.uuid4().hex}.partial"
         stream = self.fs.create(self.path(part), True)
         stream.write(bytearray(text.encode()))
         stream.close()
-        if self.fs.exists(self.path(name)):
-            self.fs.delete(self.path(name), False)
-        self.fs.rename(self.path(part), self.path(name))
+        hadoop = self.jvm.org.apache.hadoop.fs
+        over = self.gateway.new_array(getattr(hadoop, "Options$Rename"), 1)
+        over[0] = getattr(hadoop, "Options$Rename").OVERWRITE
+        context = hadoop.FileContext.getFileContext(self.fs.getUri(), self.conf)
+        context.rename(self.fs.makeQualified(self.path(part)), self.fs.makeQualified(self.path(name)), over)
 
     def exists(self, name: str) -> bool:
         return self.fs.exists(self.path(name))
@@ -100,6 +103,14 @@ class Library:
         self.publish(version)
         return version
 
+    def prune(self, keep: int = 2) -> list[str]:
+        """Deletes all but the last versions; the current one stays in any case. Which went."""
+        names = sorted(s.getPath().getName() for s in self.files.fs.listStatus(self.files.path("")) if s.getPath().getName().startswith("v-"))
+        gone = [n for n in names[: max(0, len(names) - keep)] if n != self.current()]
+        for n in gone:
+            self.files.fs.delete(self.files.path(n), True)
+        return gone
+
     def publish(self, version: str) -> None:
         self.files.write("CURRENT", version)
 

@@ -103,7 +103,8 @@ def latest_positions(events: DataFrame, key: str = "user_id", time: str = "ts")
 
 def save_positions(spark: SparkSession, source: str, schema: StructType, target: str, checkpoint: str, key: str = "book_id", time: str = "ts") -> StreamingQuery:
     """Keeps the latest event of each key in ``target``: each batch is merged into a new version beside the old one, and a
-    batch that runs twice gives the same."""
+    batch that runs twice gives the same. Of events at one time the one counts whose other columns, in order of their
+    names, are largest. Two versions are kept, so whoever reads the one before is not cut off."""
     from lexforge.operators.mutations import latest
     from lexforge.sources.snapshot import Library
 
@@ -112,7 +113,8 @@ def save_positions(spark: SparkSession, source: str, schema: StructType, target:
     def batch(rows: DataFrame, number: int) -> None:
         library = Library(rows.sparkSession, target)
         both = rows if library.current() is None else rows.unionByName(library.read("positions"))
-        library.write({"positions": latest(both, [key], [time])})
+        library.write({"positions": latest(both, [key], [time, *sorted(c for c in both.columns if c not in (key, time))])})
+        library.prune()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

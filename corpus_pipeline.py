@@ -10,7 +10,7 @@ from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lexforge.llm.common import durable
+from lexforge.llm.common import durable, release
 from lexforge.llm.mixing import Policy, apply_mix
 from lexforge.llm.ngram_jaccard import drop_near_duplicates
 from lexforge.llm.queries import table, tokenizer_path
@@ -54,5 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages applied to ``documents``, each written and read again."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = durable(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, durable(stage(spark, docs, sf_dir), f"stage-{name}")
+        release(before)  # of the stage before; the table that was given is not written by us
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,10 +6,13 @@ to, and the token counts there), and a transition is annotated with the number o
 is negative where a symbol joins earlier tokens into one. States and transitions are made when first met, and kept
 in a table of bounded size.
 
-A text is read in chunks, cut at white space. A chunk's map holds the tokens between its first and last white space, and
-the text before and after them, which belongs to words that are open. Such maps compose associatively, in pairs and then
-pairs of pairs: open text is joined, and counted once its word ends. Text, not transducer states, is carried from chunk to
-chunk, so a text without white space is joined again and counted in one go.
+A text's words (as the library normalises and splits it) are one run of symbols, in which a symbol that ends a word leads back
+to the first state. The run is cut into chunks of so many symbols, wherever that falls, also inside words. A chunk's map
+takes the state that arrives at it to the state that leaves it and the tokens counted on the way. It is made, for each
+chunk alone, for the state that is live there: the first, or inside a word the one that the symbols before lead to from an
+earlier place. Maps compose associatively, in pairs and then pairs of pairs; a state that no map was made for is run
+through the chunk when it arrives. What a whole word does to the first state is kept in a table of bounded size, as the part of a map that most text
+needs.
 """
 
 from __future__ import annotations
@@ -18,7 +21,6 @@ import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
 import regex
@@ -27,8 +29,9 @@ from pyspark.sql import DataFrame
 from .sentencepiece_codec import _Table
 
 KEPT_STATES, KEPT_WORDS, KEPT_PAIRS = 150_000, 400_000, 400_000
-#: Characters of a chunk.
-CHUNK = 1 << 16
+#: Symbols of a chunk, and of the stretch before it that tells a state which may arrive; words of fewer characters than ``LONG``
+#: are kept in a table.
+CHUNK, WARM, LONG = 1 << 16, 64, 64
 
 
 def byte_symbols() -> list[str]:
@@ -77,8 +80,8 @@ class CountTransducer:
 
     def reset(self) -> None:
         #: A state: symbols that a token may still start with, then (last token, tokens) at each place among them.
-        self.keys: list[tuple] = [("", (("", 0),))]
-        self.numbers = {self.keys[0]: 0}
+        self.keys: list[tuple] = [FIRST]
+        self.numbers = {FIRST: 0}
         self.moves: list[dict[str, tuple[int, int]]] = [{}]
 
     def _story(self, token: str) -> tuple[list[int], list[str], list[str]] | None:
@@ -140,16 +143,19 @@ class CountTransducer:
         if token is None:
             raise ValueError(f"no token ends with {symbol!r}")
         new = (run[keep:], (*(p and (p[0], p[1] - count) for p in kept), (token, 0)))
-        number = self.numbers.get(new)
+        return self.number_of(new), count - now
+
+    def number_of(self, key: tuple) -> int:
+        number = self.numbers.get(key)
         if number is None:
-            number = self.numbers[new] = len(self.keys)
-            self.keys.append(new)
+            number = self.numbers[key] = len(self.keys)
+            self.keys.append(key)
             self.moves.append({})
-        return number, count - now
+        return number
 
-    def run(self, symbols: str) -> int:
-        """Tokens of a word."""
-        state = total = 0
+    def go(self, key: tuple, symbols: str) -> tuple[tuple, int]:
+        """(state, tokens) after symbols of one word, from a state given by its key."""
+        state, total = self.number_of(key), 0
         moves = self.moves
         for s in symbols:
             got = moves[state].get(s)
@@ -157,27 +163,59 @@ class CountTransducer:
                 key = self.keys[state]
                 if len(self.keys) >= KEPT_STATES:  # the table starts anew, with this state
                     self.reset()
-                    moves = self.moves
-                    if key not in self.numbers:
-                        self.numbers[key] = len(self.keys)
-                        self.keys.append(key)
-                        moves.append({})
-                    state = self.numbers[key]
+                    moves, state = self.moves, self.number_of(key)
                 got = moves[state][s] = self._compile(key, s)
             state, add = got
             total += add
-        return total
+        return self.keys[state], total
+
+    def run(self, symbols: str) -> int:
+        """Tokens of a word."""
+        return self.go(FIRST, symbols)[1]
+
+
+#: The state before a word: nothing read, no token.
+FIRST: tuple = ("", (("", 0),))
 
 
-@dataclass(frozen=True)
 class ChunkMap:
-    """What a chunk does to the reader: ``head`` goes on with the open run, ``tokens`` follow, ``tail`` stays open.
-    ``cut`` is False if the chunk has no white space; all of it is then ``head``."""
+    """What a stretch of symbols does: the state that arrives at it to (the state that leaves it, tokens).
+
+    A chunk goes on with a word (``head``, to its end if ``ends``), has whole words (``tokens`` of them), and begins one (``tail``)."""
+
+    def __init__(self, transducer: CountTransducer, head: str, ends: bool, tokens: int, tail: str):
+        self.transducer, self.head, self.ends, self.tokens, self.tail = transducer, head, ends, tokens, tail
+        self.table: dict[tuple, tuple[tuple, int]] = {}
 
-    head: str
-    cut: bool
-    tokens: int
-    tail: str
+    def of(self, state: tuple) -> tuple[tuple, int]:
+        got = self.table.get(state)
+        if got is None:
+            left, total = self.transducer.go(state, self.head)
+            if self.ends:
+                left = FIRST
+            if not self.head or self.ends:
+                left, more = self.transducer.go(left, self.tail)
+                total += self.tokens + more
+            got = self.table[state] = left, total
+        return got
+
+
+class Composed(ChunkMap):
+    """One map after another."""
+
+    def __init__(self, first: ChunkMap, second: ChunkMap):
+        self.first, self.second = first, second
+        self.table = {s: self._through(s) for s in first.table}
+
+    def _through(self, state: tuple) -> tuple[tuple, int]:
+        middle, n = self.first.of(state)
+        left, m = self.second.of(middle)
+        return left, n + m
+
+    def of(self, state: tuple) -> tuple[tuple, int]:
+        if state not in self.table:
+            self.table[state] = self._through(state)
+        return self.table[state]
 
 
 class Counter:
@@ -207,9 +245,13 @@ class Counter:
         self.special = re.compile("|".join(map(re.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.words = _Table(self._word, KEPT_WORDS)
 
+    @staticmethod
+    def symbols(word: str) -> str:
+        raw = word.encode("utf-8", "surrogatepass").decode("latin-1")
+        return raw[:-1] + chr(ord(raw[-1]) + 256)
+
     def _word(self, word: str) -> int:
-        symbols = word.encode("utf-8", "surrogatepass").decode("latin-1")
-        return self.transducer.run(symbols[:-1] + chr(ord(symbols[-1]) + 256))
+        return self.transducer.run(self.symbols(word))
 
     def normal(self, text: str) -> str:
         """Composed, lower-cased; white space stays as it is, as it only separates."""
@@ -222,39 +264,54 @@ class Counter:
 
     rare = re.compile("[^\\x00-\u024f\u2010-\u2027\u2030-\u205e]")
 
-    def _count(self, run: str) -> int:
-        if run.isascii():
-            found = self.ascii_words_of.findall(run)
-        elif self.rare.search(run):
-            found = ["".join(map(self.bytes.__getitem__, w)).encode("latin-1").decode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(run)]
-        else:
-            found = self.words_of.findall(run)
-        if found and max(map(len, found)) >= 64:
-            return sum(self.words[w] if len(w) < 64 else self._word(w) for w in found)
-        return sum(map(self.words.__getitem__, found))
-
-    _cut = re.compile(r"[ \t\n\v\f\r]")
-
-    def chunk(self, text: str) -> ChunkMap:
-        first = self._cut.search(text)
-        if not first:
-            return ChunkMap(text, False, 0, "")
-        last = len(text)
-        while text[last - 1] not in " \t\n\v\f\r":
-            last -= 1
-        return ChunkMap(text[: first.start()], True, self._count(text[first.start() : last]), text[last:])
-
-    def compose(self, a: ChunkMap, b: ChunkMap) -> ChunkMap:
-        if not a.cut:
-            return ChunkMap(a.head + b.head, b.cut, b.tokens, b.tail)
-        if not b.cut:
-            return ChunkMap(a.head, True, a.tokens, a.tail + b.head)
-        return ChunkMap(a.head, True, a.tokens + self._count(a.tail + b.head) + b.tokens, b.tail)
+    def words_in(self, text: str) -> list[str]:
+        """The words of a normalised text."""
+        if text.isascii():
+            return self.ascii_words_of.findall(text)
+        if self.rare.search(text):
+            return ["".join(map(self.bytes.__getitem__, w)).encode("latin-1").decode() for w, _ in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        return self.words_of.findall(text)
+
+    def chunks(self, words: list[str]) -> Iterator[ChunkMap]:
+        """The maps of chunks of ``CHUNK`` symbols, each made for the state that may be live at its beginning."""
+        head, ends, tokens, size = "", False, 0, 0
+        live = FIRST  # what may arrive at the chunk that is being made
+
+        def made(tail: str) -> ChunkMap:
+            out = ChunkMap(self.transducer, head, ends, tokens, tail)
+            out.of(live)
+            return out
+
+        for word in words:
+            if size + len(word) < CHUNK and len(word) < LONG:
+                tokens += self.words[word]
+                size += len(word)
+                continue
+            symbols, at = self.symbols(word), 0
+            while len(symbols) - at > (room := max(1, CHUNK - size)):
+                if at:
+                    head = symbols[at : at + room]
+                    yield made("")
+                else:
+                    yield made(symbols[:room])
+                at += room
+                # From an earlier place, the symbols before a chunk mostly lead to the state that does arrive.
+                live = self.transducer.go(FIRST, symbols[max(0, at - WARM) : at])[0]
+                head, ends, tokens, size = "", False, 0, 0
+            if at:
+                head, ends = symbols[at:], True
+            else:
+                tokens += self.words[word] if len(word) < LONG else self.transducer.run(symbols)
+            size += len(symbols) - at
+            if size >= CHUNK:
+                yield made("")
+                live, head, ends, tokens, size = FIRST, "", False, 0, 0
+        yield made("")
 
     def scan(self, maps: list[ChunkMap]) -> ChunkMap:
         """All maps in one, composed in pairs, then pairs of pairs."""
         while len(maps) > 1:
-            maps = [self.compose(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
+            maps = [Composed(*maps[k : k + 2]) if k + 1 < len(maps) else maps[k] for k in range(0, len(maps), 2)]
         return maps[0]
 
     def count(self, text: str) -> int:
@@ -265,9 +322,11 @@ class Counter:
             total = len(parts) - 1
         for part in parts:
             if part:
-                part = self.normal(part)
-                whole = self.scan([self.chunk(part[k : k + CHUNK]) for k in range(0, len(part), CHUNK)])
-                total += self._count(whole.head) + whole.tokens + self._count(whole.tail)
+                words = self.words_in(self.normal(part))
+                if len(part) < CHUNK and (not words or max(map(len, words)) < LONG):  # one chunk of short words
+                    total += sum(map(self.words.__getitem__, words))
+                else:
+                    total += self.scan(list(self.chunks(words))).of(FIRST)[1]
         return total
 
 

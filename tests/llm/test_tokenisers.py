@@ -108,11 +108,34 @@ def test_chunk_maps_compose(counter, monkeypatch):
     own, lib = counter
     texts = [t for t in TEXTS + fuzz(200, seed=5)]
     want = [own.count(t) for t in texts]
-    for size in (1, 3, 7):
+    for size, warm in ((1, 1), (1, 64), (3, 2), (7, 64)):
         monkeypatch.setattr(tc, "CHUNK", size)
+        monkeypatch.setattr(tc, "WARM", warm)
         assert [own.count(t) for t in texts] == want
-    a, b, c = (own.chunk(x) for x in ("don", "'t st", "op it"))
-    assert own.compose(own.compose(a, b), c) == own.compose(a, own.compose(b, c))
+    word = "unbelievablyinternationalisationalism" * 40
+    for size, warm in ((1, 1), (5, 3), (64, 64), (1000, 8)):
+        monkeypatch.setattr(tc, "CHUNK", size)
+        monkeypatch.setattr(tc, "WARM", warm)
+        maps = list(own.chunks(["stop", word, "it"]))
+        assert len(maps) >= len(word) // size
+        in_order, n = tc.FIRST, 0
+        for m in maps:
+            in_order, more = m.of(in_order)
+            n += more
+        a, b, c = maps[: len(maps) // 3] or maps[:1], maps[len(maps) // 3 : -1], maps[-1:]
+        left, right = (tc.Composed(tc.Composed(own.scan(a), own.scan(b)), own.scan(c)), tc.Composed(own.scan(a), tc.Composed(own.scan(b), own.scan(c)))) if len(maps) > 2 else (own.scan(maps),) * 2
+        assert left.of(tc.FIRST) == right.of(tc.FIRST) == own.scan(maps).of(tc.FIRST) == (tc.FIRST, n)
+        assert n == own.transducer.run(own.symbols("stop")) + own.transducer.run(own.symbols(word)) + own.transducer.run(own.symbols("it"))
+
+
+def test_a_long_run_without_spaces(counter):
+    own, lib = counter
+    rnd = random.Random(3)
+    text = "".join(rnd.choice(["token", "iser", "über", "z", "ing", "qx", "the"]) for _ in range(150_000))
+    assert own.count(text) == len(lib.encode(text, add_special_tokens=False).ids)
+    # The states that chunks were made for are those that arrive: no chunk inside the word is run twice.
+    maps = list(own.chunks([own.normal(text)]))
+    assert len(maps) > 5 and own.scan(maps).of(tc.FIRST)[0] == tc.FIRST and max(len(m.table) for m in maps) <= 2
 
 
 def test_transitions_add_up(counter):

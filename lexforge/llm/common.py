@@ -78,7 +78,7 @@ def text_bytes(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]
     return (data[off[0] : off[-1]], off - off[0]) if len(col) else (data, np.zeros(1, np.int64))
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 4 * BLOCK) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """The same rows in order, cut so that no slice of several rows holds much more than ``limit`` bytes of text."""
     for b in batches:
         if not b.num_rows:

@@ -45,8 +45,9 @@ BLOCK_POINTS, BLOCK_SHINGLES, LEAF, FAN = 2048, 4 << 20, 32, 8
 PAIRS_SENT, FAN_OUT = 300_000, 256
 #: Upper end of one size class, over the end of the one before.
 WIDTH = 1.5
-#: Signatures that this many sets of a slice of rows share are counted; the ``NAMED`` most frequent of them come last in order.
-FREQUENT, NAMED = 4, 1 << 18
+#: Signatures that ``FREQUENT`` sets of a slice of rows share, and those that ``HOT`` sets of all kept, come last in order: the
+#: ``NAMED`` most frequent of them.
+FREQUENT, HOT, NAMED = 4, 10_000, 1 << 18
 #: Low bits of a signature that tell its size class (modulo 64).
 CLASS_BITS = 63
 
@@ -171,17 +172,20 @@ def shingle_sets(named: DataFrame, n: int, threshold: Fraction) -> DataFrame:
     return named.select("key", "same", "text").mapInArrow(run, f"key bigint, same binary, n_shingles bigint, point binary, {arrays}")
 
 
-def kept_signatures(sets: DataFrame) -> DataFrame:
-    """(``sig``, ``rep``): what each set keeps. The order puts the frequent ones last, by how often slices of rows had them; it is the
-    same for all sets, so whatever it is, linked sets keep one in common."""
-    counted = sets.select(F.explode(F.arrays_zip("often", "times")).alias("e")).groupBy("e.often").agg(F.sum("e.times").alias("n"))
-    frequent = counted.orderBy(F.desc("n"), "often").limit(NAMED).toArrow()  # bounded: 4 MB
-    names, counts = (frequent.column(k).to_numpy().astype(np.int64) for k in (0, 1))
-    order = np.argsort(names)
-    names, counts = np.append(names[order], np.iinfo(np.int64).max), np.append(counts[order], 0)
+def most_frequent(counted: DataFrame) -> dict[int, int]:
+    """The ``NAMED`` largest of counts (``sig``, ``n``): 4 MB at most."""
+    rows = counted.orderBy(F.desc("n"), "sig").limit(NAMED).toArrow()
+    return dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))
+
+
+def kept_signatures(sets: DataFrame, frequent: dict[int, int]) -> DataFrame:
+    """(``sig``, ``rep``): what each set keeps. The order puts ``frequent`` ones last, by how often they are; it is the same for all
+    sets, so whatever it is, linked sets keep one in common."""
+    names = np.array(sorted(frequent), np.int64)
+    names, counts = np.append(names, np.iinfo(np.int64).max), np.array([*(frequent[x] for x in names.tolist()), 0], np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x.slice(k, 512) for x in batches for k in range(0, x.num_rows, 512)):
             width = np.diff(b.column("parts").offsets.to_numpy())
             sig, row = b.column("parts").flatten().to_numpy(), np.repeat(np.arange(b.num_rows), width)
             place = np.searchsorted(names, sig)
@@ -338,11 +342,22 @@ def neighbourhoods(sets: DataFrame) -> DataFrame:
     deleted once their signatures are written.
 
     Signatures are counted before sets meet in them; a hot one is joined with its one row of counts, which Spark can split."""
-    rows = durable(kept_signatures(sets.where("key is not null")), "signatures")
+    slices_ = sets.select(F.explode(F.arrays_zip("often", "times")).alias("e")).groupBy(F.col("e.often").alias("sig")).agg(F.sum("e.times").alias("n"))
+    frequent = most_frequent(slices_)
+    tried = set(frequent)
+    while True:
+        rows = durable(kept_signatures(sets.where("key is not null"), frequent), "signatures")
+        shared = durable(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+        # What turned out to be hot, and was not known to be, is put last too, and sets choose again.
+        hot = most_frequent(shared.where(F.col("n") > HOT))
+        if not set(hot) - tried:
+            break
+        tried |= set(hot)
+        frequent = dict(sorted((frequent | hot).items(), key=lambda x: (-x[1], x[0]))[:NAMED])
+        release(rows, shared)
     release(sets)
-    shared = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("sig")
-    met = durable(rows.join(durable(shared, "shared"), "sig"), "met")
-    release(rows)
+    met = durable(rows.join(shared.select("sig"), "sig"), "met")
+    release(rows, shared)
     hubs = met.groupBy("sig").agg(F.min("rep").alias("hub"))
     out = durable(met.join(hubs, "sig").where("hub <> rep").select("hub", "rep").distinct(), "hoods")
     release(met)

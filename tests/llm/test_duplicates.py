@@ -201,7 +201,8 @@ def test_jaccard_at_a_low_threshold(spark, frequent, block, monkeypatch):
 
 
 def test_many_near_copies_with_frequent_parts(spark, monkeypatch):
-    monkeypatch.setattr(ngram_jaccard, "FREQUENT", 3)
+    monkeypatch.setattr(ngram_jaccard, "FREQUENT", 1000)
+    monkeypatch.setattr(ngram_jaccard, "HOT", 20)
     monkeypatch.setattr(ngram_jaccard, "BLOCK_POINTS", 16)
     rnd = random.Random(12)
     line = [f"l{k}" for k in range(60)]

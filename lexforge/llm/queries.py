@@ -78,12 +78,24 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def mix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op5_mixing: sizes and targets."""
+    from pyspark.sql import functions as F
+
+    return op5_mixing(spark, sf_dir).select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
+
+
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of op9_fingerprints: lengths and edited texts."""
+    return op9_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
+
+
 #: Bytes of text of a shard.
 SHARD_LIMIT = 4 << 20
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_sentencepiece, op2_sharding, op3_token_counts, op4_suffix_dedup, op5_mixing, op6_embedding_dedup, op7_ngram_jaccard, op8_warc, op9_fingerprints, op10_toxicity)
+    every = (op1_sentencepiece, op2_sharding, op3_token_counts, op4_suffix_dedup, op5_mixing, op6_embedding_dedup, op7_ngram_jaccard, op8_warc, op9_fingerprints, op10_toxicity, mix_targets, edited_texts)
     return {f.__name__: f for f in every}
 
 
@@ -91,11 +103,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _OP2_SQL = f"""
 WITH d AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes,
                   CAST(('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 14)) AS BIGINT) AS h FROM documents),
-     p AS (SELECT doc_id, n_bytes, k AS depth, h >> (56 - k) AS prefix FROM d, range(0, 25) AS r(k)),
+     p AS (SELECT doc_id, n_bytes, k AS depth, h >> (56 - k) AS prefix FROM d, range(0, 57) AS r(k)),
      s AS (SELECT depth, prefix, sum(n_bytes) AS b, count(*) AS n FROM p GROUP BY ALL),
      f AS (SELECT p.doc_id, p.n_bytes, p.depth, p.prefix, s.b, s.n,
                   row_number() OVER (PARTITION BY p.doc_id ORDER BY p.depth) AS r
-           FROM p JOIN s USING (depth, prefix) WHERE s.b <= {SHARD_LIMIT})
+           FROM p JOIN s USING (depth, prefix) WHERE s.b <= {SHARD_LIMIT} OR depth = 56)
 SELECT doc_id, n_bytes, CAST(prefix AS BIGINT) AS shard_prefix, CAST(depth AS INTEGER) AS shard_depth,
        CAST(b AS BIGINT) AS shard_bytes, CAST(n AS BIGINT) AS shard_rows
 FROM f WHERE r = 1
@@ -142,6 +154,24 @@ SELECT v.vec_id, CAST((SELECT count(*) FROM e WHERE e.a = v.vec_id) AS BIGINT) A
 FROM v JOIN (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id) k ON k.vec_id = v.vec_id
 """
 
+#: Shares by weight, dealt anew until no source is above twice its words.
+_TARGETS_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
+  s AS (SELECT source, CAST(sum(size) AS BIGINT) AS words, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w FROM d GROUP BY source),
+  u(unit, k) AS (SELECT 1.5e0 * sum(words) / sum(w), 0 FROM s
+    UNION ALL SELECT * FROM (SELECT (1.5e0 * (SELECT sum(words) FROM s) - sum(CASE WHEN u.unit * s.w > 2 * s.words THEN 2 * s.words ELSE 0 END)) / nullif(sum(CASE WHEN u.unit * s.w > 2 * s.words THEN 0 ELSE s.w END), 0) AS unit, max(u.k) + 1 AS k
+      FROM u, s) x WHERE unit IS NOT NULL AND k < 40),
+  last AS (SELECT max(unit) AS unit FROM u)
+SELECT d.doc_id, CAST(d.size AS BIGINT) AS size, s.words AS source_size, round(least(2 * s.words, last.unit * s.w), 3) AS target
+FROM d JOIN s ON s.source IS NOT DISTINCT FROM d.source, last
+"""
+
+_EDITED_SQL = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+  n AS (SELECT doc_id, text, length(text) // 3 AS moved, coalesce(lead(text) OVER (ORDER BY doc_id DESC), first_value(text) OVER (ORDER BY doc_id DESC)) AS other FROM d)
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(substr(text, 1, length(text) - moved) || substr(other, 1, moved)) AS edited_sha256 FROM n
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_sharding": _OP2_SQL, "op6_embedding_dedup": _OP6_SQL, "op7_ngram_jaccard": _OP7_SQL, "op8_warc": _OP8_SQL}
+    return {"mix_targets": _TARGETS_SQL, "edited_texts": _EDITED_SQL, "op2_sharding": _OP2_SQL, "op6_embedding_dedup": _OP6_SQL, "op7_ngram_jaccard": _OP7_SQL, "op8_warc": _OP8_SQL}

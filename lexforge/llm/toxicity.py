@@ -28,6 +28,10 @@ _INSIDE = np.zeros(256, bool)
 _INSIDE[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
+#: The class prior where too few texts are known to estimate it, and how many are needed.
+PRIOR, KNOWN = 0.1, 30
+
+
 @dataclass(frozen=True)
 class Settings:
     """Bounds of the sample that is fitted, and how it is fitted."""
@@ -144,23 +148,26 @@ def logits(rows: list[np.ndarray], model: Model) -> np.ndarray:
 
 
 def prior_of(positive: np.ndarray, unlabelled: np.ndarray, risk: float = 0.1) -> float:
-    """The part of positives among unlabelled texts, from the scores of both (of texts that the scorer was not fitted to)."""
+    """The part of positives among unlabelled texts, from the scores of both (of texts that the scorer was not fitted to); ``PRIOR``
+    where there are fewer than ``KNOWN`` of either."""
+    if min(len(positive), len(unlabelled)) < KNOWN:
+        return PRIOR
     p, u = np.sort(positive), np.sort(unlabelled)
     cut = np.unique(p)
     q = 1 - np.searchsorted(p, cut, "left") / len(p)
     r = 1 - np.searchsorted(u, cut, "left") / len(u)
     room = np.sqrt(np.log(4 / risk) / 2) * (1 / np.sqrt(len(u)) + 1 / np.sqrt(len(p)))
     best = int(np.argmin((r + room) / q))
-    return float(np.clip(r[best] / q[best], 0.005, 0.5))
+    return float(np.clip(r[best] / q[best], 0.005, 0.4))
 
 
 def estimate_prior(positive: list[np.ndarray], unlabelled: list[np.ndarray], s: Settings) -> float:
     """``prior_of`` of each half, scored by a classifier of the other half; their mean."""
-    if min(len(positive), len(unlabelled)) < 2:
-        return 0.1
+    if min(len(positive), len(unlabelled)) < 2 * KNOWN:
+        return PRIOR
     out = []
     for k in (0, 1):
-        model = fit_rows(positive[1 - k :: 2], unlabelled[1 - k :: 2], 0.1, s)
+        model = fit_rows(positive[1 - k :: 2], unlabelled[1 - k :: 2], PRIOR, s)
         out.append(prior_of(logits(positive[k::2], model), logits(unlabelled[k::2], model)))
     return float(np.mean(out))
 

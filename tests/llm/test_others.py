@@ -417,6 +417,54 @@ def test_long_texts_score_alike(monkeypatch):
     assert toxicity._long(data, weight, s) == pytest.approx(weight[f].astype(float).sum(), rel=1e-5)
 
 
+def plain_fit(positive, unlabelled, prior, s):
+    """The same estimator with dense matrices and slopes by hand, text by text."""
+    every = sorted({int(f) for x in [*positive, *unlabelled] for f in x})
+    p, u = (np.array([[f in set(x.tolist()) for f in every] for x in rows], float) for rows in (positive, unlabelled))
+    kept = (p.sum(0) >= s.least) & (p.mean(0) >= s.ratio * u.mean(0))
+    p, u = p[:, kept], u[:, kept]
+    w, b = np.zeros(p.shape[1]), math.log(prior / (1 - prior))
+    m1, m2 = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
+    for step in range(1, s.steps + 1):
+        gp, gu = (1 / (1 + np.exp(-(x @ w + b))) for x in (p, u))
+        negative = np.mean([-math.log(1 - g) for g in gu]) - prior * np.mean([-math.log(1 - g) for g in gp])
+        up, un = np.append(p, np.ones((len(p), 1)), 1), np.append(u, np.ones((len(u), 1)), 1)
+        as_positive, as_negative_p, as_negative_u = ((gp - 1) @ up / len(p), gp @ up / len(p), gu @ un / len(u))
+        slope = prior * as_positive + as_negative_u - prior * as_negative_p if negative >= 0 else prior * as_negative_p - as_negative_u
+        slope = slope + np.append(np.full(len(w), s.shrink), 0.0)
+        m1, m2 = 0.9 * m1 + 0.1 * slope, 0.999 * m2 + 0.001 * slope**2
+        move = s.rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
+        w, b = np.maximum(0, w - move[:-1]), b - move[-1]
+    return [f for f, k in zip(every, kept, strict=True) if k], w, b
+
+
+def test_the_fit_is_that_of_a_plain_version():
+    rnd = np.random.default_rng(2)
+    rows = lambda n, odd: [np.unique(np.append(rnd.integers(0, 40, 6), rnd.integers(50, 55, 2) if rnd.random() < odd else [])).astype(np.int64) for _ in range(n)]
+    positive, unlabelled = rows(60, 0.95), rows(200, 0.15)
+    s = toxicity.Settings(buckets=64, steps=120)
+    got, (numbers, w, b) = toxicity.fit_rows(positive, unlabelled, 0.12, s), plain_fit(positive, unlabelled, 0.12, s)
+    assert got.numbers.tolist() == numbers and np.allclose(got.weights, w, atol=1e-6) and got.bias == pytest.approx(b, abs=1e-6)
+    assert (toxicity.logits(positive, got) >= 0).mean() > 0.85 and (toxicity.logits(unlabelled, got) >= 0).mean() < 0.3
+
+
+def test_the_prior_needs_no_negatives():
+    rnd = np.random.default_rng(3)
+    for prior in (0.05, 0.2):
+        positive, negative = rnd.normal(3, 1, 3000), rnd.normal(-1, 1, 20_000)
+        unlabelled = np.concatenate([rnd.normal(3, 1, int(20_000 * prior / (1 - prior))), negative])
+        assert toxicity.prior_of(positive, unlabelled) == pytest.approx(prior, abs=0.02)
+    assert toxicity.prior_of(np.array([1.0, 2.0]), np.array([0.0, 1.0])) == toxicity.PRIOR
+
+
+def test_few_labels_do_not_reject_everything(spark):
+    rows, labels = toxic_rows(120, seed=9)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for n in (0, 3, 40):
+        kept = toxicity.drop_toxic(docs, spark.createDataFrame(labels[:n], "doc_id long, toxic int")).count()
+        assert kept >= 80
+
+
 def test_the_risk_is_kept_from_falling_below_zero():
     s = toxicity.Settings(least=1, ratio=0.0, steps=400, buckets=64)
     m = toxicity.fit_rows([np.array([1])] * 20, [np.array([1])] * 5 + [np.array([2])] * 15, 0.25, s)
@@ -433,17 +481,47 @@ def test_durable_tables(spark):
     common.release(df)
 
 
-def test_pipeline(spark, sf):
+def test_pipeline_against_brute_force(spark, sf):
+    """Each stage on all that the one before kept, held against a plain version."""
     import corpus_pipeline as cp
+    import sentencepiece
+    from test_duplicates import WORD, brute_components, brute_repeats, sets_of
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    now, ids = docs, {r["doc_id"] for r in docs.select("doc_id").collect()}
-    for k, (name, stage) in enumerate(cp.STAGES):
+    rows = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+    out, now = [], docs
+    for name, stage in cp.STAGES:
         now = common.durable(stage(spark, now, sf), name)
-        if k < 4:
-            assert now.columns == docs.columns and {r["doc_id"] for r in now.select("doc_id").collect()} <= ids
-    assert now.where("n_tokens < 2").isEmpty() and now.count() > 0
-    assert cp.run(spark, sf).count() == now.count()
+        out.append(now)
+        if name != cp.STAGES[-1][0]:
+            assert now.columns == docs.columns
+    texts = rows(docs)
+    scores = {r["doc_id"]: r["score"] for r in toxicity.score_documents(docs, spark.read.parquet(f"{sf}/labels.parquet")).collect()}
+    texts = {i: t for i, t in texts.items() if scores[i] < 0.5}
+    assert rows(out[0]) == texts
+    root = brute_components(sets_of(texts.items(), 5), 0.8)
+    texts = {i: t for i, t in texts.items() if root[i] == i}
+    assert rows(out[1]) == texts
+    _, removed = brute_repeats(list(texts.items()), 50)
+    cut = rows(out[2])
+    assert set(cut) == set(texts)
+    for i, t in texts.items():
+        words = WORD.findall(t or "")
+        assert WORD.findall(cut[i] or "") == [w for k, w in enumerate(words) if k not in removed.get(i, ())]
+        assert i in removed or cut[i] == t
+    want = {r["doc_id"]: r["copies"] for r in mixing.mix(out[2]).collect()}
+    copies = {}
+    for r in out[3].collect():
+        assert r["text"] == cut[r["doc_id"]]
+        copies[r["doc_id"]] = copies.get(r["doc_id"], 0) + 1
+    assert copies == {i: n for i, n in want.items() if n} and max(copies.values()) <= 2
+    lib = sentencepiece.SentencePieceProcessor(model_file=str(cp.tokenizer_path("piece_bpe_32k.model")))
+    got = {}
+    for r in out[4].collect():
+        n = lib.encode(cut[r["doc_id"]] or "", add_bos=True, add_eos=True)
+        assert r["n_tokens"] == len(n) and r["ids_sha256"] == hashlib.sha256(np.array(n, "<u4").tobytes()).hexdigest()
+        got[r["doc_id"]] = got.get(r["doc_id"], 0) + 1
+    assert got == copies and cp.run(spark, sf).count() == sum(copies.values())
 
 
 def test_queries_that_sql_can_say(spark, sf):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -78,6 +80,13 @@ def text_bytes(col: pa.ChunkedArray | pa.Array) -> tuple[np.ndarray, np.ndarray]
     return (data[off[0] : off[-1]], off - off[0]) if len(col) else (data, np.zeros(1, np.int64))
 
 
+def tidy() -> None:
+    """Give memory that a task no longer needs back to the system: a worker is used again for tasks that need theirs elsewhere."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other systems' allocators do without
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK) -> Iterator[pa.RecordBatch]:
     """The same rows in order, cut so that no slice of several rows holds much more than ``limit`` bytes of text."""
     for b in batches:
@@ -89,6 +98,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = BLOCK) -
             end = max(start + 1, int(np.searchsorted(off, off[start] + limit, "right")) - 1)
             yield b.slice(start, end - start)
             start = end
+        del b, off
+    tidy()
 
 
 # --- words -----------------------------------------------------------------------------------------------------------

@@ -24,7 +24,7 @@ SHINGLE, BINS, BITS = 5, 256, 8
 #: Bins that an empty one looks at one by one; where all are empty too, it takes the one first in an order of its own.
 TRIES = 8
 #: Bytes of text of a range of keys that is ordered together; of more than ``MOST_RANGES`` such ranges, all are larger instead.
-RANGE_BYTES, MOST_RANGES = 16 << 20, 1 << 20
+RANGE_BYTES, MOST_RANGES = 4 << 20, 1 << 20
 
 
 def let(value: Column, of: Callable[[Column], Column]) -> Column:

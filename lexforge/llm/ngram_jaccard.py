@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, durable, few, hash_words, mix64, release, shingles, slices, text_bytes
+from .common import U64, durable, few, hash_words, mix64, release, shingles, slices, text_bytes, tidy
 from .components import components
 
 #: Coordinates of a point.
@@ -201,6 +201,7 @@ def kept_signatures(sets: DataFrame, frequent: dict[int, int]) -> DataFrame:
             spare = b.column("spare").flatten().to_numpy()[sort][np.searchsorted(free[sort], group)]
             keep = at[np.arange(len(at)) < end - spare]
             yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(b.column("key").to_numpy()[row[keep]])], ["sig", "rep"])
+        tidy()
 
     return sets.select("key", "parts", "in_class", "spare").mapInArrow(run, "sig bigint, rep bigint")
 
@@ -425,6 +426,8 @@ def in_blocks(batches: Iterator[pa.RecordBatch], solve) -> Iterator[pa.RecordBat
     finish()
     if out:
         yield batch_of()
+    held.clear()
+    tidy()
 
 
 def with_partners(rows: DataFrame, points: DataFrame, threshold: Fraction) -> DataFrame:

@@ -36,7 +36,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SPACE, U64, durable, few, hash_words, mix64, release, slices, text_bytes, word_spans
+from .common import SPACE, U64, durable, few, hash_words, mix64, release, slices, text_bytes, tidy, word_spans
 
 #: Words that a suffix's key is made of.
 GRAM = 16
@@ -303,6 +303,8 @@ def compare(sorted_suffixes: DataFrame, least: int) -> DataFrame:
             f, (r, l) = first_of[s], path[s]
             rows.append((EDGE, int(doc[k]), None, None, None, None, end.column(0)[0].as_py(), end.column(1)[0].as_py(), end.column(2)[0].as_py(), int(pos[k]), place, int(doc[f]), int(pos[f]), int(r[k - s]), int(l[k - s]), last == 0, None))
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+        del docs, places, rights, lefts, doc, pos, right, left, out, held, both
+        tidy()
 
     return sorted_suffixes.mapInArrow(run, _SCHEMA)
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import remove, work_dir
+from .common import durable, remove, work_dir
 
 # Fixed values of the two formats.
 ARC_FIELDS = {
@@ -35,6 +35,8 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-dig
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "urn:lexforge:arc")
 #: Bytes of a file that is written, unless one record has more.
 FILE_BYTES = 16 << 20
+#: Digests of repeated payloads, with what they are repeats of, that may be broadcast: about 20 MB.
+DIGESTS_SENT = 200_000
 #: A gzip member without content. Text writers put one after each file, as they must end lines with something.
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\x03\x03\x00" + bytes(8)
 
@@ -344,12 +346,14 @@ def convert_archives(spark, source: str, path: str, least: int = 0, order: Colum
 
     Of records with equal payloads of at least ``least`` bytes, the one that is last in ``order`` (of the columns of ``read_arc``;
     by default the date, then the URL) is written whole and the others are revisits of it; records with its identifier
-    are written whole too. Payloads are moved once, to where equal ones meet."""
+    are written whole too. What repeats is sent to the records while it is small; else payloads are moved once, to where
+    equal ones meet."""
     records = read_arc(spark, source)
     rank = F.struct((order if order is not None else F.struct("date", "url")).alias("rank"), F.col("record_id").alias("id"))
     # The first of each payload, summed per task before the shuffle; a hot payload is one row here.
     best = records.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("n"))
-    best = best.where("n > 1").select("payload_digest", F.col("best.id").alias("best_id"))
+    best = durable(best.where("n > 1").select("payload_digest", F.col("best.id").alias("best_id")), "repeated")
+    best = F.broadcast(best) if best.count() <= DIGESTS_SENT else best
     names = ["version", "url", "ip", "date", "content_type", "block"]
     joined = records.join(best, "payload_digest", "left").select(*names, F.when(F.col("best_id") != F.col("record_id"), F.col("best_id")).alias("refers"))
 

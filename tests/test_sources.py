@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexforge.operators import prefix
-from lexforge.sources import epub, files, markup, pdf_pages
+from lexforge.sources import epub, files, importing, markup, pdf_pages, snapshot
 
 
 def paragraphs(source):
@@ -102,6 +102,38 @@ def test_epub_files(spark, tmp_path):
     assert [(r["char_start"], r["char_end"]) for r in blocks.where("idx = 0").orderBy("block_idx").collect()] == [(0, 3), (5, 7)]
 
 
+def test_a_folder_becomes_a_library(spark, tmp_path):
+    folder, root = tmp_path / "in", str(tmp_path / "lib")
+    folder.mkdir()
+    other = make_epub(**{"OEBPS/text/two.xhtml": "<p>other</p>"})
+    for name, data in (("a.epub", make_epub()), ("copy.EPUB", make_epub()), ("bad.epub", b"x"), ("Some_Notes.pdf", b"one|two goes|on here."), ("blank.pdf", b" ")):
+        (folder / name).write_bytes(data)
+
+    def extractor(content):
+        return content.decode().split("|")
+
+    name_of = lambda rows: {os.path.basename(r["path"]): r["outcome"] for r in rows.collect()}
+    assert name_of(importing.import_folder(spark, str(folder), root, extractor)) == {"a.epub": "imported", "copy.EPUB": "already", "bad.epub": "failed", "Some_Notes.pdf": "imported", "blank.pdf": "failed"}
+    library = snapshot.Library(spark, root)
+    library.verify()
+    books = {r["title"]: r["book_id"] for r in library.read("books").collect()}
+    assert set(books) == {"A Book", "Some Notes"}
+    rows = library.read("blocks").where(F.col("book_id") == books["Some Notes"]).orderBy("block_idx").collect()
+    assert [r["text"] for r in rows] == ["one two goes on here."]
+    texts = [r["text"] for r in library.read("blocks").where(F.col("book_id") == books["A Book"]).orderBy("block_id").collect()]
+    assert texts == ["abc", "de", "Second", "x"] and library.read("chapters").count() == 3
+    # Again: nothing new but a file that was added, and one whose content changed.
+    (folder / "new.epub").write_bytes(other)
+    (folder / "Some_Notes.pdf").write_bytes(b"changed")
+    again = importing.import_folder(spark, str(folder), root, extractor)
+    assert name_of(again) == {"a.epub": "already", "copy.EPUB": "already", "bad.epub": "failed", "Some_Notes.pdf": "conflict", "blank.pdf": "failed", "new.epub": "imported"}
+    assert {r["outcome"]: r["n"] for r in importing.import_report(again).collect()} == {"already": 2, "failed": 2, "conflict": 1, "imported": 1}
+    assert library.read("books").count() == 3 and library.read("books").select("book_id").distinct().count() == 3
+    library.verify()
+    (folder / "x.pdf").write_bytes(b"p")
+    assert name_of(importing.import_folder(spark, str(folder), root))["x.pdf"] == "failed"
+
+
 def test_folder_scan(tmp_path):
     for name in ("Nested/b.EPUB", "a.epub", "c.PDF", ".hidden/c.epub", "notes.txt"):
         os.makedirs((tmp_path / name).parent, exist_ok=True)

@@ -45,8 +45,8 @@ def book_chapters(chapters: DataFrame, blocks: DataFrame) -> DataFrame:
 
 
 def chapter_content(blocks: DataFrame, chapter_id: int | None = None) -> DataFrame:
-    """Chapters with their paragraphs in order, as an array; of one, or of all."""
-    rows = blocks if chapter_id is None else blocks.where(F.col("chapter_id") == chapter_id)
+    """Chapters with their paragraphs in order, as an array; of one, which has to be there, or of all."""
+    rows = blocks if chapter_id is None else only(blocks, "chapter", chapter_id=chapter_id)
     some = rows.groupBy("chapter_id", "book_id").agg(F.sort_array(F.collect_list(F.struct("block_idx", "block_id", "text"))).alias("blocks"))
     return some
 
@@ -79,6 +79,18 @@ def recent_books(books: DataFrame, reading: DataFrame, limit: int = 3) -> DataFr
     return books.join(reading.select("book_id"), "book_id", "left_anti").orderBy(F.desc("added_at"), F.desc("book_id")).limit(limit)
 
 
+def folders_newest_first(folders: DataFrame, bookmarks: DataFrame) -> DataFrame:
+    """Folders with the number of their bookmarks, the newest (``created_at``, then number) first."""
+    return counted(folders, bookmarks, "folder_id", "bookmark_count").orderBy(F.desc("created_at"), F.desc("folder_id"))
+
+
+def passages_of(folder_id: int, folders: DataFrame, bookmarks: DataFrame, blocks: DataFrame, chapters: DataFrame, books: DataFrame) -> DataFrame:
+    """The passages of one folder, which has to be there."""
+    there = only(folders, "folder", folder_id=folder_id).select("folder_id")
+    own = bookmarks.where(F.col("folder_id") == folder_id)
+    return folder_passages(there.join(own, "folder_id"), blocks, chapters, books)
+
+
 def folder_passages(bookmarks: DataFrame, blocks: DataFrame, chapters: DataFrame, books: DataFrame) -> DataFrame:
     """Bookmarks of folders with their text and titles, in the order in which they were made."""
     # Paragraphs of other chapters are left out before any are dealt.
@@ -218,10 +230,10 @@ def counts_line(listed: DataFrame, shown: DataFrame) -> DataFrame:
 
 
 def only(rows: DataFrame, what: str, **at) -> DataFrame:
-    """The rows with these values; that there are none is an error when they are read."""
+    """The rows with these values; that there are none is an error."""
     found = rows
     for c, v in at.items():
         found = found.where(F.col(c) == v)
-    told = ", ".join(f"{c} {v}" for c, v in at.items())
-    missing = found.agg(F.when(F.count(F.lit(1)) == 0, F.raise_error(F.lit(f"no {what} with {told}")).cast("int")).otherwise(0).alias("__ok"))
-    return found.crossJoin(missing).where(F.col("__ok") == 0).drop("__ok")  # one row
+    if found.isEmpty():
+        raise LookupError(f"no {what} with " + ", ".join(f"{c} {v}" for c, v in at.items()))
+    return found

@@ -410,6 +410,14 @@ def folders_with_counts(spark, sf_dir):
     return L.counted(folders, C.bookmarks(spark, sf_dir), "folder_id", "bookmark_count")
 
 
+@query("""SELECT u.folder_id, (SELECT count(*) FROM bookmarks m WHERE m.folder_id = u.folder_id) AS bookmark_count, row_number() OVER (ORDER BY created_at DESC, u.folder_id DESC) AS place
+  FROM (SELECT user_id AS folder_id, date_trunc('month', min(ts)) AS created_at FROM events WHERE user_id < 500 GROUP BY user_id) u""")
+def folders_newest_first(spark, sf_dir):
+    events = C.table(spark, sf_dir, "events").where("user_id < 500")
+    folders = events.groupBy(F.col("user_id").alias("folder_id")).agg(F.date_trunc("month", F.min("ts")).alias("created_at"))
+    return _in_order(L.folders_newest_first(folders, C.bookmarks(spark, sf_dir)).select("folder_id", "bookmark_count"))
+
+
 @query("SELECT m.folder_id, m.bookmark_id, m.block_id, b.text, c.title AS chapter_title, k.title AS book_title, row_number() OVER (PARTITION BY m.folder_id ORDER BY m.bookmark_id) AS place FROM bookmarks m JOIN blocks b ON b.block_id = m.block_id JOIN chapters c ON c.chapter_id = m.chapter_id JOIN books k ON k.book_id = m.book_id")
 def folder_passages(spark, sf_dir):
     rows = L.folder_passages(C.bookmarks(spark, sf_dir), C.blocks(spark, sf_dir), C.chapters(spark, sf_dir), C.books(spark, sf_dir))

@@ -186,3 +186,59 @@ def test_null_columns_of_older_versions(spark, tmp_path):
     at = lib.current()
     lib.files.write(f"{at}/manifest.json", lib.files.read(f"{at}/manifest.json").replace('"schema_version": 8', '"schema_version": 2'))
     assert lib.read("books").columns == ["book_id", "title", "file_hash"]
+
+
+def test_what_is_not_there_is_an_error(spark):
+    blocks = spark.createDataFrame([(1, 5, 0, 10, "a")], "chapter_id long, book_id long, block_idx long, block_id long, text string")
+    assert library.chapter_content(blocks, 1).count() == 1
+    with pytest.raises(Exception, match="no chapter with chapter_id 2"):
+        library.chapter_content(blocks, 2).collect()
+    folders = spark.createDataFrame([(7, "f")], "folder_id long, name string")
+    marks = spark.createDataFrame([], "folder_id long, bookmark_id long, block_id long, chapter_id long, book_id long")
+    chapters, books = spark.createDataFrame([(1, "c")], "chapter_id long, title string"), spark.createDataFrame([(5, "b")], "book_id long, title string")
+    assert library.passages_of(7, folders, marks, blocks, chapters, books).count() == 0
+    with pytest.raises(Exception, match="no folder with folder_id 8"):
+        library.passages_of(8, folders, marks, blocks, chapters, books).collect()
+
+
+def test_changed_notes(spark):
+    notes = spark.createDataFrame([(1, "old", "then"), (2, "same", "then")], "note_id long, body string, updated_at string")
+    got = {r["note_id"]: (r["body"], r["updated_at"]) for r in mutations.update_notes(notes, spark.createDataFrame([(1, "new"), (9, "x")], "note_id long, body string"), F.lit("now")).collect()}
+    assert got == {1: ("new", "now"), 2: ("same", "then")}
+
+
+def test_notes_have_one_anchor_each(spark):
+    kind = "note_id long, block_id long, highlight_id long, body string"
+    there = spark.createDataFrame([(1, 10, None, "a"), (2, 10, 5, "b")], kind)
+    new = spark.createDataFrame([(3, 10, None, "c"), (4, 10, 6, "d"), (5, 10, 6, "e"), (6, 11, None, " "), (7, 12, 5, "f")], kind)
+    out = mutations.add_notes(there, new)
+    assert sorted(r["note_id"] for r in out.valid.collect()) == [4, 7]
+    assert {r["note_id"]: r["broken"] for r in out.rejected.collect()} == {3: ["free"], 5: ["free"], 6: ["body"]}
+
+
+def test_places_are_those_of_one_sort(spark):
+    rows = [((k * 7919) % 1000, k) for k in range(1000)]
+    got = prefix.placed(spark.createDataFrame(rows, "a int, b int").repartition(6), F.desc("a"), F.asc("b")).collect()
+    assert [(r["a"], r["b"]) for r in sorted(got, key=lambda r: r["place"])] == sorted(rows, key=lambda r: (-r[0], r[1])) and {r["place"] for r in got} == set(range(1, 1001))
+
+
+def test_ranges_are_counted_alike(spark):
+    for ends in ([], [5], [1, 4, 9], list(range(0, 3000, 3))):
+        frame = spark.createDataFrame([(k,) for k in (-5, 0, 1, 4, 5, 9, 100, 2997, 5000)], "k long")
+        if ends:
+            assert all(r["n"] == sum(e < r["k"] for e in ends) for r in frame.select("k", prefix.range_number(F.col("k"), ends, "bigint").alias("n")).collect())
+
+
+def test_best_items_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", 2)
+    rows = [(k, [float((k * 37) % 11), float(k % 5)]) for k in range(40)] + [(41, [3.0, 3.0]), (40, [3.0, 3.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(3)
+    asked = frame.where("vec_id % 9 = 0").select(F.col("vec_id").alias("query"), F.col("embedding").alias("q"))
+    got = {}
+    for r in vectors.top_for_queries(frame, asked, 4).collect():
+        got.setdefault(r["query"], set()).add((r["item"], round(r["score"], 6)))
+    table = dict(rows)
+    for q in (0, 9, 18, 27, 36):
+        every = sorted(((i, sum(a * b for a, b in zip(table[q], v, strict=True))) for i, v in rows if i != q), key=lambda x: (-x[1], x[0]))
+        assert got[q] == set(every[:4])
+    assert vectors.top_for_queries(frame, asked.limit(0), 4).count() == 0

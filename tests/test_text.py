@@ -100,3 +100,13 @@ def test_previews():
     assert preview("One line.\nTwo.", 0, 14) == "One line. Two."
     assert preview("alpha beta gamma delta", 2, 13) == "…beta…"
     assert len(preview("word " * 100, 0, 500)) <= 201
+
+
+def test_paths_below_a_folder(spark):
+    rows = spark.createDataFrame([("/a/b/c.epub", "/a"), ("/a/c.epub", "/a/"), ("c:\\x\\y.pdf", "c:\\x"), ("/other/z.pdf", "/a")], "p string, f string")
+    assert [r[0] for r in rows.select(T.relative_path(F.col("p"), F.col("f"))).collect()] == ["b/c.epub", "c.epub", "y.pdf", "/other/z.pdf"]
+
+
+def test_composed_letters_are_alike(spark):
+    rows = spark.createDataFrame([("Cafe\u0301",), ("Café",), (None,)], "t string")
+    assert [r[0] for r in rows.select(T.composed(F.col("t"))).collect()] == ["Café", "Café", None]

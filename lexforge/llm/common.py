@@ -19,6 +19,11 @@ U64 = np.uint64
 BLOCK = 1 << 20
 
 
+#: Rows of a batch that goes to Python, while a durable table is written.
+BATCH_ROWS = 1024
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def work_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or what ``setCheckpointDir`` set.
 
@@ -39,7 +44,13 @@ def durable(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage is cut and a lost executor loses nothing."""
     spark = df.sparkSession
     path = f"{work_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    # Batches that go to Python and back are held outside the heap, and rows may be long ones.
+    rows = spark.conf.get(_BATCH)
+    try:
+        spark.conf.set(_BATCH, str(min(BATCH_ROWS, int(rows)) if int(rows) > 0 else BATCH_ROWS))
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_BATCH, rows)
     out = spark.read.schema(df.schema).parquet(path)
     out._lexforge_path = path
     return out

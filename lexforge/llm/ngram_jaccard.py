@@ -16,10 +16,10 @@ The sets of a signature have a hub, the smallest. A hub's neighbourhood is all s
 share a signature are both in it, and a pair that shares a hundred signatures meets once or a few times. First each set is
 compared with one hub, which ties most copies at a cost in proportion to the sets; in neighbourhoods that are large and still
 apart, further hubs follow while that ties much. Then only neighbourhoods with sets of several components are searched: their
-trees find, for each set outside the neighbourhood's largest component, the sets that the bound lets it reach and that it
-is not tied to. That is done twice: on points alone, which are small, to tell which sets of which neighbourhoods have such
-partners at all; and for these with their shingles, on which what the trees find is verified at once. Large neighbourhoods are
-cut into blocks, and a set of the largest component meets the others alone. No candidate or partner is dropped, so the
+trees find, on points alone, which are small, for each set outside the neighbourhood's largest component the sets that the
+bound lets it reach and that it is not tied to. Each such pair is verified once. Where a block has many of them for a set, the
+sets travel there with their shingles instead, and what the trees find is verified at once. Large neighbourhoods are cut
+into blocks, and a set of the largest component meets the others alone. No candidate or partner is dropped, so the
 components are exact (up to collisions of 64-bit hashes of shingles).
 """
 
@@ -43,6 +43,8 @@ GROUPS = 256
 BLOCK_POINTS, BLOCK_SHINGLES, LEAF, FAN = 2048, 4 << 20, 32, 8
 #: Candidates (of 24 bytes) that may be broadcast, and candidates of one set that one task verifies.
 PAIRS_SENT, FAN_OUT = 300_000, 256
+#: Pairs for a set of a block up to which they are told one by one.
+PAIRS_PER_SET = 4
 #: Upper end of one size class, over the end of the one before.
 WIDTH = 1.5
 #: Signatures that ``FREQUENT`` sets of a slice of rows share, and those that ``HOT`` sets of all kept, come last in order: the
@@ -291,18 +293,24 @@ def block_links(keys: np.ndarray, labels: np.ndarray, sets: list[np.ndarray], si
     return out
 
 
-def block_partners(labels: np.ndarray, sizes: np.ndarray, points: np.ndarray, side: np.ndarray, inner: bool, t: Fraction) -> np.ndarray:
-    """Which sets of a block have a partner of another label that the bound lets them reach; sides as in ``block_links``."""
+def block_partners(labels: np.ndarray, sizes: np.ndarray, points: np.ndarray, side: np.ndarray, inner: bool, t: Fraction) -> tuple[np.ndarray, list[tuple[int, int]] | None]:
+    """Which sets of a block have a partner of another label that the bound lets them reach, and these pairs, or None where they
+    are more than ``PAIRS_PER_SET`` for a set; sides as in ``block_links``."""
     out = np.zeros(len(labels), bool)
+    pairs: list[tuple[int, int]] | None = []
     if len(np.unique(labels)) < 2:
-        return out
+        return out, pairs
     tree = RTree(points, sizes)
     labels, side = labels[tree.order], side[tree.order]
     for k in np.flatnonzero(side == 1):
         open_ = labels != labels[k] if inner else (labels != labels[k]) & (side == 0)
         if open_.any() and len(found := tree.search(tree.points[k], int(tree.sizes[k]), t, open_)):
             out[tree.order[found]] = out[tree.order[k]] = True
-    return out
+            if pairs is not None:
+                pairs += [(int(tree.order[k]), f) for f in tree.order[found].tolist()]
+                if len(pairs) > PAIRS_PER_SET * len(labels):
+                    pairs = None
+    return out, pairs
 
 
 def verify(pairs: DataFrame, named: DataFrame, n: int, threshold: Fraction) -> DataFrame:
@@ -397,10 +405,10 @@ def dealt(rows: DataFrame, own: DataFrame, what: str) -> DataFrame:
 
 
 def in_blocks(batches: Iterator[pa.RecordBatch], solve) -> Iterator[pa.RecordBatch]:
-    """``solve`` (hub, side, rep, label, raw, inner) of each whole block of sorted rows, as batches of pairs ``a``, ``b``."""
+    """``solve`` (hub, side, rep, label, raw, inner) of each whole block of sorted rows, as batches of what it tells: ``a``, ``b`` (and ``dense``)."""
     last: tuple[int, ...] | None = None
     held: list[tuple[int, int, int, bytes]] = []
-    out: list[tuple[int, int]] = []
+    out: list[tuple[int, ...]] = []
 
     def finish() -> None:
         if len(held) > 1:
@@ -409,8 +417,8 @@ def in_blocks(batches: Iterator[pa.RecordBatch], solve) -> Iterator[pa.RecordBat
             out.extend(solve(last[0], side, rep, label, [x[3] for x in held], last[1] == 1 and last[2] == 0))
 
     def batch_of() -> pa.RecordBatch:
-        a, b = zip(*out, strict=True)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        columns = list(zip(*out, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["a", "b", "dense"][: len(columns)])
 
     for batch in batches:
         where = zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True)
@@ -430,18 +438,21 @@ def in_blocks(batches: Iterator[pa.RecordBatch], solve) -> Iterator[pa.RecordBat
     tidy()
 
 
-def with_partners(rows: DataFrame, points: DataFrame, threshold: Fraction) -> DataFrame:
-    """The rows of ``apart`` whose sets have a partner in their neighbourhood, of another component, that the bound lets them
-    reach; told by the trees of its blocks on points alone."""
+def with_partners(rows: DataFrame, points: DataFrame, threshold: Fraction) -> tuple[DataFrame, DataFrame]:
+    """What the trees of the blocks of ``apart`` find on points alone: the pairs ``a``, ``b`` of different components that the bound lets
+    reach each other, each once; and, of blocks with many pairs for a set, the rows of the sets that have partners."""
 
     def solve(hub: int, side: np.ndarray, rep: np.ndarray, label: np.ndarray, raw: list[bytes], inner: bool) -> list[tuple[int, int]]:
         both = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
         sizes, point = both[:, :8].copy().view(">i8").ravel().astype(np.int64), both[:, 8:].copy().view("<u2")
-        return [(hub, int(r)) for r in rep[block_partners(label, sizes, point, side, inner, threshold)]]
+        some, pairs = block_partners(label, sizes, point, side, inner, threshold)
+        if pairs is None:
+            return [(hub, int(r), 1) for r in rep[some]]
+        return [(int(min(rep[x], rep[y])), int(max(rep[x], rep[y])), 0) for x, y in pairs]
 
-    found = dealt(rows, points, "point").mapInArrow(lambda batches: in_blocks(batches, solve), "a bigint, b bigint")
-    some = durable(found.select(F.col("a").alias("hub"), F.col("b").alias("rep")).distinct(), "partners")
-    return durable(rows.join(some, ["hub", "rep"], "left_semi"), "apart")
+    found = durable(dealt(rows, points, "point").mapInArrow(lambda batches: in_blocks(batches, solve), "a bigint, b bigint, dense bigint").distinct(), "partners")
+    dense = found.where("dense = 1").select(F.col("a").alias("hub"), F.col("b").alias("rep"))
+    return found.where("dense = 0").select("a", "b"), durable(rows.join(dense, ["hub", "rep"], "left_semi"), "apart")
 
 
 def search_blocks(rows: DataFrame, named: DataFrame, n: int, threshold: Fraction) -> DataFrame:
@@ -539,7 +550,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fracti
             stars = durable(large.join(pivot, "hub").where("rep <> a").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct(), "stars")
             before, labels = labels, tie(durable(verify(stars, texts, n, threshold), "links"))
             release(stars, before, rows)
-        left_over = with_partners(rows, points, threshold)
+        pairs, left_over = with_partners(rows, points, threshold)
+        if not pairs.isEmpty():
+            before, labels = labels, tie(durable(verify(pairs, texts, n, threshold), "links"))
+            release(before)
         if not left_over.isEmpty():
             before, labels = labels, tie(search_blocks(left_over, texts, n, threshold))
             release(before)

@@ -120,7 +120,8 @@ def test_links_of_a_block_are_those_of_a_scan(inner):
         x, y = roots(links), roots(may)
         sizes = np.array([len(s) for s in sets])
         points = np.array([np.bincount(s % ngram_jaccard.GROUPS, minlength=ngram_jaccard.GROUPS) for s in sets]).astype(np.uint16)
-        some = ngram_jaccard.block_partners(labels, sizes, points, side, inner, t)
+        some, pairs = ngram_jaccard.block_partners(labels, sizes, points, side, inner, t)
+        assert pairs is None or {tuple(sorted(x)) for x in pairs} >= {tuple(sorted(x)) for x in may if labels[x[0]] != labels[x[1]]}
         assert all(some[a] and some[b] for a, b in may if labels[a] != labels[b])
         assert all((x[a] == x[b]) == (y[a] == y[b]) for a in range(40) for b in range(40))
 
@@ -182,8 +183,9 @@ def test_unrelated_documents_are_in_no_neighbourhood(spark):
     assert ngram_jaccard.neighbourhoods(sets).count() == 0
 
 
-@pytest.mark.parametrize(("frequent", "block"), [(2, 2), (64, 2048)])
-def test_jaccard_at_a_low_threshold(spark, frequent, block, monkeypatch):
+@pytest.mark.parametrize(("frequent", "block", "few"), [(2, 2, 4), (64, 2048, 0), (64, 2048, 4)])
+def test_jaccard_at_a_low_threshold(spark, frequent, block, few, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "PAIRS_PER_SET", few)
     monkeypatch.setattr(ngram_jaccard, "FREQUENT", frequent)
     monkeypatch.setattr(ngram_jaccard, "BLOCK_POINTS", block)
     rnd = random.Random(11)

@@ -13,9 +13,10 @@ meets every linked set in one that both keep. A set whose shingles fill too few
 shingles, in order of hash, as a linked set cannot all lack; two such sets meet in these.
 
 The sets of a signature have a hub, the smallest. A hub's neighbourhood is all sets that it is the hub of: two sets that
-share a signature are both in it, and a pair that shares a hundred signatures meets once or a few times. First each set is
-compared with one hub, which ties most copies at a cost in proportion to the sets; in neighbourhoods that are large and still
-apart, further hubs follow while that ties much. Then only neighbourhoods with sets of several components are searched: their
+share a signature are both in it, and a pair that shares a hundred signatures meets once or a few times. Signatures travel
+once, packed (about 6 bytes each with their set), to where all sets of one meet. First each set is compared with one hub, by
+points and then, if the bound lets them reach, by shingles, which ties most copies at a cost in proportion to the sets; in
+neighbourhoods that are large and still apart, further hubs follow while that ties much. Then only neighbourhoods with sets of several components are searched: their
 trees find, on points alone, which are small, for each set outside the neighbourhood's largest component the sets that the
 bound lets it reach and that it is not tied to. Each such pair is verified once. Where a block has many of them for a set, the
 sets travel there with their shingles instead, and what the trees find is verified at once. Large neighbourhoods are cut
@@ -30,6 +31,7 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -52,6 +54,11 @@ WIDTH = 1.5
 FREQUENT, HOT, NAMED = 4, 10_000, 1 << 18
 #: Low bits of a signature that tell its size class (modulo 64).
 CLASS_BITS = 63
+#: Bits of a signature above these by which sets meet (two that agree by chance make sets meet in vain, no more).
+NAME_BITS = 48
+#: Signatures that a task packs together, those of a bucket where sets meet, and sets that share one signature in a pack up to
+#: which all of them go to its bucket.
+PACK, BUCKET, TOGETHER = 1 << 21, 1 << 20, 64
 
 
 def classes(limit: int = 1 << 40) -> np.ndarray:
@@ -152,8 +159,9 @@ def _lists(values: np.ndarray, row: np.ndarray, rows: int) -> pa.ListArray:
 
 
 def shingle_sets(named: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """``key``, ``same``, ``n_shingles``, ``point`` (counts by group, 16 bits each, at most 65535), ``parts`` (all signatures), ``in_class`` and ``spare`` (how many of a class's signatures may be
-    left out) of rows ``key``, ``same``, ``text``; and ``often`` and ``times``, in one row of each slice of rows: the signatures
+    """``key``, ``same``, ``n_shingles``, ``n_parts``, ``point`` (counts by group, 16 bits each, at most 65535), ``parts`` (names of all
+    signatures, ``NAME_BITS`` each, class by class), ``widths`` and ``spare`` (of each class: how many signatures, and how many of
+    them may be left out) of rows ``key``, ``same``, ``text``; and ``often`` and ``times``, in one row of each slice of rows: the names
     that ``FREQUENT`` sets of it share, and how many do."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,17 +169,28 @@ def shingle_sets(named: DataFrame, n: int, threshold: Fraction) -> DataFrame:
             rows = b.num_rows
             h, row = distinct_shingles(*text_bytes(b.column("text")), n)
             s, at, of, cls, spare = signatures(h, row, rows, threshold)
-            often, times = np.unique(s, return_counts=True)
+            own = at << 6 | (s & U64(CLASS_BITS)).astype(np.int64)
+            order = np.argsort(own, kind="stable")
+            own, name = own[order], s[order] >> U64(6) & U64((1 << NAME_BITS) - 1)
+            order = np.lexsort((cls, of))
+            of, group, spare = of[order], (of << 6 | cls)[order], spare[order]
+            widths = np.searchsorted(own, group, "right") - np.searchsorted(own, group)
+            often, times = np.unique(name, return_counts=True)
             often, times = often[times >= FREQUENT], times[times >= FREQUENT]
             first = np.zeros(len(often), np.int64)
-            group = row * GROUPS + (h & U64(GROUPS - 1)).astype(np.int64)
-            points = np.minimum(np.bincount(group, minlength=rows * GROUPS), 65535).astype("<u2")
+            slot = row * GROUPS + (h & U64(GROUPS - 1)).astype(np.int64)
+            points = np.minimum(np.bincount(slot, minlength=rows * GROUPS), 65535).astype("<u2")
             point = pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * GROUPS), rows, [None, pa.py_buffer(points.tobytes())]).cast(pa.binary())
-            lists = (_lists(s.view(np.int64), at, rows), _lists(cls, of, rows), _lists(spare, of, rows), _lists(often.view(np.int64), first, rows), _lists(times, first, rows))
-            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("same"), pa.array(np.bincount(row, minlength=rows), pa.int64()), point, *lists], ["key", "same", "n_shingles", "point", "parts", "in_class", "spare", "often", "times"])
+            n_parts = np.bincount(at, minlength=rows)
+            ends = np.concatenate([[0], np.cumsum(n_parts)]) * (NAME_BITS // 8)
+            packed = name.astype("<u8").view(np.uint8).reshape(-1, 8)[:, : NAME_BITS // 8].tobytes()
+            parts = pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(packed)]).cast(pa.binary())
+            lists = (_lists(widths, of, rows), _lists(spare, of, rows), _lists(often.view(np.int64), first, rows), _lists(times, first, rows))
+            counts = (pa.array(np.bincount(row, minlength=rows), pa.int64()), pa.array(n_parts, pa.int64()))
+            yield pa.RecordBatch.from_arrays([b.column("key"), b.column("same"), *counts, point, parts, *lists], ["key", "same", "n_shingles", "n_parts", "point", "parts", "widths", "spare", "often", "times"])
 
-    arrays = ", ".join(f"{c} array<bigint>" for c in ("parts", "in_class", "spare", "often", "times"))
-    return named.select("key", "same", "text").mapInArrow(run, f"key bigint, same binary, n_shingles bigint, point binary, {arrays}")
+    arrays = ", ".join(f"{c} array<bigint>" for c in ("widths", "spare", "often", "times"))
+    return named.select("key", "same", "text").mapInArrow(run, f"key bigint, same binary, n_shingles bigint, n_parts bigint, point binary, parts binary, {arrays}")
 
 
 def most_frequent(counted: DataFrame) -> dict[int, int]:
@@ -180,32 +199,125 @@ def most_frequent(counted: DataFrame) -> dict[int, int]:
     return dict(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True))
 
 
-def kept_signatures(sets: DataFrame, frequent: dict[int, int]) -> DataFrame:
-    """(``sig``, ``rep``): what each set keeps. The order puts ``frequent`` ones last, by how often they are; it is the same for all
-    sets, so whatever it is, linked sets keep one in common."""
+def kept_signatures(b: pa.RecordBatch, names: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(name, key) of what each set of ``key``, ``parts``, ``widths``, ``spare`` keeps. The order puts frequent ones (``names``, sorted, with an
+    end mark, and their ``counts``) last, by how often they are; it is the same for all sets, so whatever it is, linked sets keep one
+    in common."""
+    parts = b.column("parts").cast(pa.large_binary())
+    off = np.frombuffer(parts.buffers()[1], np.int64)[parts.offset : parts.offset + b.num_rows + 1]
+    size = NAME_BITS // 8
+    raw = np.frombuffer(parts.buffers()[2] or b"", np.uint8)[off[0] : off[-1]].reshape(-1, size)
+    wide = np.zeros((len(raw), 8), np.uint8)
+    wide[:, :size] = raw
+    name, row = wide.view("<u8").ravel().astype(U64), np.repeat(np.arange(b.num_rows), np.diff(off) // size)
+    widths = b.column("widths").flatten().to_numpy()
+    group = np.repeat(np.arange(len(widths)), widths)
+    place = np.searchsorted(names, name)
+    times = np.where(names[place] == name, counts[place], 0)
+    at = np.lexsort((name, times, group))
+    # Where a set's signatures of a class end, and how many before that end may go.
+    end = (np.cumsum(widths) - b.column("spare").flatten().to_numpy())[group]
+    keep = at[np.arange(len(at)) < end]
+    return name[keep], b.column("key").to_numpy()[row[keep]]
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Whole numbers as their lowest bytes, then the next, as many as the largest has."""
+    width = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def from_planes(raw: bytes, n: int) -> np.ndarray:
+    by_byte = np.frombuffer(raw, np.uint8).reshape(-1, n)
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : len(by_byte)] = by_byte.T
+    return out.view("<u8").ravel().astype(U64)
+
+
+def meeting(sets: DataFrame, frequent: dict[int, int]) -> DataFrame:
+    """(``sig``, ``rep``, ``hub``, ``n``): the sets that keep a signature which several keep, the smallest of them and their number.
+
+    Tasks pack what their sets keep, sorted by name, and deal it to buckets by ranges of names, where all sets of a name meet. Of a
+    name that more than ``TOGETHER`` sets of a pack keep, the smallest goes to its bucket; these sets are told one by one
+    beside it, in rows without ``hub`` and ``n``, by tasks that have nothing to do with the name."""
     names = np.array(sorted(frequent), np.int64)
-    names, counts = np.append(names, np.iinfo(np.int64).max), np.array([*(frequent[x] for x in names.tolist()), 0], np.int64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names, counts = np.append(names, 1 << NAME_BITS).astype(U64), np.array([*(frequent[x] for x in names.tolist()), 0], np.int64)
+    rows = sets.where("key is not null").select("key", "n_parts", "parts", "widths", "spare")
+    total = rows.agg(F.coalesce(F.sum("n_parts"), F.lit(0))).first()[0]
+    buckets = min(1 << (63 - NAME_BITS), max(4 * int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET)))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn = TaskContext.get().partitionId()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def messages() -> Iterator[pa.RecordBatch]:
+            nonlocal turn
+            name, rep = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            order = np.argsort(name)
+            name, rep = name[order], rep[order]
+            starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, np.int64)
+            times = np.diff(np.append(starts, len(name)))
+            many = np.repeat(times > TOGETHER, times)
+            out = []
+            for k in range(0, int(many.sum()), 1 << 16):
+                out.append((buckets + turn % buckets, name[many][k : k + (1 << 16)], rep[many][k : k + (1 << 16)]))
+                turn += 1
+            if many.any():
+                rep[starts] = np.where(times > TOGETHER, np.minimum.reduceat(rep, starts), rep[starts])
+                many[starts] = False
+                name, rep = name[~many], rep[~many]
+            to = (name * U64(buckets) >> U64(NAME_BITS)).astype(np.int64)
+            cuts = np.flatnonzero(to[1:] != to[:-1]) + 1
+            out += [(int(to[x]), name[x:y], rep[x:y]) for x, y in zip([0, *cuts.tolist()], [*cuts.tolist(), len(to)], strict=True) if y > x]
+            for k in range(0, len(out), 64):
+                columns = zip(*((to, len(x), int(x[0]), int(y.min()), planes(np.diff(x, prepend=x[:1])), planes(y.astype(U64) - y.min().astype(U64))) for to, x, y in out[k : k + 64]), strict=True)
+                types = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], ["bucket", "n", "name", "rep", "names", "reps"])
+
+        waiting = 0
         for b in (x.slice(k, 512) for x in batches for k in range(0, x.num_rows, 512)):
-            width = np.diff(b.column("parts").offsets.to_numpy())
-            sig, row = b.column("parts").flatten().to_numpy(), np.repeat(np.arange(b.num_rows), width)
-            place = np.searchsorted(names, sig)
-            times = np.where(names[place] == sig, counts[place], 0)
-            group = (row << 6) | (sig & CLASS_BITS)
-            at = np.lexsort((sig, times, group))
-            group = group[at]
-            # Where a set's signatures of a class end, and how many before that end may go.
-            end = np.searchsorted(group, group, "right")
-            of = np.repeat(np.arange(b.num_rows), np.diff(b.column("in_class").offsets.to_numpy()))
-            free = (of << 6) | b.column("in_class").flatten().to_numpy()
-            sort = np.argsort(free)
-            spare = b.column("spare").flatten().to_numpy()[sort][np.searchsorted(free[sort], group)]
-            keep = at[np.arange(len(at)) < end - spare]
-            yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(b.column("key").to_numpy()[row[keep]])], ["sig", "rep"])
+            held.append(kept_signatures(b, names, counts))
+            waiting += len(held[-1][0])
+            if waiting >= PACK:
+                yield from messages()
+                waiting = 0
+        if held:
+            yield from messages()
+        tidy()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: int | None = None
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def told() -> pa.RecordBatch:
+            name, rep = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
+            if last >= buckets:
+                none = pa.nulls(len(name), pa.int64())
+                return pa.RecordBatch.from_arrays([pa.array(name.view(np.int64)), pa.array(rep), none, none], ["sig", "rep", "hub", "n"])
+            order = np.argsort(name, kind="stable")  # of sorted runs
+            name = name[order]
+            like = name[1:] == name[:-1]
+            some = np.flatnonzero(np.concatenate([[False], like]) | np.concatenate([like, [False]]))
+            name, rep = name[some], rep[order[some]]
+            starts = np.flatnonzero(np.concatenate([[True], name[1:] != name[:-1]])) if len(name) else np.zeros(0, np.int64)
+            times = np.diff(np.append(starts, len(name)))
+            hub = np.repeat(np.minimum.reduceat(rep, starts), times) if len(name) else rep
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in (name.view(np.int64), rep, hub, np.repeat(times, times))], ["sig", "rep", "hub", "n"])
+
+        for batch in batches:
+            for bucket, n, first, least, x, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and bucket != last:
+                    yield told()
+                last = bucket
+                held.append((np.cumsum(from_planes(x, n)) + U64(first), (from_planes(y, n) + np.int64(least).astype(U64)).view(np.int64)))
+        if held:
+            yield told()
         tidy()
 
-    return sets.select("key", "parts", "in_class", "spare").mapInArrow(run, "sig bigint, rep bigint")
+    packed = rows.drop("n_parts").mapInArrow(pack, "bucket int, n int, name bigint, rep bigint, names binary, reps binary")
+    return packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, "sig bigint, rep bigint, hub bigint, n bigint")
 
 
 class RTree:
@@ -313,22 +425,61 @@ def block_partners(labels: np.ndarray, sizes: np.ndarray, points: np.ndarray, si
     return out, pairs
 
 
-def verify(pairs: DataFrame, named: DataFrame, n: int, threshold: Fraction) -> DataFrame:
-    """The pairs ``a``, ``b`` that are linked, by the shingles of both.
+def beside(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """Rows ``a``, ``salt``, ``b``, ``what``, in order, of ``pairs``: what ``own`` (``key``, ``what``) has of ``a``, with null as ``b``, for each ``FAN_OUT`` of its
+    pairs, and then of the ``b`` of each of these.
 
-    The texts of the pairs' ends, and no others, go to where the pairs of ``a`` are verified: one of ``a`` for each
-    ``FAN_OUT`` of its pairs, and one of ``b`` for each pair. The pairs find their texts by a broadcast while they are few,
-    else by a join."""
+    What belongs to the pairs' ends, and nothing else, moves. The pairs find it by a broadcast while they are few, else by a join."""
     small = pairs.count() <= PAIRS_SENT
-    own = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN_OUT).cast("int").alias("salts"))
-    wanted = pairs.join(own, "a").select(F.col("b").alias("key"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
-    wanted = wanted.unionByName(own.select(F.col("a").alias("key"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b")))
-    rows = named.select("key", F.col("text").alias("t")).join(F.broadcast(wanted) if small else wanted, "key").select("a", "salt", "b", "t")
-    rows = rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+    salts = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / FAN_OUT).cast("int").alias("salts"))
+    wanted = pairs.join(salts, "a").select(F.col("b").alias("key"), "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
+    wanted = wanted.unionByName(salts.select(F.col("a").alias("key"), "a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(None).cast("bigint").alias("b")))
+    rows = own.join(F.broadcast(wanted) if small else wanted, "key").select("a", "salt", "b", "what")
+    return rows.repartition("a", "salt").sortWithinPartitions("a", "salt", F.asc_nulls_first("b"))
+
+
+def told_pairs(found: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    if found:
+        x, y = zip(*found, strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+
+
+def split_points(raw: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(sizes, points) of what ``points`` tables hold."""
+    both = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
+    return both[:, :8].copy().view(">i8").ravel().astype(np.int64), both[:, 8:].copy().view("<u2")
+
+
+def within_bound(pairs: DataFrame, points: DataFrame, threshold: Fraction) -> DataFrame:
+    """The pairs ``a``, ``b`` that the bound on their points lets reach the threshold."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size, point = 0, np.zeros(0, np.uint16)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            a, b = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            sizes, every = split_points(batch.column(3).to_pylist())
+            ends = [k for k in range(len(b)) if b[k] is None]
+            out: list[tuple[int, int]] = []
+            for x, y in zip([0, *ends], [*ends, len(b)], strict=True):
+                if y > x and b[x] is None:
+                    size, point, x = int(sizes[x]), every[x], x + 1
+                if y > x:
+                    may = RTree.may(every[x:y], sizes[x:y], sizes[x:y], point, size, threshold)
+                    out += [(a[x + k], b[x + k]) for k in np.flatnonzero(may).tolist()]
+            yield from told_pairs(out)
+        tidy()
+
+    return beside(pairs, points.select(F.col("rep").alias("key"), F.col("point").alias("what"))).mapInArrow(run, "a bigint, b bigint")
+
+
+def verify(pairs: DataFrame, named: DataFrame, n: int, threshold: Fraction) -> DataFrame:
+    """The pairs ``a``, ``b`` that are linked, by the shingles of both."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(0, U64)
-        for batch in slices(batches, "t"):
+        for batch in slices(batches, "what"):
             a, b = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             h, row = distinct_shingles(*text_bytes(batch.column(3)), n)
             ends = np.searchsorted(row, np.arange(batch.num_rows + 1))
@@ -339,36 +490,34 @@ def verify(pairs: DataFrame, named: DataFrame, n: int, threshold: Fraction) -> D
                     held = mine
                 elif reaches(held, mine, threshold):
                     out.append((a[k], b[k]))
-            if out:
-                x, y = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], ["a", "b"])
+            yield from told_pairs(out)
 
-    return rows.mapInArrow(run, "a bigint, b bigint")
+    return beside(pairs, named.select("key", F.col("text").alias("what"))).mapInArrow(run, "a bigint, b bigint")
 
 
 def neighbourhoods(sets: DataFrame) -> DataFrame:
     """(``hub``, ``rep``), ``hub`` < ``rep``: for each signature that a set kept, the smallest set that kept it too. ``sets`` are
-    deleted once their signatures are written.
-
-    Signatures are counted before sets meet in them; a hot one is joined with its one row of counts, which Spark can split."""
+    deleted once it is known where their signatures meet."""
     slices_ = sets.select(F.explode(F.arrays_zip("often", "times")).alias("e")).groupBy(F.col("e.often").alias("sig")).agg(F.sum("e.times").alias("n"))
     frequent = most_frequent(slices_)
     tried = set(frequent)
     while True:
-        rows = durable(kept_signatures(sets.where("key is not null"), frequent), "signatures")
-        shared = durable(rows.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "shared")
+        met = durable(meeting(sets, frequent), "met")
         # What turned out to be hot, and was not known to be, is put last too, and sets choose again.
-        hot = most_frequent(shared.where(F.col("n") > HOT))
+        hot = most_frequent(met.where(F.col("n").isNull() | (F.col("n") > HOT)).groupBy("sig").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT))
         if not set(hot) - tried:
             break
         tried |= set(hot)
         frequent = dict(sorted((frequent | hot).items(), key=lambda x: (-x[1], x[0]))[:NAMED])
-        release(rows, shared)
+        release(met)
     release(sets)
-    met = durable(rows.join(shared.select("sig"), "sig"), "met")
-    release(rows, shared)
-    hubs = met.groupBy("sig").agg(F.min("rep").alias("hub"))
-    out = durable(met.join(hubs, "sig").where("hub <> rep").select("hub", "rep").distinct(), "hoods")
+    pairs = met.select("hub", "rep")
+    apart_ = met.where("hub is null").select("sig", "rep")
+    if not apart_.isEmpty():
+        # What was told one by one; Spark can split the join, as a signature has one hub here.
+        hubs = met.join(apart_.select("sig").distinct(), "sig", "left_semi").groupBy("sig").agg(F.min("rep").alias("hub"))
+        pairs = pairs.unionByName(apart_.join(hubs, "sig").select("hub", "rep"))
+    out = durable(pairs.where("hub <> rep").distinct(), "hoods")
     release(met)
     return out
 
@@ -443,8 +592,7 @@ def with_partners(rows: DataFrame, points: DataFrame, threshold: Fraction) -> tu
     reach each other, each once; and, of blocks with many pairs for a set, the rows of the sets that have partners."""
 
     def solve(hub: int, side: np.ndarray, rep: np.ndarray, label: np.ndarray, raw: list[bytes], inner: bool) -> list[tuple[int, int]]:
-        both = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
-        sizes, point = both[:, :8].copy().view(">i8").ravel().astype(np.int64), both[:, 8:].copy().view("<u2")
+        sizes, point = split_points(raw)
         some, pairs = block_partners(label, sizes, point, side, inner, threshold)
         if pairs is None:
             return [(hub, int(r), 1) for r in rep[some]]
@@ -531,10 +679,17 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fracti
             every = every.unionByName(more)
         return durable(components(every).select(F.col("node").alias("rep"), F.col("component").alias("label")), "labels")
 
+    def compared(stars: DataFrame) -> DataFrame:
+        """The links among pairs with hubs; texts move only for those that the bound lets reach each other."""
+        may = durable(within_bound(stars, points, threshold), "may")
+        links = durable(verify(may, texts, n, threshold), "links")
+        release(may)
+        return links
+
     labels = None
     if not hoods.isEmpty():
         one = durable(hoods.groupBy("rep").agg(F.min("hub").alias("a")).select("a", F.col("rep").alias("b")), "stars")
-        labels = tie(durable(verify(one, texts, n, threshold), "links"))
+        labels = tie(compared(one))
         release(one)
         of_size = sizes.where("key is not null").select(F.col("key").alias("rep"), F.col("n_shingles").alias("size")).dropDuplicates(["rep"])
         left = None
@@ -548,7 +703,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, threshold: Fraction = Fracti
             left = now
             pivot = large.groupBy("hub").agg(F.min_by("rep", F.xxhash64("rep", F.lit(now))).alias("a"))
             stars = durable(large.join(pivot, "hub").where("rep <> a").select(F.least("a", "rep").alias("a"), F.greatest("a", "rep").alias("b")).distinct(), "stars")
-            before, labels = labels, tie(durable(verify(stars, texts, n, threshold), "links"))
+            before, labels = labels, tie(compared(stars))
             release(stars, before, rows)
         pairs, left_over = with_partners(rows, points, threshold)
         if not pairs.isEmpty():

@@ -222,6 +222,47 @@ def test_many_near_copies_with_frequent_parts(spark, monkeypatch):
     assert got == brute_components(sets_of(enumerate(texts), 5), Fraction(4, 5))
 
 
+@pytest.mark.parametrize(("together", "pack"), [(1, 200), (5, 1 << 21), (64, 200)])
+def test_packed_signatures_meet_as_they_would_in_a_table(spark, together, pack, monkeypatch):
+    monkeypatch.setattr(ngram_jaccard, "TOGETHER", together)
+    monkeypatch.setattr(ngram_jaccard, "PACK", pack)
+    monkeypatch.setattr(ngram_jaccard, "FREQUENT", 1000)
+    rnd = random.Random(13)
+    base = [f"b{k}" for k in range(80)]
+    texts = [" ".join(base[: rnd.randint(70, 80)] + [f"z{rnd.randrange(10**6)}" for _ in range(rnd.randint(0, 9))]) for _ in range(30)]
+    texts += [" ".join(f"y{rnd.randrange(10**6)}" for _ in range(60)) for _ in range(10)]
+    keys = [(-1) ** k * (k << 40) for k in range(len(texts))]
+    docs = spark.createDataFrame(list(zip(keys, [b""] * len(texts), texts, strict=True)), "key long, same binary, text string").repartition(3)
+    sets = common.durable(ngram_jaccard.shingle_sets(docs, 5, Fraction(4, 5)), "sets")
+    size = ngram_jaccard.NAME_BITS // 8
+    assert sets.where(f"length(parts) <> {size} * n_parts or n_parts <> aggregate(widths, 0L, (x, y) -> x + y)").isEmpty()
+    none = np.array([1 << ngram_jaccard.NAME_BITS], np.uint64), np.zeros(1, np.int64)
+    of = {}
+    for b in sets.select("key", "parts", "widths", "spare").toArrow().combine_chunks().to_batches():
+        for name, key in zip(*(x.tolist() for x in ngram_jaccard.kept_signatures(b, *none)), strict=True):
+            of.setdefault(name, set()).add(key)
+    met = {}
+    for r in ngram_jaccard.meeting(sets, {}).collect():
+        met.setdefault(r["sig"], set()).add(r["rep"])
+    assert {k: v for k, v in met.items() if len(v) > 1} == {k: v for k, v in of.items() if len(v) > 1}
+    want = {(min(v), x) for v in of.values() for x in v if x != min(v)}
+    assert {tuple(r) for r in ngram_jaccard.neighbourhoods(sets).collect()} == want and len(want) > 20
+
+
+def test_unlike_neighbours_of_a_hub_move_no_text(spark, monkeypatch):
+    verified, verify = [], ngram_jaccard.verify
+    monkeypatch.setattr(ngram_jaccard, "verify", lambda pairs, *x: verified.extend(map(tuple, pairs.collect())) or verify(pairs, *x))
+    monkeypatch.setattr(ngram_jaccard, "FREQUENT", 1000)
+    rnd = random.Random(14)
+    line = [f"l{k}" for k in range(200)]  # what all share, so that they meet; half of each text
+    texts = [" ".join(line + [f"y{rnd.randrange(10**6)}" for _ in range(200)]) for _ in range(12)]
+    texts.append(texts[5] + " end")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in ngram_jaccard.jaccard_components(docs, 5, Fraction(4, 5)).collect()}
+    assert got == {k: min(k, 5 if k == 12 else k) for k in range(13)}
+    assert set(verified) == {(5, 12)}
+
+
 def test_jaccard_of_string_keys(spark):
     a = " ".join(f"a{k}" for k in range(60))
     docs = spark.createDataFrame([("x", a), ("b", a + " end"), (None, a), ("c", "other words altogether here")], "doc_id string, text string")

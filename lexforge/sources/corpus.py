@@ -49,7 +49,7 @@ def marks(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     size = docs.agg(F.count(F.lit(1)).alias("n_docs"))
     events = table(spark, sf_dir, "events").where(F.col("event_type") == kind).select("event_id", "user_id", "ts", "value", "props")
-    events = events.crossJoin(F.broadcast(size)).withColumn("chapter_id", F.col("event_id") % F.col("n_docs")).drop("n_docs")
+    events = events.crossJoin(F.broadcast(size)).withColumn("chapter_id", F.col("event_id") % F.nullif(F.col("n_docs"), F.lit(0))).drop("n_docs")
     lines = docs.select(F.col("doc_id").alias("chapter_id"), book_of("source").alias("book_id"), F.split("text", "\n").alias("lines"))
     out = events.join(lines, "chapter_id").withColumn("block_idx", F.col("event_id") % F.size("lines"))
     out = out.withColumn("text", F.get("lines", F.col("block_idx").cast("int"))).drop("lines")
@@ -64,7 +64,8 @@ def bookmarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def highlights(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = marks(spark, sf_dir, "purchase").withColumn("len", F.length("text")).where("len > 0")
-    start = (F.floor("value") % F.col("len")).cast("bigint")
+    # The optimiser may ask for a start before it leaves empty texts out, so those have none instead of an error.
+    start = (F.floor("value") % F.nullif(F.col("len"), F.lit(0))).cast("bigint")
     colour = F.get(F.array(*map(F.lit, COLOURS)), (F.col("event_id") % 4).cast("int"))
     return rows.select(F.col("event_id").alias("highlight_id"), "book_id", "chapter_id", "block_id", "block_idx", start.alias("start_offset"), F.least(start + 20, F.col("len")).cast("bigint").alias("end_offset"), colour.alias("color"), "text")
 

@@ -268,3 +268,15 @@ def test_pages_are_folded_once(spark, monkeypatch):
     out = pdf_pages.book_paragraphs(pdf_pages.without_running_lines(rows))
     assert {"edges", "pages", "numbered", "told"} <= set(tables)
     assert [(r["page"], r["text"]) for r in out.orderBy("page", "block_idx").collect()] == [(1, "begins on 1 and goes on begins on 2 and goes on begins on 3 and goes on begins on 4 and goes on begins on 5 and goes on")]
+
+
+def test_pages_are_read_a_few_at_a_time(spark, monkeypatch):
+    from lexforge.functions import words
+
+    html = "<html><head><title>T{0}</title></head><body><p>" + "word " * 200 + "</p></body></html>"
+    rows = spark.createDataFrame([(i, html.format(i), "u") for i in range(40)] + [(40, None, "v")], "page_id long, html string, url string")
+    monkeypatch.setattr(markup, "AT_ONCE", 3000)
+    got = {r["page_id"]: r["title"] for r in markup.page_titles(rows).collect()}
+    assert got == {i: f"T{i}" for i in range(40)} | {40: "v"}
+    batch = rows.where("page_id < 40").toArrow().combine_chunks().to_batches()[0]
+    assert len(list(words.slices(iter([batch]), "html", 3000))) == 20

@@ -157,10 +157,11 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     placed = in_ranges(own, table)
     w = W.partitionBy("part").orderBy(F.col("key").desc_nulls_last(), F.col("tie").desc())
     rows = placed.withColumn("print", fingerprint(F.col("text")))
-    rows = rows.withColumn("next", F.lead(F.struct("text", "print")).over(w))
+    # Columns of their own, not one struct: who asks for no fingerprints has none made.
+    rows = rows.withColumn("next_text", F.lead("text").over(w)).withColumn("next_print", F.lead("print").over(w))
     # Keys fall, so a range is followed by the one before it, and the first by the last.
-    tops = placed.where("top").select(F.pmod(F.col("part") + 1, F.col("n")).alias("part"), F.struct("text", fingerprint(F.col("text")).alias("print")).alias("head"))
-    other = lambda c: F.coalesce(F.col(f"next.{c}"), F.col(f"head.{c}"))
+    tops = placed.where("top").select(F.pmod(F.col("part") + 1, F.col("n")).alias("part"), F.col("text").alias("head_text"), fingerprint(F.col("text")).alias("head_print"))
+    other = lambda c: F.coalesce(F.col(f"next_{c}"), F.col(f"head_{c}"))
     kept = ["key", "text", "print", *(["m"] if several else [])]
     joined = rows.join(tops, "part", "left").select(*kept, other("text").alias("other"), other("print").alias("next_print"))
     if several:

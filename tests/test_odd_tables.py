@@ -39,3 +39,10 @@ def same(spark, odd, duck, name):
 @pytest.mark.parametrize("name", ["highlight_adds", "highlight_overlaps", "locate_block"])
 def test_empty_texts(spark, odd, duck, name):
     same(spark, odd, duck, name)
+
+
+def test_edited_texts_make_no_fingerprints(spark, odd):
+    from lexforge.llm.queries import edited_texts
+
+    assert "xxhash64" in edited_texts.__globals__["op9_fingerprints"](spark, odd)._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64" not in edited_texts(spark, odd)._jdf.queryExecution().optimizedPlan().toString()

@@ -15,8 +15,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lexforge.functions.excerpts import preview, token_spans
+from lexforge.functions.excerpts import preview
 from lexforge.functions.text import ends_like_sentence, trim_all
+from lexforge.functions.words import KEPT, words
 
 # Fixed values of the chunks and the ranking.
 CHUNK, STEP = 1600, 1400
@@ -210,16 +211,24 @@ class HashEmbedder:
 
     def __init__(self, dim: int = 64, bound: int = 512):
         self.name, self.dim, self.bound = f"hash-{dim}", dim, bound
+        self.known: dict[str, int] = {}  # places of words, while they are few
 
     def embed(self, text: str) -> tuple[list[float], bool]:
         """The vector, and whether the text was cut at the bound."""
-        words = [s.term for s in token_spans(text)]
-        out = np.zeros(self.dim)
-        for w in words[: self.bound]:
-            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
-            out[h % self.dim] += 1.0 if h >> 63 else -1.0
+        own = words(text)
+        known, code = self.known, []
+        for w in own[: self.bound]:
+            c = known.get(w)
+            if c is None:
+                h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+                if len(known) >= KEPT:
+                    known.clear()
+                c = known[w] = h % self.dim * 2 + (h >> 63)
+            code.append(c)
+        count = np.bincount(code, minlength=2 * self.dim).astype(np.float64) if code else np.zeros(2 * self.dim)
+        out = count[1::2] - count[::2]
         size = float(np.sqrt(out @ out))
-        return (out / size if size else out).astype(np.float32).tolist(), len(words) > self.bound
+        return (out / size if size else out).astype(np.float32).tolist(), len(own) > self.bound
 
     def embed_query(self, text: str) -> list[float]:
         return self.embed(text)[0]

@@ -62,6 +62,8 @@ def scored_chunks(chunks: DataFrame, query: list[float], models: list[str]) -> D
 
 #: Query vectors that are sent to all tasks at once.
 QUERY_BLOCK = 4096
+#: Of them, those that are compared with a thousand rows at once.
+AT_ONCE = 256
 
 
 def top_for_queries(rows: DataFrame, asked: DataFrame, k: int, item: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -77,20 +79,30 @@ def top_for_queries(rows: DataFrame, asked: DataFrame, k: int, item: str = "vec_
         names, vectors = np.array([r["query"] for r in part], np.int64), np.array([r["q"] for r in part], np.float64)
 
         def run(batches: Iterator[pa.RecordBatch], names=names, vectors=vectors) -> Iterator[pa.RecordBatch]:
-            items, scores = np.zeros((len(names), 0), np.int64), np.zeros((len(names), 0))
+            items, scores = np.full((len(names), k), np.iinfo(np.int64).max), np.full((len(names), k), -np.inf)
             for batch in batches:
                 for s in range(0, batch.num_rows, 1024):
                     own = batch.slice(s, 1024)
                     x = own.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(own.num_rows, -1)
                     one = own.column(0).to_numpy()
-                    # Every product is summed alike, so equal vectors have equal scores.
-                    new = np.einsum("ij,kj->ik", vectors, x)
-                    new[names[:, None] == one[None, :]] = -np.inf
-                    items, scores = np.concatenate([items, np.broadcast_to(one, new.shape)], 1), np.concatenate([scores, new], 1)
-                    best = np.lexsort((items, -scores), axis=1)[:, :k]
-                    items, scores = np.take_along_axis(items, best, 1), np.take_along_axis(scores, best, 1)
+                    for q in range(0, len(names), AT_ONCE):
+                        part = slice(q, q + AT_ONCE)
+                        # Every product is summed alike, so equal vectors have equal scores.
+                        new = np.einsum("ij,kj->ik", vectors[part], x)
+                        new[names[part, None] == one[None, :]] = -np.inf
+                        # Only what comes up to a query's last row of its best is put in order with them.
+                        who, at = np.nonzero((new >= scores[part, -1:]) & np.isfinite(new))
+                        if not len(who):
+                            continue
+                        m = len(new)
+                        who, score = np.concatenate([np.repeat(np.arange(m), k), who]), np.concatenate([scores[part].ravel(), new[who, at]])
+                        name = np.concatenate([items[part].ravel(), one[at]])
+                        order = np.lexsort((name, -score, who))
+                        start = np.searchsorted(who[order], np.arange(m))
+                        best = order[start[:, None] + np.arange(k)]
+                        items[part], scores[part] = name[best], score[best]
             some = np.isfinite(scores).ravel()
-            who = np.repeat(names, items.shape[1])
+            who = np.repeat(names, k)
             yield pa.RecordBatch.from_arrays([pa.array(who[some]), pa.array(items.ravel()[some]), pa.array(scores.ravel()[some])], ["query", "item", "score"])
 
         found = rows.select(F.col(item).cast("bigint"), vector).mapInArrow(run, "query bigint, item bigint, score double")

@@ -242,3 +242,39 @@ def test_best_items_of_queries(spark, monkeypatch):
         every = sorted(((i, sum(a * b for a, b in zip(table[q], v, strict=True))) for i, v in rows if i != q), key=lambda x: (-x[1], x[0]))
         assert got[q] == set(every[:4])
     assert vectors.top_for_queries(frame, asked.limit(0), 4).count() == 0
+
+
+def test_best_rows_for_queries_in_small_blocks(spark, monkeypatch):
+    import numpy as np
+
+    from lexforge.operators import vectors
+
+    r = np.random.default_rng(3)
+    x = np.round(r.normal(size=(3000, 8)), 1)  # many equal products
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    asked = rows.where("vec_id % 50 = 0").selectExpr("vec_id as query", "embedding as q")
+    monkeypatch.setattr(vectors, "AT_ONCE", 7)
+    got = {}
+    for row in vectors.top_for_queries(rows, asked, 5).collect():
+        got.setdefault(row["query"], []).append((-row["score"], row["item"]))
+    for q in range(0, 3000, 50):
+        score = np.einsum("j,kj->k", x[q], x)
+        want = sorted((-s, i) for i, s in enumerate(score) if i != q)[:5]
+        assert [(i, round(s, 9)) for s, i in sorted(got[q])] == [(i, round(s, 9)) for s, i in want]
+
+
+def test_an_embedder_gives_what_hashes_of_tokens_give():
+    import hashlib
+
+    import numpy as np
+
+    from lexforge.functions.excerpts import token_spans
+    from lexforge.operators import vectors
+
+    for text in ("Äpfel und naïve cafés, cafés", "", "日本語 ½ x²", "a " * 600):
+        out = np.zeros(64)
+        for w in [s.term for s in token_spans(text)][:512]:
+            h = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little")
+            out[h % 64] += 1.0 if h >> 63 else -1.0
+        size = float(np.sqrt(out @ out))
+        assert vectors.HashEmbedder().embed(text) == ((out / size if size else out).astype(np.float32).tolist(), len(token_spans(text)) > 512)
